@@ -197,7 +197,7 @@ gl AS (SELECT recording_id, pos, 'acc' AS channel, acc AS v FROM gr UNION ALL SE
 KEEP = "CASE WHEN e - s < 4 THEN 1.0::DOUBLE ELSE (e - s)::DOUBLE / n END"
 
 
-@query("I17_features_v1_gated", f"WITH {DETECT}, {GATED}, {spectrum_sql('gl', 'g_')} {pivot_sql(V1.format(src='gl', pre='g_'), list(ft.V1_PARTS))}", names(ft.V1_PARTS))
+@query("I17_features_v1_gated", f"WITH {DETECT}, {GATED}, {spectrum_sql('gl', 'g_')} {pivot_sql(V1.format(src='gl', pre='g_'), list(ft.V1_PARTS))}", names(ft.V1_PARTS), 8)
 def i17a(spark, sf):
     return ft.features_v1(s.recordings(spark, sf), gate=True, **WAVELET)
 
@@ -206,12 +206,12 @@ V3_SQL = f"""WITH {DETECT}, {GATED}, {v2_sql('gl', 'gr')} SELECT wide.*, {', '.j
     FROM wide JOIN force USING (recording_id) JOIN win USING (recording_id)"""
 
 
-@query("I17_features_v3", V3_SQL.format(extra=f"{KEEP} AS keep_frac"), V2_COLS + " keep_frac")
+@query("I17_features_v3", V3_SQL.format(extra=f"{KEEP} AS keep_frac"), V2_COLS + " keep_frac", 8)
 def i17(spark, sf):
     return ft.features_v3(s.recordings(spark, sf), **WAVELET)
 
 
-@query("I18_features_v4", V3_SQL.format(extra="1 AS n_segments"), V2_COLS)
+@query("I18_features_v4", V3_SQL.format(extra="1 AS n_segments"), V2_COLS, 8)
 def i18b(spark, sf):
     return ft.features_v4(s.recordings(spark, sf), **WAVELET)
 

@@ -6,9 +6,9 @@ from checks import standins as s
 from checks.profiles import LIFE, MID, THEIL
 from checks.registry import query
 from condmon.evaluate import errors as er, regress as rg
-from condmon.operators import sequence as sq, skew
 from condmon.physics import score as sc, wear as we
 from condmon.plans import eda, reports as rp, study
+from condmon.session import stored
 
 SAMP, PARAM, PRED, RUN, LAB = s.SAMP_SQL, s.PARAM_SQL, s.PRED_SQL, s.RUN_SQL, s.LAB_SQL
 BY = {"by": "set_id"}
@@ -26,12 +26,17 @@ RATE_DBL = "max_image_id max_wear_um frac_of_failure slope_raw_um_per_pass slope
 
 
 def rates(spark, sf, **kw):
+    """Records as a stored table: one row per set, used several times by what follows."""
+    return stored(fresh_rates(spark, sf, **kw), "rates")
+
+
+def fresh_rates(spark, sf, **kw):
     return we.wear_rates(s.samples(spark, sf), s.params(spark, sf), **(BY | kw))
 
 
-@query("J10_wear_rates", f"WITH {RATES} SELECT {RATE_COLS} FROM rates", RATE_DBL, 11)
+@query("J10_wear_rates", f"WITH {RATES} SELECT {RATE_COLS} FROM rates", RATE_DBL)
 def j10(spark, sf):
-    return rates(spark, sf).select(*RATE_COLS.split(", "))
+    return fresh_rates(spark, sf).select(*RATE_COLS.split(", "))
 
 
 LIT = "CASE WHEN material = 'CK45' THEN 0.25::DOUBLE ELSE 0.2::DOUBLE END"
@@ -53,9 +58,9 @@ def j11(spark, sf):
 def ols2_sql(src: str) -> str:
     """ln Vc ~ ln life + ln fz from covariances (regular design)."""
     return f"""o AS (SELECT material, count(*) AS n_sets, count(DISTINCT round(Vc, 3)) AS n_distinct_vc, var_pop(lt) AS aa, var_pop(lf) AS bb, covar_pop(lt, lf) AS ab,
-    covar_pop(lv, lt) AS ya, covar_pop(lv, lf) AS yb, avg(lv) AS y, avg(lt) AS at, avg(lf) AS af FROM {src} GROUP BY material),
-ext AS (SELECT material, -(bb * ya - ab * yb) / (aa * bb - ab * ab) AS n0, -(aa * yb - ab * ya) / (aa * bb - ab * ab) AS m0, y, at, af, n_sets, n_distinct_vc FROM o),
-consts AS (SELECT material, round(n0, 4) AS n, round(m0, 4) AS m, round(exp(y + n0 * at + m0 * af), 4) AS c, n_sets, n_distinct_vc, 'fitted' AS source FROM ext)"""
+    covar_pop(lv, lt) AS ya, covar_pop(lv, lf) AS yb, avg(lv) AS y, avg(lt) AS mlt, avg(lf) AS mlf FROM {src} GROUP BY material),
+ext AS (SELECT material, -(bb * ya - ab * yb) / (aa * bb - ab * ab) AS n0, -(aa * yb - ab * ya) / (aa * bb - ab * ab) AS m0, y, mlt, mlf, n_sets, n_distinct_vc FROM o),
+consts AS (SELECT material, round(n0, 4) AS n, round(m0, 4) AS m, round(exp(y + n0 * mlt + m0 * mlf), 4) AS c, n_sets, n_distinct_vc, 'fitted' AS source FROM ext)"""
 
 
 @query("J12_extended_constants", f"""WITH {RATES}, src AS (SELECT material, Vc, ln(Vc) AS lv, ln(300.0 / slope_um_per_pass) AS lt, ln(fz) AS lf FROM rates
@@ -103,8 +108,8 @@ def _scored_sets(spark, sf, taylor):
     return we.predict_life(r, we.tool_life_constants(r), samples=s.samples(spark, sf), **BY) if taylor else r
 
 
-@query("J16_expected_wear", f"""WITH {RATES}, {PRED} SELECT rowno, epoch, preds.set_id, greatest(0, least(300.0, slope_um_per_pass * t + intercept_um)) / 1000 AS expected_norm
-    FROM preds LEFT JOIN rates USING (set_id)""", "expected_norm", 9)
+@query("J16_expected_wear", f"""WITH {RATES}, {PRED} SELECT rowno, epoch, preds.set_id, CASE WHEN intercept_um IS NOT NULL THEN greatest(0, least(300.0, slope_um_per_pass * t + intercept_um)) / 1000 END AS expected_norm
+    FROM preds LEFT JOIN rates USING (set_id)""", "expected_norm", 7)
 def j16(spark, sf):
     return sc.expected_wear(s.preds(spark, sf), _scored_sets(spark, sf, False), **BY).select("rowno", "epoch", "set_id", "expected_norm")
 
@@ -112,7 +117,7 @@ def j16(spark, sf):
 TAYLOR_LINE = "CASE WHEN ts > 0 AND ti IS NOT NULL THEN ts * t + ti ELSE slope_um_per_pass * t + intercept_um END"
 
 
-@query("J16_expected_wear_taylor", f"""WITH {RATES}, {PREDICT}, {PRED} SELECT rowno, epoch, preds.set_id, greatest(0, least(300.0, {TAYLOR_LINE})) / 1000 AS expected_norm
+@query("J16_expected_wear_taylor", f"""WITH {RATES}, {PREDICT}, {PRED} SELECT rowno, epoch, preds.set_id, CASE WHEN intercept_um IS NOT NULL THEN greatest(0, least(300.0, {TAYLOR_LINE})) / 1000 END AS expected_norm
     FROM preds LEFT JOIN full_sets USING (set_id)""", "expected_norm", 7)
 def j16t(spark, sf):
     return sc.expected_wear(s.preds(spark, sf), _scored_sets(spark, sf, True), True, **BY).select("rowno", "epoch", "set_id", "expected_norm")
@@ -123,16 +128,16 @@ def score_sql(line, sets, where="TRUE", one_sided=False):
     gap = f"greatest(0, {gap})" if one_sided else gap
     return f"""j AS (SELECT epoch, CASE WHEN set_id IN (6, 17) THEN 0.5 ELSE 1.0 END AS w, {gap} AS d, set_id <> 1 AND {where}
         AND t BETWEEN 0.15 * max_image_id AND 0.85 * max_image_id AS ok FROM preds LEFT JOIN {sets} USING (set_id))
-    SELECT epoch, count(*) FILTER (ok) AS n_rows, 0.5 * least(1.0, (epoch + 1) / 4.0) AS lambda,
+    SELECT epoch, count(*) FILTER (ok) AS n_rows, 0.5 * least(1.0, (epoch + 1) / 4.0) AS lam,
         0.5 * least(1.0, (epoch + 1) / 4.0) * coalesce(sum(w * d * d) FILTER (ok) / greatest(sum(w) FILTER (ok), 1e-12), 0) AS physics_loss FROM j GROUP BY epoch"""
 
 
-@query("J17_physics_score", f"WITH {RATES}, {PRED}, {score_sql('slope_um_per_pass * t + intercept_um', 'rates')}", "lambda physics_loss", 9)
+@query("J17_physics_score", f"WITH {RATES}, {PRED}, {score_sql('slope_um_per_pass * t + intercept_um', 'rates')}", "lam physics_loss", 9)
 def j17(spark, sf):
     return sc.physics_score(s.preds(spark, sf), _scored_sets(spark, sf, False), 0.5, **BY)
 
 
-@query("J17_physics_score_ceiling", f"""WITH {RATES}, {PREDICT}, {PRED}, {score_sql(TAYLOR_LINE, 'full_sets', "material = 'RVS 304'", True)}""", "lambda physics_loss", 8)
+@query("J17_physics_score_ceiling", f"""WITH {RATES}, {PREDICT}, {PRED}, {score_sql(TAYLOR_LINE, 'full_sets', "material = 'RVS 304'", True)}""", "lam physics_loss", 8)
 def j17c(spark, sf):
     return sc.physics_score(s.preds(spark, sf), _scored_sets(spark, sf, True), 0.5, apply_to="rvs", one_sided=True, use_taylor=True, **BY)
 

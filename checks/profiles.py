@@ -22,7 +22,7 @@ LAB, SAMP, PARAM, PRED, RUN, REC, LONG = (
 
 @query("C1_set_summary_params", f"""WITH {SAMP}, {PARAM} SELECT set_id, mx, mean, n, material, Vc AS vc FROM
     (SELECT set_id, max(wear) AS mx, avg(wear) AS mean, count(wear) AS n FROM samp GROUP BY set_id) g
-    LEFT JOIN params USING (set_id)""", "mx mean vc", 9)
+    LEFT JOIN params USING (set_id)""", "mx mean vc")
 def c1(spark, sf):
     g = pf.group_extremes(s.samples(spark, sf), "set_id", "wear")
     return lk.attach_params(g, s.params(spark, sf), "set_id").select(
@@ -58,7 +58,7 @@ lines AS (SELECT r.set_id, coalesce(any_value(slope), 0) AS slope,
     FROM {src} r LEFT JOIN slopes USING (set_id) GROUP BY r.set_id)"""
 
 
-@query("C4_J9_theil_sen", f"WITH {SAMP}, {THEIL.format(src='samp')} SELECT set_id, slope, intercept FROM lines", "slope intercept", 11)
+@query("C4_J9_theil_sen", f"WITH {SAMP}, {THEIL.format(src='samp')} SELECT set_id, slope, intercept FROM lines", "slope intercept")
 def c4(spark, sf):
     return theil_sen(s.samples(spark, sf), ["set_id"], "t", "wear")
 
@@ -168,7 +168,7 @@ def d7(spark, sf):
     return pf.trajectory_stats(s.labels(spark, sf)).withColumnRenamed("Set", "sid")
 
 
-@query("D8_group_extremes", f"WITH {SAMP} SELECT set_id, max(wear) AS max, avg(wear) AS mean, count(wear) AS n FROM samp GROUP BY set_id", "max mean", 9)
+@query("D8_group_extremes", f"WITH {SAMP} SELECT set_id, max(wear) AS max, avg(wear) AS mean, count(wear) AS n FROM samp GROUP BY set_id", "max mean")
 def d8(spark, sf):
     return pf.group_extremes(s.samples(spark, sf), "set_id", "wear")
 
@@ -346,10 +346,10 @@ def e2(spark, sf):
     return sq.life_fraction(s.samples(spark, sf), "set_id", "t").select("rowno", "life")
 
 
-LIFE = """o AS (SELECT *, lag(t) OVER w AS t0, lag(wear) OVER w AS w0 FROM samp WINDOW w AS (PARTITION BY set_id ORDER BY t)),
+LIFE = """ord AS (SELECT *, lag(t) OVER w AS t0, lag(wear) OVER w AS w0 FROM samp WINDOW w AS (PARTITION BY set_id ORDER BY t)),
 f AS (SELECT set_id, min(t) AS t1 FROM samp WHERE wear >= {thr} GROUP BY set_id),
-life AS (SELECT s.set_id, any_value(CASE WHEN o.t0 IS NULL OR o.w0 = o.wear THEN o.t ELSE o.t0 + ({thr} - o.w0) / (o.wear - o.w0) * (o.t - o.t0) END) AS life
-    FROM (SELECT DISTINCT set_id FROM samp) s LEFT JOIN f USING (set_id) LEFT JOIN o ON o.set_id = f.set_id AND o.t = f.t1 GROUP BY s.set_id)"""
+life AS (SELECT s.set_id, any_value(CASE WHEN ord.t0 IS NULL OR ord.w0 = ord.wear THEN ord.t ELSE ord.t0 + ({thr} - ord.w0) / (ord.wear - ord.w0) * (ord.t - ord.t0) END) AS life
+    FROM (SELECT DISTINCT set_id FROM samp) s LEFT JOIN f USING (set_id) LEFT JOIN ord ON ord.set_id = f.set_id AND ord.t = f.t1 GROUP BY s.set_id)"""
 
 
 @query("E3_life_at_threshold", f"WITH {SAMP}, {LIFE.format(thr='400.0')} SELECT set_id, life FROM life", "life")

@@ -12,13 +12,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def nudge_of(digits: int) -> float:
+    return 1.37 * 10.0 ** -(digits + 3)
+
+
 def rounded(df: DataFrame, digits: int) -> DataFrame:
-    """Doubles rounded (and minus zero made zero) so that both engines compare equal."""
+    """Doubles rounded (and minus zero made zero) so that both engines compare equal.
+
+    A nudge far below the last digit keeps exact halves from rounding differently.
+    """
+    nudge = nudge_of(digits)
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if f.dataType.simpleString() in ("double", "float"):
-            c = F.round(c.cast("double"), digits) + 0.0
+            c = F.round(c.cast("double") + nudge, digits) + 0.0
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -32,7 +40,7 @@ def query(name: str, sql: str | None = None, dbl: str = "", digits: int = 6):
 
         QUERIES[name] = run
         if sql is not None:
-            cells = ", ".join(f'round({c}, {digits}) + 0.0 AS {c}' for c in dbl.split())
+            cells = ", ".join(f'round({c} + {nudge_of(digits)!r}::DOUBLE, {digits}) + 0.0 AS {c}' for c in dbl.split())
             ORACLES[name] = f"SELECT * REPLACE ({cells}) FROM ({sql})" if cells else sql
         return fn
     return wrap

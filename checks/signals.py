@@ -199,7 +199,7 @@ KEEP = "CASE WHEN e - s < 4 THEN 1.0::DOUBLE ELSE (e - s)::DOUBLE / n END"
 
 @query("I17_features_v1_gated", f"WITH {DETECT}, {GATED}, {spectrum_sql('gl', 'g_')} {pivot_sql(V1.format(src='gl', pre='g_'), list(ft.V1_PARTS))}", names(ft.V1_PARTS), 8)
 def i17a(spark, sf):
-    return ft.features_v1(s.recordings(spark, sf), gate=True, **WAVELET)
+    return ft.features_v1(s.stored_recordings(spark, sf), gate=True, **WAVELET)
 
 
 V3_SQL = f"""WITH {DETECT}, {GATED}, {v2_sql('gl', 'gr')} SELECT wide.*, {', '.join(FORCE_COLS.split())}, {{extra}}
@@ -208,12 +208,12 @@ V3_SQL = f"""WITH {DETECT}, {GATED}, {v2_sql('gl', 'gr')} SELECT wide.*, {', '.j
 
 @query("I17_features_v3", V3_SQL.format(extra=f"{KEEP} AS keep_frac"), V2_COLS + " keep_frac", 8)
 def i17(spark, sf):
-    return ft.features_v3(s.recordings(spark, sf), **WAVELET)
+    return ft.features_v3(s.stored_recordings(spark, sf), **WAVELET)
 
 
 @query("I18_features_v4", V3_SQL.format(extra="1 AS n_segments"), V2_COLS, 8)
 def i18b(spark, sf):
-    return ft.features_v4(s.recordings(spark, sf), **WAVELET)
+    return ft.features_v4(s.stored_recordings(spark, sf), **WAVELET)
 
 
 @query("I17_keep_fraction", f"WITH {DETECT} SELECT recording_id, {KEEP} AS keep_frac FROM win", "keep_frac")
@@ -230,13 +230,13 @@ qa AS (SELECT win.recording_id, n, s, e, e - s AS kept, (e - s)::DOUBLE / n AS k
 
 @query("I19_C9_gating_report", f"{QA} SELECT * FROM qa", "kept_frac aircut_frac")
 def i19(spark, sf):
-    return ft.gating_report(s.recordings(spark, sf), **WAVELET)[0]
+    return ft.gating_report(s.stored_recordings(spark, sf), **WAVELET)[0]
 
 
 @query("I19_gating_summary", f"""{QA} SELECT count(*) AS files, avg(kept_frac) AS mean_kept, avg(aircut_frac) AS mean_aircut, min(kept_frac) AS min_kept,
     max(kept_frac) AS max_kept, count(*) FILTER (is_full) AS fallbacks FROM qa""", "mean_kept mean_aircut min_kept max_kept")
 def i19b(spark, sf):
-    return ft.gating_report(s.recordings(spark, sf), **WAVELET)[1]
+    return ft.gating_report(s.stored_recordings(spark, sf), **WAVELET)[1]
 
 
 @query("I10_percentiles", f"""WITH {REC} SELECT recording_id, quantile_cont(acc, 0.05) AS p05, quantile_cont(acc, 0.5) AS p50, quantile_cont(acc, 0.95) AS p95

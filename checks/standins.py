@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from condmon.operators.skew import rank_in_group
+from condmon.session import stored
 from condmon.sources import clean_labels, flatten_runs
 
 
@@ -43,6 +44,11 @@ def recordings(spark: SparkSession, sf: str) -> DataFrame:
     return rank_in_group(signal_rows(spark, sf), ["recording_id"], [F.col("ts"), F.col("event_id")], "pos")
 
 
+def stored_recordings(spark: SparkSession, sf: str) -> DataFrame:
+    """Recordings written once, for work that reads them several times."""
+    return stored(recordings(spark, sf), "recordings")
+
+
 LONG_SQL = REC_SQL + """,
 long AS (SELECT recording_id, pos, 'acc' AS channel, acc AS v FROM recs
     UNION ALL SELECT recording_id, pos, 'acoustic', acoustic FROM recs

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from condmon.constants import CHANNELS, FS, N_SEGMENTS
 from condmon.operators import wavelet as wv
 from condmon.operators.lookup import any_changed
-from condmon.operators.skew import HEAP_ROWS, exact_percentiles
+from condmon.operators.skew import FIND, HEAP_ROWS, exact_percentiles, oversized_groups
 from condmon.operators.spectrum import spectral_summary, spectrum_wide
+from condmon.session import stored
 
 REC = "recording_id"
 FORCES = ("Fx", "Fy", "Fz")
@@ -73,12 +74,18 @@ def time_features(recordings: DataFrame, channels: Sequence[str] = CHANNELS) ->
     return recordings.groupBy(REC).agg(*aggs)
 
 
+def find_windows(recordings: DataFrame, **wavelet) -> DataFrame:
+    """Cutting windows as a stored table: one short row per recording that several blocks join."""
+    return stored(wv.cut_window(recordings, **wavelet), "windows")
+
+
 def features_v1(recordings: DataFrame, gate: bool = False, fs: float = FS, limit: int = HEAP_ROWS,
-                windows: DataFrame | None = None, **wavelet) -> DataFrame:
+                windows: DataFrame | None = None, hot: DataFrame | None = FIND, **wavelet) -> DataFrame:
     rows = recordings
+    hot = oversized_groups(recordings, [REC], limit) if hot is FIND else hot
     if gate:
-        rows = wv.gate(recordings, windows if windows is not None else wv.cut_window(recordings, **wavelet))
-    spec = spectral_summary(spectrum_wide(rows, fs, share=True, limit=limit), CHANNELS, fs)
+        rows = wv.gate(recordings, find_windows(recordings, **wavelet) if windows is None else windows)
+    spec = spectral_summary(spectrum_wide(rows, fs, share=True, limit=limit, hot=hot), CHANNELS, fs)
     return time_features(rows).join(spec, REC).select(REC, *v1_names())
 
 
@@ -148,8 +155,8 @@ def channel_shape(recordings: DataFrame, channels: Sequence[str], limit: int = H
     return _spread(recordings, channels, limit).join(beyond, REC)
 
 
-def _spread(rows: DataFrame, channels: Sequence[str], limit: int) -> DataFrame:
-    q = exact_percentiles(rows, [REC], channels, (.05, .25, .75, .95), limit)
+def _spread(rows: DataFrame, channels: Sequence[str], limit: int, hot: DataFrame | None = FIND) -> DataFrame:
+    q = exact_percentiles(rows, [REC], channels, (.05, .25, .75, .95), limit, hot)
     cols = []
     for c in channels:
         a = F.col(f"{c}_q")
@@ -167,13 +174,15 @@ def force_features(recordings: DataFrame, k: int = N_SEGMENTS) -> DataFrame:
         REC, "Fres_mean", "Fres_std", *[f"Fres_{p}" for p in TREND], "FxFy_ratio_mean", *cv)
 
 
-def features_v2(recordings: DataFrame, fs: float = FS, k: int = N_SEGMENTS, limit: int = HEAP_ROWS) -> DataFrame:
+def features_v2(recordings: DataFrame, fs: float = FS, k: int = N_SEGMENTS, limit: int = HEAP_ROWS,
+                hot: DataFrame | None = FIND) -> DataFrame:
+    hot = oversized_groups(recordings, [REC], limit) if hot is FIND else hot
     rows = with_resultant(recordings)
     every = [*CHANNELS, "Fres"]
     stats = _basic(rows, every)
     trend = segment_trend(rows, stats, every, k, beyond=CHANNELS)
-    spread = _spread(rows, CHANNELS, limit)
-    spec = spectral_summary(spectrum_wide(rows, fs, share=True, limit=limit), CHANNELS, fs)
+    spread = _spread(rows, CHANNELS, limit, hot)
+    spec = spectral_summary(spectrum_wide(rows, fs, share=True, limit=limit, hot=hot), CHANNELS, fs)
     cv = {f"{c}_cv": F.col(f"{c}_std") / (F.abs(f"{c}_mean") + 1e-6) for c in FORCES}
     joined = stats.join(trend, REC).join(spread, REC).join(spec, REC)
     return joined.withColumns(cv).select(REC, *v2_names())
@@ -182,9 +191,10 @@ def features_v2(recordings: DataFrame, fs: float = FS, k: int = N_SEGMENTS, limi
 def features_v3(recordings: DataFrame, fs: float = FS, k: int = N_SEGMENTS, limit: int = HEAP_ROWS,
                 windows: DataFrame | None = None, **wavelet) -> DataFrame:
     """v2 on the cutting window, plus the kept fraction."""
-    windows = wv.cut_window(recordings, **wavelet) if windows is None else windows
+    windows = find_windows(recordings, **wavelet) if windows is None else windows
     gated = wv.gate(recordings, windows)
-    return features_v2(gated, fs, k, limit).join(wv.keep_fraction(windows), REC)
+    hot = oversized_groups(recordings, [REC], limit)
+    return features_v2(gated, fs, k, limit, hot).join(wv.keep_fraction(windows), REC)
 
 
 def features_v4(recordings: DataFrame, **kwargs) -> DataFrame:
@@ -195,9 +205,10 @@ def features_v4(recordings: DataFrame, **kwargs) -> DataFrame:
 def gating_report(recordings: DataFrame, limit: int = HEAP_ROWS, rtol: float = 1e-4, atol: float = 1e-6,
                   **wavelet) -> tuple[DataFrame, DataFrame]:
     """Per recording: window, kept share, fallback flag, whether v1 features move; and a summary."""
-    windows = wv.cut_window(recordings, **wavelet)
-    changed = any_changed(features_v1(recordings, limit=limit),
-                          features_v1(recordings, gate=True, limit=limit, windows=windows),
+    windows = find_windows(recordings, **wavelet)
+    hot = oversized_groups(recordings, [REC], limit)
+    changed = any_changed(features_v1(recordings, limit=limit, hot=hot),
+                          features_v1(recordings, gate=True, limit=limit, windows=windows, hot=hot),
                           REC, v1_names(), rtol, atol)
     kept = F.col("e") - F.col("s")
     rows = windows.join(changed, REC).select(

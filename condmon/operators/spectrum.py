@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from condmon.constants import CHANNELS, FS
-from condmon.operators.skew import HEAP_ROWS, oversized_groups
+from condmon.operators.skew import FIND, HEAP_ROWS, oversized_groups
+from condmon.session import stored
 
 REC = "recording_id"
 FLAT = 1e-12
@@ -30,19 +31,21 @@ def _id_type(recordings: DataFrame) -> str:
 
 
 def spectrum_wide(recordings: DataFrame, fs: float = FS, channels: Sequence[str] = CHANNELS,
-                  share: bool = False, limit: int = HEAP_ROWS) -> DataFrame:
+                  share: bool = False, limit: int = HEAP_ROWS, hot: DataFrame | None = FIND) -> DataFrame:
     """(recording_id, n, bin, freq, one column per channel) for bins 0..n div 2.
 
     Columns hold one-sided, undoubled power of the mean-removed signal; with `share`, power over
-    its total (0 for a flat channel).
+    its total (0 for a flat channel). `hot` may name the big recordings if they are known already.
     """
     channels = list(channels)
     rows = recordings.select(REC, F.col("pos").cast("long").alias("pos"), *channels)
-    hot = oversized_groups(rows, [REC], limit)
+    hot = oversized_groups(rows, [REC], limit) if hot is FIND else hot
     if hot is None:
         return _small_spectra(rows, fs, channels, share)
-    small = _small_spectra(rows.join(hot.select(REC), REC, "left_anti"), fs, channels, share)
-    return small.unionByName(_long_spectra(rows.join(hot, REC), fs, channels, share))
+    sizes = rows.join(hot.select(REC), REC, "left_semi").groupBy(REC).agg(F.count(F.lit(1)).alias("_n"))
+    long = stored(sizes.filter(F.col("_n") > max(limit, 4)), "long-recordings")
+    small = _small_spectra(rows.join(long, REC, "left_anti"), fs, channels, share)
+    return small.unionByName(_long_spectra(rows.join(long, REC), fs, channels, share))
 
 
 def _small_spectra(rows: DataFrame, fs: float, channels: list[str], share: bool) -> DataFrame:
@@ -143,8 +146,7 @@ def _long_spectra(rows: DataFrame, fs: float, channels: list[str], share: bool)
     means = rows.groupBy(REC).agg(*[F.avg(c).alias(f"_mean_{c}") for c in channels])
     centred = rows.join(means, REC).select(
         REC, "_n", "pos", *[(F.col(c) - F.col(f"_mean_{c}")).alias(c) for c in channels])
-    # bits = bit length of 2n-1, L2 = 2^(bits - bits div 2), as in _grid
-    bits = F.length(F.bin(2 * F.col("_n") - 1))
+    # L2 as in _grid; bin() gives the binary digits of 2n-1
     l2 = F.expr("shiftleft(1L, cast(length(bin(2 * _n - 1)) - length(bin(2 * _n - 1)) div 2 as int))")
     steps = f"{REC} {rid}, _n bigint, _k1 bigint, _m2 bigint, {cells}"
     first = centred.withColumn("_m2", F.pmod("pos", l2)).groupBy(REC, "_m2").applyInPandas(columns, steps)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from condmon.operators.skew import exact_percentiles, join_null_safe, oversized_groups
+from condmon.operators.skew import FIND, HEAP_ROWS, exact_percentiles, join_null_safe, oversized_groups
 
 PAIR_ROWS = 256      # up to here the slopes of one group are formed directly
 TASK_ROWS = 1 << 15  # up to here one task searches the median slope of a group
@@ -95,7 +95,8 @@ def line_of(x: np.ndarray, y: np.ndarray) -> tuple[float | None, float | None]:
     return slope, float(np.median(y - slope * x))
 
 
-def theil_sen(df: DataFrame, by: Sequence[str], x: str, y: str, limit: int = TASK_ROWS) -> DataFrame:
+def theil_sen(df: DataFrame, by: Sequence[str], x: str, y: str, limit: int = TASK_ROWS,
+              hot: DataFrame | None = FIND) -> DataFrame:
     """(by, slope, intercept) per group.
 
     Groups up to `limit` rows travel as two arrays to one vectorised function. Larger ones are solved by
@@ -104,7 +105,7 @@ def theil_sen(df: DataFrame, by: Sequence[str], x: str, y: str, limit: int = TAS
     by = list(by)
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    hot = oversized_groups(rows, by, limit)
+    hot = oversized_groups(rows, by, limit) if hot is FIND else hot
     if hot is None:
         return _theil_sen_small(rows, by)
     from condmon.physics.large_lines import theil_sen_large
@@ -124,9 +125,9 @@ def _theil_sen_small(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def anchored_intercept(df: DataFrame, by: str, t: str, w: str, slopes: DataFrame, slope: str,
-                       name: str = "intercept") -> DataFrame:
+                       name: str = "intercept", hot: DataFrame | None = FIND) -> DataFrame:
     """Median residual per group with the slope given per group."""
     resid = df.join(slopes.select(by, slope), by).filter(F.col(slope).isNotNull()).select(
         by, (F.col(w) - F.col(slope) * F.col(t)).alias("_r"))
-    q = exact_percentiles(resid, [by], ["_r"], [.5])
+    q = exact_percentiles(resid, [by], ["_r"], [.5], HEAP_ROWS, hot)
     return q.select(by, F.col("_r_q")[0].alias(name))

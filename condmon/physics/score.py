@@ -91,7 +91,7 @@ def physics_score(preds: DataFrame, sets: DataFrame, lambda_max: float = 0.05, w
     epoch = F.col("epoch") if "epoch" in keys else F.lit(warmup)
     lam = warmup_lambda(epoch, lambda_max, warmup)
     loss = lam * F.coalesce(F.col("_num") / F.greatest("_den", F.lit(1e-12)), F.lit(0.0))
-    return scored.select(*keys, "n_rows", lam.alias("lambda"), loss.alias("physics_loss"))
+    return scored.select(*keys, "n_rows", lam.alias("lam"), loss.alias("physics_loss"))
 
 
 def rate_table(params: DataFrame, constants: DataFrame, failure_um: float = FAILURE_UM, by: str = "Set") -> DataFrame:

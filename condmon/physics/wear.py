@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from condmon.constants import (
     CAUTION_SETS, CK45, EXCLUDED_SETS, FAILURE_UM, LITERATURE_N, RVS, WINDOW,
 )
 from condmon.operators.sequence import life_at_threshold, mid_life
-from condmon.operators.skew import exact_percentiles
-from condmon.physics.lines import anchored_intercept, theil_sen
+from condmon.operators.skew import HEAP_ROWS, exact_percentiles, oversized_groups
+from condmon.physics.lines import TASK_ROWS, anchored_intercept, theil_sen
 
 
 def prepare(df: DataFrame, train_sets: Sequence[int] | None = None,
@@ -38,7 +40,8 @@ def wear_rates(df: DataFrame, params: DataFrame, train_sets: Sequence[int] | Non
         F.count(F.lit(1)).alias("_n"), F.max(F.col(t).cast("double")).alias("max_image_id"),
         F.max(w).alias("max_wear_um")).filter(F.col("_n") >= min_rows)
     fitted = mid_life(rows.join(stats.select(by), by, "left_semi"), by, t, lo, hi)
-    lines = theil_sen(fitted, [by], t, w)
+    # sizes of the whole sets bound those of their windows and only need one column of the input
+    lines = theil_sen(fitted, [by], t, w, hot=oversized_groups(df.select(by), [by], TASK_ROWS))
     sizes = fitted.groupBy(by).agg(F.first("n_window").alias("n_window"))
     out = (
         stats.join(lines, by).join(sizes, by).join(params, by)
@@ -155,15 +158,13 @@ def predict_life(rates: DataFrame, constants: DataFrame, form: str = "simple", f
     if samples is None:
         return out
     rows = mid_life(samples.join(rates.select(by), by, "left_semi"), by, t, *window)
-    icpt = anchored_intercept(rows, by, t, w, out, "taylor_slope_um_per_pass", "taylor_intercept_um")
+    hot = oversized_groups(samples.select(by), [by], HEAP_ROWS)
+    icpt = anchored_intercept(rows, by, t, w, out, "taylor_slope_um_per_pass", "taylor_intercept_um", hot)
     return out.join(icpt, by, "left")
 
 
 def log_design_rank(params: DataFrame, cols: Sequence[str] = ("Vc", "fz", "Ap"), by: str = "material") -> DataFrame:
     """Rank of [1, ln c1, ln c2, ..] per group, from sums of products (one small matrix per group)."""
-    import numpy as np
-    import pandas as pd
-
     logs = params.select(by, *[F.ln(c).alias(c) for c in cols]).dropna()
     terms = [F.lit(1.0), *[F.col(c) for c in cols]]
     size = len(terms)

@@ -38,12 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise to shared storage and cut the lineage; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for a table written between two jobs."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write to a fresh table in shared storage and read it back.
+
+    Cuts the lineage, survives lost executors, freezes row numbering, and gives later joins a
+    measured size to choose their strategy by.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

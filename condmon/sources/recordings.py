@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from condmon.constants import CHANNELS
-from condmon.session import checkpointed
+from condmon.session import stored
 
 
 def read_recordings(spark: SparkSession, glob: str, channels: Sequence[str] = CHANNELS,
@@ -16,7 +16,7 @@ def read_recordings(spark: SparkSession, glob: str, channels: Sequence[str] = CH
 
     A file may span many scan splits. Rows keep their place inside a split, and each split
     adds the number of rows in the earlier splits of its file, so no file is ever sorted or
-    gathered in one task. The scan is checkpointed once because split numbering must not
+    gathered in one task. The scan is stored once, in columns, because split numbering must not
     change between the two uses.
     """
     schema = ", ".join([f"`{c}` float" for c in channels] + ["ts timestamp"])
@@ -26,14 +26,14 @@ def read_recordings(spark: SparkSession, glob: str, channels: Sequence[str] = CH
                 F.col("_metadata.file_block_start").alias("_start"),
                 F.monotonically_increasing_id().alias("_row"))
     )
-    stored = checkpointed(scan)
-    blocks = stored.groupBy("_file", "_start").agg(
+    kept = stored(scan, "recordings")
+    blocks = kept.groupBy("_file", "_start").agg(
         F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     earlier = (Window.partitionBy("_file").orderBy("_start")
                .rowsBetween(Window.unboundedPreceding, -1))
     offsets = blocks.select(
         "_file", "_start", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return stored.join(offsets, ["_file", "_start"]).select(
+    return kept.join(offsets, ["_file", "_start"]).select(
         F.regexp_extract("_file", id_pattern, 1).alias("recording_id"),
         (F.col("_row") + F.col("_shift")).alias("pos"),
         *[F.col(c).cast("double").alias(c) for c in channels],

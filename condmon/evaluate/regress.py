@@ -60,7 +60,7 @@ def fit_ridge(df: DataFrame, cols: Sequence[str], label: str, train: Column, alp
     Spark scales the penalty by the label's std and averages the loss, hence the conversion of alpha.
     """
     rows = df.filter(train & F.col(label).isNotNull())
-    scaler = Scaler.fit(rows, cols)
+    scaler = Scaler.fit(rows, cols, imputed=True)
     spread = rows.agg(F.stddev_pop(label).alias("s"), F.count(F.lit(1)).alias("n")).first()
     estimator = LinearRegression(
         featuresCol="_x", labelCol=label, solver="normal", elasticNetParam=0.0, standardization=False,

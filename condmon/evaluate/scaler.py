@@ -15,13 +15,18 @@ class Scaler:
     stats: DataFrame
 
     @classmethod
-    def fit(cls, df: DataFrame, cols: Sequence[str], tiny: float = 1e-8) -> Scaler:
+    def fit(cls, df: DataFrame, cols: Sequence[str], tiny: float = 1e-8, imputed: bool = False) -> Scaler:
+        """With `imputed`, the std is that of the column after its gaps take the mean."""
         def clean(c):
             return F.when(~F.isnan(c), F.col(c))
 
+        def fill(c):
+            return F.sqrt(F.count(clean(c)) / F.count(F.lit(1)))
+
         wide = df.agg(*[
             F.struct(F.lit(c).alias("feature"), F.coalesce(F.avg(clean(c)), F.lit(0.0)).alias("mean"),
-                     F.coalesce(F.stddev_pop(clean(c)), F.lit(0.0)).alias("std")).alias(f"_s{i}")
+                     (F.coalesce(F.stddev_pop(clean(c)), F.lit(0.0)) * (fill(c) if imputed else F.lit(1.0))
+                      ).alias("std")).alias(f"_s{i}")
             for i, c in enumerate(cols)])
         rows = wide.select(F.inline(F.array(*[f"_s{i}" for i in range(len(cols))])))
         return cls(rows.withColumn("std", F.when(F.col("std") < tiny, 1.0).otherwise(F.col("std"))))

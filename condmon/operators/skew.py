@@ -71,10 +71,10 @@ def split_by_order(df: DataFrame, by: Sequence[str], order: Sequence[Column], ho
         with_cuts = keyed.select("*", cuts.select("_fine").scalar().alias("_fine"),
                                  cuts.select("_coarse").scalar().alias("_coarse"))
     below = with_cuts.withColumn(
-        "_block", F.size(F.filter("_coarse", lambda c: c <= F.col("_key"))) * FAN)
-    rest = F.size(F.filter(F.slice("_fine", F.col("_block") + 1, FAN), lambda c: c <= F.col("_key")))
-    bucket = F.when(F.col("_fine").isNull(), 0).otherwise(F.col("_block") + rest)
-    return below.withColumn("_bucket", bucket).drop("_key", "_fine", "_coarse", "_block")
+        "_skip", F.size(F.filter("_coarse", lambda c: c <= F.col("_key"))) * FAN)
+    rest = F.size(F.filter(F.slice("_fine", F.col("_skip") + 1, FAN), lambda c: c <= F.col("_key")))
+    bucket = F.when(F.col("_fine").isNull(), 0).otherwise(F.col("_skip") + rest)
+    return below.withColumn("_bucket", bucket).drop("_key", "_fine", "_coarse", "_skip")
 
 
 def _carry(bucketed: DataFrame, by: Sequence[str], totals: dict[str, Column],

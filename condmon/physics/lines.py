@@ -50,16 +50,17 @@ def _median_slope_by_search(x: np.ndarray, y: np.ndarray) -> float | None:
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
     same = np.unique(x, return_counts=True)[1].astype(np.int64)
-    twins = np.unique(np.column_stack((x, y)), axis=0, return_counts=True)[1].astype(np.int64)
     n = len(x)
     pairs = n * (n - 1) // 2 - int((same * (same - 1) // 2).sum())
     if pairs == 0:
         return None
-    equal = int((twins * (twins - 1) // 2).sum())
 
     def not_steeper(b: float) -> int:
-        # rows of one x are ordered by y, so among them only exact copies are counted
-        return inversions(y - b * x) - equal
+        # rows of one x are in rising order; the pairs of equal residual among them do not count
+        r = y - b * x
+        starts = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (r[1:] != r[:-1]))))
+        runs = np.diff(np.append(starts, n))
+        return inversions(r) - int((runs * (runs - 1) // 2).sum())
 
     reach = float(y.max() - y.min()) / float(np.diff(np.unique(x)).min())
 

@@ -360,6 +360,13 @@ def b22(spark, sf):
     return drawn.groupBy("type").agg(F.count(F.lit(1)).alias("n_draws"), F.countDistinct("o_orderkey").alias("n_rows"))
 
 
+@query("B22_resample_total", "SELECT count(*) AS n_draws FROM orders")
+def b22n(spark, sf):
+    o = s.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("type"), "o_orderkey")
+    drawn = sm.weighted_resample(o, "type", {"O": 3.0}, o.count(), 7, [F.col("o_orderkey")])
+    return drawn.agg(F.count(F.lit(1)).alias("n_draws"))
+
+
 META_SQL = f"""WITH {s.RUN_SQL} SELECT experiment, split, seed, epochs,
     CASE flag WHEN 'N' THEN 'ctrl' WHEN 'A' THEN 'ceil' ELSE 'sym-T' END AS variant,
     CASE flag WHEN 'N' THEN 'ctrl' WHEN 'A' THEN 'hard_C40' ELSE 'hard_C12.5' END AS hard_variant, lam FROM runs"""

@@ -192,7 +192,7 @@ def vectors(spark, sf):
                      F.when(F.col("vec_id") % 5 < 3, "train").when(F.col("vec_id") % 5 == 3, "val").otherwise("test").alias("split"))
 
 
-VEC = """vec AS (SELECT vec_id, label AS set_id, CAST(embedding[1] AS DOUBLE) AS f0,
+VEC = """vec AS (SELECT vec_id, label AS set_id, CAST(embedding[1] AS DOUBLE) AS f0, CAST(embedding[2] AS DOUBLE) AS f1,
     200 + 300 * CAST(embedding[1] AS DOUBLE) - 200 * CAST(embedding[2] AS DOUBLE) + 150 * CAST(embedding[3] AS DOUBLE) * CAST(embedding[4] AS DOUBLE) AS wear,
     CASE vec_id % 5 WHEN 3 THEN 'val' WHEN 4 THEN 'test' ELSE 'train' END AS split FROM embeddings)"""
 # one feature: standardised slope is Sxy / (Sxx + alpha * var) in raw units
@@ -206,6 +206,19 @@ def j2(spark, sf):
     return rg.fit_ridge(df, ["f0"], "wear", F.col("split") == "train").transform(df).select("vec_id", "pred")
 
 
+RIDGE2 = """SELECT avg(f0) AS m0, avg(f1) AS m1, avg(wear) AS my, stddev_pop(f0) AS s0, stddev_pop(f1) AS s1, count(*) + 1.0 AS d,
+    regr_count(f1, f0) * covar_pop(f0, f1) / (stddev_pop(f0) * stddev_pop(f1)) AS o,
+    count(*) * covar_pop(f0, wear) / stddev_pop(f0) AS y0, count(*) * covar_pop(f1, wear) / stddev_pop(f1) AS y1 FROM {src}"""
+LINE2 = "my + (d * y0 - o * y1) / (d * d - o * o) * (f0 - m0) / s0 + (d * y1 - o * y0) / (d * d - o * o) * (f1 - m1) / s1"
+
+
+@query("J2_ridge_two_features", f"""WITH {VEC}, g AS ({RIDGE2.format(src="vec WHERE split = 'train'")})
+    SELECT vec_id, greatest(0, least(450.0, {LINE2})) AS pred FROM vec, g""", "pred", 5)
+def j2c(spark, sf):
+    df = vectors(spark, sf)
+    return rg.fit_ridge(df, ["f0", "f1"], "wear", F.col("split") == "train").transform(df).select("vec_id", "pred")
+
+
 @query("J2_ridge_all_features")
 def j2b(spark, sf):
     df = vectors(spark, sf)
@@ -249,6 +262,13 @@ def j6r(spark, sf):
     return rg.leave_group_out(vectors(spark, sf), "set_id", ["f0"], "wear")[1].select("set_id", "overall", "n")
 
 
+@query("J6_leave_one_out_ridge_2", f"""WITH {VEC}, g AS (SELECT v.set_id, k.* FROM (SELECT DISTINCT set_id FROM vec) v,
+        LATERAL ({RIDGE2.format(src='vec r WHERE r.set_id <> v.set_id')}) k)
+    SELECT vec.set_id, avg(abs(wear - greatest(0, least(450.0, {LINE2})))) AS overall, count(*) AS n FROM vec JOIN g USING (set_id) GROUP BY vec.set_id""", "overall")
+def j6r2(spark, sf):
+    return rg.leave_group_out(vectors(spark, sf), "set_id", ["f0", "f1"], "wear")[1].select("set_id", "overall", "n")
+
+
 @query("J6_D25_pooled_ridge_1", f"""{FOLD} SELECT avg(abs(wear - greatest(0, least(450.0, my + b * (f0 - mx))))) AS overall, count(*) AS n
     FROM vec JOIN fold USING (set_id)""", "overall")
 def j6p(spark, sf):

@@ -324,9 +324,13 @@ def d24(spark, sf):
     SELECT material, param, count(DISTINCT v) AS n_distinct, min(v) AS lo, max(v) AS hi, count(DISTINCT v) < 2 AS is_constant
     FROM u GROUP BY material, param""", "lo hi")
 def d26(spark, sf):
-    from condmon.operators.profile import identifiability
-    d = identifiability(s.params(spark, sf), ["material"], ["Vc", "fz", "Ap"])
-    return d.select("material", "param", "n_distinct", F.element_at("values", 1).alias("lo"), F.element_at("values", -1).alias("hi"), "is_constant")
+    return pf.identifiability(s.params(spark, sf), ["material"], ["Vc", "fz", "Ap"])
+
+
+@query("D26_distinct_params", f"""WITH {PARAM} SELECT DISTINCT material, 'Vc' AS param, Vc AS value FROM params WHERE Vc IS NOT NULL
+    UNION SELECT DISTINCT material, 'fz', fz FROM params""", "value")
+def d26b(spark, sf):
+    return pf.distinct_params(s.params(spark, sf), ["material"], ["Vc", "fz"])
 
 
 @query("D27_improvement", f"""WITH {PRED}, e AS (SELECT epoch, avg(abs(target - pred)) / 3 AS mae, avg(abs(target - 200)) AS base FROM preds GROUP BY epoch)
@@ -411,6 +415,12 @@ def e8(spark, sf):
     return pf.sample_per_group(s.samples(spark, sf), "set_id", 4, 42, "rowno").select("set_id", "rowno")
 
 
+@query("E8_sample_counts", f"WITH {SAMP} SELECT set_id, least(count(*), 4) AS n FROM samp GROUP BY set_id")
+def e8b(spark, sf):
+    picked = pf.sample_per_group(s.samples(spark, sf), "set_id", 4, 42, "rowno").distinct()
+    return picked.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("E9_baseline_z", f"""WITH {REC}, b AS (SELECT recording_id, avg(acc) AS mu, stddev_pop(acc) AS sd FROM recs WHERE pos < 10 GROUP BY recording_id)
     SELECT recording_id, pos, (acc - mu) / (sd + 1e-9) AS z FROM recs JOIN b USING (recording_id)""", "z")
 def e9(spark, sf):

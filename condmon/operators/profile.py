@@ -162,13 +162,20 @@ def column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*[F.coalesce(F.avg(F.when(~F.isnan(c), F.col(c))), F.lit(0.0)).alias(c) for c in cols])
 
 
-def identifiability(params: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Distinct values of each parameter per group, with a flag for constant ones."""
+def distinct_params(params: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """(by, param, value) for every value a parameter takes in a group."""
     pairs = params.select(*by, F.inline(F.array(
-        *[F.struct(F.lit(c).alias("param"), F.col(c).cast("double").alias("v")) for c in cols])))
-    distinct = pairs.filter(F.col("v").isNotNull()).distinct()
-    return distinct.groupBy(*by, "param").agg(
-        F.count(F.lit(1)).alias("n_distinct"), F.sort_array(F.collect_list("v")).alias("values"),
+        *[F.struct(F.lit(c).alias("param"), F.col(c).cast("double").alias("value")) for c in cols])))
+    return pairs.filter(F.col("value").isNotNull()).distinct()
+
+
+def identifiability(params: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Number and range of distinct values per parameter and group, with a flag for constant ones.
+
+    `distinct_params` lists the values themselves, one per row.
+    """
+    return distinct_params(params, by, cols).groupBy(*by, "param").agg(
+        F.count(F.lit(1)).alias("n_distinct"), F.min("value").alias("lo"), F.max("value").alias("hi"),
         (F.count(F.lit(1)) < 2).alias("is_constant"))
 
 

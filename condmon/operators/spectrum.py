@@ -8,7 +8,7 @@ short transforms), each of about sqrt(n) values.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ REC = "recording_id"
 FLAT = 1e-12
 
 
-def _bin_width(n: int, fs: float) -> float:
+def _bin_width(n, fs: float):
     return 1.0 / (n * (1.0 / fs))
 
 
@@ -49,25 +49,49 @@ def spectrum_wide(recordings: DataFrame, fs: float = FS, channels: Sequence[str]
 
 
 def _small_spectra(rows: DataFrame, fs: float, channels: list[str], share: bool) -> DataFrame:
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        x = pdf[channels].to_numpy(dtype=float)
-        n = len(x)
-        power = np.abs(np.fft.rfft(x - x.mean(axis=0), axis=0)) ** 2
-        if share:
-            total = power.sum(axis=0)
-            power = np.where(total > FLAT, power / np.where(total > FLAT, total, 1.0), 0.0)
-        bins = np.arange(len(power))
-        out = pd.DataFrame(power, columns=channels)
+    """Recordings that fit a task, several per batch: rows arrive sorted, the last recording of a
+    batch waits for the next one."""
+    def spectra(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        signal = pdf[channels].to_numpy(dtype=float)
+        bounds = np.concatenate(([0], cuts, [len(pdf)]))
+        parts, sizes = [], np.diff(bounds)
+        for a, b in zip(bounds, bounds[1:]):
+            x = signal[a:b]
+            power = np.abs(np.fft.rfft(x - x.mean(axis=0), axis=0)) ** 2
+            if share:
+                total = power.sum(axis=0)
+                power = np.where(total > FLAT, power / np.where(total > FLAT, total, 1.0), 0.0)
+            parts.append(power)
+        lengths = sizes // 2 + 1
+        n = np.repeat(sizes, lengths)
+        bins = np.concatenate([np.arange(k) for k in lengths])
+        out = pd.DataFrame(np.concatenate(parts), columns=channels)
         out.insert(0, "freq", bins * _bin_width(n, fs))
         out.insert(0, "bin", bins)
         out.insert(0, "n", n)
-        out.insert(0, REC, pdf[REC].iloc[0])
+        out.insert(0, REC, np.repeat(pdf[REC].to_numpy()[bounds[:-1]], lengths))
         return out
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if held and len(pdf) and pdf[REC].iloc[0] == pdf[REC].iloc[-1] == held[-1][REC].iloc[-1]:
+                held.append(pdf)
+                continue
+            pdf = pd.concat([*held, pdf], ignore_index=True)
+            ids = pdf[REC].to_numpy()
+            cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            done = int(cuts[-1]) if len(cuts) else 0
+            if done:
+                yield spectra(pdf.iloc[:done], cuts[:-1])
+            held = [pdf.iloc[done:]]
+        rest = pd.concat(held, ignore_index=True) if held else None
+        if rest is not None and len(rest):
+            yield spectra(rest, np.array([], dtype=int))
+
     cells = ", ".join(f"`{c}` double" for c in channels)
     schema = f"{REC} {_id_type(rows)}, n bigint, bin bigint, freq double, {cells}"
-    return rows.groupBy(REC).applyInPandas(transform, schema)
+    return rows.repartition(REC).sortWithinPartitions(REC, "pos").mapInPandas(run, schema)
 
 
 def _chirp(j: np.ndarray, n: int) -> np.ndarray:

@@ -106,9 +106,9 @@ def _narrow(states: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf
 
 
-def theil_sen_large(rows: DataFrame, by: Sequence[str], limit: int, candidates: int = CANDIDATES) -> DataFrame:
+def theil_sen_large(rows: DataFrame, by: Sequence[str], limit: int, candidates: int | None = None) -> DataFrame:
     """(by, slope, intercept) for groups of any size; rows are (by, _x, _y)."""
-    by = list(by)
+    by, candidates = list(by), candidates or CANDIDATES
     ranked = stored(rank_in_group(rows, by, [F.col("_x"), F.col("_y")], "_pos", limit), "ranked")
     sizes = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     ties = ranked.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c")).groupBy(*by).agg(

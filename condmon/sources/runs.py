@@ -116,8 +116,9 @@ def read_history(spark: SparkSession, globs: str | Sequence[str]) -> DataFrame:
 
 def read_constants(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(materials, sets) rows of a constants payload."""
-    payload = spark.read.schema(CONSTANTS_SCHEMA).option("multiLine", True).json(path)
+    payload = (spark.read.schema(CONSTANTS_SCHEMA).option("multiLine", True)
+               .option("recursiveFileLookup", True).json(path))
     materials = payload.select("meta", F.explode("constants").alias("material", "c")).select(
-        "material", "c.*", "meta.failure_um")
+        "material", "c.*", "meta.failure_um").distinct()
     sets = payload.select("meta", F.explode("sets").alias("set_key", "r")).select("set_key", "r.*", "meta.failure_um")
     return materials, sets

@@ -17,17 +17,26 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
         raise ValueError(f"unknown format {fmt!r}")
 
 
-def constants_payload(materials: DataFrame, sets: DataFrame, meta: dict) -> DataFrame:
-    """One row (value) holding the constants file: maps keyed by material and by set.
+SETS_PER_FILE = 10_000
 
-    The payload is one JSON document by definition, so it is meant for the sets of one study;
-    write larger rate tables with `write_report(..., 'parquet')`.
+
+def constants_payload(materials: DataFrame, sets: DataFrame, meta: dict, per_file: int = SETS_PER_FILE) -> DataFrame:
+    """(shard, value): constants documents with maps keyed by material and by set.
+
+    Up to `per_file` sets give the usual single document. More sets are dealt over several documents of
+    about that size, each complete in itself, which the reader puts together again.
     """
-    spark = materials.sparkSession
+    shards = max(1, -(-sets.count() // per_file))
+
+    def entry(df: DataFrame, key: str):
+        return F.struct(F.col(key).cast("string"), F.struct(*df.columns)).alias("_e")
+
+    def as_map(name: str):
+        return F.map_from_entries(F.collect_list("_e")).alias(name)
 
-    def as_map(df: DataFrame, key: str, name: str) -> DataFrame:
-        rows = df.select(F.struct(F.col(key).cast("string"), F.struct(*df.columns)).alias("_e"))
-        return rows.agg(F.map_from_entries(F.collect_list("_e")).alias(name))
+    shard = F.pmod(F.xxhash64("set"), F.lit(shards)).alias("shard")
+    parts = sets.select(shard, entry(sets, "set")).groupBy("shard").agg(as_map("sets"))
+    every = materials.sparkSession.range(shards).select(F.col("id").alias("shard")).join(parts, "shard", "left")
 
     cells = {
         "form": F.lit(meta.get("form", "simple")),
@@ -37,15 +46,17 @@ def constants_payload(materials: DataFrame, sets: DataFrame, meta: dict) -> Data
     }
     cells |= {k: F.array(*[F.lit(int(x)) for x in meta.get(k, ())]).cast("array<int>")
               for k in ("train_sets", "excluded_sets", "caution_sets")}
-    return spark.range(1).select(F.to_json(F.struct(
+    constants = materials.select(entry(materials, "material")).agg(as_map("constants")).scalar()
+    return every.withColumn("_constants", constants).select("shard", F.to_json(F.struct(
         F.struct(*[v.alias(k) for k, v in cells.items()]).alias("meta"),
-        as_map(materials, "material", "constants").scalar().alias("constants"),
-        as_map(sets, "set", "sets").scalar().alias("sets"),
-    )).alias("value"))
+        F.col("_constants").alias("constants"), "sets")).alias("value"))
 
 
-def write_constants(materials: DataFrame, sets: DataFrame, meta: dict, path: str) -> None:
-    constants_payload(materials, sets, meta).write.mode("overwrite").text(path)
+def write_constants(materials: DataFrame, sets: DataFrame, meta: dict, path: str,
+                    per_file: int = SETS_PER_FILE) -> None:
+    """One JSON file per document. There are as many materials as there are alloys: a handful."""
+    docs = constants_payload(materials, sets, meta, per_file)
+    docs.repartition("shard").write.mode("overwrite").partitionBy("shard").text(path)
 
 
 def results_json(runs: DataFrame) -> DataFrame:

@@ -383,3 +383,7 @@ def test_constants_round_trip(spark, tmp_path):
     src.write_constants(mats, sets, {"failure_um": 300.0, "excluded_sets": [1]}, str(tmp_path / "k"))
     m, s = src.read_constants(spark, str(tmp_path / "k"))
     assert (one(m)["C"], one(m)["failure_um"], one(s)["set"], one(s)["Vc"]) == (765.8101, 300.0, 2, 120.0)
+    many = spark.range(50).select(F.col("id").cast("int").alias("set"), F.lit("CK45").alias("material"), F.lit(1.0).alias("Vc"))
+    src.write_constants(mats, many, {"failure_um": 300.0}, str(tmp_path / "shards"), per_file=7)
+    m, s = src.read_constants(spark, str(tmp_path / "shards"))
+    assert m.count() == 1 and sorted(r["set"] for r in s.collect()) == list(range(50))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from condmon.operators import features as ft, profile as pf, sequence as sq, spectrum as sp
 from condmon.operators.samples import weighted_resample
 from condmon.operators.skew import exact_percentiles, rank_in_group, running
-from condmon.physics import lines
+from condmon.physics import large_lines, lines
 from condmon.physics.lines import inversions, theil_sen
 
 
@@ -95,6 +95,20 @@ def test_features_v2_when_split(spark):
     assert np.allclose(plain.to_numpy(float), split.to_numpy(float), rtol=1e-7, atol=1e-9)
 
 
+def test_gated_features_when_split(spark):
+    rng = np.random.default_rng(9)
+    n = 700
+    pdf = pd.DataFrame({"recording_id": [1] * n + [2] * 60, "pos": [*range(n), *range(60)]})
+    for c in ("acc", "acoustic", "Fx", "Fy", "Fz"):
+        pdf[c] = rng.normal(3, 2, len(pdf)) * np.where(pdf.pos.between(200, 500), 20, 1)
+    df = spark.createDataFrame(pdf)
+    wavelet = {"z": 4.0, "baseline": 50, "min_active": 20}
+    plain = ft.features_v3(df, **wavelet).toPandas().sort_values("recording_id")
+    split = ft.features_v3(df, limit=100, **wavelet).toPandas().sort_values("recording_id")
+    assert plain["keep_frac"].min() < 1
+    assert np.allclose(plain.to_numpy(float), split.to_numpy(float), rtol=1e-7, atol=1e-9)
+
+
 def test_inversions():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 7, 33, 100):
@@ -118,12 +132,13 @@ def test_slope_search_equals_pairs(monkeypatch):
         assert lines.line_of(x, y) == pytest.approx(slow_line(x, y), rel=1e-9, abs=1e-9)
 
 
-def test_theil_sen_when_split(spark):
+def test_theil_sen_when_split(spark, monkeypatch):
     rng = np.random.default_rng(11)
     n = 300
     pdf = pd.DataFrame({"g": [1] * n + [2] * 9 + [3], "x": np.append(rng.integers(0, 60, n + 9), 1).astype(float)})
     pdf["y"] = np.round(pdf["x"] * 0.7 + rng.normal(0, 5, len(pdf)), 3)
     df = spark.createDataFrame(pdf)
+    monkeypatch.setattr(large_lines, "CANDIDATES", 63)  # fewer passes
     got = {r["g"]: (r["slope"], r["intercept"]) for r in theil_sen(df, ["g"], "x", "y", limit=60).collect()}
     for g in (1, 2):
         part = pdf[pdf.g == g]

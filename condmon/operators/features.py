@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from condmon.constants import CHANNELS, FS, N_SEGMENTS
 from condmon.operators import wavelet as wv
 from condmon.operators.lookup import any_changed
-from condmon.operators.skew import FIND, HEAP_ROWS, exact_percentiles, oversized_groups
-from condmon.operators.spectrum import spectral_summary, spectrum_wide
+from condmon.operators.skew import FIND, HEAP_ROWS, oversized_groups
+from condmon.operators.spectrum import (
+    long_percentiles, long_recordings, recording_percentiles, spectral_summary, spectrum_wide,
+)
 from condmon.session import stored
 
 REC = "recording_id"
@@ -85,7 +87,8 @@ def features_v1(recordings: DataFrame, gate: bool = False, fs: float = FS, limit
     hot = oversized_groups(recordings, [REC], limit) if hot is FIND else hot
     if gate:
         rows = wv.gate(recordings, find_windows(recordings, **wavelet) if windows is None else windows)
-    spec = spectral_summary(spectrum_wide(rows, fs, share=True, limit=limit, hot=hot), CHANNELS, fs)
+    long = long_recordings(rows, limit, hot)
+    spec = spectral_summary(spectrum_wide(rows, fs, share=True, limit=limit, long=long), CHANNELS, fs)
     return time_features(rows).join(spec, REC).select(REC, *v1_names())
 
 
@@ -152,16 +155,20 @@ def channel_shape(recordings: DataFrame, channels: Sequence[str], limit: int = H
     beyond = recordings.select(REC, *channels).join(stats, REC).groupBy(REC).agg(*[
         F.avg((F.abs(F.col(c) - F.col(f"{c}_mean")) > 3.0 * (F.col(f"{c}_std") + 1e-12)).cast("double")
               ).alias(f"{c}_frac3sig") for c in channels])
-    return _spread(recordings, channels, limit).join(beyond, REC)
+    q = recording_percentiles(recordings, channels, SPREAD_PROBS, limit)
+    return q.select(REC, *[v.alias(n) for n, v in _spread(channels).items()]).join(beyond, REC)
 
 
-def _spread(rows: DataFrame, channels: Sequence[str], limit: int, hot: DataFrame | None = FIND) -> DataFrame:
-    q = exact_percentiles(rows, [REC], channels, (.05, .25, .75, .95), limit, hot)
-    cols = []
-    for c in channels:
-        a = F.col(f"{c}_q")
-        cols += [(a[2] - a[1]).alias(f"{c}_iqr"), (a[3] - a[0]).alias(f"{c}_p95mp05")]
-    return q.select(REC, *cols)
+SPREAD_PROBS = (.05, .25, .75, .95)
+
+
+def _spread(channels: Sequence[str]) -> dict[str, Column]:
+    """Spread columns from the percentile array `_q`."""
+    out = {}
+    for i, c in enumerate(channels):
+        p05, p25, p75, p95 = (F.col("_q")[4 * i + j] for j in range(4))
+        out |= {f"{c}_iqr": p75 - p25, f"{c}_p95mp05": p95 - p05}
+    return out
 
 
 def force_features(recordings: DataFrame, k: int = N_SEGMENTS) -> DataFrame:
@@ -181,11 +188,15 @@ def features_v2(recordings: DataFrame, fs: float = FS, k: int = N_SEGMENTS, limi
     every = [*CHANNELS, "Fres"]
     stats = _basic(rows, every)
     trend = segment_trend(rows, stats, every, k, beyond=CHANNELS)
-    spread = _spread(rows, CHANNELS, limit, hot)
-    spec = spectral_summary(spectrum_wide(rows, fs, share=True, limit=limit, hot=hot), CHANNELS, fs)
+    long = long_recordings(rows, limit, hot)
+    shares = spectrum_wide(rows, fs, share=True, limit=limit, long=long, probs=SPREAD_PROBS)
+    spec = spectral_summary(shares, CHANNELS, fs, extra=[F.first("_q", ignorenulls=True).alias("_q")])
+    if long is not None:
+        ranked = long_percentiles(rows, CHANNELS, SPREAD_PROBS, long, limit).withColumnRenamed("_q", "_ranked")
+        spec = spec.join(ranked, REC, "left").withColumn("_q", F.coalesce("_q", "_ranked"))
     cv = {f"{c}_cv": F.col(f"{c}_std") / (F.abs(f"{c}_mean") + 1e-6) for c in FORCES}
-    joined = stats.join(trend, REC).join(spread, REC).join(spec, REC)
-    return joined.withColumns(cv).select(REC, *v2_names())
+    joined = stats.join(trend, REC).join(spec, REC)
+    return joined.withColumns(cv | _spread(CHANNELS)).select(REC, *v2_names())
 
 
 def features_v3(recordings: DataFrame, fs: float = FS, k: int = N_SEGMENTS, limit: int = HEAP_ROWS,

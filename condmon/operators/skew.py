@@ -18,9 +18,7 @@ from condmon.session import stored
 SORT_ROWS = 1 << 22   # rows of one group a task may sort (spills to disk)
 HEAP_ROWS = 1 << 18   # rows of one group a task may hold in memory
 FIND = ...            # "look for big groups yourself"; callers that know them pass them on
-MAX_BUCKETS = 4096
-SAMPLES_PER_BUCKET = 16
-FAN = 64              # step of the coarse level in the two-level bucket search
+MAX_BUCKETS = 16384   # tasks the rows of all big groups are cut into at most
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -44,37 +42,27 @@ def oversized_groups(df: DataFrame, by: Sequence[str], limit: int) -> DataFrame
     return stored(hot, "hot-groups")
 
 
-def split_by_order(df: DataFrame, by: Sequence[str], order: Sequence[Column], hot: DataFrame,
-                   limit: int) -> DataFrame:
-    """Add `_bucket`: rows of a hot group are cut along the order, all other rows are in bucket 0.
+def split_by_order(df: DataFrame, by: Sequence[str], order: Sequence[Column], hot: DataFrame, limit: int,
+                   most: int = MAX_BUCKETS) -> DataFrame:
+    """Add `_bucket`: rows of hot groups are cut along the order, all other rows are in bucket 0.
 
-    Cut points come from a hash sample, so they are the same on every evaluation. `order`
-    must be a full tiebreak: equal keys stay together.
+    Hot rows are range-partitioned by (group, order) and stored, so that a row keeps its bucket
+    on every later read. Bucket numbers rise with the order inside a group. `order` must be a full tiebreak.
     """
-    keys = [c.alias(f"o{i}") for i, c in enumerate(order)]
-    keyed = df.withColumn("_key", F.struct(*keys))
-    picked = (join_null_safe(keyed.select(*by, "_key"), hot, by, "inner") if by
-              else keyed.select("_key").withColumn("_n", hot.select("_n").scalar()))
-    span = 1 << 40
-    buckets = F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("_n") / limit))
-    rate = buckets * SAMPLES_PER_BUCKET / F.col("_n")
-    drawn = picked.filter(F.pmod(F.xxhash64(*by, "_key"), F.lit(span)) < rate * span)
-    cuts = (
-        drawn.groupBy(*by)
-        .agg(F.sort_array(F.collect_list("_key")).alias("_s"))
-        .select(*by, F.filter("_s", lambda x, i: (i + 1) % SAMPLES_PER_BUCKET == 0).alias("_fine"))
-        .withColumn("_coarse", F.filter("_fine", lambda x, i: (i + 1) % FAN == 0))
-    )
+    rows = int(hot.agg(F.sum("_n").alias("n")).first()["n"] or 0)
+    parts = max(2, min(most, -(-rows // limit)))
     if by:
-        with_cuts = join_null_safe(keyed, cuts, by, "left")
+        keys = hot.select(*by).withColumn("_hot", F.lit(True))
+        flagged = join_null_safe(df, keys, by, "left")
+        big = flagged.filter(F.col("_hot")).drop("_hot")
     else:
-        with_cuts = keyed.select("*", cuts.select("_fine").scalar().alias("_fine"),
-                                 cuts.select("_coarse").scalar().alias("_coarse"))
-    below = with_cuts.withColumn(
-        "_skip", F.size(F.filter("_coarse", lambda c: c <= F.col("_key"))) * FAN)
-    rest = F.size(F.filter(F.slice("_fine", F.col("_skip") + 1, FAN), lambda c: c <= F.col("_key")))
-    bucket = F.when(F.col("_fine").isNull(), 0).otherwise(F.col("_skip") + rest)
-    return below.withColumn("_bucket", bucket).drop("_key", "_fine", "_coarse", "_skip")
+        big = df
+    ranged = big.repartitionByRange(parts, *by, *order).withColumn("_bucket", F.spark_partition_id())
+    ranged = stored(ranged, "buckets")
+    if not by:
+        return ranged
+    rest = flagged.filter(F.col("_hot").isNull()).drop("_hot")
+    return rest.withColumn("_bucket", F.lit(0)).unionByName(ranged)
 
 
 def _carry(bucketed: DataFrame, by: Sequence[str], totals: dict[str, Column],
@@ -146,22 +134,23 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], pro
         rest = builtin(flagged.filter(F.col("_hot").isNull()).drop("_hot"))
         big = flagged.filter(F.col("_hot")).drop("_hot")
     else:
-        rest, big = None, small
-    out = hot.select(*by) if by else None
-    for c in cols:
-        part = _percentiles_by_rank(big, by, c, probs, limit)
-        out = part if out is None else (
-            join_null_safe(out, part, by, "left") if by
-            else out.withColumn(f"{c}_q", part.select(f"{c}_q").scalar()))
-    return out if rest is None else rest.unionByName(out)
+        big = small
+    ranked = _percentiles_by_rank(big, by, cols, probs, limit)
+    if not by:
+        return ranked
+    out = join_null_safe(hot.select(*by), ranked, by, "left")
+    return rest.unionByName(out)
 
 
-def _percentiles_by_rank(df: DataFrame, by: list[str], c: str, probs: list[float],
+def _percentiles_by_rank(df: DataFrame, by: list[str], cols: list[str], probs: list[float],
                          limit: int) -> DataFrame:
     """Order statistics of big groups: combine equal values, cut the value axis, rank only the
-    buckets that hold a wanted rank."""
-    counts = (df.filter(F.col(c).isNotNull()).groupBy(*by, F.col(c).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_w")))
+    buckets that hold a wanted rank. All columns go through one pass, keyed by their name."""
+    group_by, by = by, [*by, "_c"]
+    tall = df.select(*group_by, F.inline(F.array(
+        *[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols])))
+    counts = stored(tall.filter(F.col("_v").isNotNull()).groupBy(*by, "_v")
+                    .agg(F.count(F.lit(1)).alias("_w")), "value-counts")
     distinct = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     bucketed = split_by_order(counts, by, [F.col("_v")], distinct, limit)
     group = Window.partitionBy(*by)
@@ -196,7 +185,9 @@ def _percentiles_by_rank(df: DataFrame, by: list[str], c: str, probs: list[float
         high = F.col("_at")[F.ceil(h).cast("long")]
         return low + (high - low) * (h - F.floor(h))
 
-    return values.select(*by, F.array(*[interpolated(p) for p in probs]).alias(f"{c}_q"))
+    arrays = values.select(*by, F.array(*[interpolated(p) for p in probs]).alias("_q"))
+    return arrays.groupBy(*group_by).agg(*[
+        F.first(F.when(F.col("_c") == c, F.col("_q")), ignorenulls=True).alias(f"{c}_q") for c in cols])
 
 
 def first_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "_rn") -> DataFrame:

@@ -12,10 +12,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from condmon.constants import CHANNELS, FS
-from condmon.operators.skew import FIND, HEAP_ROWS, oversized_groups
+from condmon.operators.skew import FIND, HEAP_ROWS, exact_percentiles, oversized_groups
 from condmon.session import stored
 
 REC = "recording_id"
@@ -30,70 +30,119 @@ def _id_type(recordings: DataFrame) -> str:
     return recordings.schema[REC].dataType.simpleString()
 
 
+def long_recordings(recordings: DataFrame, limit: int = HEAP_ROWS, hot: DataFrame | None = FIND) -> DataFrame | None:
+    """(recording_id, _n) of recordings too long for one task, or None.
+
+    `hot` may name the long recordings of a frame this one was cut from, which saves a scan
+    in the usual case that there are none.
+    """
+    if hot is FIND:
+        return oversized_groups(recordings, [REC], max(limit, 4))
+    if hot is None:
+        return None
+    sizes = recordings.join(hot.select(REC), REC, "left_semi").groupBy(REC).agg(F.count(F.lit(1)).alias("_n"))
+    return stored(sizes.filter(F.col("_n") > max(limit, 4)), "long-recordings")
+
+
 def spectrum_wide(recordings: DataFrame, fs: float = FS, channels: Sequence[str] = CHANNELS,
-                  share: bool = False, limit: int = HEAP_ROWS, hot: DataFrame | None = FIND) -> DataFrame:
+                  share: bool = False, limit: int = HEAP_ROWS, long: DataFrame | None = FIND,
+                  probs: Sequence[float] = ()) -> DataFrame:
     """(recording_id, n, bin, freq, one column per channel) for bins 0..n div 2.
 
     Columns hold one-sided, undoubled power of the mean-removed signal; with `share`, power over
-    its total (0 for a flat channel). `hot` may name the big recordings if they are known already.
+    its total (0 for a flat channel). With `probs`, bin 0 also carries the exact percentiles of
+    all channels in `_q`, since the pass has the rows at hand anyway (NULL for long recordings).
     """
     channels = list(channels)
     rows = recordings.select(REC, F.col("pos").cast("long").alias("pos"), *channels)
-    hot = oversized_groups(rows, [REC], limit) if hot is FIND else hot
-    if hot is None:
-        return _small_spectra(rows, fs, channels, share)
-    sizes = rows.join(hot.select(REC), REC, "left_semi").groupBy(REC).agg(F.count(F.lit(1)).alias("_n"))
-    long = stored(sizes.filter(F.col("_n") > max(limit, 4)), "long-recordings")
-    small = _small_spectra(rows.join(long, REC, "left_anti"), fs, channels, share)
-    return small.unionByName(_long_spectra(rows.join(long, REC), fs, channels, share))
-
-
-def _small_spectra(rows: DataFrame, fs: float, channels: list[str], share: bool) -> DataFrame:
-    """Recordings that fit a task, several per batch: rows arrive sorted, the last recording of a
-    batch waits for the next one."""
-    def spectra(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
-        signal = pdf[channels].to_numpy(dtype=float)
-        bounds = np.concatenate(([0], cuts, [len(pdf)]))
-        parts, sizes = [], np.diff(bounds)
-        for a, b in zip(bounds, bounds[1:]):
-            x = signal[a:b]
-            power = np.abs(np.fft.rfft(x - x.mean(axis=0), axis=0)) ** 2
-            if share:
-                total = power.sum(axis=0)
-                power = np.where(total > FLAT, power / np.where(total > FLAT, total, 1.0), 0.0)
-            parts.append(power)
-        lengths = sizes // 2 + 1
-        n = np.repeat(sizes, lengths)
-        bins = np.concatenate([np.arange(k) for k in lengths])
-        out = pd.DataFrame(np.concatenate(parts), columns=channels)
-        out.insert(0, "freq", bins * _bin_width(n, fs))
-        out.insert(0, "bin", bins)
-        out.insert(0, "n", n)
-        out.insert(0, REC, np.repeat(pdf[REC].to_numpy()[bounds[:-1]], lengths))
-        return out
+    long = long_recordings(rows, limit) if long is FIND else long
+    if long is None:
+        return _small_spectra(rows, fs, channels, share, probs)
+    small = _small_spectra(rows.join(long, REC, "left_anti"), fs, channels, share, probs)
+    return small.unionByName(_long_spectra(rows.join(long, REC), fs, channels, share), allowMissingColumns=True)
+
+
+def _whole_recordings(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Regroup sorted batches so that no recording is cut: (rows, bounds of its recordings)."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if held and len(pdf) and pdf[REC].iloc[0] == pdf[REC].iloc[-1] == held[-1][REC].iloc[-1]:
+            held.append(pdf)
+            continue
+        pdf = pd.concat([*held, pdf], ignore_index=True)
+        ids = pdf[REC].to_numpy()
+        cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+        done = int(cuts[-1]) if len(cuts) else 0
+        if done:
+            yield pdf.iloc[:done], np.concatenate(([0], cuts))
+        held = [pdf.iloc[done:]]
+    rest = pd.concat(held, ignore_index=True) if held else None
+    if rest is not None and len(rest):
+        yield rest, np.array([0, len(rest)])
+
+
+def _small_spectra(rows: DataFrame, fs: float, channels: list[str], share: bool,
+                   probs: Sequence[float] = ()) -> DataFrame:
+    """Recordings that fit a task, many per batch."""
+    ranks = [100.0 * p for p in probs]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            if held and len(pdf) and pdf[REC].iloc[0] == pdf[REC].iloc[-1] == held[-1][REC].iloc[-1]:
-                held.append(pdf)
-                continue
-            pdf = pd.concat([*held, pdf], ignore_index=True)
-            ids = pdf[REC].to_numpy()
-            cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-            done = int(cuts[-1]) if len(cuts) else 0
-            if done:
-                yield spectra(pdf.iloc[:done], cuts[:-1])
-            held = [pdf.iloc[done:]]
-        rest = pd.concat(held, ignore_index=True) if held else None
-        if rest is not None and len(rest):
-            yield spectra(rest, np.array([], dtype=int))
-
-    cells = ", ".join(f"`{c}` double" for c in channels)
+        for pdf, bounds in _whole_recordings(batches):
+            signal = pdf[channels].to_numpy(dtype=float)
+            parts, marks = [], []
+            for a, b in zip(bounds, bounds[1:]):
+                x = signal[a:b]
+                power = np.abs(np.fft.rfft(x - x.mean(axis=0), axis=0)) ** 2
+                if share:
+                    total = power.sum(axis=0)
+                    power = np.where(total > FLAT, power / np.where(total > FLAT, total, 1.0), 0.0)
+                parts.append(power)
+                if ranks:
+                    marks += [np.percentile(x, ranks, axis=0).T.ravel()] + [None] * (len(power) - 1)
+            sizes = np.diff(bounds)
+            lengths = sizes // 2 + 1
+            n = np.repeat(sizes, lengths)
+            bins = np.concatenate([np.arange(k) for k in lengths])
+            out = pd.DataFrame(np.concatenate(parts), columns=channels)
+            out.insert(0, "freq", bins * _bin_width(n, fs))
+            out.insert(0, "bin", bins)
+            out.insert(0, "n", n)
+            out.insert(0, REC, np.repeat(pdf[REC].to_numpy()[bounds[:-1]], lengths))
+            if ranks:
+                out["_q"] = marks
+            yield out
+
+    cells = ", ".join(f"`{c}` double" for c in channels) + (", _q array<double>" if ranks else "")
     schema = f"{REC} {_id_type(rows)}, n bigint, bin bigint, freq double, {cells}"
     return rows.repartition(REC).sortWithinPartitions(REC, "pos").mapInPandas(run, schema)
 
 
+def recording_percentiles(recordings: DataFrame, channels: Sequence[str], probs: Sequence[float],
+                          limit: int = HEAP_ROWS, long: DataFrame | None = FIND) -> DataFrame:
+    """(recording_id, _q): exact percentiles of all channels in one array, channel by channel."""
+    channels, ranks = list(channels), [100.0 * p for p in probs]
+    rows = recordings.select(REC, *channels)
+    long = long_recordings(rows, limit) if long is FIND else long
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, bounds in _whole_recordings(batches):
+            x = pdf[channels].to_numpy(dtype=float)
+            yield pd.DataFrame({
+                REC: pdf[REC].to_numpy()[bounds[:-1]],
+                "_q": [np.percentile(x[a:b], ranks, axis=0).T.ravel() for a, b in zip(bounds, bounds[1:])]})
+
+    small = rows if long is None else rows.join(long, REC, "left_anti")
+    out = small.repartition(REC).sortWithinPartitions(REC).mapInPandas(run, f"{REC} {_id_type(rows)}, _q array<double>")
+    return out if long is None else out.unionByName(long_percentiles(rows, channels, probs, long, limit))
+
+
+def long_percentiles(rows: DataFrame, channels: Sequence[str], probs: Sequence[float], long: DataFrame,
+                     limit: int = HEAP_ROWS) -> DataFrame:
+    """The same for long recordings, by rank."""
+    q = exact_percentiles(rows.join(long, REC, "left_semi"), [REC], channels, probs, limit, hot=long)
+    return q.select(REC, F.flatten(F.array(*[f"{c}_q" for c in channels])).alias("_q"))
+
+
 def _chirp(j: np.ndarray, n: int) -> np.ndarray:
     """exp(i*pi*j^2/n); the square is reduced before the angle is formed to keep precision."""
     j = np.abs(j.astype(np.int64)) % (2 * n)
@@ -194,7 +243,7 @@ def spectrum(recordings: DataFrame, fs: float = FS, channels: Sequence[str] = CH
 
 
 def spectral_summary(shares: DataFrame, channels: Sequence[str], fs: float = FS, low: float = 200.0,
-                     mid: float = 800.0, min_rows: int = 4) -> DataFrame:
+                     mid: float = 800.0, min_rows: int = 4, extra: Sequence[Column] = ()) -> DataFrame:
     """Descriptors per recording from a spectrum of shares. All are partial aggregates over bins.
 
     Dominant frequency and the two absolute bands hold for any length; Nyquist thirds, entropy
@@ -218,4 +267,4 @@ def spectral_summary(shares: DataFrame, channels: Sequence[str], fs: float = FS,
             F.sum(F.when(q > FLAT, -q * F.ln(q)).otherwise(0.0)).alias(f"{c}_spec_entropy"),
             F.sum(f * q).alias(f"{c}_spec_centroid_hz"),
         ]
-    return shares.groupBy(REC).agg(*aggs)
+    return shares.groupBy(REC).agg(*aggs, *extra)

@@ -15,11 +15,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from condmon.operators.skew import MAX_BUCKETS, exact_percentiles, join_null_safe, rank_in_group, split_by_order
+from condmon.operators.skew import exact_percentiles, join_null_safe, rank_in_group, split_by_order
 from condmon.physics.lines import _float_key, _float_of, inversions
 from condmon.session import stored
 
 CANDIDATES = 7
+MOST = 4096  # blocks along x, and buckets along the residual
 STEEPEST = 1e100
 BIG = "decimal(38,0)"
 
@@ -32,7 +33,7 @@ def not_steeper(rows: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
     """(by, _b, cnt) for rows (by, _b, _n, _pos, _x, _y): pairs with x_i < x_j and slope <= b."""
     keys = [*by, "_b"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
-    width = F.greatest(F.lit(limit), F.ceil(F.col("_n") / MAX_BUCKETS))
+    width = F.greatest(F.lit(limit), F.ceil(F.col("_n") / MOST))
     resid = rows.select(*keys, "_n", "_pos", "_x", (F.col("_y") - F.col("_b") * F.col("_x")).alias("_r"),
                         F.floor(F.col("_pos") / width).cast("long").alias("_block"))
 
@@ -51,9 +52,10 @@ def not_steeper(rows: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
         return head(pdf, inversions(pdf["_r"].to_numpy()) - int((same * (same - 1) // 2).sum()))
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        # at most MAX_BUCKETS + 1 buckets and MAX_BUCKETS + 1 blocks
-        grid = np.zeros((int(pdf["_bucket"].max()) + 1, int(pdf["_block"].max()) + 1), dtype=np.int64)
-        grid[pdf["_bucket"].to_numpy(), pdf["_block"].to_numpy()] = pdf["c"].to_numpy()
+        # at most MOST buckets and MOST + 1 blocks
+        bucket = (pdf["_bucket"] - pdf["_bucket"].min()).to_numpy()
+        grid = np.zeros((int(bucket.max()) + 1, int(pdf["_block"].max()) + 1), dtype=np.int64)
+        grid[bucket, pdf["_block"].to_numpy()] = pdf["c"].to_numpy()
         above = np.cumsum(grid[::-1], axis=0)[::-1]           # this bucket and higher ones
         above = np.vstack([above[1:], np.zeros((1, grid.shape[1]), dtype=np.int64)])
         before = np.hstack([np.zeros((len(grid), 1), dtype=np.int64), np.cumsum(above, axis=1)[:, :-1]])
@@ -62,7 +64,7 @@ def not_steeper(rows: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
     schema = f"{kinds}, v bigint"
     sizes = resid.groupBy(*keys).agg(F.first("_n").alias("_n"))
     # equal residuals: the later row first, so that a pair split over buckets still counts
-    cut = split_by_order(resid.drop("_n"), keys, [F.col("_r"), -F.col("_pos")], sizes, limit)
+    cut = split_by_order(resid.drop("_n"), keys, [F.col("_r"), -F.col("_pos")], sizes, limit, MOST)
     parts = resid.groupBy(*keys, "_block").applyInPandas(in_block, schema)
     parts = parts.unionByName(cut.groupBy(*keys, "_bucket").applyInPandas(in_bucket, schema))
     cells = cut.groupBy(*keys, "_bucket", "_block").agg(F.count(F.lit(1)).alias("c"))

@@ -193,9 +193,9 @@ def leave_group_out(df: DataFrame, group: str, cols: Sequence[str], label: str,
         scored = rows.join(folds, group)
     elif method == "ridge":
         folds = fold_coefficients(rows, group, cols, label, alpha)
-        terms = [F.col("coef")[i] * F.coalesce(F.when(~F.isnan(c), F.col(c)).cast("double"), F.col("fill")[i])
+        terms = [f"coef[{i}] * coalesce(CASE WHEN NOT isnan(`{c}`) THEN CAST(`{c}` AS DOUBLE) END, fill[{i}])"
                  for i, c in enumerate(cols)]
-        scored = rows.join(folds, group).withColumn("_p", sum(terms, F.col("icpt"))).drop("icpt", "coef", "fill")
+        scored = rows.join(folds, group).withColumn("_p", F.expr(" + ".join(["icpt", *terms]))).drop("icpt", "coef", "fill")
     else:
         raise ValueError(f"unknown method {method!r}")
     preds = scored.withColumn("pred", clipped("_p", clip)).drop("_p").filter(F.col("pred").isNotNull())
@@ -219,7 +219,7 @@ def leave_group_out_boosted(df: DataFrame, group: str, cols: Sequence[str], labe
 def array_columns(df: DataFrame, vec: str, size: int, prefix: str = "f") -> tuple[DataFrame, list[str]]:
     """Array column to named double columns."""
     names = [f"{prefix}{i}" for i in range(size)]
-    return df.select("*", *[F.col(vec)[i].cast("double").alias(n) for i, n in enumerate(names)]), names
+    return df.selectExpr("*", *[f"CAST(`{vec}`[{i}] AS DOUBLE) AS `{n}`" for i, n in enumerate(names)]), names
 
 
 def ml_vector_columns(df: DataFrame, vec: str, size: int, prefix: str = "f") -> tuple[DataFrame, list[str]]:

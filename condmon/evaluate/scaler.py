@@ -17,17 +17,14 @@ class Scaler:
     @classmethod
     def fit(cls, df: DataFrame, cols: Sequence[str], tiny: float = 1e-8, imputed: bool = False) -> Scaler:
         """With `imputed`, the std is that of the column after its gaps take the mean."""
-        def clean(c):
-            return F.when(~F.isnan(c), F.col(c))
-
-        def fill(c):
-            return F.sqrt(F.count(clean(c)) / F.count(F.lit(1)))
-
-        wide = df.agg(*[
-            F.struct(F.lit(c).alias("feature"), F.coalesce(F.avg(clean(c)), F.lit(0.0)).alias("mean"),
-                     (F.coalesce(F.stddev_pop(clean(c)), F.lit(0.0)) * (fill(c) if imputed else F.lit(1.0))
-                      ).alias("std")).alias(f"_s{i}")
-            for i, c in enumerate(cols)])
+        def cell(c):
+            v = f"CASE WHEN NOT isnan(`{c}`) THEN `{c}` END"
+            scale = f" * sqrt(count({v}) / count(1))" if imputed else ""
+            return (f"named_struct('feature', '{c}', 'mean', coalesce(avg({v}), 0D), "
+                    f"'std', coalesce(stddev_pop({v}), 0D){scale})")
+
+        # SQL text: one call per column, which matters for hundreds of them
+        wide = df.agg(*[F.expr(cell(c)).alias(f"_s{i}") for i, c in enumerate(cols)])
         rows = wide.select(F.inline(F.array(*[f"_s{i}" for i in range(len(cols))])))
         return cls(rows.withColumn("std", F.when(F.col("std") < tiny, 1.0).otherwise(F.col("std"))))
 
@@ -38,8 +35,8 @@ class Scaler:
         """Standardised columns; with `impute`, missing values take the training mean (0 after scaling)."""
         out = {}
         for c, (mean, std) in self.values().items():
-            z = (F.when(~F.isnan(c), F.col(c)) - F.lit(mean)) / F.lit(std)
-            out[c] = F.coalesce(z, F.lit(0.0)) if impute else z
+            z = f"(CASE WHEN NOT isnan(`{c}`) THEN `{c}` END - {mean!r}D) / {std!r}D"
+            out[c] = F.expr(f"coalesce({z}, 0D)" if impute else z)
         return df.withColumns(out)
 
     def save(self, path: str) -> None:

@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from condmon.operators.skew import FIND, HEAP_ROWS, exact_percentiles, join_null_safe, oversized_groups
+from condmon.operators.sequence import mid_life
+from condmon.operators.skew import FIND, exact_percentiles, join_null_safe, oversized_groups
 
 PAIR_ROWS = 256      # up to here the slopes of one group are formed directly
 TASK_ROWS = 1 << 15  # up to here one task searches the median slope of a group
@@ -125,10 +126,72 @@ def _theil_sen_small(rows: DataFrame, by: list[str]) -> DataFrame:
     return lists.withColumn("_line", fit("_xs", "_ys")).select(*by, "_line.*")
 
 
-def anchored_intercept(df: DataFrame, by: str, t: str, w: str, slopes: DataFrame, slope: str,
-                       name: str = "intercept", hot: DataFrame | None = FIND) -> DataFrame:
-    """Median residual per group with the slope given per group."""
-    resid = df.join(slopes.select(by, slope), by).filter(F.col(slope).isNotNull()).select(
-        by, (F.col(w) - F.col(slope) * F.col(t)).alias("_r"))
-    q = exact_percentiles(resid, [by], ["_r"], [.5], HEAP_ROWS, hot)
-    return q.select(by, F.col("_r_q")[0].alias(name))
+def inside_window(t: np.ndarray, lo: float, hi: float, min_rows: int) -> tuple[np.ndarray, int]:
+    """Mask of the mid-life rows and their number; all rows if there are fewer than min_rows."""
+    mask = (t >= lo * t.max()) & (t <= hi * t.max())
+    n = int(mask.sum())
+    return (mask if n >= min_rows else np.ones(len(t), dtype=bool)), n
+
+
+def _lists(rows: DataFrame, by: Sequence[str], t: str, w: str, *more) -> DataFrame:
+    """Both columns of each (bounded) group as aligned arrays; rows must be complete."""
+    return rows.groupBy(*by).agg(
+        F.collect_list(F.col(t).cast("double")).alias("_ts"), F.collect_list(F.col(w).cast("double")).alias("_ws"), *more)
+
+
+def mid_life_lines(rows: DataFrame, by: str, t: str, w: str, window: tuple[float, float], min_rows: int,
+                   hot: DataFrame | None) -> DataFrame:
+    """(by, _n, max_image_id, max_wear_um, n_window, slope, intercept) of the mid-life rows of each set.
+
+    Sets that fit a task need one shuffle of the rows: statistics, window and line come from the
+    same group. The sets in `hot` go the long way round.
+    """
+    lo, hi = window
+
+    @F.pandas_udf("n_window bigint, slope double, intercept double")
+    def fit(ts: pd.Series, ws: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(ts, ws):
+            a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
+            mask, n = inside_window(a, lo, hi, min_rows)
+            out.append((n, *line_of(a[mask], b[mask])))
+        return pd.DataFrame(out, columns=["n_window", "slope", "intercept"])
+
+    stats = [F.count(F.lit(1)).alias("_n"), F.max(F.col(t).cast("double")).alias("max_image_id"),
+             F.max(w).alias("max_wear_um")]
+    names = [by, "_n", "max_image_id", "max_wear_um"]
+    small = rows if hot is None else rows.join(hot.select(by), by, "left_anti")
+    out = _lists(small, [by], t, w, *stats).withColumn("_line", fit("_ts", "_ws")).select(*names, "_line.*")
+    if hot is None:
+        return out
+    big = rows.join(hot.select(by), by, "left_semi")
+    mid = mid_life(big, by, t, lo, hi, min_rows)
+    sizes = mid.groupBy(by).agg(F.first("n_window").alias("n_window"))
+    long = big.groupBy(by).agg(*stats).join(sizes, by).join(theil_sen(mid, [by], t, w, hot=hot), by)
+    return out.unionByName(long.select(*out.columns))
+
+
+def anchored_intercept(rows: DataFrame, by: str, t: str, w: str, slopes: DataFrame, slope: str,
+                       window: tuple[float, float], min_rows: int, name: str, hot: DataFrame | None) -> DataFrame:
+    """Median mid-life residual per set with the slope given per set."""
+    lo, hi = window
+
+    @F.pandas_udf("double")
+    def median(ts: pd.Series, ws: pd.Series, slope: pd.Series) -> pd.Series:
+        out = []
+        for a, b, k in zip(ts, ws, slope):
+            a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
+            mask, _ = inside_window(a, lo, hi, min_rows)
+            out.append(float(np.median(b[mask] - k * a[mask])))
+        return pd.Series(out, dtype=float)
+
+    given = slopes.select(by, F.col(slope).alias("_slope")).filter(F.col("_slope").isNotNull())
+    complete = rows.filter(F.col(t).isNotNull() & F.col(w).isNotNull())
+    small = complete if hot is None else complete.join(hot.select(by), by, "left_anti")
+    out = _lists(small, [by], t, w).join(given, by).select(by, median("_ts", "_ws", "_slope").alias(name))
+    if hot is None:
+        return out
+    mid = mid_life(complete.join(hot.select(by), by, "left_semi"), by, t, lo, hi, min_rows)
+    resid = mid.join(given, by).select(by, (F.col(w) - F.col("_slope") * F.col(t)).alias("_r"))
+    q = exact_percentiles(resid, [by], ["_r"], [.5], hot=hot)
+    return out.unionByName(q.select(by, F.col("_r_q")[0].alias(name)))

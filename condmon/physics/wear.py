@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from condmon.constants import (
     CAUTION_SETS, CK45, EXCLUDED_SETS, FAILURE_UM, LITERATURE_N, RVS, WINDOW,
 )
-from condmon.operators.sequence import life_at_threshold, mid_life
-from condmon.operators.skew import HEAP_ROWS, exact_percentiles, oversized_groups
-from condmon.physics.lines import TASK_ROWS, anchored_intercept, theil_sen
+from condmon.operators.sequence import life_at_threshold
+from condmon.operators.skew import exact_percentiles, oversized_groups
+from condmon.physics.lines import TASK_ROWS, anchored_intercept, mid_life_lines
+
+MIN_WINDOW = 3  # below this many mid-life rows the whole trajectory is fitted
 
 
 def prepare(df: DataFrame, train_sets: Sequence[int] | None = None,
@@ -29,22 +31,18 @@ def wear_rates(df: DataFrame, params: DataFrame, train_sets: Sequence[int] | Non
                failure_um: float = FAILURE_UM, by: str = "Set", t: str = "t", w: str = "wear",
                window: tuple[float, float] = WINDOW, min_rows: int = 4,
                excluded: Sequence[int] = EXCLUDED_SETS, caution: Sequence[int] = CAUTION_SETS,
-               with_life: bool = False) -> DataFrame:
+               with_life: bool = False, task_rows: int = TASK_ROWS) -> DataFrame:
     """One record per set: robust mid-life rate, window, share of the failure level, caution flag.
 
     `params` holds one row per set (material, Vc, fz, ..); sets without one are left out.
     """
     rows = prepare(df, train_sets, excluded, by, t, w).join(params.select(by), by, "left_semi")
     lo, hi = window
-    stats = rows.groupBy(by).agg(
-        F.count(F.lit(1)).alias("_n"), F.max(F.col(t).cast("double")).alias("max_image_id"),
-        F.max(w).alias("max_wear_um")).filter(F.col("_n") >= min_rows)
-    fitted = mid_life(rows.join(stats.select(by), by, "left_semi"), by, t, lo, hi)
-    # sizes of the whole sets bound those of their windows and only need one column of the input
-    lines = theil_sen(fitted, [by], t, w, hot=oversized_groups(df.select(by), [by], TASK_ROWS))
-    sizes = fitted.groupBy(by).agg(F.first("n_window").alias("n_window"))
+    # big sets are found in the raw input, where only one column is read
+    hot = oversized_groups(df.select(by), [by], task_rows)
+    lines = mid_life_lines(rows, by, t, w, window, MIN_WINDOW, hot).filter(F.col("_n") >= min_rows)
     out = (
-        stats.join(lines, by).join(sizes, by).join(params, by)
+        lines.join(params, by)
         .withColumns({
             "frac_of_failure": F.col("max_wear_um") / failure_um,
             "slope_raw_um_per_pass": F.col("slope"),
@@ -142,7 +140,7 @@ def _simple_constants(rates: DataFrame, failure_um: float, min_rate: float, by:
 
 def predict_life(rates: DataFrame, constants: DataFrame, form: str = "simple", failure_um: float = FAILURE_UM,
                  samples: DataFrame | None = None, by: str = "Set", t: str = "t", w: str = "wear",
-                 window: tuple[float, float] = WINDOW) -> DataFrame:
+                 window: tuple[float, float] = WINDOW, task_rows: int = TASK_ROWS) -> DataFrame:
     """Predicted life and rate per set; with samples, the intercept that fits this rate best."""
     cols = ["material", "n", "C"] + (["m"] if form != "simple" else [])
     joined = rates.join(constants.select(*cols), "material", "left")
@@ -157,9 +155,9 @@ def predict_life(rates: DataFrame, constants: DataFrame, form: str = "simple", f
         "taylor_slope_um_per_pass", failure_um / F.col("T_taylor")).drop("n", "C", "m")
     if samples is None:
         return out
-    rows = mid_life(samples.join(rates.select(by), by, "left_semi"), by, t, *window)
-    hot = oversized_groups(samples.select(by), [by], HEAP_ROWS)
-    icpt = anchored_intercept(rows, by, t, w, out, "taylor_slope_um_per_pass", "taylor_intercept_um", hot)
+    hot = oversized_groups(samples.select(by), [by], task_rows)
+    icpt = anchored_intercept(samples, by, t, w, out, "taylor_slope_um_per_pass", window, MIN_WINDOW,
+                              "taylor_intercept_um", hot)
     return out.join(icpt, by, "left")
 
 

@@ -244,6 +244,24 @@ def test_wear_rate_record(spark):
     assert r[7]["slope_clamped"] and r[7]["slope_um_per_pass"] == 0.0 and r[7]["slope_raw_um_per_pass"] == -1.0
 
 
+def test_wear_rates_of_big_sets(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"Set": [2] * 60 + [5] * 12 + [7] * 5, "t": [*range(60), *range(12), *range(5)]}).astype({"t": float})
+    pdf["wear"] = np.round(pdf.t * 1.3 + rng.normal(20, 4, len(pdf)), 2)
+    df = spark.createDataFrame(pdf)
+    params = spark.createDataFrame([(s, "CK45", 174.0) for s in (2, 5, 7)], "Set int, material string, Vc double")
+    consts = spark.createDataFrame([("CK45", 0.25, 700.0)], "material string, n double, C double")
+
+    def run(limit):
+        r = we.wear_rates(df, params, task_rows=limit)
+        return we.predict_life(r, consts, samples=df, task_rows=limit).orderBy("Set").toPandas()
+
+    plain, split = run(1 << 15), run(30)
+    assert list(plain.columns) == list(split.columns)
+    num = plain.select_dtypes("number").columns
+    assert np.allclose(plain[num], split[num], rtol=1e-9)
+
+
 def test_physics_score_rules(spark):
     sets = spark.createDataFrame([(2, "CK45", 1.0, 0.0, 100.0), (12, "RVS 304", 1.0, 0.0, 100.0), (1, "CK45", 1.0, 0.0, 100.0)],
                                  "Set int, material string, slope_um_per_pass double, intercept_um double, max_image_id double")

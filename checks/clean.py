@@ -12,7 +12,7 @@ from condmon.plans import reports as rp
 from condmon.session import scratch_path
 from condmon import sources as src
 from condmon.sources.cache import cached_features
-from condmon.sources.runs import FAMILY_TREE, SEED_TREE, with_tree_seed
+from condmon.sources.runs import SEED_TREE, with_tree_seed
 
 CLEAN = "rowno, sid, image_id, sensor_id, image_file, sensor_file, image_time, wear, type, has_image, has_sensor, both_ok, material, split"
 

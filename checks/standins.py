@@ -165,7 +165,6 @@ RUN_SQL = f"""cells AS (SELECT {', '.join(RUN_EXPRS)} FROM lineitem),
 runs0 AS (SELECT family, flag, seed, epochs, split, {', '.join(RUN_METRICS)} FROM cells
     GROUP BY family, flag, seed, epochs, split),
 runs AS (SELECT *, {NAME} AS experiment, {LAMBDA} AS lam, seed % 17 AS best_epoch FROM runs0)"""
-RUN_TABLE_SQL = RUN_SQL
 
 
 def nested_runs(spark: SparkSession, sf: str) -> DataFrame:

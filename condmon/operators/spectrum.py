@@ -143,10 +143,21 @@ def long_percentiles(rows: DataFrame, channels: Sequence[str], probs: Sequence[f
     return q.select(REC, F.flatten(F.array(*[f"{c}_q" for c in channels])).alias("_q"))
 
 
+def _square_mod(j: np.ndarray, m: int) -> np.ndarray:
+    """j^2 mod m without overflow for 0 <= j < m < 2^51: the number is squared in two halves."""
+    high, low = j >> 20, j & ((1 << 20) - 1)
+
+    def shifted(x: np.ndarray, tens: int) -> np.ndarray:
+        for _ in range(tens):
+            x = (x << 10) % m
+        return x
+
+    return (shifted(high * high % m, 4) + shifted(2 * high * low % m, 2) + low * low) % m
+
+
 def _chirp(j: np.ndarray, n: int) -> np.ndarray:
     """exp(i*pi*j^2/n); the square is reduced before the angle is formed to keep precision."""
-    j = np.abs(j.astype(np.int64)) % (2 * n)
-    return np.exp(1j * np.pi * ((j * j) % (2 * n)) / n)
+    return np.exp(1j * np.pi * _square_mod(np.abs(j.astype(np.int64)) % (2 * n), 2 * n) / n)
 
 
 def _grid(n: int) -> tuple[int, int, int]:

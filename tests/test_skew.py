@@ -109,6 +109,12 @@ def test_gated_features_when_split(spark):
     assert np.allclose(plain.to_numpy(float), split.to_numpy(float), rtol=1e-7, atol=1e-9)
 
 
+def test_square_mod_is_exact():
+    for m in (2, 97, 2_000_000, 6_000_000_002, (1 << 50) + 6):
+        j = np.array([0, 1, m // 3, m // 2, m - 1], dtype=np.int64)
+        assert sp._square_mod(j, m).tolist() == [int(x) ** 2 % m for x in j]
+
+
 def test_inversions():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 7, 33, 100):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from condmon.llm import decontamination, line_dedup, packing
+from condmon.llm import decontamination, jaccard_join, line_dedup, packing
 from condmon.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,28 @@ def op2(spark, sf_dir):
                          "offset", "sequence_length")
 
 
+JACCARD_SQL = f"""
+WITH words AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER_SQL.format('text')}, '[^\\x20\\x09-\\x0D]+'), []) AS ws
+  FROM documents),
+sized AS (SELECT doc_id, ws, least(3, len(ws)) AS n FROM words WHERE len(ws) > 0),
+grams AS (SELECT DISTINCT doc_id, list_slice(ws, i, i + n - 1) AS g
+  FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM sized)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id
+  GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes sa ON sa.doc_id = a JOIN sizes sb ON sb.doc_id = b
+  WHERE 100 * c >= 90 * (sa.n + sb.n - c)),
+reach AS (SELECT * FROM (WITH RECURSIVE r(d, e) AS (SELECT doc_id, doc_id FROM documents UNION SELECT d, b FROM r JOIN links ON e = a)
+  SELECT * FROM r))
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT d AS doc_id, min(e) AS component_id FROM reach GROUP BY d) LEFT JOIN sizes USING (doc_id)"""
+
+
+@query("op3_ngram_jaccard_join", JACCARD_SQL)
+def op3(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 WORDS_SQL = f"regexp_extract_all({LOWER_SQL.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 LEAKS_SQL = f"""

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from condmon.llm.common import map_rows, named
+from condmon.llm.common import free_name, map_rows, named
 from condmon.llm.components import components
 from condmon.session import stored
 
@@ -265,6 +265,38 @@ def compared(first: list, second: list, unit: tuple | None, rule: Rule) -> Itera
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id), one row per document."""
+    sets, roots = _linked(docs, words, percent, id_col, text_col)
+    return _labelled(sets, roots, id_col)
+
+
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay when each component keeps one document: the one with the smallest id.
+
+    Ids that are NULL come last, of several texts with that id the one with the smallest hash stays, and of equal rows one.
+    Documents without words are linked with nothing and all stay. Every column is kept.
+    """
+    sets, roots = _linked(docs, words, percent, id_col, text_col)
+    of_set = sets.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    rows = of_set.groupBy("root", "d", "k").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
+    first = F.min(F.struct(F.col("d").isNull().alias("last"), "d", "k", "rows"))
+    chosen = rows.filter(F.col("n") > 0).groupBy("root").agg(first.alias("f")).select("f.d", "f.k", "f.rows")
+    empty = of_set.filter(F.col("n") == 0).select("d", "k").distinct().withColumn("rows", F.lit(1).cast("long"))
+    stays = stored(chosen.unionByName(empty), "stays")
+    key, mark = free_name(docs, "_text_key"), free_name(docs, "_stays")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+
+    def rows_at(found: DataFrame) -> DataFrame:
+        marks = found.select(F.struct("d", "k").alias(mark))
+        return keyed.join(marks, (F.col(key) == F.col(f"{mark}.k")) & F.col(f"`{id_col}`").eqNullSafe(F.col(f"{mark}.d")))
+
+    single = rows_at(stays.filter(F.col("rows") == 1))
+    repeated = rows_at(stays.filter(F.col("rows") > 1)).dropDuplicates([key])
+    return single.unionByName(repeated).drop(key, mark)
+
+
+def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The set rows, and (node, root) of all classes with a link."""
     rule = Rule(words, percent)
     source = named(docs, d=id_col, t=text_col)
     sets = stored(set_rows(source, rule), "shingles")
@@ -292,7 +324,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     rest = block_pairs(_unsettled(so_far, groups, pairs, big, keys), rule).distinct()
     more = stored(verified(stored(rest, "rest"), source, sets, rule), "more-links")
     roots = components(links.unionByName(more))
-    return _labelled(sets, roots, id_col)
+    return sets, roots
 
 
 def _unsettled(so_far: DataFrame, groups: DataFrame, pairs: DataFrame, big: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from condmon.llm import decontamination, jaccard_join, line_dedup, packing
+from condmon.llm import decontamination, jaccard_join, line_dedup, packing, toxicity
 from condmon.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,11 @@ def op7(spark, sf_dir):
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"))
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.in_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

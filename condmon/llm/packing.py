@@ -13,6 +13,8 @@ Defined results:
 
 from __future__ import annotations
 
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 from pyspark import TaskContext
@@ -22,34 +24,71 @@ from condmon.llm.common import map_rows, named
 
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, "
           "`offset` bigint, sequence_length bigint")
-CACHED_WORDS = 300_000   # words whose ids a task remembers
-ID_BYTES = 4
+CACHED_WORDS = 300_000   # words whose ids a task remembers, in each of two generations
+SYMBOLS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # neither letters nor digits: one unit where they stand together
+ID_BYTES = array("I").itemsize  # 4; the ids are written in the order of the machine, which is little-endian
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: visible ones stand for themselves, the others follow 255."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in visible)
+    moved = {b: chr(256 + i) for i, b in enumerate(rest)}
+    return [moved.get(b, chr(b)) for b in range(256)]
 
 
 class WordEncoder:
     """Ids of a text as little-endian 32-bit bytes, put together from the ids of its white-space separated words.
 
-    The tokenizer drops white space and never joins across it, so this equals encoding the text as a whole.
+    The tokenizer drops white space and never joins across it, nor letters with the symbols after them, so this equals
+    encoding the text as a whole. Words of letters go to the tokenizer's model directly; others take the whole way. Two generations of words are remembered, so that frequent words survive when the younger one is full.
     """
 
     def __init__(self, tokenizer_json: bytes):
         from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_buffer(tokenizer_json), {}
+        self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
+        self.tokenize, self.letter_of = self.tokenizer.model.tokenize, dict(enumerate(byte_letters()))
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        words = text.encode().split()  # bytes split at ASCII white space only, as it must be here
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = list(set(words))
-            for i in range(0, len(new), 4096):
-                some = new[i:i + 4096]
-                strings = [w.decode() for w in some]
-                for word, found in zip(some, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)):
-                    known[word] = b"".join([x.to_bytes(ID_BYTES, "little") for x in found.ids])
-        return b"".join([known[w] for w in words])
+        raw = text.encode()
+        if b"<|" not in raw:  # special tokens are told by case, everything else is put in lower case anyway
+            raw = raw.lower()
+        words = raw.split()  # bytes split at ASCII white space only, as it must be here
+        found = list(map(self.young.get, words))
+        if None in found:
+            found = [ids or self.look_up(w) for ids, w in zip(found, words)]
+        return b"".join(found)
+
+    def look_up(self, word: bytes) -> bytes:
+        ids = self.young.get(word) or self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(self.young) >= CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        self.young[word] = ids
+        return ids
+
+    def encode(self, word: bytes) -> bytes:
+        letters = word.rstrip(SYMBOLS)
+        if letters:
+            written = self.unit(letters)
+            if written is not None:
+                if len(letters) < len(word):
+                    return self.look_up(letters) + self.look_up(word[len(letters):])
+                return array("I", [t.id for t in self.tokenize(written)]).tobytes()
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def unit(self, word: bytes) -> str | None:
+        """A word of letters as the model wants it; None for all that has more to it than lower-casing."""
+        if word.isascii():
+            return word.decode() if word.isalpha() and word.islower() else None
+        s = word.decode()
+        small = s.lower()
+        if not small.isalpha() or len(small) != len(s) or "\u03a3" in s or not unicodedata.is_normalized("NFC", small):
+            return None
+        return small.encode().decode("latin-1").translate(self.letter_of)
 
 
 class Window:

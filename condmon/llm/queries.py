@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from condmon.llm import decontamination, jaccard_join, line_dedup, packing, toxicity
+from condmon.llm import decontamination, jaccard_join, line_dedup, packing, toxicity, warc
 from condmon.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,12 @@ def op9(spark, sf_dir):
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select(
         "doc_id", toxicity.in_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op4_warc_index")
+def op4(spark, sf_dir):
+    pages, folder = table(spark, sf_dir, "pages"), warc.archive_folder(spark)
+    captures = warc.write_archives(pages, folder)
+    parts = warc.build_index(captures, folder)
+    records = warc.read_records(warc.lookup(warc.key_table(pages), parts))
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from condmon.llm import decontamination, jaccard_join, line_dedup, packing, toxicity, warc
+from condmon.llm import (
+    chat, decontamination, jaccard_join, line_dedup, packing, pii, repetition, secrets, toxicity, warc,
+)
 from condmon.llm.common import prepare
+from condmon.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +135,84 @@ def op4(spark, sf_dir):
     parts = warc.build_index(captures, folder)
     records = warc.read_records(warc.lookup(warc.key_table(pages), parts))
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
+def counted(spans: str, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def written(spans) -> F.Column:
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op5_pii")
+def op5(spark, sf_dir):
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    place = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"]).alias("nth"),
+                               s["kind"].alias("kind"), s["end"].alias("end"))
+    terms = F.transform("terms", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return found.select(
+        "doc_id", *[counted("base", k) for k in pii.BASE_KINDS], F.sha2(written("base"), 256).alias("base_sha256"),
+        written(F.sort_array(F.transform(F.concat("base", terms), place))).alias("spans"))
+
+
+QUALITY_SQL = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text,
+  coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+windows AS (SELECT doc_id, i, list_slice(ws, i, i + 7) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM docs)),
+again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p
+  FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1) GROUP BY doc_id),
+limits AS (SELECT doc_id, ws, greatest(201, len(ws) * 15 // 100 + 1) AS k FROM docs),
+long AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, list_slice(ws, i, i + k - 1) AS g
+  FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS i FROM limits)) GROUP BY doc_id, g HAVING count(*) > 1),
+lines AS (SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, line, count(*) AS c
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id, line) GROUP BY doc_id),
+counted AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+  CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words,
+  long.doc_id IS NOT NULL AS too_long
+  FROM docs LEFT JOIN again USING (doc_id) LEFT JOIN long USING (doc_id) LEFT JOIN lines USING (doc_id))
+SELECT * EXCLUDE (too_long), n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 25 * n_words OR too_long) AS kept
+FROM counted"""
+
+
+@query("op6_suffix_repetition", QUALITY_SQL)
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repetition.quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                           "base_failed", "kept")
+
+
+CONTROL_SQL = r"'([<\[])(\\*)(/?s>|/?INST\]|/?SYS>|\|(?:turn|text|end|im_start|im_end|endoftext)\|>)', '\1\2\\\3', 'g'"
+CHAT_SQL = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(23 + length(regexp_replace(role, {CONTROL_SQL})) + length(regexp_replace(text, {CONTROL_SQL}))) AS BIGINT)
+    AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+@query("op8_chat_format", CHAT_SQL)
+def op8(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = [(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    made = stored(chat.assemble(turns.unionByName(spark.createDataFrame(probe, turns.schema)), ranks), "chat")
+    return chat.digests(chat.read_back(made, ranks))
+
+
+@query("op10_secret_scan")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, vocabulary("byte_bpe_50k.tiktoken"))
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    return found.select("doc_id", *[counted("secrets", k) for k in ("assign", "access", "hex")],
+                        F.sha2(written(base), 256).alias("base_sha256"), written("secrets").alias("spans"))

@@ -64,7 +64,7 @@ def corpus_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
         def run(rows):
             counts: Counter = Counter()
             for r in rows:
-                counts.update((r["t"] or "").lower().split())
+                counts.update([t for t in (r["t"] or "").lower().split() if len(t) <= 2 * LONGEST_TOKEN])
                 if len(counts) > CACHED_TOKENS:
                     yield from cleaned(counts)
                     counts.clear()
@@ -170,23 +170,26 @@ def trimmed(token: str) -> str:
     return core
 
 
-def restored_words(text: str | None, decoder: Decoder, cache: dict[str, str]) -> set[str]:
+def restored(token: str, decoder: Decoder) -> str:
+    """The word behind a lower-case token; empty for punctuation."""
+    core = trimmed(token)
+    return decoder.decode(core) if disguised(core) else core.strip(EDGES)
+
+
+def spelled_words(low: str, tokens: set[str], decoder: Decoder) -> list[str]:
+    """Words written letter by letter with spaces between."""
+    if sum(len(t) == 1 for t in tokens) < 3:
+        return []
+    runs = [m[0].split(" ") for m in SPELLED.finditer(low)]
+    return [decoder.decode("".join(run)[:2 * LONGEST_TOKEN]) for run in runs if sum(map(str.isalpha, run)) * 2 > len(run)]
+
+
+def restored_words(text: str | None, decoder: Decoder) -> set[str]:
     """The distinct words of a text after deobfuscation."""
     low = (text or "").lower()
-    found = set()
-    for token in set(low.split()):
-        word = cache.get(token)
-        if word is None:
-            core = trimmed(token)
-            word = decoder.decode(core) if disguised(core) else core.strip(EDGES)
-            if len(cache) >= CACHED_TOKENS:
-                cache.clear()
-            cache[token] = word
-        found.add(word)
-    for run in SPELLED.finditer(low):
-        letters = run[0].split(" ")
-        if sum(map(str.isalpha, letters)) * 2 > len(letters):
-            found.add(decoder.decode("".join(letters)[:LONGEST_TOKEN * 2]))
+    tokens = set(low.split())
+    found = {restored(t, decoder) for t in tokens}
+    found.update(spelled_words(low, tokens, decoder))
     found.discard("")
     return found
 
@@ -206,13 +209,13 @@ class Model:
     prior: float = 0.0
 
     def word_weight(self, word: str) -> float:
-        return max((self.weights.get(f, 0.0) for f in features_of(word)), default=0.0)
-
-    def describe(self, words: set[str]) -> list[float]:
-        """What a text's distinct words say: all weights, the largest weight, share and number of words with one."""
-        found = [w for w in map(self.word_weight, words) if w > 0]
-        total = sum(found)
-        return [math.log1p(total), max(found, default=0.0), math.sqrt(len(found) / (len(words) + 10)), math.log1p(len(found))]
+        weights = self.weights
+        best = weights.get(word + "$", 0.0)
+        for n in BEGINNINGS:
+            if n > len(word):
+                break
+            best = max(best, weights.get(word[:n], 0.0))
+        return best
 
     def score(self, described: list[float]) -> float:
         if self.beta is None:
@@ -221,6 +224,41 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+class Describer:
+    """What a model finds in texts; remembers what it found behind a bounded number of tokens."""
+
+    def __init__(self, model: Model, decoder: Decoder):
+        self.model, self.decoder, self.known = model, decoder, {}
+
+    def look_up(self, token: str) -> tuple:
+        """(word, weight) behind a token, or nothing for a word without weight."""
+        word = restored(token, self.decoder)
+        weight = self.model.word_weight(word)
+        if len(self.known) >= CACHED_TOKENS:
+            self.known.clear()
+        found = (word, weight) if weight > 0 else ()
+        if len(token) <= 2 * LONGEST_TOKEN:
+            self.known[token] = found
+        return found
+
+    def __call__(self, text: str | None) -> list[float]:
+        """All weights of the distinct words, the largest weight, share and number of words with one."""
+        low = (text or "").lower()
+        tokens, get = set(low.split()), self.known.get
+        found = {}
+        for token in tokens:
+            hit = get(token)
+            if hit is None:
+                hit = self.look_up(token)
+            if hit:
+                found[hit[0]] = hit[1]
+        for word in spelled_words(low, tokens, self.decoder):
+            if (weight := self.model.word_weight(word)) > 0:
+                found[word] = weight
+        return [math.log1p(sum(found.values())), max(found.values(), default=0.0),
+                math.sqrt(len(found) / (len(tokens) + 10)), math.log1p(len(found))]
+
+
 def training_rows(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
     """(d, y, half): at most `most` labelled ids outside the held-out fold, so its size is bounded."""
     known = named(labels, d=id_col, y=label_col).filter(F.col("d").isNotNull() & F.col("y").isNotNull())
@@ -248,11 +286,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shipped = spark.sparkContext.broadcast(model)
 
     def make_features():
-        decoder, cache = Decoder(shipped.value.trigrams), {}
+        decoder = Decoder(shipped.value.trigrams)
 
         def run(rows):
             for r in rows:
-                words = restored_words(r["t"], decoder, cache)
+                words = restored_words(r["t"], decoder)
                 for f in {f for w in words for f in features_of(w)}:
                     yield f, r["y"], r["half"]
 
@@ -272,11 +310,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def make_described():
         models = crossed.value
-        decoder, cache = Decoder(models[0].trigrams), {}
+        decoder = Decoder(models[0].trigrams)
+        describers = [Describer(m, decoder) for m in models]
 
         def run(rows):
             for r in rows:
-                yield models[1 - r["half"]].describe(restored_words(r["t"], decoder, cache)), r["y"]
+                yield describers[1 - r["half"]](r["t"]), r["y"]
 
         return run
 
@@ -323,9 +362,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
 
     def run(batches):
         known = shipped.value
-        decoder, cache = Decoder(known.trigrams), {}
+        describe = Describer(known, Decoder(known.trigrams))
         for batch in batches:
-            scores = [known.score(known.describe(restored_words(t, decoder, cache))) for t in batch.column(at).to_pylist()]
+            scores = [known.score(describe(t)) for t in batch.column(at).to_pylist()]
             columns = [*batch.columns, pa.array(scores, pa.float64()),
                        pa.array([int(s >= threshold) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, score_col, predicted_col])

@@ -26,6 +26,7 @@ SCHEMA = ("doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bi
           "`offset` bigint, sequence_length bigint")
 CACHED_WORDS = 300_000   # words whose ids a task remembers, in each of two generations
 SYMBOLS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # neither letters nor digits: one unit where they stand together
+LONGEST_KEPT = 64        # bytes of a word that is remembered
 ID_BYTES = array("I").itemsize  # 4; the ids are written in the order of the machine, which is little-endian
 
 
@@ -65,6 +66,8 @@ class WordEncoder:
         ids = self.young.get(word) or self.old.get(word)
         if ids is None:
             ids = self.encode(word)
+        if len(word) > LONGEST_KEPT:
+            return ids
         if len(self.young) >= CACHED_WORDS:
             self.old, self.young = self.young, {}
         self.young[word] = ids

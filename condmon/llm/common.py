@@ -18,8 +18,10 @@ BATCH_ROWS = 256  # texts handed to a Python task at a time
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings of these operators: small Arrow batches, since one text can be very long."""
+    """Session settings of these operators: small Arrow batches, since one text can be very long, and shuffle files that
+    go when the job that wrote them has ended, since steps meet in stored tables."""
     tune(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 

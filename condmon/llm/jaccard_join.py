@@ -106,7 +106,7 @@ def part_signatures(elements: np.ndarray, rule: Rule) -> list[int]:
     totals = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed ^ (mixed >> np.uint64(31)), dtype=np.uint64)])
     out = []
     for label, high in ((own, top), (own + 1, rule.next_top(top))):
-        parts = rule.most_apart(2 * high) + 1
+        parts = 2 * high * (100 - rule.percent) // (100 + rule.percent) + 1  # more than any two such sets can differ in
         ends = np.searchsorted(elements >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
         ends[-1] = len(elements)
         sums = totals[ends[1:]] - totals[ends[:-1]]

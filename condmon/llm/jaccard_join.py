@@ -2,10 +2,11 @@
 
 1. A document is its set of word n-gram hashes. Equal sets are one class from here on; members find it by a digest.
 2. The elements of a set have one global order, that of their hashes. Two sets that link share an element of their prefixes.
-   Classes with the same prefix and size are one group.
-3. Groups that share a prefix element held by few groups are paired directly. An element held by many groups would pair
-   all of them, so those groups must also agree on a part signature: the hash range is cut into one part more than two linked
-   sets can differ in elements, so at least one part is equal.
+   Classes with the same prefix and size are one group, known by a hash (a chance meeting of two groups adds
+   candidates and loses none).
+3. Groups that share a prefix element held by few groups are paired directly. An element held by many would pair
+   all of them, so these must also agree on a part signature of some of their members: the hash range is cut into one part
+   more than two linked sets can differ in elements, so at least one part of theirs is equal.
 4. Pairs pass a parity sketch (differing bits never exceed differing elements), and then the sets themselves are compared.
 5. Only components are wanted, so within groups and big buckets classes are first compared with a few leaders.
    Where that leaves several components in one group or bucket, its remaining pairs are all tested on their sketches, in blocks,
@@ -33,7 +34,8 @@ FEW = 16       # groups that share an element or part and are paired directly
 BLOCK = 128    # classes compared with one another in one block of a big bucket
 LEADERS = 3    # classes of a big bucket that the others are first compared with
 MIX, SPREAD = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9  # odd multipliers for mixing hashes
-SETS = "d bigint, k bigint, c binary, n int, g bigint, prefix array<bigint>, sketch binary, parts array<bigint>"
+SETS = ("d bigint, k bigint, c binary, n int, g bigint, prefix array<bigint>, sketch binary, label int, own array<int>, "
+        "next array<int>")
 
 
 class Rule:
@@ -98,22 +100,19 @@ def apart(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-def part_signatures(elements: np.ndarray, rule: Rule) -> list[int]:
-    """A hash for each part (the interval and part number included), under the set's own interval and, as the smaller
-    partner, under the next one."""
-    own, top = rule.label(len(elements))
+def part_signatures(elements: np.ndarray, rule: Rule) -> tuple[int, list[int], list[int]]:
+    """The set's size interval, and signatures of its parts under that interval and, as the smaller partner, the next."""
+    label, top = rule.label(len(elements))
     mixed = elements * np.uint64(SPREAD)
     totals = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed ^ (mixed >> np.uint64(31)), dtype=np.uint64)])
     out = []
-    for label, high in ((own, top), (own + 1, rule.next_top(top))):
+    for high in (top, rule.next_top(top)):
         parts = 2 * high * (100 - rule.percent) // (100 + rule.percent) + 1  # more than any two such sets can differ in
         ends = np.searchsorted(elements >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
         ends[-1] = len(elements)
-        sums = totals[ends[1:]] - totals[ends[:-1]]
-        place = np.arange(parts, dtype=np.uint64) + np.uint64(label << 40)
-        sums = (sums ^ (place * np.uint64(MIX))) * np.uint64(SPREAD)
-        out += (sums ^ (sums >> np.uint64(32))).view(np.int64).tolist()
-    return out
+        sums = (totals[ends[1:]] - totals[ends[:-1]]) * np.uint64(MIX)
+        out.append((sums >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist())
+    return label, *out
 
 
 def set_rows(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -125,12 +124,12 @@ def set_rows(docs: DataFrame, rule: Rule) -> DataFrame:
             for r in rows:
                 s = shingles(r["t"], rule.words)
                 if not len(s):
-                    yield r["d"], r["k"], None, 0, None, None, None, None
+                    yield r["d"], r["k"], None, 0, None, None, None, None, None, None
                     continue
                 prefix = s[:rule.prefix(len(s))]
                 group = xxh3_64_intdigest(prefix.tobytes(), seed=len(s)) - (1 << 63)
                 yield (r["d"], r["k"], xxh3_128_digest(s.tobytes()), len(s), group, prefix.view(np.int64).tolist(),
-                       sketch_of(s), part_signatures(s, rule))
+                       sketch_of(s), *part_signatures(s, rule))
 
         return run
 
@@ -146,16 +145,19 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 
 def paired(rows: DataFrame, keys: list[str], rule: Rule) -> DataFrame:
-    """(a, b): ids `r` that share the keys and fit in size `n`."""
-    other = rows.select(*keys, F.col("r").alias("r2"), F.col("n").alias("n2"))
-    both = rows.join(other, keys).filter((F.col("r") < F.col("r2")) & sizes_fit(F.col("n"), F.col("n2"), rule))
-    return both.select(F.col("r").alias("a"), F.col("r2").alias("b"))
+    """(a, b): groups `g` that share the keys and fit in size `n`."""
+    other = rows.select(*keys, F.col("g").alias("g2"), F.col("n").alias("n2"))
+    both = rows.join(other, keys).filter((F.col("g") < F.col("g2")) & sizes_fit(F.col("n"), F.col("n2"), rule))
+    return both.select(F.col("g").alias("a"), F.col("g2").alias("b"))
 
 
-def by_count(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys come more than once, with their count m. Counting combines first, hot keys are split at the join."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
-    return rows.join(counts, keys)
+def shared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct (keys, g, n) whose keys several groups hold, with m, the number of rows they come from.
+
+    The counts are combined before the shuffle, and hot keys are split at the join.
+    """
+    held = rows.groupBy(*keys).agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("m"))
+    return rows.join(held.filter(F.col("lo") != F.col("hi")).select(*keys, "m"), keys).distinct()
 
 
 def led(rows: DataFrame, keys: list[str], ids: str) -> DataFrame:
@@ -188,7 +190,7 @@ def sketched(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that link: both sets are formed again from one document of each class, and compared."""
-    wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     holders = stored(sets.join(wanted, "c").groupBy("c").agg(F.min(F.struct("d", "k")).alias("at"))
                      .select("c", F.col("at.d").alias("d"), F.col("at.k").alias("k")), "holders")
     keyed = docs.withColumn("k", F.xxhash64("d", "t"))
@@ -301,53 +303,63 @@ def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     source = named(docs, d=id_col, t=text_col)
     sets = stored(set_rows(source, rule), "shingles")
     filled = sets.filter(F.col("n") > 0)
-    classes = stored(filled.select("c", "n", "g", "sketch", "prefix", "parts").dropDuplicates(["c"]), "classes")
-    groups = classes.groupBy("g", "n").agg(F.min("c").alias("r"), F.count(F.lit(1)).alias("size"))
-    reps = classes.select(F.col("c").alias("r"), "prefix", "parts").join(groups, "r")
+    classes = stored(filled.select("c", "n", "g", "sketch").distinct(), "classes")
+    groups = stored(classes.groupBy("g").agg(F.min("c").alias("r"), F.count(F.lit(1)).alias("size")), "groups")
 
-    postings = by_count(reps.select(F.explode("prefix").alias("e"), "r", "n"), ["e"])
+    postings = stored(shared(filled.select(F.explode("prefix").alias("e"), "g", "n"), ["e"]), "postings")
     cold = paired(postings.filter(F.col("m") <= FEW), ["e"], rule)
-    crowded = postings.filter(F.col("m") > FEW).select("r").distinct()
-    keys = ["sig"]
-    buckets = stored(by_count(reps.join(crowded, "r").select(F.explode("parts").alias("sig"), "r", "n"), keys), "buckets")
+    crowded = postings.filter(F.col("m") > FEW).select("g").distinct()
+    keys = ["label", "part", "sig"]
+    buckets = stored(shared(_parts(filled.join(crowded, "g", "left_semi")), keys), "buckets")
     small = paired(buckets.filter(F.col("m") <= FEW), keys, rule)
     pairs = stored(ordered(cold.unionByName(small)), "group-pairs")
     big = buckets.filter(F.col("m") > FEW)
-    members = classes.select("c", "g", "n").join(groups.filter(F.col("size") > 1), ["g", "n"])
-    led_pairs = led(big, keys, "r").unionByName(led(members, ["g", "n"], "c"))
 
-    candidates = stored(sketched(pairs.unionByName(ordered(led_pairs)).distinct(), classes, rule), "candidates")
+    first = groups.select("g", "r")
+    led_groups = pairs.unionByName(ordered(led(big, keys, "g")))
+    led_classes = (led_groups.join(first.withColumnRenamed("g", "a").withColumnRenamed("r", "ra"), "a")
+                   .join(first.withColumnRenamed("g", "b").withColumnRenamed("r", "rb"), "b")
+                   .select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    members = classes.join(groups.filter(F.col("size") > 1).select("g"), "g")
+    tried = ordered(led_classes.unionByName(led(members.select("g", "c"), ["g"], "c")))
+    candidates = stored(sketched(tried, classes, rule), "candidates")
     links = stored(verified(candidates, source, sets, rule), "links")
-    so_far = classes.select("c", "g", "n", "sketch").join(
-        components(links).withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
-    so_far = stored(so_far, "so-far")
-    rest = block_pairs(_unsettled(so_far, groups, pairs, big, keys), rule).distinct()
-    more = stored(verified(stored(rest, "rest"), source, sets, rule), "more-links")
-    roots = components(links.unionByName(more))
-    return sets, roots
+
+    roots = components(links).withColumnRenamed("node", "c")
+    so_far = stored(classes.join(roots, "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root"), "so-far")
+    rest = stored(block_pairs(_unsettled(so_far, groups, pairs, big, keys), rule).distinct(), "rest")
+    more = stored(verified(rest, source, sets, rule), "more-links")
+    return sets, components(links.unionByName(more))
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """(label, part, sig, g, n) of all parts, under the sets' own and next intervals."""
+    def under(label: Column, sigs: str) -> DataFrame:
+        return rows.select(label.alias("label"), "g", "n", F.posexplode(sigs).alias("part", "sig"))
+
+    return under(F.col("label"), "own").unionByName(under(F.col("label") + 1, "next"))
 
 
 def _unsettled(so_far: DataFrame, groups: DataFrame, pairs: DataFrame, big: DataFrame, keys: list[str]) -> DataFrame:
     """(key, c, n, comp, sketch): members of groups, group pairs and big buckets that hold several components."""
-    def several(rows: DataFrame, by: list[str]) -> DataFrame:
-        mixed = rows.groupBy(*by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        return rows.join(mixed.filter(F.col("lo") != F.col("hi")).select(*by), by, "left_semi")
-
-    shown = ["c", "n", "comp"]
-    own = so_far.join(groups.filter(F.col("size") > 1).select("g", "n", "r"), ["g", "n"])
-    inside = several(own.select(F.struct(F.lit(0).alias("kind"), F.hash("r").alias("x"), F.col("g").alias("y")).alias("key"),
-                                *shown), ["key"])
+    def several(rows: DataFrame) -> DataFrame:
+        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        return rows.join(mixed.filter(F.col("lo") != F.col("hi")).select("key"), "key", "left_semi")
+
+    def key(kind: int, *cols: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.hash(*cols).alias("x"), F.xxhash64(*cols).alias("y")).alias("key")
+
+    shown = so_far.select("g", "c", "n", "comp")
+    grown = groups.filter(F.col("size") > 1).select("g")
+    inside = several(shown.join(grown, "g").select(key(0, "g"), "c", "n", "comp"))
     # Groups of one class were compared in full already; a pair is expanded when one of its groups has more.
-    sized = groups.select("r", "size")
-    grown = (pairs.join(sized.select(F.col("r").alias("a"), F.col("size").alias("sa")), "a")
-             .join(sized.select(F.col("r").alias("b"), F.col("size").alias("sb")), "b")
-             .filter((F.col("sa") > 1) | (F.col("sb") > 1)))
-    pair_key = F.struct(F.lit(1).alias("kind"), F.hash("a", "b").alias("x"), F.xxhash64("a", "b").alias("y"))
-    ends = grown.select(F.explode(F.array("a", "b")).alias("r"), pair_key.alias("key"))
-    all_members = so_far.join(groups.select("g", "n", "r"), ["g", "n"])
-    between = several(ends.join(all_members, "r").select("key", *shown), ["key"])
-    bucket_key = F.struct(F.lit(2).alias("kind"), F.hash(*keys).alias("x"), F.xxhash64(*keys).alias("y"))
-    crowds = several(big.select("r", bucket_key.alias("key")).join(all_members, "r").select("key", *shown), ["key"])
+    sizes = groups.select("g", "size")
+    wide = (pairs.join(sizes.withColumnRenamed("g", "a").withColumnRenamed("size", "sa"), "a")
+            .join(sizes.withColumnRenamed("g", "b").withColumnRenamed("size", "sb"), "b")
+            .filter((F.col("sa") > 1) | (F.col("sb") > 1)))
+    ends = wide.select(F.explode(F.array("a", "b")).alias("g"), key(1, "a", "b"))
+    between = several(ends.join(shown, "g").select("key", "c", "n", "comp"))
+    crowds = several(big.select("g", key(2, *keys)).distinct().join(shown, "g").select("key", "c", "n", "comp"))
     found = inside.unionByName(between).unionByName(crowds)
     return found.join(so_far.select("c", "sketch"), "c")
 

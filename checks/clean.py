@@ -107,14 +107,22 @@ def a3(spark, sf):
     return rows.select("recording_id", "pos", "acc", F.col("Fz").alias("fz"))
 
 
-@query("A4_zero_fill", f"""WITH {s.REC_SQL}, f AS (SELECT recording_id, avg(acc) AS acc_mean, stddev_pop(acc) AS acc_std
-        FROM recs WHERE recording_id % 3 <> 0 GROUP BY recording_id)
+@query("A4_zero_fill", f"""WITH {s.REC_SQL}, f AS (SELECT recording_id, avg(CAST(CAST(acc AS FLOAT) AS DOUBLE)) AS acc_mean,
+            stddev_pop(CAST(CAST(acc AS FLOAT) AS DOUBLE)) AS acc_std FROM recs WHERE recording_id % 3 <> 0 GROUP BY recording_id)
     SELECT e.recording_id, coalesce(acc_mean, 0) AS acc_mean, coalesce(acc_std, 0) AS acc_std,
         f.recording_id IS NULL AS is_missing
-    FROM (SELECT DISTINCT user_id AS recording_id FROM events) e LEFT JOIN f USING (recording_id)""", "acc_mean acc_std")
+    FROM (SELECT DISTINCT user_id AS recording_id FROM events) e LEFT JOIN f USING (recording_id)""", "acc_mean acc_std", 4)
 def a4(spark, sf):
-    rows = s.signal_rows(spark, sf)
-    readable = ft.time_features(rows.filter("recording_id % 3 <> 0"), ["acc"])
+    """Every third recording has a line of text in its file, so the file cannot be used."""
+    path = scratch_path(spark, "broken")
+    rows = s.recordings(spark, sf)
+    cells = [F.col(c).cast("string") for c in ("acc", "acoustic", "Fx", "Fy", "Fz")]
+    lines = rows.select(F.col("recording_id").alias("rid"), F.concat_ws(
+        ",", *cells, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("value"))
+    broken = rows.filter("recording_id % 3 = 0").select(F.col("recording_id").alias("rid"), F.lit("sensor stopped,").alias("value")).distinct()
+    lines.unionByName(broken).repartition("rid").write.partitionBy("rid").text(path)
+    found = src.read_recordings(spark, path + "/*/*.txt", id_pattern=r"rid=(\w+)/")
+    readable = ft.time_features(found.withColumn("recording_id", F.col("recording_id").cast("long")), ["acc"])
     wanted = s.table(spark, sf, "events").select(F.col("user_id").alias("recording_id")).distinct()
     return lk.zero_fill_features(wanted, readable, ["acc_mean", "acc_std"])
 
@@ -217,7 +225,7 @@ def a9b(spark, sf):
         F.col("c_acctbal").alias("slope_um_per_pass"))
     materials = c.groupBy("material").agg(F.avg("slope_um_per_pass").alias("C"), F.lit(0.25).alias("n"))
     path = scratch_path(spark, "constants")
-    src.write_constants(materials, c.limit(0), {"failure_um": 300.0}, path)
+    src.write_constants(materials, c, {"failure_um": 300.0}, path)
     m, _ = src.read_constants(spark, path)
     return m.select("material", F.col("C").alias("c"), "failure_um")
 

@@ -55,12 +55,12 @@ def j11(spark, sf):
     return k.select("material", "n", F.col("C").alias("c"), "r2", "n_sets", "n_distinct_vc", "source")
 
 
-def ols2_sql(src: str) -> str:
+def ols2_sql(src: str, source: str = "localized_training_fit_90um") -> str:
     """ln Vc ~ ln life + ln fz from covariances (regular design)."""
     return f"""o AS (SELECT material, count(*) AS n_sets, count(DISTINCT round(Vc, 3)) AS n_distinct_vc, var_pop(lt) AS aa, var_pop(lf) AS bb, covar_pop(lt, lf) AS ab,
     covar_pop(lv, lt) AS ya, covar_pop(lv, lf) AS yb, avg(lv) AS y, avg(lt) AS mlt, avg(lf) AS mlf FROM {src} GROUP BY material),
 ext AS (SELECT material, -(bb * ya - ab * yb) / (aa * bb - ab * ab) AS n0, -(aa * yb - ab * ya) / (aa * bb - ab * ab) AS m0, y, mlt, mlf, n_sets, n_distinct_vc FROM o),
-consts AS (SELECT material, round(n0, 4) AS n, round(m0, 4) AS m, round(exp(y + n0 * mlt + m0 * mlf), 4) AS c, n_sets, n_distinct_vc, 'fitted' AS source FROM ext)"""
+consts AS (SELECT material, round(n0, 4) AS n, round(m0, 4) AS m, round(exp(y + n0 * mlt + m0 * mlf), 4) AS c, n_sets, n_distinct_vc, '{source}' AS source FROM ext)"""
 
 
 @query("J12_extended_constants", f"""WITH {RATES}, src AS (SELECT material, Vc, ln(Vc) AS lv, ln(300.0 / slope_um_per_pass) AS lt, ln(fz) AS lf FROM rates
@@ -70,7 +70,7 @@ def j12(spark, sf):
 
 
 @query("J13_life_crossing_constants", f"""WITH {RATES}, {LIFE.format(thr='90.0')}, src AS (SELECT material, Vc, ln(Vc) AS lv, ln(life) AS lt, ln(fz) AS lf
-    FROM rates JOIN life USING (set_id) WHERE life > 0 AND Vc > 0), {ols2_sql('src')} SELECT * FROM consts""", "n m c", 3)
+    FROM rates JOIN life USING (set_id) WHERE life > 0 AND Vc > 0), {ols2_sql('src', 'life_at_90um_crossing')} SELECT * FROM consts""", "n m c", 3)
 def j13(spark, sf):
     r = rates(spark, sf, failure_um=90.0, with_life=True)
     return we.tool_life_constants(r, "life_feed", 90.0).withColumnRenamed("C", "c")
@@ -103,6 +103,27 @@ def j15(spark, sf):
     return we.log_design_rank(s.params(spark, sf))
 
 
+@query("J15_rank_of_known_designs", """SELECT * FROM (VALUES ('constant', 3, 4), ('nearly constant', 4, 4), ('proportional', 3, 4), ('full', 4, 4))
+    t(material, rank, full_rank) WHERE (SELECT count(*) FROM lineitem) > 100""")
+def j15_known(spark, sf):
+    """Designs whose rank is known: a constant column, one that varies by a millionth, two proportional ones, and none of these."""
+    li = s.table(spark, sf, "lineitem").select(F.col("l_extendedprice").cast("double").alias("p"), F.col("l_quantity").cast("double").alias("q"),
+                                               (F.col("l_partkey") % 97 + 1).cast("double").alias("k"))
+    kinds = F.array(*[F.struct(F.lit(name).alias("material"), vc.alias("Vc"), fz.alias("fz")) for name, vc, fz in (
+        ("constant", F.lit(120.5), F.col("q")), ("nearly constant", 120.5 * (1 + F.col("k") * 1e-6), F.col("q")),
+        ("proportional", F.col("q") * 3, F.col("q")), ("full", F.col("k"), F.col("q")))])
+    return we.log_design_rank(li.select(F.inline(kinds), F.col("p").alias("Ap")))
+
+
+@query("J10_J14_fit_tool_life", f"""WITH raw AS (WITH {SAMP} SELECT * FROM samp), samp AS (SELECT set_id, t, least(wear, 450.0) AS wear FROM raw
+    WHERE set_id IN (1, 2, 5, 7, 8, 10, 11, 12, 13)), {RATES.replace(SAMP + ', ', '')}, {PREDICT}
+    SELECT set_id, T_taylor AS life, ts AS slope, ti AS intercept FROM full_sets""", "life slope intercept", 5)
+def j10_fit(spark, sf):
+    _, sets, _ = we.fit_tool_life(s.samples(spark, sf), s.params(spark, sf), by="set_id")
+    return sets.select("set_id", F.col("T_taylor").alias("life"), F.col("taylor_slope_um_per_pass").alias("slope"),
+                       F.col("taylor_intercept_um").alias("intercept"))
+
+
 def _scored_sets(spark, sf, taylor):
     r = rates(spark, sf)
     return we.predict_life(r, we.tool_life_constants(r), samples=s.samples(spark, sf), **BY) if taylor else r

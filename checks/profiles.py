@@ -350,10 +350,11 @@ def e2(spark, sf):
     return sq.life_fraction(s.samples(spark, sf), "set_id", "t").select("rowno", "life")
 
 
-LIFE = """ord AS (SELECT *, lag(t) OVER w AS t0, lag(wear) OVER w AS w0 FROM samp WINDOW w AS (PARTITION BY set_id ORDER BY t)),
-f AS (SELECT set_id, min(t) AS t1 FROM samp WHERE wear >= {thr} GROUP BY set_id),
-life AS (SELECT s.set_id, any_value(CASE WHEN ord.t0 IS NULL OR ord.w0 = ord.wear THEN ord.t ELSE ord.t0 + ({thr} - ord.w0) / (ord.wear - ord.w0) * (ord.t - ord.t0) END) AS life
-    FROM (SELECT DISTINCT set_id FROM samp) s LEFT JOIN f USING (set_id) LEFT JOIN ord ON ord.set_id = f.set_id AND ord.t = f.t1 GROUP BY s.set_id)"""
+LIFE = """ord AS (SELECT *, lag(t) OVER w AS t0, lag(wear) OVER w AS w0, row_number() OVER w AS rn FROM samp
+    WINDOW w AS (PARTITION BY set_id ORDER BY t, wear)),
+f AS (SELECT set_id, min(rn) AS rn FROM ord WHERE wear >= {thr} GROUP BY set_id),
+life AS (SELECT s.set_id, CASE WHEN ord.t0 IS NULL OR ord.w0 = ord.wear THEN ord.t ELSE ord.t0 + ({thr} - ord.w0) / (ord.wear - ord.w0) * (ord.t - ord.t0) END AS life
+    FROM (SELECT DISTINCT set_id FROM samp) s LEFT JOIN f USING (set_id) LEFT JOIN ord ON ord.set_id = f.set_id AND ord.rn = f.rn)"""
 
 
 @query("E3_life_at_threshold", f"WITH {SAMP}, {LIFE.format(thr='400.0')} SELECT set_id, life FROM life", "life")
@@ -361,6 +362,13 @@ def e3(spark, sf):
     return sq.life_at_threshold(s.samples(spark, sf), "set_id", "t", "wear", 400.0)
 
 
+@query("E3_life_with_ties", f"""WITH raw AS (WITH {SAMP} SELECT * FROM samp), samp AS (SELECT set_id, floor(t / 4) AS t, wear FROM raw),
+    {LIFE.format(thr='400.0')} SELECT set_id, life FROM life""", "life")
+def e3_ties(spark, sf):
+    coarse = s.samples(spark, sf).withColumn("t", F.floor(F.col("t") / 4))
+    return sq.life_at_threshold(coarse, "set_id", "t", "wear", 400.0)
+
+
 SEG = """sz AS (SELECT recording_id, count(*) AS n FROM recs GROUP BY recording_id),
 sg AS (SELECT recs.*, n, CAST(pos // (n // 10) AS INTEGER) AS seg FROM recs JOIN sz USING (recording_id) WHERE pos < n - n % 10)"""
 

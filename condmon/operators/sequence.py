@@ -40,8 +40,8 @@ def life_fraction(df: DataFrame, by: str, t: str, name: str = "life") -> DataFra
 def life_at_threshold(df: DataFrame, by: str, t: str, w: str, threshold: float) -> DataFrame:
     """Where w first reaches the threshold, interpolated; NULL for a group that never does.
 
-    The first row at or above the level and the last row before it are two aggregates, so
-    no group has to be ordered.
+    Rows are ordered by t, then w. The first row at or above the level and the last row before it are two aggregates, so
+    no group has to be sorted.
     """
     rows = df.filter(F.col(t).isNotNull() & F.col(w).isNotNull()).select(
         by, F.col(t).cast("double").alias("_t"), F.col(w).cast("double").alias("_w"))
@@ -49,7 +49,7 @@ def life_at_threshold(df: DataFrame, by: str, t: str, w: str, threshold: float)
         F.min(F.when(F.col("_w") >= threshold, F.struct("_t", "_w"))).alias("_hit"))
     before = (
         join_null_safe(rows, cross.filter(F.col("_hit").isNotNull()), [by], "inner")
-        .filter(F.col("_t") < F.col("_hit._t"))
+        .filter(F.struct("_t", "_w") < F.col("_hit"))
         .groupBy(by).agg(F.max(F.struct("_t", "_w")).alias("_prev")))
     t1, w1, t0, w0 = (F.col(c) for c in ("_hit._t", "_hit._w", "_prev._t", "_prev._w"))
     life = (F.when(F.col("_prev").isNull(), t1).when(w1 == w0, t1)

@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from condmon.constants import (
-    CAUTION_SETS, CK45, EXCLUDED_SETS, FAILURE_UM, LITERATURE_N, RVS, WINDOW,
+    CAUTION_SETS, CK45, EXCLUDED_SETS, FAILURE_UM, FIT_SETS, LIFE_FAILURE_UM, LITERATURE_N, RVS, WEAR_CAP_UM, WINDOW,
 )
 from condmon.operators.sequence import life_at_threshold
 from condmon.operators.skew import exact_percentiles, oversized_groups
+from condmon.session import stored
 from condmon.physics.lines import TASK_ROWS, anchored_intercept, mid_life_lines
 
 MIN_WINDOW = 3  # below this many mid-life rows the whole trajectory is fitted
@@ -111,7 +112,8 @@ def tool_life_constants(rates: DataFrame, form: str = "simple", failure_um: floa
         F.when(enough, F.round(icpt, 4)).otherwise(300.0).alias("C"),
         F.coalesce("n_sets", F.lit(0)).alias("n_sets"),
         F.coalesce("n_distinct_vc", F.lit(0)).alias("n_distinct_vc"),
-        F.when(enough, "fitted").otherwise("fallback").alias("source"))
+        F.when(enough, "localized_training_fit_90um" if form == "rate_feed" else f"life_at_{round(failure_um)}um_crossing")
+        .otherwise("fallback").alias("source"))
 
 
 def _simple_constants(rates: DataFrame, failure_um: float, min_rate: float, by: str) -> DataFrame:
@@ -162,14 +164,50 @@ def predict_life(rates: DataFrame, constants: DataFrame, form: str = "simple", f
 
 
 def log_design_rank(params: DataFrame, cols: Sequence[str] = ("Vc", "fz", "Ap"), by: str = "material") -> DataFrame:
-    """Rank of [1, ln c1, ln c2, ..] per group, from sums of products (one small matrix per group)."""
-    logs = params.select(by, *[F.ln(c).alias(c) for c in cols]).dropna()
-    terms = [F.lit(1.0), *[F.col(c) for c in cols]]
-    size = len(terms)
-    gram = logs.groupBy(by).agg(F.array(*[F.sum(a * b) for a in terms for b in terms]).alias("_g"))
+    """Rank of the design [1, ln c1, ln c2, ..] per group, as its singular values tell it.
+
+    Every task reduces its rows of a group to a small triangular factor; factors of all tasks are stacked and reduced
+    again. That keeps the singular values, which sums of products would square.
+    """
+    size = len(cols) + 1
+    logs = params.select(F.col(by).cast("string").alias("g"), *[F.ln(F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(cols)])
+
+    def factors(frames):
+        held: dict = {}
+        for frame in frames:
+            for key, rows in frame.dropna(subset=list(frame.columns[1:])).groupby("g", dropna=False):
+                design = np.column_stack([np.ones(len(rows)), rows.iloc[:, 1:].to_numpy(float)])
+                n, r = held.get(key, (0, np.zeros((0, size))))
+                held[key] = n + len(rows), np.linalg.qr(np.vstack([r, design]), mode="r")
+        for key, (n, r) in held.items():
+            yield pd.DataFrame({"g": [None if pd.isna(key) else key], "n": [n], "r": [r.ravel().tolist()]})
 
     @F.pandas_udf("int")
-    def rank(g: pd.Series) -> pd.Series:
-        return g.map(lambda a: int(np.linalg.matrix_rank(np.reshape(a, (size, size)), hermitian=True)))
+    def rank(r: pd.Series, n: pd.Series) -> pd.Series:
+        def one(stacked, rows):
+            s = np.linalg.svd(np.concatenate([np.asarray(x, float) for x in stacked]).reshape(-1, size), compute_uv=False)
+            return int((s > s.max() * max(rows, size) * np.finfo(float).eps).sum())
+
+        return pd.Series([one(a, b) for a, b in zip(r, n)], dtype="int32")
+
+    small = logs.mapInPandas(factors, "g string, n long, r array<double>")
+    stacked = small.groupBy("g").agg(F.collect_list("r").alias("r"), F.sum("n").alias("n"))
+    return stacked.select(F.col("g").alias(by), rank("r", "n").alias("rank"), F.lit(size).alias("full_rank"))
 
-    return gram.select(by, rank("_g").alias("rank"), F.lit(size).alias("full_rank"))
+
+def fit_tool_life(labels: DataFrame, params: DataFrame, form: str = "simple", failure_um: float | None = None,
+                  train_sets: Sequence[int] | None = FIT_SETS, cap_um: float = WEAR_CAP_UM, by: str = "Set", t: str = "t",
+                  w: str = "wear") -> tuple[DataFrame, DataFrame, dict]:
+    """Labels to constants in one call: (constants, sets with their predicted life, meta).
+
+    Wear above `cap_um` counts as `cap_um`, and the sets of the published fit are used unless told otherwise. The results go to
+    `write_constants` as they are.
+    """
+    level = failure_um if failure_um is not None else LIFE_FAILURE_UM if form == "life_feed" else FAILURE_UM
+    capped = labels.withColumn(w, F.least(w, F.lit(float(cap_um))))
+    rates = stored(wear_rates(capped, params, train_sets, level, by, t, w, with_life=form == "life_feed"), "rates")
+    constants = stored(tool_life_constants(rates, form, level), "constants")
+    sets = predict_life(rates, constants, form, level, prepare(capped, train_sets, by=by, t=t, w=w), by, t, w)
+    meta = {"form": form, "failure_um": level, "wear_cap_um": cap_um, "window": WINDOW, "train_sets": train_sets or (),
+            "excluded_sets": EXCLUDED_SETS, "caution_sets": CAUTION_SETS}
+    return constants, sets, meta

@@ -28,10 +28,12 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one only where none is set."""
+    """The checkpoint folder the cluster names; a temporary one only in local mode, where all tasks share this machine."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if known is None:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="condmon-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known)

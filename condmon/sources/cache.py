@@ -13,7 +13,9 @@ REC = "recording_id"
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # anything else must not lead to overwriting what is there
+            raise
         return None
 
 

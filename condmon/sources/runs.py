@@ -53,10 +53,15 @@ def no_nan(col):
 
 def flatten_runs(runs: DataFrame) -> DataFrame:
     """One row per (run, split) with short metric names; NaN metrics become NULL."""
-    cfg = F.coalesce("config", "base_config")
+    # A config without any entry counts as none; a run without a name has that of its folder.
+    empty = F.col("config").isNull() | (F.to_json("config") == "{}")
+    cfg = F.when(empty, F.coalesce("base_config", "config")).otherwise(F.col("config"))
+    name = F.col("experiment")
+    if "file" in runs.columns:
+        name = F.coalesce(name, F.regexp_extract("file", r"([^/]+)/[^/]+$", 1))
     keep = [c for c in ("file", "family", "config_name", "seed_dir", "run_group") if c in runs.columns]
     cells = runs.select(
-        *keep, "experiment", cfg.alias("cfg"), "physics", "hard", "best_epoch",
+        *keep, name.alias("experiment"), cfg.alias("cfg"), "physics", "hard", "best_epoch",
         no_nan(F.col("best_val_mae_um")).alias("best_val_mae_um"), F.explode("splits").alias("split", "m"))
     return cells.select(
         *keep, "experiment", "split", "cfg", "physics", "hard", "best_epoch", "best_val_mae_um",
@@ -115,10 +120,13 @@ def read_history(spark: SparkSession, globs: str | Sequence[str]) -> DataFrame:
 
 
 def read_constants(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(materials, sets) rows of a constants payload."""
-    payload = (spark.read.schema(CONSTANTS_SCHEMA).option("multiLine", True)
+    """(materials, sets) rows of a constants payload: the written layout, or documents that hold the sets themselves."""
+    payload = (spark.read.schema(CONSTANTS_SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.json")
                .option("recursiveFileLookup", True).json(path))
     materials = payload.select("meta", F.explode("constants").alias("material", "c")).select(
         "material", "c.*", "meta.failure_um").distinct()
-    sets = payload.select("meta", F.explode("sets").alias("set_key", "r")).select("set_key", "r.*", "meta.failure_um")
-    return materials, sets
+    held = payload.select("meta", F.explode("sets").alias("set_key", "r")).select("set_key", "r.*", "meta.failure_um")
+    line = f"struct<set_key string, failure_um double, record {RECORD_STRUCT}>"
+    listed = (spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(path)
+              .select(F.from_json("value", line).alias("s")).select("s.set_key", "s.record.*", "s.failure_um"))
+    return materials, held.unionByName(listed)

@@ -17,27 +17,8 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
         raise ValueError(f"unknown format {fmt!r}")
 
 
-SETS_PER_FILE = 10_000
-
-
-def constants_payload(materials: DataFrame, sets: DataFrame, meta: dict, per_file: int = SETS_PER_FILE) -> DataFrame:
-    """(shard, value): constants documents with maps keyed by material and by set.
-
-    Up to `per_file` sets give the usual single document. More sets are dealt over several documents of
-    about that size, each complete in itself, which the reader puts together again.
-    """
-    shards = max(1, -(-sets.count() // per_file))
-
-    def entry(df: DataFrame, key: str):
-        return F.struct(F.col(key).cast("string"), F.struct(*df.columns)).alias("_e")
-
-    def as_map(name: str):
-        return F.map_from_entries(F.collect_list("_e")).alias(name)
-
-    shard = F.pmod(F.xxhash64("set"), F.lit(shards)).alias("shard")
-    parts = sets.select(shard, entry(sets, "set")).groupBy("shard").agg(as_map("sets"))
-    every = materials.sparkSession.range(shards).select(F.col("id").alias("shard")).join(parts, "shard", "left")
-
+def constants_document(materials: DataFrame, meta: dict) -> DataFrame:
+    """(value): one JSON document with meta and the constants of all materials, of which there is a handful."""
     cells = {
         "form": F.lit(meta.get("form", "simple")),
         "failure_um": F.lit(float(meta["failure_um"])),
@@ -46,17 +27,22 @@ def constants_payload(materials: DataFrame, sets: DataFrame, meta: dict, per_fil
     }
     cells |= {k: F.array(*[F.lit(int(x)) for x in meta.get(k, ())]).cast("array<int>")
               for k in ("train_sets", "excluded_sets", "caution_sets")}
-    constants = materials.select(entry(materials, "material")).agg(as_map("constants")).scalar()
-    return every.withColumn("_constants", constants).select("shard", F.to_json(F.struct(
-        F.struct(*[v.alias(k) for k, v in cells.items()]).alias("meta"),
-        F.col("_constants").alias("constants"), "sets")).alias("value"))
+    entry = F.struct(F.col("material").cast("string"), F.struct(*materials.columns))
+    return materials.agg(F.map_from_entries(F.collect_list(entry)).alias("constants")).select(
+        F.struct(*[v.alias(k) for k, v in cells.items()]).alias("meta"), "constants")
+
+
+def set_lines(sets: DataFrame, meta: dict) -> DataFrame:
+    """(value): one JSON line per set."""
+    return sets.select(F.to_json(F.struct(
+        F.col("set").cast("string").alias("set_key"), F.lit(float(meta["failure_um"])).alias("failure_um"),
+        F.struct(*sets.columns).alias("record"))).alias("value"))
 
 
-def write_constants(materials: DataFrame, sets: DataFrame, meta: dict, path: str,
-                    per_file: int = SETS_PER_FILE) -> None:
-    """One JSON file per document. There are as many materials as there are alloys: a handful."""
-    docs = constants_payload(materials, sets, meta, per_file)
-    docs.repartition("shard").write.mode("overwrite").partitionBy("shard").text(path)
+def write_constants(materials: DataFrame, sets: DataFrame, meta: dict, path: str) -> None:
+    """path/document holds meta and constants, path/sets one JSON line per set, whatever their number."""
+    constants_document(materials, meta).coalesce(1).write.mode("overwrite").json(f"{path}/document")
+    set_lines(sets, meta).write.mode("overwrite").text(f"{path}/sets")
 
 
 def results_json(runs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from condmon.evaluate.scaler import Scaler
 from condmon.operators import features as ft, sequence as sq, spectrum as sp, wavelet as wv
 from condmon.physics import score as sc, wear as we
 from condmon.plans import reports as rp, study
+from condmon.session import shared_dir
 from condmon.sources.cache import cached_features
 
 
@@ -69,13 +70,55 @@ def test_file_order_survives_split_scans(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        df = src.read_recordings(spark, str(tmp_path / "*.csv")).toPandas()
+        df = src.read_recordings(spark, str(tmp_path / "*.csv"), id_pattern=src.FILE_STEM).toPandas()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert df.groupby("recording_id").size().to_dict() == {"s1": 3000, "s2": 10}
     assert (df["pos"] == df["acc"]).all()
 
 
+def test_equal_file_names_stay_apart_and_broken_files_are_left_out(spark, tmp_path):
+    good = "1,2,3,4,5,2023-01-01 00:00:00\n"
+    for folder, text in (("Set1", good * 3), ("Set2", good * 2), ("Set 3", good + "stopped\n" + good), ("Set4", good + "1,x,3,4,5,2023-01-01 00:00:00\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "001.csv").write_text(text)
+    df = src.read_recordings(spark, str(tmp_path / "*" / "*.csv")).groupBy("recording_id").count()
+    assert {r[0]: r[1] for r in df.collect()} == {"Set1/001.csv": 3, "Set2/001.csv": 2}
+
+
+def test_ranks_of_known_designs(spark):
+    rows = [("constant", 120.5, float(i % 50 + 1), float(i % 7 + 1)) for i in range(30_000)]
+    rows += [("near", 120.5 * (1 + 1e-9 * (i % 13)), float(i % 50 + 1), float(i % 7 + 1)) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "material string, Vc double, fz double, Ap double").repartition(6)
+    assert {r["material"]: r["rank"] for r in we.log_design_rank(df).collect()} == {"constant": 3, "near": 4}
+
+
+def test_empty_config_and_missing_name_of_a_run(spark, tmp_path):
+    (tmp_path / "t3_e17_s43").mkdir()
+    (tmp_path / "t3_e17_s43" / "results.json").write_text(
+        '{"config": {}, "base_config": {"epochs": 17}, "best_epoch": 3, "splits": {"val": {"mae_overall_um": 20.5, "n_total": 4}}}')
+    r = one(rp.run_meta(src.read_runs(spark, str(tmp_path))))
+    assert (r["experiment"], r["epochs"], r["seed"], r["overall"]) == ("t3_e17_s43", 17, 43, 20.5)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())
+
+
 def test_feature_cache_only_computes_missing(spark, tmp_path):
     rows = spark.range(100).select((F.col("id") % 4).alias("recording_id"), F.col("id").cast("double").alias("acc"))
     seen = []
@@ -93,10 +136,11 @@ def test_feature_cache_only_computes_missing(spark, tmp_path):
 
 def test_life_at_threshold_cases(spark):
     data = [("never", 0.0, 10.0), ("never", 1.0, 20.0), ("first", 2.0, 95.0), ("first", 3.0, 99.0),
-            ("between", 0.0, 80.0), ("between", 10.0, 100.0), ("between", 20.0, 50.0), ("exact", 1.0, 10.0), ("exact", 5.0, 90.0)]
+            ("between", 0.0, 80.0), ("between", 10.0, 100.0), ("between", 20.0, 50.0), ("exact", 1.0, 10.0), ("exact", 5.0, 90.0),
+            ("tie", 1.0, 50.0), ("tie", 2.0, 100.0), ("tie", 2.0, 60.0)]
     df = spark.createDataFrame(data, "g string, t double, w double")
     got = {r["g"]: r["life"] for r in sq.life_at_threshold(df, "g", "t", "w", 90.0).collect()}
-    assert got == {"never": None, "first": 2.0, "between": 5.0, "exact": 5.0}
+    assert got == {"never": None, "first": 2.0, "between": 5.0, "exact": 5.0, "tie": 2.0}
 
 
 def test_delta_of_baseline_rows_averages_zero(spark):
@@ -402,6 +446,6 @@ def test_constants_round_trip(spark, tmp_path):
     m, s = src.read_constants(spark, str(tmp_path / "k"))
     assert (one(m)["C"], one(m)["failure_um"], one(s)["set"], one(s)["Vc"]) == (765.8101, 300.0, 2, 120.0)
     many = spark.range(50).select(F.col("id").cast("int").alias("set"), F.lit("CK45").alias("material"), F.lit(1.0).alias("Vc"))
-    src.write_constants(mats, many, {"failure_um": 300.0}, str(tmp_path / "shards"), per_file=7)
+    src.write_constants(mats, many, {"failure_um": 300.0}, str(tmp_path / "shards"))
     m, s = src.read_constants(spark, str(tmp_path / "shards"))
     assert m.count() == 1 and sorted(r["set"] for r in s.collect()) == list(range(50))

@@ -14,6 +14,8 @@ from condmon.session import tune
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+NO_TEXT = "\x00null"  # hashed in place of a NULL text
+
 BATCH_ROWS = 256  # texts handed to a Python task at a time
 
 
@@ -51,7 +53,7 @@ def named(df: DataFrame, **cols: str) -> DataFrame:
 
 def row_key(doc_id: str, text: str) -> Column:
     """Tells apart the rows of one id that have different texts; equal rows share it, and their results."""
-    return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("\x00null")))
+    return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(NO_TEXT)))
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[tuple]]], schema: str | T.StructType,

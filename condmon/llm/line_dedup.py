@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from condmon.llm.common import SPACES, free_name, lower_ascii, named, row_key, shuffle_partitions
+from condmon.llm.common import NO_TEXT, SPACES, free_name, lower_ascii, named, row_key, shuffle_partitions
 
 WORD = 64  # lines per word of a bitmap
 
@@ -80,14 +80,15 @@ def kept_lines(text: Column, keep: Column) -> Column:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
     """docs with the kept text; untouched texts stay as they are, NULL included."""
-    key, other = free_name(docs, "_line_key"), free_name(docs, "_line_bits")
-    bits = bitmaps.select(F.struct("d", "k", "n_dropped", "keep").alias(other))
+    names = {c: free_name(docs, f"_line_{c}") for c in ("key", "d", "k", "n_dropped", "keep")}
+    key, d, k, lost, keep = names.values()
+    bits = bitmaps.select(*[F.col(c).alias(names[c]) for c in ("d", "k", "n_dropped", "keep")])
     doc_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    keyed = docs.withColumn(key, F.xxhash64(doc_id, F.coalesce(text, F.lit("\x00null"))))
-    joined = keyed.join(bits, (F.col(key) == F.col(f"{other}.k")) & doc_id.eqNullSafe(F.col(f"{other}.d")), "left")
+    keyed = docs.withColumn(key, F.xxhash64(doc_id, F.coalesce(text, F.lit(NO_TEXT))))
+    joined = keyed.join(bits, (F.col(key) == F.col(k)) & doc_id.eqNullSafe(F.col(d)), "left")
     if n_lines:
         joined = joined.withColumn(n_lines, F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long"))
     if n_dropped:
-        joined = joined.withColumn(n_dropped, F.coalesce(F.col(f"{other}.n_dropped"), F.lit(0)).cast("long"))
-    new = F.when(F.col(f"{other}.k").isNull(), text).otherwise(kept_lines(text, F.col(f"{other}.keep")))
-    return joined.withColumn(text_col, new).drop(key, other)
+        joined = joined.withColumn(n_dropped, F.coalesce(lost, F.lit(0)).cast("long"))
+    new = F.when(F.col(keep).isNull(), text).otherwise(kept_lines(text, F.col(keep)))
+    return joined.withColumn(text_col, new).drop(*names.values())

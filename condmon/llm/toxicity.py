@@ -9,7 +9,7 @@ Defined results:
 * NULL and empty texts have no words and get the score of a text in which nothing toxic is found.
 * Labels with a NULL id or value are ignored; of several labels of one id the highest counts.
 * A NULL id is not held out and never learned from. Repeated rows get equal scores.
-* With no label of one of the two classes, every score is the share of label 1 (0 without labels).
+* Without learned labels of both classes in both halves of the sample nothing can be told, and every score is 0.
 * All columns of the documents are kept; result columns replace columns of the same name.
 """
 
@@ -206,7 +206,6 @@ class Model:
     center: np.ndarray | None = None
     scale: np.ndarray | None = None
     beta: np.ndarray | None = None
-    prior: float = 0.0
 
     def word_weight(self, word: str) -> float:
         weights = self.weights
@@ -219,7 +218,7 @@ class Model:
 
     def score(self, described: list[float]) -> float:
         if self.beta is None:
-            return self.prior
+            return 0.0
         z = self.beta[0] + float(np.dot((np.array(described) - self.center) / self.scale, self.beta[1:]))
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -298,7 +297,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     n = {(r["half"], r["y"]): r["n"] for r in sample.groupBy("half", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if any(not n.get((half, y)) for half in (0, 1) for y in (0, 1)):
-        model.prior = sum(v for (_, y), v in n.items() if y == 1) / max(1, sum(n.values()))
         return model
     seen = map_rows(sample, make_features, "f string, y int, half int", flush=16384)
     counts = stored(seen.groupBy("f").agg(*[
@@ -336,9 +334,6 @@ def sure_weights(counts: DataFrame, halves: list[int], n: dict[tuple[int, int],
 
 def fit(model: Model, x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> None:
     """Logistic regression by Newton steps on at most TRAIN_ROWS rows of four numbers."""
-    if not len(y) or y.min() == y.max():
-        model.prior = float(y.mean()) if len(y) else 0.0
-        return
     model.center, model.scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     z = np.column_stack([np.ones(len(y)), (x - model.center) / model.scale])
     beta, penalty = np.zeros(z.shape[1]), np.diag([0.0] + [ridge] * (z.shape[1] - 1))

@@ -31,7 +31,7 @@ from condmon.llm.components import components
 from condmon.session import stored
 
 FEW = 16       # groups that share an element or part and are paired directly
-BLOCK = 128    # classes compared with one another in one block of a big bucket
+BLOCK = 2048   # classes compared with one another in one block of a big bucket
 LEADERS = 3    # classes of a big bucket that the others are first compared with
 MIX, SPREAD = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9  # odd multipliers for mixing hashes
 SETS = ("d bigint, k bigint, c binary, n int, g bigint, prefix array<bigint>, sketch binary, label int, own array<int>, "
@@ -225,43 +225,76 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule) ->
     return map_rows(joined, make, "a binary, b binary")
 
 
-def block_pairs(members: DataFrame, rule: Rule) -> DataFrame:
-    """members (key, c, n, comp, sketch) -> pairs (a, b) of one key and different components that sketches allow.
+def block_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
+    """rows (key, guest, c, n, comp, sketch) -> pairs (a, b) of one key and different components that sketches allow.
 
-    The members of a key are dealt to blocks; every pair of blocks is one unit of work, which holds at most
-    some hundred sketches at a time, however many members a key has.
+    Hosts of a key are compared with one another and with its guests. Both are dealt to blocks of at most about BLOCK, and two
+    blocks are one unit of work, however many rows a key has.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    dealt = members.join(sizes, "key").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn(
-        "own", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int"))
-    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "c", "n", "comp", "sketch")
-    spread = units.repartition(F.col("key"), F.col("x"), F.col("y")).sortWithinPartitions("key", "x", "y", "own")
+    def blocks(guest: bool) -> Column:
+        return F.ceil(F.count_if(F.col("guest") == guest) / BLOCK).cast("int")
+
+    sizes = rows.groupBy("key").agg(blocks(False).alias("hosts"), blocks(True).alias("guests"))
+    dealt = rows.join(sizes, "key").withColumn(
+        "own", F.pmod(F.xxhash64("c"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("hosts"))).cast("int"))
+
+    def unit(side: int, x: Column, y: Column) -> Column:
+        return F.struct(F.lit(side).alias("side"), x.alias("x"), y.alias("y"))
+
+    def numbers(count: str) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.col(count)), lambda i: i < F.col(count))
+
+    own, hosts, guests = F.col("own"), numbers("hosts"), numbers("guests")
+    units = F.when(F.col("guest"), F.transform(hosts, lambda i: unit(1, i, own))).otherwise(F.concat(
+        F.transform(hosts, lambda i: unit(0, F.least(i, own), F.greatest(i, own))), F.transform(guests, lambda i: unit(1, own, i))))
+    spread = dealt.select("key", F.explode(units).alias("unit"), "guest", "own", "c", "n", "comp", "sketch")
+    ordered_ = spread.repartition("key", "unit").sortWithinPartitions("key", "unit")
 
     def make():
-        def run(rows) -> Iterator[tuple]:
+        def run(found) -> Iterator[tuple]:
             at, first, second = None, [], []
-            for r in rows:
-                unit = (r["key"], r["x"], r["y"])
+            for r in found:
+                unit = (r["key"], r["unit"])
                 if unit != at:
                     yield from compared(first, second, at, rule)
                     at, first, second = unit, [], []
-                (first if r["own"] == r["x"] else second).append((r["c"], r["n"], r["comp"], r["sketch"]))
+                mine = not r["guest"] if r["unit"]["side"] else r["own"] == r["unit"]["x"]
+                (first if mine else second).append((r["c"], r["n"], r["comp"], r["sketch"]))
             yield from compared(first, second, at, rule)
 
         return run
 
-    return map_rows(spread, make, "a binary, b binary", flush=16384)
+    return map_rows(ordered_, make, "a binary, b binary", flush=16384)
+
+
+def folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of one width in bytes, a row of 64-bit words each; longer ones are folded."""
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, width // 8), axis=0) for s in sketches])
 
 
 def compared(first: list, second: list, unit: tuple | None, rule: Rule) -> Iterator[tuple]:
-    if unit is None:
+    """Pairs of different components that can link; of one list when the unit is a block with itself."""
+    itself = unit is not None and not unit[1]["side"] and unit[1]["x"] == unit[1]["y"]
+    second = first if itself else second
+    if not first or not second:
+        return
+    codes = {comp: i for i, comp in enumerate({r[2] for r in first} | {r[2] for r in second})}
+    if len(codes) == 1:
         return
-    within = unit[1] == unit[2]
-    for i, (c, n, comp, sketch) in enumerate(first):
-        for c2, n2, comp2, sketch2 in (first[i + 1:] if within else second):
-            if comp != comp2 and rule.sizes_fit(n, n2) and apart(sketch, sketch2) <= rule.most_apart(n + n2):
-                yield c, c2
+    width = min(len(r[3]) for r in (*first, *second))
+    xs, ys = folded([r[3] for r in first], width), folded([r[3] for r in second], width)
+    nx, ny = (np.array([r[1] for r in rows], np.int64) for rows in (first, second))
+    cx, cy = (np.array([codes[r[2]] for r in rows]) for rows in (first, second))
+    step = max(1, (1 << 21) // (len(second) * (width // 8)))
+    for i in range(0, len(first), step):
+        part = slice(i, i + step)
+        both = nx[part, None] + ny[None, :]
+        differ = np.bitwise_count(xs[part, None, :] ^ ys[None, :, :]).sum(axis=2, dtype=np.int64)
+        fit = (cx[part, None] != cy[None, :]) & (differ <= both - 2 * -(-rule.percent * both // (100 + rule.percent)))
+        fit &= 100 * np.minimum(nx[part, None], ny[None, :]) >= rule.percent * np.maximum(nx[part, None], ny[None, :])
+        for x, y in zip(*np.nonzero(fit)):
+            if not itself or y > x + i:
+                yield first[x + i][0], second[y][0]
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -327,7 +360,7 @@ def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
 
     roots = components(links).withColumnRenamed("node", "c")
     so_far = stored(classes.join(roots, "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root"), "so-far")
-    rest = stored(block_pairs(_unsettled(so_far, groups, pairs, big, keys), rule).distinct(), "rest")
+    rest = stored(block_pairs(_unsettled(so_far, pairs, big, keys), rule).distinct(), "rest")
     more = stored(verified(rest, source, sets, rule), "more-links")
     return sets, components(links.unionByName(more))
 
@@ -340,28 +373,29 @@ def _parts(rows: DataFrame) -> DataFrame:
     return under(F.col("label"), "own").unionByName(under(F.col("label") + 1, "next"))
 
 
-def _unsettled(so_far: DataFrame, groups: DataFrame, pairs: DataFrame, big: DataFrame, keys: list[str]) -> DataFrame:
-    """(key, c, n, comp, sketch): members of groups, group pairs and big buckets that hold several components."""
-    def several(rows: DataFrame) -> DataFrame:
-        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        return rows.join(mixed.filter(F.col("lo") != F.col("hi")).select("key"), "key", "left_semi")
+def _unsettled(so_far: DataFrame, pairs: DataFrame, big: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows for `block_pairs`: the members of groups and big buckets that hold several components, and as guests of a group
+    the members of smaller groups paired with it. What is one component already is told by group, before members are joined."""
+    groups = stored(so_far.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")), "states")
+    shown = so_far.select("g", "c", "n", "comp", "sketch")
 
     def key(kind: int, *cols: str) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.hash(*cols).alias("x"), F.xxhash64(*cols).alias("y")).alias("key")
 
-    shown = so_far.select("g", "c", "n", "comp")
-    grown = groups.filter(F.col("size") > 1).select("g")
-    inside = several(shown.join(grown, "g").select(key(0, "g"), "c", "n", "comp"))
-    # Groups of one class were compared in full already; a pair is expanded when one of its groups has more.
-    sizes = groups.select("g", "size")
-    wide = (pairs.join(sizes.withColumnRenamed("g", "a").withColumnRenamed("size", "sa"), "a")
-            .join(sizes.withColumnRenamed("g", "b").withColumnRenamed("size", "sb"), "b")
-            .filter((F.col("sa") > 1) | (F.col("sb") > 1)))
-    ends = wide.select(F.explode(F.array("a", "b")).alias("g"), key(1, "a", "b"))
-    between = several(ends.join(shown, "g").select("key", "c", "n", "comp"))
-    crowds = several(big.select("g", key(2, *keys)).distinct().join(shown, "g").select("key", "c", "n", "comp"))
-    found = inside.unionByName(between).unionByName(crowds)
-    return found.join(so_far.select("c", "sketch"), "c")
+    def side(name: str) -> DataFrame:
+        return groups.select(F.col("g").alias(name), F.struct("size", F.col("g").alias("id"), "lo", "hi").alias(f"{name}_is"))
+
+    # Groups of one class were compared in full already; of the others the larger group of a pair is the host.
+    wide = (pairs.join(side("a"), "a").join(side("b"), "b").filter(F.greatest("a_is.size", "b_is.size") > 1)
+            .filter((F.least("a_is.lo", "b_is.lo") != F.greatest("a_is.hi", "b_is.hi"))))
+    hosted = stored(wide.select(F.greatest("a_is", "b_is")["id"].alias("host"), F.least("a_is", "b_is")["id"].alias("g")), "hosted")
+    hosts = hosted.select(F.col("host").alias("g")).unionByName(groups.filter(F.col("lo") != F.col("hi")).select("g")).distinct()
+    members = hosts.join(shown, "g").withColumn("key", key(0, "g")).withColumn("guest", F.lit(False))
+    guests = hosted.join(shown, "g").withColumn("key", key(0, "host")).withColumn("guest", F.lit(True)).drop("host")
+    mixed = (big.join(groups, "g").groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+             .filter(F.col("lo") != F.col("hi")).select(*keys))
+    crowds = (big.join(mixed, keys).select("g", key(1, *keys)).distinct().join(shown, "g").withColumn("guest", F.lit(False)))
+    return members.unionByName(guests).unionByName(crowds)
 
 
 def _labelled(sets: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:

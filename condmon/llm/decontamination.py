@@ -97,8 +97,9 @@ def united(spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text",
-                       item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with `n_words`, `hit_spans` (word positions, end exclusive) and `items`.
+                       item_id: str = "item_id", item_text: str = "text",
+                       results: tuple[str, str, str] = ("n_words", "hit_spans", "items")) -> DataFrame:
+    """docs with the number of words, the hit spans (word positions, end exclusive) and the items found, as `results` names them.
 
     The benchmark is sent to the tasks in shards of at most about SHARD_BYTES; each further shard is one more pass over the
     documents, and spans and items add up.
@@ -107,29 +108,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     id_type = items.schema["i"].dataType
-    out = docs.drop("n_words", "hit_spans", "items")
-    out = out.withColumns({"n_words": F.lit(0).cast("long"),
-                           "hit_spans": F.array().cast("array<struct<start:bigint,end:bigint>>"),
-                           "items": F.array().cast(f"array<{id_type.simpleString()}>")})
+    empty = (F.lit(0).cast("long"), F.array().cast("array<struct<start:bigint,end:bigint>>"),
+             F.array().cast(f"array<{id_type.simpleString()}>"))
+    out = docs.drop(*results).withColumns(dict(zip(results, empty)))
     for shard in range(shards):
         part = items.filter(F.pmod(F.xxhash64("t"), F.lit(shards)) == shard) if shards > 1 else items
         rows = [tuple(r) for r in part.toLocalIterator()]
-        out = _search(out, rows, window, text_col)
+        out = _search(out, rows, window, text_col, results)
         if shard + 1 < shards:
             out = stored(out, "decontaminated")
     return out
 
 
-def _search(docs: DataFrame, rows: list[tuple], window: int, text_col: str) -> DataFrame:
+def _search(docs: DataFrame, rows: list[tuple], window: int, text_col: str, results: tuple[str, str, str]) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(rows)
-    at, place = docs.columns.index(text_col), {c: i for i, c in enumerate(docs.columns)}
+    at, n_at, spans_at, items_at = (docs.columns.index(c) for c in (text_col, *results))
 
     def run(batches):
         search = searchers(shipped.value, window)
         for batch in batches:
             columns = list(batch.columns)
             texts = batch.column(at).to_pylist()
-            before = zip(batch.column(place["hit_spans"]).to_pylist(), batch.column(place["items"]).to_pylist())
+            before = zip(batch.column(spans_at).to_pylist(), batch.column(items_at).to_pylist())
             counts, spans, items = [], [], []
             for text, (old_spans, old_items) in zip(texts, before):
                 n, new_spans, new_items = hits_of(text, search)
@@ -137,8 +137,8 @@ def _search(docs: DataFrame, rows: list[tuple], window: int, text_col: str) -> D
                 spans.append([{"start": a, "end": b} for a, b in
                               united([*new_spans, *((s["start"], s["end"]) for s in old_spans)])])
                 items.append(sorted({*new_items, *old_items}))
-            for name, values in (("n_words", counts), ("hit_spans", spans), ("items", items)):
-                columns[place[name]] = pa.array(values, batch.schema.field(place[name]).type)
+            for place, values in ((n_at, counts), (spans_at, spans), (items_at, items)):
+                columns[place] = pa.array(values, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)

@@ -41,8 +41,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     prepare(spark)
-    found = decontamination.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter(F.size("hit_spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    n, spans, items = results = tuple(free_name(docs, c) for c in ("_words", "_hits", "_items"))
+    found = decontamination.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), results=results)
+    return found.filter(F.size(spans) == 0).drop(n, spans, items)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,9 +125,10 @@ def test_run_gives_the_rows_of_the_stages(spark, corpus):
 
 def test_stages_take_odd_rows_and_empty_tables(spark, corpus):
     folder, _, _ = corpus
-    odd = spark.createDataFrame([(1, None, None, None, None, "a"), (None, "same words in this line here", None, "s", 1, None),
+    clashing = SCHEMA.replace("extra", "hit_spans") + ", n_words string, score string, _text_key string, _line_keep string"
+    odd = spark.createDataFrame([(*r, "a", None, "c", "d") for r in [(1, None, None, None, None, "a"), (None, "same words in this line here", None, "s", 1, None),
                                  (2, "same words in this line here", "x", None, None, None), (2, "same words in this line here", "x", None, None, None),
-                                 (None, None, None, None, None, None), (3, "", "", "", 0, "")], SCHEMA)
+                                 (None, None, None, None, None, None), (3, "", "", "", 0, "")]], clashing)
     for rows in (odd, odd.limit(0)):
         docs = rows
         for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -249,10 +249,19 @@ def j2b(spark, sf):
 @query("J3_boosted_trees")
 def j3(spark, sf):
     df = vectors(spark, sf)
-    model = rg.fit_boosted(df, NAMES, "wear", F.col("split") == "train", "vec_id", rounds=8, depth=3, step=0.3)
+    model = rg.fit_boosted(df, NAMES, "wear", F.col("split") == "train", "vec_id", depth=3, step=0.5, patience=2)
     return er.error_by_class(model.transform(df), "pred", "wear", keys=["split"])
 
 
+@query("J3_boosted_beats_mean", f"""WITH {VEC} SELECT split, count(*) AS n, true AS better FROM vec WHERE split = 'train' GROUP BY split""")
+def j3_better(spark, sf):
+    df, train = vectors(spark, sf), F.col("split") == "train"
+    model = rg.fit_boosted(df, NAMES, "wear", train, "vec_id", depth=3, step=0.5, patience=2)
+    trees = er.error_by_class(model.transform(df), "pred", "wear", keys=["split"]).select("split", "n", F.col("overall").alias("a"))
+    mean = er.error_by_class(er.mean_baseline(df, "wear", train), "pred", "wear", keys=["split"]).select("split", F.col("overall").alias("b"))
+    return trees.filter("split = 'train'").join(mean, "split").select("split", "n", (F.col("a") < F.col("b")).alias("better"))
+
+
 @query("J4_mean_baseline", f"""WITH {VEC} SELECT split, avg(abs(wear - (SELECT avg(wear) FROM vec WHERE split = 'train'))) AS overall, count(*) AS n
     FROM vec GROUP BY split""", "overall")
 def j4(spark, sf):
@@ -378,14 +387,41 @@ def k7(spark, sf):
     return rp.comparison(s.runs(spark, sf))
 
 
-K9 = ("splits", "wear_bins", "stages", "type_counts", "sync_errors")
-
-
 @query("K9_eda_bundle_counts", f"""WITH {LAB} SELECT 'splits' AS tab, split AS item, count(*) AS n FROM lab WHERE wear IS NOT NULL GROUP BY split
     UNION ALL SELECT 'type_counts', type, count(*) FROM lab GROUP BY type
-    UNION ALL SELECT 'sync_errors', CAST(sid AS VARCHAR), count(*) - count(*) FILTER (both_ok) FROM lab GROUP BY sid""")
+    UNION ALL SELECT 'sync_errors', CAST(sid AS VARCHAR), count(*) - count(*) FILTER (both_ok) FROM lab GROUP BY sid
+    UNION ALL SELECT 'wear_bins', CASE WHEN wear < 0 THEN NULL WHEN wear < 50 THEN '0–50' WHEN wear < 100 THEN '50–100' WHEN wear < 150 THEN '100–150'
+        WHEN wear < 200 THEN '150–200' WHEN wear < 300 THEN '200–300' WHEN wear < 450 THEN '300–450' WHEN wear < 1000 THEN '>450' END, count(*)
+        FROM lab WHERE wear IS NOT NULL GROUP BY 2
+    UNION ALL SELECT 'stages', stage, count(*) FROM (SELECT unnest([CASE WHEN wear < 80 THEN 'low' END, CASE WHEN wear >= 80 AND wear < 200 THEN 'mid' END,
+        CASE WHEN wear >= 200 THEN 'high' END, CASE WHEN type IN ('adhesion', 'flank_wear+adhesion') THEN 'adhesion' END]) AS stage
+        FROM lab WHERE wear IS NOT NULL) WHERE stage IS NOT NULL GROUP BY stage
+    UNION ALL SELECT 'recordings_per_set', CAST(sid AS VARCHAR), count(*) FROM lab WHERE has_sensor GROUP BY sid
+    UNION ALL SELECT 'trajectories', CAST(sid AS VARCHAR), count(wear) FROM lab WHERE wear IS NOT NULL GROUP BY sid
+    UNION ALL SELECT 'set_params', CAST(sid AS VARCHAR), count(wear) FROM lab WHERE wear IS NOT NULL GROUP BY sid
+    UNION ALL SELECT 'life', CAST(sid AS VARCHAR), count(*) FROM lab WHERE wear IS NOT NULL GROUP BY sid
+    UNION ALL SELECT 'wear_histogram', 'all', count(*) FROM lab WHERE wear IS NOT NULL
+    UNION ALL SELECT 'wear_histogram_by_type', type, count(*) FROM lab WHERE wear IS NOT NULL GROUP BY type
+    UNION ALL SELECT 'wear_histogram_by_split', split, count(*) FROM lab WHERE wear IS NOT NULL GROUP BY split
+    UNION ALL SELECT 'integrity', 'total', count(*) FROM lab
+    UNION ALL SELECT 'wear_describe', 'count', count(wear) FROM lab""")
 def k9(spark, sf):
     b = eda.eda_bundle(s.labels(spark, sf), s.params(spark, sf).withColumnRenamed("set_id", "Set"))
     def rows(tab, item, n):
         return b[tab].select(F.lit(tab).alias("tab"), F.col(item).cast("string").alias("item"), F.col(n).alias("n"))
-    return rows("splits", "split", "n_samples").union(rows("type_counts", "type", "n")).union(rows("sync_errors", "Set", "sync_errors"))
+
+    def summed(tab, item, n):
+        return b[tab].groupBy(item.alias("item")).agg(F.sum(n).cast("long").alias("n")).select(F.lit(tab).alias("tab"), "item", "n")
+
+    parts = [rows("splits", "split", "n_samples"), rows("type_counts", "type", "n"), rows("sync_errors", "Set", "sync_errors"),
+             rows("wear_bins", "wear_bin", "n"), rows("stages", "stage", "n"), rows("recordings_per_set", "Set", "n_recordings"),
+             rows("trajectories", "Set", "n"), rows("set_params", "Set", "n"),
+             summed("life", F.col("Set").cast("string"), F.lit(1)),
+             summed("wear_histogram", F.lit("all"), F.col("n")), summed("wear_histogram_by_type", F.col("type"), F.col("n")),
+             summed("wear_histogram_by_split", F.col("split"), F.col("n")),
+             b["integrity"].select(F.lit("integrity").alias("tab"), F.lit("total").alias("item"), F.col("total").alias("n")),
+             b["wear_describe"].select(F.lit("wear_describe").alias("tab"), F.lit("count").alias("item"), F.col("count").alias("n"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -64,6 +64,19 @@ def i1(spark, sf):
     return ft.features_v1(s.recordings(spark, sf))
 
 
+def _subset_check(subset: str) -> None:
+    cols = ft.subset_names(subset)
+    wide = pivot_sql(V1.format(src="long", pre=""), list(ft.V1_PARTS))
+
+    @query(f"B18_subset_{subset}", f"WITH {LONG}, {spectrum_sql('long')} SELECT recording_id, {', '.join(cols)} FROM ({wide})", " ".join(cols))
+    def run(spark, sf):
+        return ft.select_features(ft.features_v1(s.recordings(spark, sf)), subset)
+
+
+for _subset in ("raw25", "top25", "all40"):
+    _subset_check(_subset)
+
+
 @query("I3_spectrum", f"WITH {LONG}, {spectrum_sql('long')} SELECT recording_id, channel, bin, freq, power FROM spec WHERE bin > 0", "freq power", 4)
 def i3(spark, sf):
     return sp.spectrum(s.recordings(spark, sf)).filter("bin > 0")

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from condmon.constants import WEAR_CAP_UM
 from condmon.evaluate.errors import error_by_class
 from condmon.evaluate.scaler import Scaler
+from condmon.operators.skew import rank_in_group
+from condmon.session import stored
 
 CLIP = (0.0, WEAR_CAP_UM)
 
@@ -71,11 +73,13 @@ def fit_ridge(df: DataFrame, cols: Sequence[str], label: str, train: Column, alp
 
 
 def fit_boosted(df: DataFrame, cols: Sequence[str], label: str, train: Column, key: str, seed: int = 42,
-                es_frac: float = 0.15, min_es: int = 30, rounds: int = 100, depth: int = 5, step: float = 0.03,
-                clip: tuple[float, float] | None = CLIP) -> FittedModel:
+                es_frac: float = 0.15, min_es: int = 30, rounds: int = 3000, depth: int = 5, step: float = 0.03,
+                patience: int = 150, clip: tuple[float, float] | None = CLIP) -> FittedModel:
     """Gradient-boosted trees on absolute loss; the best round is chosen on a slice of the training rows.
 
-    The slice is the rows with the lowest hash of their key, max(min_es, es_frac * n) of them in expectation.
+    Training ends when the slice has seen no better round for `patience` rounds, or at `rounds`. Spark's trees cannot be
+    continued, so the number of rounds is doubled until patience runs out; a longer fit begins with the same trees.
+    The slice is the max(min_es, es_frac * n) rows with the lowest hash of their key.
     Missing values take the training mean plus an indicator column where a feature has any.
     """
     rows = df.filter(train & F.col(label).isNotNull())
@@ -92,19 +96,35 @@ def fit_boosted(df: DataFrame, cols: Sequence[str], label: str, train: Column, k
             return VectorAssembler(inputCols=self.cols + self.extra, outputCol="_x").transform(scaled)
 
     fitted = Flagged(None, list(cols), scaler, clip, list(flags))
-    share = max(min_es / max(counts["_n"], 1), es_frac)
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    marked = fitted.design(rows.withColumn("_es", draw < share))
+    wanted = min(counts["_n"] // 2, max(min_es, int(es_frac * counts["_n"])))
+    place = rank_in_group(rows.withColumn("_draw", F.xxhash64(F.col(key), F.lit(seed))), [], [F.col("_draw"), F.col(key)], "_place")
+    marked = stored(fitted.design(place.withColumn("_es", F.col("_place") < wanted).drop("_draw", "_place")), "boosting")
+    held, used = marked.filter(F.col("_row._es")), marked.filter(~F.col("_row._es"))
     trees = GBTRegressor(
-        featuresCol="_x", labelCol=label, lossType="absolute", maxDepth=depth, stepSize=step, maxIter=rounds,
+        featuresCol="_x", labelCol=label, lossType="absolute", maxDepth=depth, stepSize=step,
         subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=10, seed=seed)
-    model = trees.fit(marked.filter(~F.col("_row._es")))
-    losses = model.evaluateEachIteration(marked.filter(F.col("_row._es")), "absolute")
-    best = int(np.argmin(losses)) + 1 if losses else rounds
-    fitted.model = trees.copy({trees.maxIter: best}).fit(marked.filter(~F.col("_row._es"))) if best < rounds else model
+    tried = min(rounds, 2 * patience)
+    while True:
+        model = trees.copy({trees.maxIter: tried}).fit(used)
+        best, ended = best_round(model.evaluateEachIteration(held, "absolute"), patience)
+        if ended or tried >= rounds:
+            break
+        tried = min(rounds, 2 * tried)
+    fitted.model = trees.copy({trees.maxIter: best}).fit(used) if best < tried else model
     return fitted
 
 
+def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
+    """The best round (from 1) when training ends after `patience` rounds without a better one, and whether it ended."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
 # Leave-one-group-out ridge from additive sums
 
 def _sums(df: DataFrame, group: str, cols: list[str], label: str) -> DataFrame:

@@ -24,6 +24,8 @@ def tune(spark: SparkSession) -> SparkSession:
     # A hot recording or set is split at join time even if that costs one more exchange.
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    # Other parts of the library set these lower for a session with long texts.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return spark
 
 

@@ -4,9 +4,10 @@
 2. The elements of a set have one global order, that of their hashes. Two sets that link share an element of their prefixes.
    Classes with the same prefix and size are one group, known by a hash (a chance meeting of two groups adds
    candidates and loses none).
-3. Groups that share a prefix element held by few groups are paired directly. An element held by many would pair
-   all of them, so these must also agree on a part signature of some of their members: the hash range is cut into one part
-   more than two linked sets can differ in elements, so at least one part of theirs is equal.
+3. Groups that share a prefix element held by few groups are paired directly, or by few groups in a range of sizes that
+   linked sets share. An element held by more would pair all of them, so these must also agree on a part signature of
+   some of their members: the hash range is cut into one part more than two linked sets can differ in elements, so at
+   least one part of theirs is equal.
 4. Pairs pass a parity sketch (differing bits never exceed differing elements), and then the sets themselves are compared.
 5. Only components are wanted, so within groups and big buckets classes are first compared with a few leaders.
    Where that leaves several components in one group or bucket, its remaining pairs are all tested on their sketches, in blocks,
@@ -30,7 +31,7 @@ from condmon.llm.common import free_name, map_rows, named
 from condmon.llm.components import components
 from condmon.session import stored
 
-FEW = 16       # groups that share an element or part and are paired directly
+FEW = 32       # groups that share an element or part and are paired directly
 BLOCK = 2048   # classes compared with one another in one block of a big bucket
 LEADERS = 3    # classes of a big bucket that the others are first compared with
 MIX, SPREAD = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9  # odd multipliers for mixing hashes
@@ -64,6 +65,13 @@ class Rule:
     def next_top(self, top: int) -> int:
         return max(top + 1, (top + 1) * 100 // self.percent)
 
+    def label_of(self, n: Column) -> Column:
+        """The number of the size interval, as a column."""
+        tops = [1]
+        while tops[-1] < 1 << 31:
+            tops.append(self.next_top(tops[-1]))
+        return F.size(F.filter(F.lit(tops), lambda top: top < n))
+
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's word n-grams."""
@@ -341,7 +349,11 @@ def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
 
     postings = stored(shared(filled.select(F.explode("prefix").alias("e"), "g", "n"), ["e"]), "postings")
     cold = paired(postings.filter(F.col("m") <= FEW), ["e"], rule)
-    crowded = postings.filter(F.col("m") > FEW).select("g").distinct()
+    label = rule.label_of(F.col("n"))
+    sized = stored(shared(postings.filter(F.col("m") > FEW).select(
+        "e", "g", "n", F.explode(F.array(label, label + 1)).alias("label")), ["e", "label"]), "sized-postings")
+    cold = cold.unionByName(paired(sized.filter(F.col("m") <= FEW), ["e", "label"], rule))
+    crowded = sized.filter(F.col("m") > FEW).select("g").distinct()
     keys = ["label", "part", "sig"]
     buckets = stored(shared(_parts(filled.join(crowded, "g", "left_semi")), keys), "buckets")
     small = paired(buckets.filter(F.col("m") <= FEW), keys, rule)

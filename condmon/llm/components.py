@@ -13,21 +13,24 @@ def _with_minimum(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u").withColumn("m", F.least("u", "m"))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Does every u have one edge, and no v an edge of its own?"""
+    ends = (edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+            .unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"))))
+    sums = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return sums.filter((F.col("out") > 1) | (F.col("out") + F.col("into") > 1)).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, root): root is the smallest node reachable. Only nodes with an edge come out."""
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                  .filter(F.col("u") != F.col("v")).distinct(), "edges")
-    state = None
-    while True:
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_minimum(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = _with_minimum(large.filter(F.col("u") != F.col("v")).distinct())
         small = (down.select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(down.select("u", F.col("m").alias("v"))))
         now = stored(small.filter(F.col("u") != F.col("v")).distinct(), "edges")
-        found = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
-        if found == state:
-            break
-        state = found
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

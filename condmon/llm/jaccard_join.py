@@ -370,11 +370,14 @@ def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     candidates = stored(sketched(tried, classes, rule), "candidates")
     links = stored(verified(candidates, source, sets, rule), "links")
 
-    roots = components(links).withColumnRenamed("node", "c")
-    so_far = stored(classes.join(roots, "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root"), "so-far")
+    roots = components(links)
+    so_far = stored(classes.join(roots.withColumnRenamed("node", "c"), "c", "left")
+                    .withColumn("comp", F.coalesce("root", "c")).drop("root"), "so-far")
     rest = stored(block_pairs(_unsettled(so_far, pairs, big, keys), rule).distinct(), "rest")
+    if rest.isEmpty():
+        return sets, roots
     more = stored(verified(rest, source, sets, rule), "more-links")
-    return sets, components(links.unionByName(more))
+    return sets, components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def _parts(rows: DataFrame) -> DataFrame:

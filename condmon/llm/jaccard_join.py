@@ -322,20 +322,24 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sets, roots = _linked(docs, words, percent, id_col, text_col)
     of_set = sets.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     rows = of_set.groupBy("root", "d", "k").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
+    rows = rows.filter(F.col("n") > 0)
     first = F.min(F.struct(F.col("d").isNull().alias("last"), "d", "k", "rows"))
-    chosen = rows.filter(F.col("n") > 0).groupBy("root").agg(first.alias("f")).select("f.d", "f.k", "f.rows")
-    empty = of_set.filter(F.col("n") == 0).select("d", "k").distinct().withColumn("rows", F.lit(1).cast("long"))
-    stays = stored(chosen.unionByName(empty), "stays")
-    key, mark = free_name(docs, "_text_key"), free_name(docs, "_stays")
+    chosen = stored(rows.groupBy("root").agg(first.alias("f")).select(
+        "root", F.col("f.d").alias("fd"), F.col("f.k").alias("fk"), F.col("f.rows").alias("rows")), "chosen")
+    other = rows.drop("rows").join(chosen.drop("rows"), "root")
+    removed = stored(other.filter(~(F.col("d").eqNullSafe(F.col("fd")) & (F.col("k") == F.col("fk")))).select("d", "k"), "removed")
+    again = chosen.filter(F.col("rows") > 1).select(F.col("fd").alias("d"), F.col("fk").alias("k"))
+    key = free_name(docs, "_text_key")
     keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
 
-    def rows_at(found: DataFrame) -> DataFrame:
-        marks = found.select(F.struct("d", "k").alias(mark))
-        return keyed.join(marks, (F.col(key) == F.col(f"{mark}.k")) & F.col(f"`{id_col}`").eqNullSafe(F.col(f"{mark}.d")))
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        names = [free_name(docs, "_text_d"), free_name(docs, "_text_k")]
+        return left.join(right.toDF(*names), (F.col(key) == F.col(names[1])) & F.col(f"`{id_col}`").eqNullSafe(F.col(names[0])), how)
 
-    single = rows_at(stays.filter(F.col("rows") == 1))
-    repeated = rows_at(stays.filter(F.col("rows") > 1)).dropDuplicates([key])
-    return single.unionByName(repeated).drop(key, mark)
+    kept = joined(keyed, removed, "left_anti")
+    if not again.isEmpty():  # rows of one chosen document that repeat, of which one stays
+        kept = joined(kept, again, "left_anti").unionByName(joined(kept, again, "left_semi").dropDuplicates([key]))
+    return kept.drop(key)
 
 
 def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

@@ -19,7 +19,9 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,12 @@ MARKS = ".-_*~'/"
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 OTHER, EDGE = "?", "^"
 COST_LEET, COST_LITERAL, COST_DROP_MARK, COST_DROP_REPEAT, COST_KEEP_REPEAT = 1.5, 6.0, 0.5, 0.7, 2.5
+COST_JOIN = 3.0     # a wide gap between spelled letters that ends no word
+LIKELY = 5.0        # how much costlier than the best a division of spelled letters into words may be
+SETTLED = 256       # symbols after which the letters that all readings share are written out
 
-SPELLED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
+SPELLED = re.compile(r"(?<!\S)\S(?:\s++\S){2,}(?!\S)")
+GAP = re.compile(r"\s+")
 REPEATED = re.compile(r"(.)\1\1")
 EDGES = ".,;:!?\"'()[]{}<>%#&*$|-_=~`^/\\"
 
@@ -116,24 +122,38 @@ class Decoder:
             self.known[key] = found
         return found
 
-    def decode(self, token: str) -> str:
-        """The likeliest word behind a lower-case token."""
-        best: dict[str, tuple[float, str]] = {EDGE + EDGE: (0.0, "")}
-        before = ""
-        for symbol in token:
+    def decode(self, token: Sequence[str], breaks: bool = False) -> str:
+        """The likeliest word behind a lower-case token.
+
+        With `breaks`, the likeliest words behind spelled-out letters, with blanks between them: a word may end before any
+        letter, is likely to end at a blank, and a letter that comes just twice is meant. What all readings share is written
+        out on the way, so the work and the memory are linear in the length.
+        """
+        start = EDGE + EDGE
+        best: dict[str, tuple[float, str]] = {start: (0.0, "")}
+        before, done = "", []
+        for at, symbol in enumerate(token):
             after: dict[str, tuple[float, str]] = {}
 
             def offer(state: str, cost: float, text: str) -> None:
                 if state not in after or cost < after[state][0]:
                     after[state] = (cost, text)
 
+            if breaks:
+                ends = ((spent + self.cost(state, EDGE), text + " ") for state, (spent, text) in best.items() if state != start)
+                ended = min(ends, default=None)
+                if ended and (start not in best or ended[0] < best[start][0]):
+                    best[start] = ended
+                if symbol == " ":
+                    best = {state: (spent + (state != start) * COST_JOIN, text) for state, (spent, text) in best.items()}
+                    continue
             readings = [(x, COST_LEET) for x in LEET.get(symbol, "")]
             letter = plain(symbol)
             readings.append((symbol, 0.0 if letter in ALPHABET else COST_LITERAL))
             for state, (spent, text) in best.items():
                 if symbol in MARKS:
                     offer(state, spent + COST_DROP_MARK, text)
-                repeat = symbol == before and bool(text)
+                repeat = symbol == before and bool(text) and not (breaks and twice(token, at))
                 if repeat:
                     offer(state, spent + COST_DROP_REPEAT, text)
                 for reading, extra in readings:
@@ -142,8 +162,57 @@ class Decoder:
                         extra_now = extra + (COST_KEEP_REPEAT if repeat and text.endswith(reading) else 0.0)
                         offer(state[1] + c, spent + extra_now + self.cost(state, c), text + reading)
             best, before = after, symbol
-        ends = ((spent + self.cost(state, EDGE), text) for state, (spent, text) in best.items())
-        return min(ends, default=(0.0, token))[1]
+            if at % SETTLED == SETTLED - 1:
+                shared = len(commonprefix([text for _, text in best.values()])) - 1
+                if shared > 0:
+                    done.append(next(iter(best.values()))[1][:shared])
+                    best = {state: (spent, text[shared:]) for state, (spent, text) in best.items()}
+        ends = ((spent + (0.0 if breaks and state == start else self.cost(state, EDGE)), text) for state, (spent, text) in best.items())
+        return "".join(done) + min(ends, default=(0.0, ""))[1]
+
+
+def twice(token: Sequence[str], at: int) -> bool:
+    """Whether the symbol at a place equals the one before it, and no third one stands beside them."""
+    return not (at >= 2 and token[at - 2] == token[at]) and not (at + 1 < len(token) and token[at + 1] == token[at])
+
+
+def likely_words(letters: str, decoder: Decoder) -> set[str]:
+    """All words in some division of the letters that is at most LIKELY costlier than the best one.
+
+    Trigrams leave it open whether `anidiot` is one word or two, so each reading near the best counts. Costs up to a
+    place and from it on are minimal sums over states (before a word, inside one), found in one pass each way.
+    """
+    n, cost = len(letters), decoder.cost
+    h = [(plain(c) if c.isalpha() else OTHER)[:1] or OTHER for c in letters]
+    first = [cost(EDGE + EDGE, c) for c in h]
+    second = [0.0, *(cost(EDGE + a, b) for a, b in zip(h, h[1:]))]
+    later = [0.0, 0.0, *(cost(a + b, c) for a, b, c in zip(h, h[1:], h[2:]))]
+    single = [math.inf, *(cost(EDGE + a, EDGE) for a in h)]      # ends of words of one letter
+    end = [math.inf, math.inf, *(cost(a + b, EDGE) for a, b in zip(h, h[1:]))]
+    to, inside = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
+    for j in range(1, n + 1):
+        if j > 1:
+            inside[j] = min(inside[j - 1] + later[j - 1], to[j - 2] + first[j - 2] + second[j - 1])
+        to[j] = min(inside[j] + end[j], to[j - 1] + first[j - 1] + single[j])
+    rest, within = [math.inf] * n + [0.0], [math.inf] * (n + 2)
+    for i in range(n, -1, -1):
+        if i < n:
+            rest[i] = first[i] + single[i + 1] + rest[i + 1]
+            if i + 1 < n:
+                rest[i] = min(rest[i], first[i] + second[i + 1] + within[i + 2])
+        within[i] = min(end[i] + rest[i], later[i] + within[i + 1] if i < n else math.inf)
+    most, words = to[n] + LIKELY, set()
+    for i in range(n):
+        if to[i] + rest[i] > most:
+            continue
+        if to[i] + first[i] + single[i + 1] + rest[i + 1] <= most:
+            words.add(letters[i])
+        spent, j = to[i] + first[i] + (second[i + 1] if i + 1 < n else math.inf), i + 2
+        while j <= n and spent + within[j] <= most:
+            if spent + end[j] + rest[j] <= most:
+                words.add(letters[i:j])
+            spent, j = spent + (later[j] if j < n else math.inf), j + 1
+    return words
 
 
 def disguised(token: str) -> bool:
@@ -176,12 +245,25 @@ def restored(token: str, decoder: Decoder) -> str:
     return decoder.decode(core) if disguised(core) else core.strip(EDGES)
 
 
-def spelled_words(low: str, tokens: set[str], decoder: Decoder) -> list[str]:
-    """Words written letter by letter with spaces between."""
-    if sum(len(t) == 1 for t in tokens) < 3:
-        return []
-    runs = [m[0].split(" ") for m in SPELLED.finditer(low)]
-    return [decoder.decode("".join(run)[:2 * LONGEST_TOKEN]) for run in runs if sum(map(str.isalpha, run)) * 2 > len(run)]
+def spelled_words(low: str, tokens: set[str], decoder: Decoder) -> set[str]:
+    """Words written letter by letter with white space between; gaps wider than the narrowest are likely to part words."""
+    if not any(len(t) == 1 for t in tokens):
+        return set()
+    words = set()
+    for m in SPELLED.finditer(low):
+        letters = m[0].split()
+        if not any(c.isalpha() or c in LEET for c in letters):
+            continue
+        gaps = [len(g) for g in GAP.findall(m[0])]
+        narrow = min(gaps)
+        symbols = [letters[0]]
+        for c, gap in zip(letters[1:], gaps):
+            symbols += [" ", c] if gap > narrow else [c]
+        # Punctuation that stands for no letter parts words.
+        symbols = [" " if c in EDGES and c not in LEET and c not in MARKS else c for c in symbols]
+        best = decoder.decode(symbols, breaks=True).split()
+        words.update(best, likely_words("".join(best), decoder))
+    return words
 
 
 def restored_words(text: str | None, decoder: Decoder) -> set[str]:

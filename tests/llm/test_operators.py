@@ -364,6 +364,24 @@ def test_decoder_restores_disguised_words():
     assert toxicity.restored_words(None, decoder) == set()
 
 
+def small_decoder():
+    trigrams = Counter()
+    for word, n in (("idiot", 40), ("stupid", 40), ("ass", 40), ("the", 400), ("you", 300), ("are", 300), ("an", 300), ("scum", 30)):
+        s = f"^^{word}^"
+        for i in range(len(s) - 2):
+            trigrams[s[i:i + 3]] += n
+    return toxicity.Decoder(trigrams)
+
+
+def test_spelled_passages_are_read_word_by_word_to_their_end():
+    decoder = small_decoder()
+    said = lambda text: toxicity.restored_words(text, decoder)
+    assert {"you", "are", "an", "idiot"} <= said("y o u a r e a n i d i o t")
+    assert "idiot" in said(" ".join("youarethe" * 60) + " i d i o t") and "idiot" in said("i  d  i  o  t")
+    assert "idiot" in said("i\td\ti\no\nt") and "ass" in said("you a s s") and "idiot" in said("1 d 1 0 t")
+    assert decoder.decode(list("youare" * 500), breaks=True).split() == ["you", "are"] * 500
+
+
 def test_toxicity_edges(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (None, 1), (2, None)], "doc_id bigint, toxic int")
     model = toxicity.train(odd, labels)

@@ -37,12 +37,13 @@ SURENESS = 1.64         # standard errors taken off a log odds ratio
 LEAST_WEIGHT = 0.5
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 CACHED_TOKENS = 200_000
-LONGEST_TOKEN = 32      # longer tokens are keys, links and the like, not disguised words
+LONGEST_TOKEN = 32      # longer words do not count in the language model; they are decoded all the same
 
 # What characters stand for in leetspeak, and the marks put between spelled-out letters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a",
         "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 MARKS = ".-_*~'/"
+OPEN_OR_END = "!("
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 OTHER, EDGE = "?", "^"
 COST_LEET, COST_LITERAL, COST_DROP_MARK, COST_DROP_REPEAT, COST_KEEP_REPEAT = 1.5, 6.0, 0.5, 0.7, 2.5
@@ -53,6 +54,7 @@ SETTLED = 256       # symbols after which the letters that all readings share ar
 SPELLED = re.compile(r"(?<!\S)\S(?:\s++\S){2,}(?!\S)")
 GAP = re.compile(r"\s+")
 REPEATED = re.compile(r"(.)\1\1")
+LONG_RUN = re.compile(r"(.)\1{3,}", re.S)
 EDGES = ".,;:!?\"'()[]{}<>%#&*$|-_=~`^/\\"
 
 
@@ -122,9 +124,11 @@ class Decoder:
             self.known[key] = found
         return found
 
-    def decode(self, token: Sequence[str], breaks: bool = False) -> str:
+    def decode(self, token: Sequence[str], breaks: bool = False, head: int = 0, tail: int = 0, exact: bool = False) -> str:
         """The likeliest word behind a lower-case token.
 
+        The first `head` and last `tail` characters may be punctuation and be dropped. With `exact` no repeat is dropped.
+
         With `breaks`, the likeliest words behind spelled-out letters, with blanks between them: a word may end before any
         letter, is likely to end at a blank, and a letter that comes just twice is meant. What all readings share is written
         out on the way, so the work and the memory are linear in the length.
@@ -151,15 +155,15 @@ class Decoder:
             letter = plain(symbol)
             readings.append((symbol, 0.0 if letter in ALPHABET else COST_LITERAL))
             for state, (spent, text) in best.items():
-                if symbol in MARKS:
+                if symbol in MARKS or at < head or at >= len(token) - tail:
                     offer(state, spent + COST_DROP_MARK, text)
                 repeat = symbol == before and bool(text) and not (breaks and twice(token, at))
-                if repeat:
+                if repeat and not exact:
                     offer(state, spent + COST_DROP_REPEAT, text)
                 for reading, extra in readings:
                     heard = plain(reading) if reading.isalpha() else OTHER
                     for c in heard[:1]:
-                        extra_now = extra + (COST_KEEP_REPEAT if repeat and text.endswith(reading) else 0.0)
+                        extra_now = extra + (COST_KEEP_REPEAT if repeat and not exact and text.endswith(reading) else 0.0)
                         offer(state[1] + c, spent + extra_now + self.cost(state, c), text + reading)
             best, before = after, symbol
             if at % SETTLED == SETTLED - 1:
@@ -217,7 +221,7 @@ def likely_words(letters: str, decoder: Decoder) -> set[str]:
 
 def disguised(token: str) -> bool:
     """Letters mixed with leet characters or marks, or a letter three times in a row."""
-    if not 3 <= len(token) <= LONGEST_TOKEN:
+    if len(token) < 3:
         return False
     if token.isalpha():
         return REPEATED.search(token) is not None
@@ -225,24 +229,39 @@ def disguised(token: str) -> bool:
     return letters > 0 and all(c.isalpha() or c in LEET or c in MARKS for c in token)
 
 
-def trimmed(token: str) -> str:
-    """Punctuation off both ends, but a single leet character before or after letters stays."""
+def all_leet(token: str) -> bool:
+    """Leet characters and marks alone, which may be a word or a number."""
+    return len(token) >= 3 and any(c in LEET for c in token) and all(c in LEET or c in MARKS for c in token)
+
+
+def edges(token: str) -> tuple[str, str, str]:
+    """(core, head, tail): a token without punctuation, and the leet characters among the punctuation before and after it."""
     core = token.strip(EDGES)
-    at = token.find(core) if core else 0
-    if not core:
-        return core
-    head, tail = token[:at], token[at + len(core):]
-    if len(head) == 1 and head in LEET:
-        core = head + core
-    if len(tail) == 1 and tail in LEET and tail not in "!":
-        core += tail
-    return core
+    at = token.find(core) if core else len(token)
+    head, tail = ("".join(c for c in part if c in LEET) for part in (token[:at], token[at + len(core):]))
+    return core, head, tail
 
 
-def restored(token: str, decoder: Decoder) -> str:
-    """The word behind a lower-case token; empty for punctuation."""
-    core = trimmed(token)
-    return decoder.decode(core) if disguised(core) else core.strip(EDGES)
+def restored(token: str, decoder: Decoder) -> set[str]:
+    """The words that may be behind a lower-case token; none for punctuation.
+
+    Leet characters at an edge may be letters or punctuation, and leet characters alone a number: each reading is
+    a word of its own.
+    """
+    core, head, tail = edges(token)
+    if core.isalpha() and not head and not tail and not REPEATED.search(core):
+        return {core}
+    core, head, tail = (LONG_RUN.sub(r"\1\1\1", part) for part in (core, head, tail))
+    words = {decoder.decode(core) if disguised(core) else core}
+    # Marks that also end or open sentences may stand outside those that are letters.
+    for before in {"", head, head.lstrip(OPEN_OR_END)}:
+        for after in {"", tail, tail.rstrip(OPEN_OR_END)}:
+            whole = before + core + after
+            if all_leet(whole) or (before or after) and disguised(whole):
+                words.add(decoder.decode(whole, head=len(before), tail=len(after)))
+                words.add(decoder.decode(REPEATED.sub(r"\1\1", whole), exact=True))
+    words.discard("")
+    return words
 
 
 def spelled_words(low: str, tokens: set[str], decoder: Decoder) -> set[str]:
@@ -270,9 +289,8 @@ def restored_words(text: str | None, decoder: Decoder) -> set[str]:
     """The distinct words of a text after deobfuscation."""
     low = (text or "").lower()
     tokens = set(low.split())
-    found = {restored(t, decoder) for t in tokens}
+    found = {word for t in tokens for word in restored(t, decoder)}
     found.update(spelled_words(low, tokens, decoder))
-    found.discard("")
     return found
 
 
@@ -312,12 +330,11 @@ class Describer:
         self.model, self.decoder, self.known = model, decoder, {}
 
     def look_up(self, token: str) -> tuple:
-        """(word, weight) behind a token, or nothing for a word without weight."""
-        word = restored(token, self.decoder)
-        weight = self.model.word_weight(word)
+        """(word, weight) of each word behind a token that has a weight."""
+        weighed = ((word, self.model.word_weight(word)) for word in restored(token, self.decoder))
         if len(self.known) >= CACHED_TOKENS:
             self.known.clear()
-        found = (word, weight) if weight > 0 else ()
+        found = tuple((word, weight) for word, weight in weighed if weight > 0)
         if len(token) <= 2 * LONGEST_TOKEN:
             self.known[token] = found
         return found
@@ -332,7 +349,7 @@ class Describer:
             if hit is None:
                 hit = self.look_up(token)
             if hit:
-                found[hit[0]] = hit[1]
+                found.update(hit)
         for word in spelled_words(low, tokens, self.decoder):
             if (weight := self.model.word_weight(word)) > 0:
                 found[word] = weight

@@ -382,6 +382,17 @@ def test_spelled_passages_are_read_word_by_word_to_their_end():
     assert decoder.decode(list("youare" * 500), breaks=True).split() == ["you", "are"] * 500
 
 
+@pytest.mark.parametrize("token,meant", [
+    ("idi" + "o" * 60 + "t", "idiot"), ("i.d." * 1 + "i.o." + "." * 40 + "t", "idiot"), ("a$$", "ass"), ("$$tupid", "stupid"),
+    ("(a$$)", "ass"), ("a$$!", "ass"), ("455", "ass"), ("4$$", "ass"), ("idiot!!!", "idiot"), ("(the", "the"), ("st" + "u" * 50 + "p1d", "stupid")])
+def test_long_tokens_and_leet_edges_reach_the_decoder(token, meant):
+    assert meant in toxicity.restored(token, small_decoder())
+
+
+def test_a_number_stays_a_word_too():
+    assert "1488" in toxicity.restored("1488", small_decoder()) and toxicity.restored("...", small_decoder()) == set()
+
+
 def test_toxicity_edges(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (None, 1), (2, None)], "doc_id bigint, toxic int")
     model = toxicity.train(odd, labels)

@@ -2,8 +2,10 @@
 
 Entities are e-mail addresses, IP addresses, card and phone numbers. Over the whole corpus the documents that hold an
 entity, a term, and both near one another are counted. A term whose pointwise mutual information with an entity comes near the
-entity's own information content reveals it: who reads the term can infer the entity. Such terms are removed around
-that entity; those that reveal a good part of it are generalised to their kind of word.
+entity's own information content reveals it: who reads the term can infer the entity. Such terms are removed wherever they stand in
+a document that holds the entity; those that reveal a good part of it are generalised to their kind of word. Nearness serves
+the estimate alone. Documents without the entity keep the term: a reader finds no entity there to tie it to, and it is
+often a common word in them. Entities near a term in fewer than SUPPORT documents get no terms.
 
 Defined results:
 * NULL or empty text has no spans. Offsets count code points, ends are exclusive.
@@ -15,6 +17,7 @@ Defined results:
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
@@ -37,8 +40,10 @@ REMOVE, GENERALISE = 0.9, 0.75  # parts of an entity's information from which a
 TERM = re.compile(r"[^\W\d_]{4,40}")
 HELD = 200_000      # terms counted in a task before they leave it
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
-FOUND = ("d bigint, k bigint, base array<struct<kind:string,start:bigint,end:bigint>>, "
-         "near array<struct<e:bigint,t:string,start:bigint,end:bigint>>")
+FOUND = ("d bigint, k bigint, base array<struct<kind:string,start:bigint,end:bigint>>, es array<bigint>, "
+         "near array<struct<e:bigint,t:string>>, text string")
+MARKED = ("d bigint, k bigint, base array<struct<kind:string,start:bigint,end:bigint>>, "
+          "terms array<struct<start:bigint,end:bigint,how:string>>")
 
 
 def emails(text: str) -> list[tuple[str, int, int]]:
@@ -86,7 +91,7 @@ def same_entity(kind: str, value: str) -> str:
 
 
 def found_rows(docs: DataFrame) -> DataFrame:
-    """FOUND: the entities of each document, and the terms near them."""
+    """FOUND: the entities of each document, the terms near them, and the text of a document that has any."""
     def make():
         from xxhash import xxh3_64_intdigest
 
@@ -94,15 +99,17 @@ def found_rows(docs: DataFrame) -> DataFrame:
             for r in rows:
                 text = r["t"] or ""
                 spans = entities(text)
-                near = {}
+                near, held = set(), set()
                 for kind, a, b in spans:
                     e = xxh3_64_intdigest(same_entity(kind, text[a:b])) - (1 << 63)
+                    held.add(e)
                     low, high = max(0, a - NEAR_CHARS), min(len(text), b + NEAR_CHARS)
                     for m in TERM.finditer(text, low, high):
                         cut = (m.start() == low and low > 0) or (m.end() == high and high < len(text))
                         if not cut and not any(x < m.end() and m.start() < y for _, x, y in spans):
-                            near[e, m.start()] = {"e": e, "t": m[0].lower(), "start": m.start(), "end": m.end()}
-                yield r["d"], r["k"], [{"kind": k, "start": a, "end": b} for k, a, b in spans], list(near.values())
+                            near.add((e, m[0].lower()))
+                yield (r["d"], r["k"], [{"kind": k, "start": a, "end": b} for k, a, b in spans], list(held),
+                       [{"e": e, "t": t} for e, t in near], text if spans else None)
 
         return run
 
@@ -152,15 +159,41 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = named(docs, d=id_col, t=text_col)
     found = stored(found_rows(source), "entities")
     telling = stored(disclosing_terms(source, found, support, generalise), "disclosing")
-    hits = found.select("d", "k", F.inline("near")).join(telling, ["e", "t"])
-    span = F.struct(F.col("start"), F.col("end"), F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("how"))
-    # Where several entities mark one term, removal goes first.
-    per_term = hits.groupBy("d", "k", "start", "end").agg(F.max("share").alias("share")).withColumn("s", span)
-    terms = per_term.groupBy("d", "k").agg(F.sort_array(F.collect_list("s")).alias("terms"))
-    other = terms.select(F.col("d").alias("d2"), F.col("k").alias("k2"), "terms")
-    joined = found.select("d", "k", "base").join(other, (F.col("k") == F.col("k2")) & F.col("d").eqNullSafe(F.col("d2")), "left")
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,how:string>>")
-    return joined.select(F.col("d").alias(id_col), "k", "base", F.coalesce("terms", empty).alias("terms"))
+    # Every document that holds an entity meets the entity's terms; where several entities mark one term, removal goes first.
+    holds = found.select("d", "k", F.explode("es").alias("e")).join(telling, "e")
+    per_term = holds.groupBy("d", "k", "t").agg(F.max("share").alias("share"))
+    wanted = per_term.groupBy(F.col("d").alias("d2"), F.col("k").alias("k2")).agg(F.collect_list(F.struct("t", "share")).alias("wanted"))
+    joined = found.select("d", "k", "base", "text").join(wanted, (F.col("k") == F.col("k2")) & F.col("d").eqNullSafe(F.col("d2")), "left")
+
+    def make():
+        def run(rows):
+            for r in rows:
+                yield r["d"], r["k"], r["base"], term_spans(r["text"], r["base"], r["wanted"], remove) if r["wanted"] else []
+
+        return run
+
+    marked = map_rows(joined.select("d", "k", "base", F.when(F.col("wanted").isNotNull(), F.col("text")).alias("text"), "wanted"),
+                      make, MARKED)
+    return marked.withColumnRenamed("d", id_col)
+
+
+def term_spans(text: str, base: list[dict], wanted: list[dict], remove: float) -> list[dict]:
+    """All places of the wanted terms outside the entities."""
+    how = {w["t"]: "remove" if w["share"] >= remove else "generalise" for w in wanted}
+    starts, ends = [], []   # the entities' spans without overlaps
+    for s in sorted(base, key=lambda s: s["start"]):
+        if ends and s["start"] <= ends[-1]:
+            ends[-1] = max(ends[-1], s["end"])
+        else:
+            starts.append(s["start"])
+            ends.append(s["end"])
+    found = []
+    for m in TERM.finditer(text):
+        if (what := how.get(m[0].lower())) is not None:
+            before = bisect_left(starts, m.end()) - 1
+            if before < 0 or ends[before] <= m.start():
+                found.append({"start": m.start(), "end": m.end(), "how": what})
+    return found
 
 
 def sanitised(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -292,6 +292,16 @@ def test_telling_terms_are_removed_only_near_their_entity(spark):
     assert clean[10] == texts[10]
 
 
+def test_telling_terms_go_everywhere_in_documents_of_their_entity(spark):
+    far = "some other words stand here " * 10
+    texts = [f"Quillon met anna@ex.org {far}and Quillon {far}" for _ in range(5)] + [f"here anna@ex.org stand {far}Quillon"] + [far] * 200
+    docs = spark.createDataFrame(list(enumerate([*texts, "Quillon here"])), "doc_id bigint, text string")
+    found = {r["doc_id"]: [texts[r["doc_id"]][s["start"]:s["end"]] for s in r["terms"]]
+             for r in pii.find_personal_data(docs).filter("doc_id < 206").collect()}
+    assert all(found[d] == ["Quillon", "Quillon"] for d in range(5)) and found[5] == ["Quillon"]
+    assert not any(found[d] for d in range(6, 206))
+
+
 # quality rules
 
 def test_quality_edges(odd, empty):

@@ -142,7 +142,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     # A row holds a pair once; equal rows count as often as they come.
     together = (found.select(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t")))).alias("p"))
                 .select(F.inline("p")).groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support))
-    alone = (found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["e"]))).alias("e"))
+    alone = (found.select(F.explode("es").alias("e"))
              .groupBy("e").agg(F.count(F.lit(1)).alias("n_e")))
     joined = together.join(alone, "e").join(term_documents(docs), "t")
     content = F.log(F.lit(float(total)) / F.col("n_e"))

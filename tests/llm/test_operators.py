@@ -302,6 +302,13 @@ def test_telling_terms_go_everywhere_in_documents_of_their_entity(spark):
     assert not any(found[d] for d in range(6, 206))
 
 
+def test_an_entity_counts_in_documents_without_terms_around_it(spark):
+    texts = ["Quillon met anna@ex.org"] * 4 + ["anna@ex.org"] * 6 + ["Quillon here"] + ["some other words"] * 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "d bigint, t string")
+    r, = pii.disclosing_terms(docs, pii.found_rows(docs)).collect()
+    assert r["t"] == "quillon" and r["share"] == pytest.approx(np.log(4 * 211 / (10 * 5)) / np.log(211 / 10))
+
+
 # quality rules
 
 def test_quality_edges(odd, empty):

@@ -2,7 +2,8 @@
 
 A tokenizer's vocabulary holds what is frequent in texts, so text needs few tokens for its length and random strings need
 many. A string without spaces whose characters per token fall below a limit is reported, unless it is a known
-digest or identifier (hex digests of usual lengths, UUIDs, numbers, dates, versions, links), or lies inside a pattern's span.
+digest or identifier (hex digests of usual lengths, UUIDs, numbers, dates, versions, hosts of links). Pattern spans are cut out
+first; what is left is tested as a whole, else segment by segment.
 
 Defined results:
 * NULL or empty text has no spans. Repeated rows are handled row by row.
@@ -31,7 +32,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9._/+=-]+|v?[0-9]+(?:\.[0-9]+)+[A-Za-z0-9.+-]*"
-    r"|(?:[A-Za-z0-9_-]*[A-Za-z_-]\.)+[a-z]{2,6}(?:/.*)?)")
+    r"|(?:[A-Za-z0-9_-]*[A-Za-z_-]\.)+[a-z]{2,6})")
+HOST = re.compile(r"/*(?:[A-Za-z0-9_-]*[A-Za-z_-]\.)+[a-z]{2,6}(?=/)")     # a link is known by its host alone
+SEGMENT = re.compile(r"[A-Za-z0-9+]{16,}")
 CHARS_PER_TOKEN = 2.0
 LONGEST = 4096  # a longer run of such characters is embedded data and is tested in pieces of this length
 
@@ -59,22 +62,41 @@ def mixed(s: str) -> bool:
 
 
 def random_spans(text: str, taken: list[tuple[str, int, int]], encode, limit: float) -> list[tuple[str, int, int]]:
+    def told(start: int, end: int) -> tuple[int, int] | None:
+        """The span without marks at its ends, if it is random."""
+        s = text[start:end]
+        core = s.strip("._=-/+")
+        if len(core) < 16 or not mixed(core) or KNOWN.fullmatch(core) or len(core) >= limit * len(encode(core)):
+            return None
+        start += s.index(core)
+        return start, start + len(core)
+
     spans = []
     for m in CANDIDATE.finditer(text):
-        for start in range(m.start(), m.end(), LONGEST):
-            end = min(start + LONGEST, m.end())
-            s = text[start:end]
-            core = s.strip("._=-/+")
-            if len(core) < 16 or not mixed(core) or KNOWN.fullmatch(core):
-                continue
-            start, end = start + s.index(core), start + s.index(core) + len(core)
-            if any(a < end and start < b for _, a, b in taken):
-                continue
-            if len(core) < limit * len(encode(core)):
-                spans.append(("random", start, end))
+        for a, b in free_parts(*m.span(), taken):
+            host = HOST.match(text, a, b)
+            a = host.end() if host else a
+            for start in range(a, b, LONGEST):
+                end = min(start + LONGEST, b)
+                if whole := told(start, end):
+                    spans.append(("random", *whole))
+                    continue
+                # A readable part may hide a random one from the average.
+                parts = (told(*p.span()) for p in SEGMENT.finditer(text, start, end))
+                spans += [("random", *part) for part in parts if part]
     return spans
 
 
+def free_parts(start: int, end: int, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What the taken spans leave of a stretch."""
+    parts = []
+    for a, b in sorted((a, b) for _, a, b in taken if a < end and start < b):
+        if start < a:
+            parts.append((start, a))
+        start = max(start, b)
+    return parts + [(start, end)] if start < end else parts
+
+
 def scan(docs: DataFrame, ranks_path: str, chars_per_token: float = CHARS_PER_TOKEN, text_col: str = "text") -> DataFrame:
     """docs with `secrets`: spans (kind, start, end) in order of start, then kind as in KINDS."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))

@@ -429,3 +429,16 @@ def test_random_strings_are_told_from_words_and_known_identifiers(spark, odd, em
            for r in secrets.scan(docs, path).collect()}
     assert got == {0: [("random", "qX7vR2pLz9Kd4WbT8mYh")], 1: [], 2: [], 3: [], 4: [], 5: [("hex", texts[5])]}
     assert secrets.scan(odd, path).filter(F.size("secrets") > 0).count() == 0 and secrets.scan(empty, path).count() == 0
+
+
+def test_random_parts_of_links_and_paths_are_found():
+    import tiktoken
+    encode = tiktoken.Encoding("t", pat_str=chat.PATTERN, mergeable_ranks=chat.load_ranks(vocabulary("byte_bpe_50k.tiktoken")),
+                               special_tokens={}).encode_ordinary
+    token = "qX7vR2pLz9Kd4WbT8mYh"
+    for text in (f"hooks.example.com/services/{token}", f"0123456789abcdef/{token}", f"{token}.0123456789abcdef",
+                 f"some/very/long/readable/path/with/many/ordinary/words/before/the/value={token}", f"1.2.3-{token}"):
+        found = secrets.random_spans(text, secrets.pattern_spans(text), encode, secrets.CHARS_PER_TOKEN)
+        assert any(a <= text.index(token) and text.index(token) + len(token) <= b for _, a, b in found), text
+    for text in ("www.example.com/some/path/to/file.html", "0123456789abcdef/some/readable/words"):
+        assert secrets.random_spans(text, secrets.pattern_spans(text), encode, secrets.CHARS_PER_TOKEN) == []

@@ -95,6 +95,8 @@ def _small_spectra(rows: DataFrame, fs: float, channels: list[str], share: bool,
                 power = np.abs(np.fft.rfft(x - x.mean(axis=0), axis=0)) ** 2
                 if share:
                     total = power.sum(axis=0)
+                    # Flat is decided on the values, as for long recordings; rounding may leave a constant some power.
+                    total = np.where(x.min(axis=0) == x.max(axis=0), 0.0, total)
                     power = np.where(total > FLAT, power / np.where(total > FLAT, total, 1.0), 0.0)
                 parts.append(power)
                 if ranks:
@@ -228,6 +230,7 @@ def _long_spectra(rows: DataFrame, fs: float, channels: list[str], share: bool)
         return out
 
     means = rows.groupBy(REC).agg(*[F.avg(c).alias(f"_mean_{c}") for c in channels])
+    flat = rows.groupBy(REC).agg(*[(F.min(c) == F.max(c)).alias(f"_flat_{c}") for c in channels])
     centred = rows.join(means, REC).select(
         REC, "_n", "pos", *[(F.col(c) - F.col(f"_mean_{c}")).alias(c) for c in channels])
     # L2 as in _grid; bin() gives the binary digits of 2n-1
@@ -241,9 +244,9 @@ def _long_spectra(rows: DataFrame, fs: float, channels: list[str], share: bool)
     if not share:
         return spec
     totals = spec.groupBy(REC).agg(*[F.sum(c).alias(f"_t_{c}") for c in channels])
-    return spec.join(totals, REC).select(
+    return spec.join(totals, REC).join(flat, REC).select(
         REC, "n", "bin", "freq",
-        *[F.when(F.col(f"_t_{c}") > FLAT, F.col(c) / F.col(f"_t_{c}")).otherwise(0.0).alias(c) for c in channels])
+        *[F.when(~F.col(f"_flat_{c}") & (F.col(f"_t_{c}") > FLAT), F.col(c) / F.col(f"_t_{c}")).otherwise(0.0).alias(c) for c in channels])
 
 
 def spectrum(recordings: DataFrame, fs: float = FS, channels: Sequence[str] = CHANNELS,

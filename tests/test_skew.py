@@ -160,3 +160,12 @@ def test_resample_follows_weights(spark):
     assert sum(counts.values()) == n
     assert counts["b"] / n == pytest.approx(0.5, abs=0.02)
     assert out.select("id").distinct().count() == 400
+
+
+def test_a_constant_channel_is_flat_on_both_sides_of_the_limit(spark):
+    from condmon.operators.spectrum import spectrum_wide
+    rows = [("r", i, 98765.4321, float(i % 7)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "recording_id string, pos bigint, a double, b double")
+    for limit in (1000, 100):
+        r = spectrum_wide(df, 1000.0, ["a", "b"], share=True, limit=limit).selectExpr("sum(a) AS a", "sum(b) AS b").first()
+        assert r["a"] == 0 and abs(r["b"] - 1) < 1e-9

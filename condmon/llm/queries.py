@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from condmon.llm import (
-    chat, decontamination, jaccard_join, line_dedup, packing, pii, repetition, secrets, toxicity, warc,
+    chat, decontamination, jaccard_join, line_dedup, mixing, packing, phrases, pii, repetition, secrets, toxicity, warc, whitening,
 )
 from condmon.llm.common import prepare
 from condmon.session import stored
@@ -216,3 +216,65 @@ def op10(spark, sf_dir):
     base = F.filter("secrets", lambda s: s["kind"] != "random")
     return found.select("doc_id", *[counted("secrets", k) for k in ("assign", "access", "hex")],
                         F.sha2(written(base), 256).alias("base_sha256"), written("secrets").alias("spans"))
+
+
+MIX_SQL = """
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS name, source IS NULL AS unnamed,
+  CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+totals AS (SELECT name, unnamed, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (ORDER BY unnamed, name) - 1 AS nth FROM totals),
+weighed AS (SELECT *, [5, 2, 1][nth % 3 + 1] AS weight, 3 * source_size AS cap FROM ranked),
+steps AS (SELECT *, sum(source_size) OVER () AS everything,
+  coalesce(sum(cap) OVER (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped_before,
+  sum(weight) OVER (ORDER BY cap / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left FROM weighed),
+marked AS (SELECT *, cap * weight_left <= weight * (everything - capped_before) AS is_full FROM steps),
+targets AS (SELECT name, unnamed, source_size, CASE WHEN is_full THEN CAST(cap AS DOUBLE)
+  ELSE CAST(weight * (everything - coalesce(sum(cap) FILTER (is_full) OVER (), 0)) AS BIGINT)
+    / CAST(sum(weight) FILTER (NOT is_full) OVER () AS BIGINT) END AS target FROM marked),
+laid AS (SELECT doc_id, size, source_size, target, least(3 * source_size, CAST(floor(target + 0.5) AS BIGINT)) AS words,
+  sum(size) OVER (PARTITION BY name, unnamed ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS place
+  FROM docs JOIN targets USING (name, unnamed))
+SELECT doc_id, size, source_size, target,
+  CAST(list_sum(list_transform([0, 1, 2], lambda e: least(greatest(words - e * source_size - place, 0), size))) AS BIGINT) AS taken
+FROM laid"""
+
+
+@query("op11_source_mixing", MIX_SQL)
+def op11(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op12_embedding_whitening")
+def op12(spark, sf_dir):
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.select("vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained",
+                        "identity_error", "eigenvalue", "residual")
+
+
+PHRASES_SQL = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+  unnest(string_split_regex({LOWER_SQL.format('text')}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws)) AS n FROM words GROUP BY lang),
+lengths AS (SELECT lang, ws, unnest(range(1, 6)) AS k FROM words),
+runs AS (SELECT lang, k, list_slice(ws, i, i + k - 1) AS p FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS i FROM lengths)),
+counts AS (SELECT lang, k, p, CAST(count(*) AS HUGEINT) AS a FROM runs GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, k, p, a, unnest(range(1, k)) AS c FROM counts WHERE k > 1),
+scored AS (SELECT cuts.lang, cuts.k, cuts.p, cuts.a, c, h.a AS l, t.a AS r, n, 1000 * cuts.a * n // (h.a * t.a) AS score
+  FROM cuts JOIN counts h ON h.lang = cuts.lang AND h.p = list_slice(cuts.p, 1, c)
+  JOIN counts t ON t.lang = cuts.lang AND t.p = list_slice(cuts.p, c + 1, cuts.k) JOIN totals ON totals.lang = cuts.lang),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1),
+inner_runs AS (SELECT lang, list_slice(p, i, i + s - 1) AS p, a FROM
+  (SELECT *, unnest(range(1, k - s + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS s FROM counts WHERE k > 2))),
+held AS (SELECT lang, p, max(a) AS whole FROM inner_runs GROUP BY ALL),
+free AS (SELECT weakest.*, array_to_string(weakest.p, ' ') AS phrase FROM weakest LEFT JOIN held USING (lang, p)
+  WHERE NOT coalesce(100 * whole >= 100 * weakest.a, false))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a,
+  CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM free QUALIFY rank <= 2000"""
+
+
+@query("op13_phrase_mining", PHRASES_SQL)
+def op13(spark, sf_dir):
+    return phrases.mine_phrases(table(spark, sf_dir, "documents")).drop("first_doc", "first_at")

@@ -26,7 +26,7 @@ def test_against_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
 
 
 def test_packing(spark, documents):
@@ -136,3 +136,22 @@ def test_word_encoder_equals_the_tokenizer():
     for text in texts:
         want = encode.tokenizer.encode(text, add_special_tokens=False).ids
         assert encode(text) == np.array(want, "<u4").tobytes(), text
+
+
+def test_whitening(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.floor(64 * np.array([r["embedding"] for r in rows], dtype=float)).astype(int) + 1_000_000
+    n, sums = len(x), x.sum(0)
+    centred = (n * x - sums) / n
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    values, vectors = values[::-1][:32], vectors[:, ::-1][:, :32]
+    want = centred @ vectors / np.sqrt(values)
+    got = QUERIES["op12_embedding_whitening"](spark, DATA).toPandas()
+    assert len(got) == n * 32 and set(got["n"]) == {n} and got["identity_error"].nunique() == 1 and got["identity_error"][0] < 1e-8
+    white = got.pivot(index="vec_id", columns="component", values="whitened").loc[[r["vec_id"] for r in rows]].to_numpy()
+    sign = np.sign((white * want).sum(0))
+    assert np.abs(white * sign - want).max() < 1e-8
+    first = got[got["component"] == 1].set_index("vec_id")
+    assert first["deviation"].to_dict() == {r["vec_id"]: int(d) for r, d in zip(rows, ((n * x - sums) ** 2).sum(1))}
+    explained = got.drop_duplicates("component").set_index("component")["explained"].sort_index()
+    assert np.abs(explained.to_numpy() / (values / np.trace(centred.T @ centred / n)) - 1).max() < 1e-9

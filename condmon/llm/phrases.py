@@ -3,9 +3,9 @@
 Words and runs of words get 64-bit fingerprints from prefix polynomials in numpy: one over the bytes gives all words, one
 over the words gives all runs of a length. Texts are read three times and never shuffled:
 
-1. Words and pairs: every task counts its distinct fingerprints, the shuffle adds them up. A fingerprint below the
-   limit cannot be a frequent phrase, nor part of one.
-2. Runs of three to `longest` words in which every pair may be frequent: fingerprints with counts and a pointer
+1. Pairs of words: every task counts its distinct fingerprints, the shuffle adds them up. Nothing longer can be frequent
+   unless its pairs are.
+2. Frequent pairs, their words, and runs of up to `longest` words all of whose pairs may be frequent: fingerprints with counts and a pointer
    (document, byte) to an occurrence. This leaves out nearly all long runs, which are nearly all rare.
 3. What may still be frequent is looked at in the text: occurrences that share a fingerprint are compared word by word with
    the one that the pointer of their chunk names, and split where they differ. Only these phrases leave as text, and their counts are
@@ -191,7 +191,7 @@ class BitFilter:
 
     @classmethod
     def of(cls, found: DataFrame, most: int = FILTER_BITS) -> BitFilter:
-        size = 1 << min(int(most).bit_length() - 1, max(16, math.ceil(math.log2(32 * found.count() + 1))))
+        size = 1 << min(int(most).bit_length() - 1, max(16, math.ceil(math.log2(64 * found.count() + 1))))
         fp = F.col("fp")
         places = F.array(fp.bitwiseAND(size - 1), F.shiftrightunsigned(fp, 32).bitwiseAND(size - 1))
         rows = found.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
@@ -217,19 +217,18 @@ def combined(fps: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return fp[new], np.add.reduceat(count[order], new), order[new]
 
 
-def word_and_pair_counts(rows: DataFrame, longest: int, bits: int) -> DataFrame:
-    """(fp, c): counts of words and pairs per task; few fingerprints come twice from one task."""
+def pair_counts(rows: DataFrame, longest: int, bits: int) -> DataFrame:
+    """(fp, c): counts of pairs per task; few fingerprints come twice from one task."""
     out = T._parse_datatype_string("fp long, c long")
     arrow = to_arrow_schema(out)
 
     def run(batches):
         fps, counts, held = [], [], 0
         for chunk in chunks(batches, longest, bits):
-            for k in (1, 2):
-                fp, n = np.unique(chunk.runs(k)[1], return_counts=True)
-                fps.append(fp)
-                counts.append(n)
-                held += len(fp)
+            fp, n = np.unique(chunk.runs(2)[1], return_counts=True)
+            fps.append(fp)
+            counts.append(n)
+            held += len(fp)
             if held >= HELD:
                 fp, n, _ = combined(fps, counts)
                 fps, counts, held = [fp], [n], len(fp)
@@ -248,11 +247,16 @@ def word_and_pair_counts(rows: DataFrame, longest: int, bits: int) -> DataFrame:
 
 
 def frequent_runs(chunk: Chunk, pairs: BitFilter, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(k, first word, fingerprint) of runs of three words or more whose pairs all pass."""
+    """(k, first word, fingerprint) of pairs that pass, of the words in them, and of longer runs whose pairs all pass."""
     at, fp = chunk.runs(2, beyond=True)
+    passed = pairs.has(fp)
     good = np.zeros(len(chunk.start) + 1, bool)
-    good[at[pairs.has(fp)]] = True
-    for k in range(3, longest + 1):
+    good[at[passed]] = True
+    part = good.copy()
+    part[1:] |= good[:-1]
+    at, fp = chunk.runs(1)
+    yield 1, at[part[at]], fp[part[at]]
+    for k in range(2, longest + 1):
         at, fp = chunk.runs(k)
         keep = np.ones(len(at), bool)
         for j in range(k - 1):
@@ -260,23 +264,35 @@ def frequent_runs(chunk: Chunk, pairs: BitFilter, longest: int) -> Iterator[tupl
         yield k, at[keep], fp[keep]
 
 
-def long_run_counts(rows: DataFrame, pairs, longest: int, bits: int, id_type: str) -> DataFrame:
-    """(fp, c, doc, at): counts of longer runs per chunk, each with a pointer to its first occurrence there."""
+def run_counts(rows: DataFrame, pairs, longest: int, bits: int, id_type: str) -> DataFrame:
+    """(fp, c, doc, at): counts of frequent pairs, of their words and of longer runs made of them, each with a pointer to an occurrence."""
     out = T.StructType().add("fp", "long").add("c", "long").add("doc", id_type).add("at", "long")
     arrow = to_arrow_schema(out)
 
     def run(batches):
+        held, size = [], 0
         for chunk in chunks(batches, longest, bits):
+            docs = pa.array(chunk.docs, arrow.field("doc").type)
+            firsts = np.array(chunk.firsts)
             for _, at, fp in frequent_runs(chunk, pairs.value, longest):
-                if not len(fp):
-                    continue
-                fp, n, first = combined([fp], [np.ones(len(fp), np.int64)])
-                for i in range(0, len(fp), 1 << 14):
-                    part = slice(i, i + (1 << 14))
-                    doc, place = zip(*(chunk.place(j) for j in at[first[part]]))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(fp[part].view(np.int64)), pa.array(n[part], pa.int64()), pa.array(doc, arrow.field("doc").type),
-                        pa.array(place, pa.int64())], schema=arrow)
+                if len(fp):
+                    fp, n, first = combined([fp], [np.ones(len(fp), np.int64)])
+                    doc = chunk.doc[at[first]]
+                    held.append((fp, n, docs.take(pa.array(doc)), chunk.base + chunk.start[at[first]] - firsts[doc]))
+                    size += len(fp)
+            if size >= HELD:
+                yield from sent(held)
+                held, size = [], 0
+        if held:
+            yield from sent(held)
+
+    def sent(held):
+        fps, counts, docs, places = zip(*held)
+        fp, n, first = combined(fps, counts)
+        doc, place = pa.concat_arrays(docs).take(pa.array(first)), np.concatenate(places)[first]
+        for i in range(0, len(fp), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[part].view(np.int64)), pa.array(n[part]), doc[part], pa.array(place[part])], schema=arrow)
 
     return rows.mapInArrow(run, out)
 
@@ -313,7 +329,9 @@ def phrase_texts(rows: DataFrame, pairs, wanted, longest: int, bits: int, id_typ
             for lang, n in zip(chunk.langs, per_doc.tolist()):
                 held.setdefault((lang, None, 0), [0, None, None])[0] += n
             ids = chunk.ids()
-            for k, at, fp in [(k, *chunk.runs(k)) for k in (1, 2)] + list(frequent_runs(chunk, pairs.value, longest)):
+            for k, at, fp in frequent_runs(chunk, pairs.value, longest):
+                if k == 1:  # words count wherever they stand
+                    at, fp = chunk.runs(1)
                 keep = wanted.value.has(fp)
                 if not keep.any():
                     continue
@@ -336,7 +354,7 @@ def phrase_texts(rows: DataFrame, pairs, wanted, longest: int, bits: int, id_typ
 
 def count_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   min_count: int = 100, longest: int = 5, bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """((lang, phrase, size, a, first_doc, first_at) of all runs of 1 to `longest` words found `min_count` times, (lang, n)).
+    """((lang, phrase, size, a, first_doc, first_at) of all runs of 2 to `longest` words found `min_count` times and of their words, (lang, n)).
 
     first_doc and first_at point to an occurrence: a document and a byte of its text in UTF-8. `bits` shortens the
     fingerprints; results stay the same.
@@ -345,13 +363,12 @@ def count_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = named(docs, d=id_col, t=text_col, g=lang_col)
     rows = rows.withColumns({"t": F.col("t").cast("string"), "g": F.col("g").cast("string")})
     id_type = rows.schema["d"].dataType
-    short = stored(word_and_pair_counts(rows, longest, bits).groupBy("fp").agg(F.sum("c").alias("c"))
-                   .filter(F.col("c") >= min_count), "short-runs")
-    pairs = spark.sparkContext.broadcast(BitFilter.of(short))
-    runs = long_run_counts(rows, pairs, longest, bits, id_type).groupBy("fp").agg(
+    often = F.col("c") >= min_count
+    found = stored(pair_counts(rows, longest, bits).groupBy("fp").agg(F.sum("c").alias("c")).filter(often), "pairs")
+    pairs = spark.sparkContext.broadcast(BitFilter.of(found))
+    runs = run_counts(rows, pairs, longest, bits, id_type).groupBy("fp").agg(
         F.sum("c").alias("c"), F.min(F.struct("doc", "at")).alias("pointer"))
-    long = stored(runs.filter(F.col("c") >= min_count), "long-runs")
-    wanted = spark.sparkContext.broadcast(BitFilter.of(short.select("fp").union(long.select("fp"))))
+    wanted = spark.sparkContext.broadcast(BitFilter.of(stored(runs.filter(often), "runs")))
     texts = phrase_texts(rows, pairs, wanted, longest, bits, id_type).groupBy("lang", "phrase", "size").agg(
         F.sum("c").alias("a"), F.min(F.struct("doc", "at")).alias("pointer"))
     counted = stored(texts.filter(F.col("phrase").isNull() | (F.col("a") >= min_count)), "phrases")

@@ -6,10 +6,11 @@ over the words gives all runs of a length. Texts are read three times and never
 1. Pairs of words: every task counts its distinct fingerprints, the shuffle adds them up. Nothing longer can be frequent
    unless its pairs are.
 2. Frequent pairs, their words, and runs of up to `longest` words all of whose pairs may be frequent: fingerprints with counts and a pointer
-   (document, byte) to an occurrence. This leaves out nearly all long runs, which are nearly all rare.
-3. What may still be frequent is looked at in the text: occurrences that share a fingerprint are compared word by word with
-   the one that the pointer of their chunk names, and split where they differ. Only these phrases leave as text, and their counts are
-   added up by text, so colliding fingerprints cost time and never change a count.
+   (document, byte) to an occurrence. Inside a chunk, occurrences that share a fingerprint are compared with the text at its pointer, and counted
+   apart where they differ; between chunks a second fingerprint from other polynomials tells them apart (together 128 bits). This
+   leaves out nearly all long runs, which are nearly all rare.
+3. Where a pointer of a frequent run leads, its text is read, its fingerprints are checked, and it leaves as a phrase: one row each. Words
+   of frequent pairs are counted by their text.
 
 Which fingerprints may be frequent reaches the tasks as a bit filter of at most FILTER_BITS (32 MB). A filter that fills up lets more
 through and changes no result.
@@ -42,7 +43,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from condmon.llm.common import named, shuffle_partitions
 from condmon.session import stored
 
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 HELD = 1 << 21                # distinct fingerprints a task holds before it lets them go
 HELD_PHRASES = 1 << 17
 FILTER_BITS = 1 << 28
@@ -57,10 +58,12 @@ _LOWER[65:91] += 32
 _WORD = re.compile(rb"[^ \t.,;:!?\n\x0b\x0c\r]+")
 _PART = re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]")
 
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that they have inverses modulo 2^64
+# odd, so that they have inverses modulo 2^64; the second pair makes a second fingerprint, from other prefix polynomials
+BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+BYTE_BASE_2, WORD_BASE_2 = 0x165667B19E3779F9, 0xA0761D6478BD642F
 
 
-@lru_cache(4)
+@lru_cache(8)
 def _powers(base: int, room: int) -> np.ndarray:
     out = np.full(room, base, np.uint64)
     out[0] = 1
@@ -99,7 +102,7 @@ def lang_hash(lang: str) -> int:
 class Chunk:
     """Words of a few short texts, or of a part of a long one, with the fingerprints of all their runs."""
 
-    def __init__(self, data: bytes, firsts: list[int], docs: list, langs: list[str], base: int = 0,
+    def __init__(self, data: bytes, firsts: list[int], docs: list, hashes: list[int], langs: list[str], base: int = 0,
                  limit: int | None = None, bits: int = 64):
         self.raw = _LOWER[np.frombuffer(data, np.uint8)]
         kind = _KIND[self.raw]
@@ -107,12 +110,12 @@ class Chunk:
         self.start, self.end = edges[::2], edges[1::2]
         self.piece = np.searchsorted(np.flatnonzero(kind == 2), self.start)
         self.doc = np.searchsorted(np.array(firsts), self.start, "right") - 1
-        self.firsts, self.docs, self.langs, self.base = firsts, docs, langs, base
+        self.firsts, self.docs, self.hashes, self.langs, self.base = np.array(firsts), docs, np.array(hashes, np.int64), langs, base
         self.starts_here = int(np.searchsorted(self.start, len(data) if limit is None else limit))
         self.mask = np.uint64((1 << bits) - 1)
         sums = prefix_polynomial(self.raw.astype(np.uint64) + np.uint64(1), BYTE_BASE)
         self.word = mixed(spans_hash(sums, self.start, self.end, BYTE_BASE)) & self.mask
-        self.sums = prefix_polynomial(self.word, WORD_BASE)
+        self.sums, self.sums_2 = prefix_polynomial(self.word, WORD_BASE), None
         names, number = np.unique(langs, return_inverse=True)
         self.lang = number[self.doc]
         self.salt = np.array([lang_hash(str(g)) for g in names], np.uint64)[self.lang]
@@ -124,6 +127,13 @@ class Chunk:
         value = spans_hash(self.sums, at, at + k, WORD_BASE) + np.uint64(k)
         return at, mixed(value ^ self.salt[at]) & self.mask
 
+    def checks(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Second fingerprints of runs, always of 64 bits."""
+        if self.sums_2 is None:
+            sums = prefix_polynomial(self.raw.astype(np.uint64) + np.uint64(1), BYTE_BASE_2)
+            self.sums_2 = prefix_polynomial(mixed(spans_hash(sums, self.start, self.end, BYTE_BASE_2)), WORD_BASE_2)
+        return mixed((spans_hash(self.sums_2, at, at + k, WORD_BASE_2) + np.uint64(k)) ^ self.salt[at])
+
     def ids(self) -> np.ndarray:
         """A number per word, equal for equal words only: those with one fingerprint are compared with the first of them."""
         _, first, group = np.unique(self.word, return_index=True, return_inverse=True)
@@ -144,42 +154,46 @@ class Chunk:
         words = (self.raw[self.start[j]:self.end[j]].tobytes() for j in range(i, i + k))
         return b" ".join(words).decode("utf-8", "replace")
 
-    def place(self, i: int) -> tuple:
-        d = self.doc[i]
-        return self.docs[d], int(self.base + self.start[i] - self.firsts[d])
+    def places(self, at: np.ndarray) -> np.ndarray:
+        """Bytes of the text before each word."""
+        return self.base + self.start[at] - self.firsts[self.doc[at]]
+
+    def marks(self, at: np.ndarray, fp: np.ndarray) -> np.ndarray:
+        """One number for fingerprint, document and place."""
+        where = self.places(at).astype(np.uint64) * np.uint64(BYTE_BASE) ^ self.hashes[self.doc[at]].view(np.uint64)
+        return mixed(mixed(where) + fp)
 
 
 def chunks(batches, longest: int, bits: int) -> Iterator[Chunk]:
-    """Chunks of the texts in batches of (d, t, g)."""
-    parts, firsts, docs, langs, size = [], [], [], [], 0
+    """Chunks of the texts in batches of (d, h, t, g)."""
+    parts, firsts, whose, size = [], [], [], 0
     for batch in batches:
         texts = batch.column("t").cast(pa.binary())
-        for d, text, lang in zip(batch.column("d").to_pylist(), texts, batch.column("g").to_pylist()):
+        for d, h, text, lang in zip(batch.column("d").to_pylist(), batch.column("h").to_pylist(), texts, batch.column("g").to_pylist()):
             data, lang = text.as_py(), NO_LANG if lang is None else lang
             if not data:
                 continue
             if len(data) > CHUNK:
-                yield from long_chunks(data, d, lang, longest, bits)
+                yield from long_chunks(data, d, h, lang, longest, bits)
                 continue
             parts.append(data)
             firsts.append(size)
-            docs.append(d)
-            langs.append(lang)
+            whose.append((d, h, lang))
             size += len(data) + 1
             if size >= CHUNK:
-                yield Chunk(b"\n".join(parts), firsts, docs, langs, bits=bits)
-                parts, firsts, docs, langs, size = [], [], [], [], 0
+                yield Chunk(b"\n".join(parts), firsts, *map(list, zip(*whose)), bits=bits)
+                parts, firsts, whose, size = [], [], [], 0
     if parts:
-        yield Chunk(b"\n".join(parts), firsts, docs, langs, bits=bits)
+        yield Chunk(b"\n".join(parts), firsts, *map(list, zip(*whose)), bits=bits)
 
 
-def long_chunks(data: bytes, doc, lang: str, longest: int, bits: int) -> Iterator[Chunk]:
+def long_chunks(data: bytes, doc, h: int, lang: str, longest: int, bits: int) -> Iterator[Chunk]:
     begin = 0
     while begin < len(data):
         found = _PART.search(data, begin + CHUNK)
         cut = found.start() if found else len(data)
         end = max((m.end() for m in islice(_WORD.finditer(data, cut), longest - 1)), default=cut)
-        yield Chunk(data[begin:end], [0], [doc], [lang], begin, cut - begin, bits)
+        yield Chunk(data[begin:end], [0], [doc], [h], [lang], begin, cut - begin, bits)
         begin = cut
 
 
@@ -208,13 +222,13 @@ class BitFilter:
         return out
 
 
-def combined(fps: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct fingerprints, their added counts, and the place of their first one."""
+def combined(fps: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct fingerprints and their added counts."""
     fp, count = np.concatenate(fps), np.concatenate(counts)
     order = np.argsort(fp, kind="stable")
     fp = fp[order]
     new = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
-    return fp[new], np.add.reduceat(count[order], new), order[new]
+    return fp[new], np.add.reduceat(count[order], new)
 
 
 def pair_counts(rows: DataFrame, longest: int, bits: int) -> DataFrame:
@@ -230,13 +244,13 @@ def pair_counts(rows: DataFrame, longest: int, bits: int) -> DataFrame:
             counts.append(n)
             held += len(fp)
             if held >= HELD:
-                fp, n, _ = combined(fps, counts)
+                fp, n = combined(fps, counts)
                 fps, counts, held = [fp], [n], len(fp)
                 if held >= HELD // 2:
                     yield from sent(fp, n)
                     fps, counts, held = [], [], 0
         if held:
-            yield from sent(*combined(fps, counts)[:2])
+            yield from sent(*combined(fps, counts))
 
     def sent(fp, n):
         for i in range(0, len(fp), 1 << 16):
@@ -264,21 +278,43 @@ def frequent_runs(chunk: Chunk, pairs: BitFilter, longest: int) -> Iterator[tupl
         yield k, at[keep], fp[keep]
 
 
+def exact_groups(chunk: Chunk, ids: np.ndarray, k: int, at: np.ndarray, fp: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first word of the first occurrence, count) of each distinct text among runs, compared word by word."""
+    if not len(at):
+        return
+    order = np.argsort(fp, kind="stable")
+    at, fp = at[order], fp[order]
+    new = np.concatenate(([True], fp[1:] != fp[:-1]))
+    first = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    same = chunk.lang[at] == chunk.lang[first]
+    for j in range(k):
+        same &= ids[at + j] == ids[first + j]
+    yield from zip(at[new].tolist(), np.add.reduceat(same.astype(np.int64), np.flatnonzero(new)).tolist())
+    others: dict[tuple, list[int]] = {}
+    for i in at[~same].tolist():
+        others.setdefault((chunk.lang[i], *ids[i:i + k]), []).append(i)
+    for places in others.values():
+        yield places[0], len(places)
+
+
 def run_counts(rows: DataFrame, pairs, longest: int, bits: int, id_type: str) -> DataFrame:
-    """(fp, c, doc, at): counts of frequent pairs, of their words and of longer runs made of them, each with a pointer to an occurrence."""
-    out = T.StructType().add("fp", "long").add("c", "long").add("doc", id_type).add("at", "long")
+    """(fp, chk, c, doc, at, mark): counts of frequent pairs, of their words and of longer runs made of them.
+
+    Occurrences that share a fingerprint in a chunk are compared word by word with the first, to which doc and at point; those that
+    differ are counted apart. `chk` tells them apart between chunks.
+    """
+    out = (T.StructType().add("fp", "long").add("chk", "long").add("c", "long").add("doc", id_type).add("at", "long").add("mark", "long"))
     arrow = to_arrow_schema(out)
 
     def run(batches):
         held, size = [], 0
         for chunk in chunks(batches, longest, bits):
-            docs = pa.array(chunk.docs, arrow.field("doc").type)
-            firsts = np.array(chunk.firsts)
-            for _, at, fp in frequent_runs(chunk, pairs.value, longest):
+            docs, ids = pa.array(chunk.docs, arrow.field("doc").type), chunk.ids()
+            for k, at, fp in frequent_runs(chunk, pairs.value, longest):
                 if len(fp):
-                    fp, n, first = combined([fp], [np.ones(len(fp), np.int64)])
-                    doc = chunk.doc[at[first]]
-                    held.append((fp, n, docs.take(pa.array(doc)), chunk.base + chunk.start[at[first]] - firsts[doc]))
+                    first, n = (np.array(x) for x in zip(*exact_groups(chunk, ids, k, at, fp)))
+                    fp = fp[np.searchsorted(at, first)]
+                    held.append((fp, chunk.checks(k, first), n, docs.take(pa.array(chunk.doc[first])), chunk.places(first), chunk.marks(first, fp)))
                     size += len(fp)
             if size >= HELD:
                 yield from sent(held)
@@ -287,67 +323,53 @@ def run_counts(rows: DataFrame, pairs, longest: int, bits: int, id_type: str) ->
             yield from sent(held)
 
     def sent(held):
-        fps, counts, docs, places = zip(*held)
-        fp, n, first = combined(fps, counts)
-        doc, place = pa.concat_arrays(docs).take(pa.array(first)), np.concatenate(places)[first]
-        for i in range(0, len(fp), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(fp[part].view(np.int64)), pa.array(n[part]), doc[part], pa.array(place[part])], schema=arrow)
+        fp, chk, n, places, marks = (np.concatenate([h[i] for h in held]) for i in (0, 1, 2, 4, 5))
+        order = np.lexsort((chk, fp))
+        new = np.flatnonzero(np.concatenate(([True], (fp[order][1:] != fp[order][:-1]) | (chk[order][1:] != chk[order][:-1]))))
+        n, first = np.add.reduceat(n[order], new), order[new]
+        docs = pa.concat_arrays([h[3] for h in held])
+        for i in range(0, len(first), 1 << 16):
+            part = first[i:i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(fp[part].view(np.int64)), pa.array(chk[part].view(np.int64)), pa.array(n[i:i + (1 << 16)]), docs.take(pa.array(part)),
+                pa.array(places[part]), pa.array(marks[part].view(np.int64))], schema=arrow)
 
     return rows.mapInArrow(run, out)
 
 
-def exact_groups(chunk: Chunk, ids: np.ndarray, k: int, at: np.ndarray, fp: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(first word of the first occurrence, count) of each distinct text among runs, compared word by word."""
-    order = np.argsort(fp, kind="stable")
-    at, fp = at[order], fp[order]
-    new = np.concatenate(([True], fp[1:] != fp[:-1]))
-    first = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    same = chunk.lang[at] == chunk.lang[first]
-    for j in range(k):
-        same &= ids[at + j] == ids[first + j]
-    yield from zip(at[new].tolist(), np.add.reduceat(same.astype(np.int64), np.flatnonzero(new)).tolist())
-    others: dict[tuple, list[int]] = {}
-    for i in at[~same].tolist():
-        others.setdefault((chunk.lang[i], *ids[i:i + k]), []).append(i)
-    for places in others.values():
-        yield places[0], len(places)
-
-
-def phrase_texts(rows: DataFrame, pairs, wanted, longest: int, bits: int, id_type: str) -> DataFrame:
-    """(lang, phrase, size, c, doc, at): texts of the runs that may be frequent, and a row without phrase for the words in all."""
-    out = (T.StructType().add("lang", "string").add("phrase", "string").add("size", "integer").add("c", "long")
-           .add("doc", id_type).add("at", "long"))
+def phrase_texts(rows: DataFrame, pairs, wanted, pointers, longest: int, bits: int) -> DataFrame:
+    """(lang, phrase, size, c, fp, chk): the texts that pointers lead to, with both fingerprints as read there; counts of the
+    words that frequent pairs may hold; and a row without phrase for the words in all."""
+    out = T._parse_datatype_string("lang string, phrase string, size int, c long, fp long, chk long")
     arrow = to_arrow_schema(out)
 
     def run(batches):
-        held: dict[tuple, list] = {}
+        held: dict[tuple, int] = {}
         for chunk in chunks(batches, longest, bits):
             if not len(chunk.start):
                 continue
             per_doc = np.bincount(chunk.doc[:chunk.starts_here], minlength=len(chunk.docs))
             for lang, n in zip(chunk.langs, per_doc.tolist()):
-                held.setdefault((lang, None, 0), [0, None, None])[0] += n
-            ids = chunk.ids()
+                held[lang, None, 0] = held.get((lang, None, 0), 0) + n
+            at, fp = chunk.runs(1)
+            keep = wanted.value.has(fp)
+            for i, n in exact_groups(chunk, chunk.ids(), 1, at[keep], fp[keep]):
+                key = (chunk.langs[chunk.doc[i]], chunk.text(i, 1), 1)
+                held[key] = held.get(key, 0) + n
             for k, at, fp in frequent_runs(chunk, pairs.value, longest):
-                if k == 1:  # words count wherever they stand
-                    at, fp = chunk.runs(1)
-                keep = wanted.value.has(fp)
-                if not keep.any():
-                    continue
-                for i, n in exact_groups(chunk, ids, k, at[keep], fp[keep]):
-                    entry = held.setdefault((chunk.langs[chunk.doc[i]], chunk.text(i, k), k), [0, *chunk.place(i)])
-                    entry[0] += n
+                if k > 1:
+                    keep = pointers.value.has(chunk.marks(at, fp))
+                    at, fp = at[keep], fp[keep].view(np.int64).tolist()
+                    yield from sent((chunk.langs[chunk.doc[i]], chunk.text(i, k), k, None, f, c) for i, f, c in zip(
+                        at.tolist(), fp, chunk.checks(k, at).view(np.int64).tolist()))
             if len(held) >= HELD_PHRASES:
-                yield from sent(held)
+                yield from sent((*key, n, None, None) for key, n in held.items())
                 held = {}
-        yield from sent(held)
+        yield from sent((*key, n, None, None) for key, n in held.items())
 
-    def sent(held):
-        items = iter(held.items())
-        while part := list(islice(items, 1 << 13)):
-            rows = [(*key, *entry) for key, entry in part]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+    def sent(found):
+        while part := list(islice(found, 1 << 13)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), arrow)], schema=arrow)
 
     return rows.mapInArrow(run, out)
 
@@ -361,20 +383,23 @@ def count_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     rows = named(docs, d=id_col, t=text_col, g=lang_col)
-    rows = rows.withColumns({"t": F.col("t").cast("string"), "g": F.col("g").cast("string")})
-    id_type = rows.schema["d"].dataType
-    often = F.col("c") >= min_count
+    rows = rows.select("d", F.xxhash64("d").alias("h"), F.col("t").cast("string").alias("t"), F.col("g").cast("string").alias("g"))
+    often, share = F.col("c") >= min_count, spark.sparkContext.broadcast
     found = stored(pair_counts(rows, longest, bits).groupBy("fp").agg(F.sum("c").alias("c")).filter(often), "pairs")
-    pairs = spark.sparkContext.broadcast(BitFilter.of(found))
-    runs = run_counts(rows, pairs, longest, bits, id_type).groupBy("fp").agg(
-        F.sum("c").alias("c"), F.min(F.struct("doc", "at")).alias("pointer"))
-    wanted = spark.sparkContext.broadcast(BitFilter.of(stored(runs.filter(often), "runs")))
-    texts = phrase_texts(rows, pairs, wanted, longest, bits, id_type).groupBy("lang", "phrase", "size").agg(
-        F.sum("c").alias("a"), F.min(F.struct("doc", "at")).alias("pointer"))
-    counted = stored(texts.filter(F.col("phrase").isNull() | (F.col("a") >= min_count)), "phrases")
-    phrases = counted.filter(F.col("phrase").isNotNull()).select(
-        "lang", "phrase", "size", "a", F.col("pointer.doc").alias("first_doc"), F.col("pointer.at").alias("first_at"))
-    return phrases, counted.filter(F.col("phrase").isNull()).select("lang", F.col("a").alias("n"))
+    pairs = share(BitFilter.of(found))
+    runs = run_counts(rows, pairs, longest, bits, rows.schema["d"].dataType).groupBy("fp", "chk").agg(
+        F.sum("c").alias("c"), F.min(F.struct("doc", "at", "mark")).alias("pointer"))
+    runs = stored(runs.filter(often), "runs")
+    wanted, pointers = share(BitFilter.of(runs)), share(BitFilter.of(runs.select(F.col("pointer.mark").alias("fp"))))
+    texts = stored(phrase_texts(rows, pairs, wanted, pointers, longest, bits), "texts")
+    words = texts.filter("size < 2").groupBy("lang", "phrase", "size").agg(F.sum("c").alias("a"))
+    # Repeated rows lead to one text several times.
+    read = texts.filter("size >= 2").groupBy("fp", "chk").agg(*[F.min(c).alias(c) for c in ("lang", "phrase", "size")])
+    first = [F.col("pointer.doc").alias("first_doc"), F.col("pointer.at").alias("first_at")]
+    longer = read.join(runs, ["fp", "chk"]).select("lang", "phrase", "size", F.col("c").alias("a"), *first)
+    none = [F.lit(None).cast(rows.schema["d"].dataType).alias("first_doc"), F.lit(None).cast("long").alias("first_at")]
+    counted = stored(longer.unionByName(words.filter((F.col("size") == 0) | (F.col("a") >= min_count)).select("*", *none)), "phrases")
+    return counted.filter("size > 0"), counted.filter("size = 0").select("lang", F.col("a").alias("n"))
 
 
 def weakest_cuts(phrases: DataFrame, totals: DataFrame) -> DataFrame:

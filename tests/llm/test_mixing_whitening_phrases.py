@@ -215,8 +215,8 @@ def test_phrases_of_long_texts_and_hot_ones(spark, monkeypatch):
     long = " ".join(rnd.choice(["a", "b", "c" * 90, "d."]) for _ in range(900))
     data = [long.encode(), ("same words here " * 50).encode()]
     for text in data:  # chunks begin every run once
-        whole = phrases.Chunk(text, [0], [1], ["en"])
-        parts = list(phrases.long_chunks(text, 1, "en", 5, 64))
+        whole = phrases.Chunk(text, [0], [1], [7], ["en"])
+        parts = list(phrases.long_chunks(text, 1, 7, "en", 5, 64))
         for k in range(1, 6):
             assert Counter(whole.runs(k)[1].tolist()) == sum((Counter(c.runs(k)[1].tolist()) for c in parts), Counter())
             starts = sorted(c.base + int(c.start[i]) for c in parts for i in c.runs(k)[0])

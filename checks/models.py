@@ -6,6 +6,7 @@ from checks import standins as s
 from checks.profiles import LIFE, MID, THEIL
 from checks.registry import query
 from condmon.evaluate import errors as er, regress as rg
+from condmon.operators.sequence import delta_features
 from condmon.physics import score as sc, wear as we
 from condmon.plans import eda, reports as rp, study
 from condmon.session import stored
@@ -249,17 +250,18 @@ def j2b(spark, sf):
 @query("J3_boosted_trees")
 def j3(spark, sf):
     df = vectors(spark, sf)
-    model = rg.fit_boosted(df, NAMES, "wear", F.col("split") == "train", "vec_id", depth=3, step=0.5, patience=2)
+    model = rg.fit_boosted(df, NAMES, "wear", F.col("split") == "train", "vec_id", step=0.2, patience=50)
     return er.error_by_class(model.transform(df), "pred", "wear", keys=["split"])
 
 
-@query("J3_boosted_beats_mean", f"""WITH {VEC} SELECT split, count(*) AS n, true AS better FROM vec WHERE split = 'train' GROUP BY split""")
+@query("J3_boosted_beats_mean", f"""WITH {VEC} SELECT split, count(*) AS n, avg(abs(wear - (SELECT avg(wear) FROM vec WHERE split = 'train'))) AS mean_error,
+    true AS better FROM vec GROUP BY split""", "mean_error")
 def j3_better(spark, sf):
+    """On every split, unseen ones included, trees of all columns are better than the mean."""
     df, train = vectors(spark, sf), F.col("split") == "train"
-    model = rg.fit_boosted(df, NAMES, "wear", train, "vec_id", depth=3, step=0.5, patience=2)
-    trees = er.error_by_class(model.transform(df), "pred", "wear", keys=["split"]).select("split", "n", F.col("overall").alias("a"))
-    mean = er.error_by_class(er.mean_baseline(df, "wear", train), "pred", "wear", keys=["split"]).select("split", F.col("overall").alias("b"))
-    return trees.filter("split = 'train'").join(mean, "split").select("split", "n", (F.col("a") < F.col("b")).alias("better"))
+    scored = er.mean_baseline(rg.fit_boosted(df, NAMES, "wear", train, "vec_id", step=0.2, patience=50).transform(df), "wear", train, "mean")
+    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("wear") - F.col("mean"))).alias("mean_error"),
+                                       (F.avg(F.abs(F.col("wear") - F.col("pred"))) < F.avg(F.abs(F.col("wear") - F.col("mean")))).alias("better"))
 
 
 @query("J4_mean_baseline", f"""WITH {VEC} SELECT split, avg(abs(wear - (SELECT avg(wear) FROM vec WHERE split = 'train'))) AS overall, count(*) AS n
@@ -269,11 +271,62 @@ def j4(spark, sf):
     return er.error_by_class(df, "pred", "wear", keys=["split"]).select("split", "overall", "n")
 
 
-@query("J5_method_matrix")
+# Blocks of two dimensions each, the same minus the mean of a set's first rows, and one parameter that some sets lack.
+STUDY_BLOCKS = {"v1": (0, 1), "v2": (2, 3), "v3": (4, 5), "v4": (6, 7)}
+STUDY_METHODS = study.method_matrix(["a", "b"], ["a", "b"], ["cut"])
+
+
+def study_rows(spark, sf):
+    """vectors() with the columns of a study: v1_a, v1_b .. v4_b, their deltas d_*, and one parameter `cut` that sets 0 to 2 lack."""
+    df = vectors(spark, sf)
+    plain = {f"{v}_{n}": F.col(f"f{i}") for v, pair in STUDY_BLOCKS.items() for n, i in zip("ab", pair)}
+    df = df.select("vec_id", "set_id", "wear", "type", "split", *[c.alias(n) for n, c in plain.items()],
+                   F.when(F.col("set_id") > 2, F.col("f8")).alias("cut"))
+    deltas = [f"d_{n}" for n in plain]
+    return delta_features(df.select("*", *[F.col(n).alias(f"d_{n}") for n in plain]), "set_id", [F.col("vec_id")], deltas, 5)
+
+
+def study_sql():
+    cells = [f"CAST(embedding[{i + 1}] AS DOUBLE) AS {v}_{n}" for v, pair in STUDY_BLOCKS.items() for n, i in zip("ab", pair)]
+    names = [f"{v}_{n}" for v in STUDY_BLOCKS for n in "ab"]
+    base = ", ".join(f"avg({n}) FILTER (place <= 5) OVER (PARTITION BY set_id) AS base_{n}" for n in names)
+    delta = ", ".join(f"{n} - base_{n} AS d_{n}" for n in names)
+    parts = [f"""WITH {VEC}, plain AS (SELECT vec.*, row_number() OVER (PARTITION BY vec.set_id ORDER BY vec.vec_id) AS place, {", ".join(cells)}
+        FROM vec JOIN embeddings USING (vec_id)), based AS (SELECT *, {base} FROM plain), study AS (SELECT *, {delta} FROM based)"""]
+    rows = ["SELECT 'predict_mean_train' AS method, 0 AS position, split, avg(abs(wear - (SELECT avg(wear) FROM vec WHERE split = 'train'))) AS overall, count(*) AS n FROM vec GROUP BY split"]
+    for i, m in enumerate(STUDY_METHODS, 1):
+        if m.kind == "ridge":
+            x = "SELECT vec_id, set_id, split, wear, {} AS f0, {} AS f1 FROM study".format(*m.cols)
+            fit = RIDGE2.format(src=f"({x}) WHERE split = 'train'")
+            rows.append(f"SELECT '{m.name}', {i}, split, avg(abs(wear - greatest(0, least(450.0, {LINE2})))), count(*) FROM ({x}), ({fit}) GROUP BY split")
+        else:
+            rows.append(f"SELECT '{m.name}', {i}, split, NULL, count(*) FROM vec GROUP BY split")
+    return f"{parts[0]} {' UNION ALL '.join(rows)}"
+
+
+def _study(spark, sf):
+    return stored(study_rows(spark, sf), "study")
+
+
+@query("J5_method_matrix", study_sql(), "overall", 5)
 def j5(spark, sf):
-    methods = [study.Method("mean", "mean"), study.Method("ridge_few", "ridge", NAMES[:8]), study.Method("ridge_all", "ridge", NAMES),
-               study.Method("boosted_few", "boosted", NAMES[:8])]
-    return study.evaluate_methods(vectors(spark, sf), methods, "wear", "vec_id", rounds=4, depth=3, step=0.3)
+    """All twenty methods and the mean; errors of trees have no SQL."""
+    methods = [study.Method("predict_mean_train", "mean"), *STUDY_METHODS]
+    res = study.evaluate_methods(_study(spark, sf), methods, "wear", "vec_id", step=0.2, patience=50)
+    return res.select("method", "position", "split", F.when(~F.col("method").startswith("boosted"), F.col("overall")).alias("overall"), "n")
+
+
+@query("J5_J7_study", f"""WITH {VEC} SELECT count(*) FILTER (split = 'train') AS n_train, count(DISTINCT set_id) FILTER (split = 'train') AS n_sets,
+    21 AS n_methods, true AS covered, true AS ranked FROM vec""")
+def j57(spark, sf):
+    """The study in one call: every method on every split, every held-out set and pooled, and the ranked features of the best method."""
+    made = study.run_study(_study(spark, sf), STUDY_METHODS, "wear", "vec_id", "set_id", step=0.2, patience=50)
+    per_method = made.folds.groupBy("method").agg(F.sum("n").alias("n"), F.countDistinct("set_id").alias("sets"))
+    checked = per_method.join(made.pooled.select("method", F.col("n").alias("pooled")), "method")
+    one = checked.agg(F.max("n").alias("n_train"), F.max("sets").cast("long").alias("n_sets"), F.count(F.lit(1)).cast("int").alias("n_methods"),
+                      ((F.min("n") == F.max("n")) & (F.min("pooled") == F.max("n")) & (F.min("sets") == F.max("sets"))).alias("covered"))
+    ranked = made.importance.agg(((F.count(F.lit(1)) > 0) & (F.max("rank") == F.count(F.lit(1)))).alias("ranked"))
+    return one.withColumn("ranked", ranked.scalar())
 
 
 FOLD = f"""WITH {VEC}, fold AS (SELECT v.set_id, count(*) AS n, avg(r.wear) AS my, avg(r.f0) AS mx,
@@ -310,6 +363,27 @@ def j6a(spark, sf):
     return rg.leave_group_out(vectors(spark, sf), "set_id", NAMES, "wear")[1]
 
 
+@query("J7_gain_importance", "SELECT 2 AS n_strong, true AS signal_first")
+def j7g(spark, sf):
+    """Gain names the dimensions that the target is made of: the two strongest of 64."""
+    df = vectors(spark, sf)
+    model = rg.fit_boosted(df, NAMES, "wear", F.lit(True), "vec_id", step=0.2, patience=50)
+    top = study.importance_report(model, 2)
+    return top.agg(F.count(F.lit(1)).cast("int").alias("n_strong"), F.bool_and(F.col("feature").isin("f0", "f1")).alias("signal_first"))
+
+
+@query("J6_leave_one_out_trees", f"""WITH {VEC}, folds AS (SELECT set_id, count(*) AS n, sum(wear) AS s FROM vec GROUP BY set_id),
+    whole AS (SELECT count(*) AS n, sum(wear) AS s FROM vec)
+    SELECT vec.set_id, count(*) AS n, avg(abs(wear - (whole.s - folds.s) / (whole.n - folds.n))) AS mean_error, true AS better
+    FROM vec JOIN folds USING (set_id), whole GROUP BY vec.set_id""", "mean_error")
+def j6t(spark, sf):
+    """Every set predicted by trees of all the others: better than the mean of the others."""
+    df = vectors(spark, sf)
+    trees = rg.leave_group_out_boosted(df, "set_id", NAMES, "wear", "vec_id", step=0.2, patience=50)[1]
+    mean = rg.leave_group_out(df, "set_id", [], "wear", method="mean")[1].select("set_id", F.col("overall").alias("mean_error"))
+    return trees.join(mean, "set_id").select("set_id", "n", "mean_error", (F.col("overall") < F.col("mean_error")).alias("better"))
+
+
 @query("J7_importance")
 def j7(spark, sf):
     model = rg.fit_ridge(vectors(spark, sf), NAMES, "wear", F.col("split") == "train")

@@ -8,14 +8,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from condmon.constants import WEAR_CAP_UM
+from condmon.evaluate.boosting import Boosted, Settings, fit_boosters
 from condmon.evaluate.errors import error_by_class
 from condmon.evaluate.scaler import Scaler
-from condmon.operators.skew import rank_in_group
+from condmon.operators.skew import join_null_safe
 from condmon.session import stored
 
 CLIP = (0.0, WEAR_CAP_UM)
@@ -72,57 +72,29 @@ def fit_ridge(df: DataFrame, cols: Sequence[str], label: str, train: Column, alp
     return fitted
 
 
-def fit_boosted(df: DataFrame, cols: Sequence[str], label: str, train: Column, key: str, seed: int = 42,
-                es_frac: float = 0.15, min_es: int = 30, rounds: int = 3000, depth: int = 5, step: float = 0.03,
-                patience: int = 150, clip: tuple[float, float] | None = CLIP) -> FittedModel:
-    """Gradient-boosted trees on absolute loss; the best round is chosen on a slice of the training rows.
+@dataclass
+class BoostedModel:
+    """One model of a joint fit, with the interface of FittedModel."""
+
+    fitted: Boosted
+    number: int = 0
+
+    def transform(self, df: DataFrame, name: str = "pred") -> DataFrame:
+        return self.fitted.predict(df, name, F.lit(self.number))
+
+    def importance(self) -> DataFrame:
+        """(feature, importance): total gain, one row per feature."""
+        rows = list(self.fitted.importance(self.number).items())
+        return SparkSession.active().createDataFrame(rows, "feature string, importance double")
 
-    Training ends when the slice has seen no better round for `patience` rounds, or at `rounds`. Spark's trees cannot be
-    continued, so the number of rounds is doubled until patience runs out; a longer fit begins with the same trees.
-    The slice is the max(min_es, es_frac * n) rows with the lowest hash of their key.
-    Missing values take the training mean plus an indicator column where a feature has any.
-    """
-    rows = df.filter(train & F.col(label).isNotNull())
-    scaler = Scaler.fit(rows, cols)
-    counts = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in cols]).first()
-    gaps = [c for c in cols if counts[c] < counts["_n"]]
-    flags = {f"{c}_missing": F.col(c).isNull().cast("double") for c in gaps}
-
-    class Flagged(FittedModel):
-        def design(self, frame: DataFrame) -> DataFrame:
-            keep = frame.withColumn("_row", F.struct(*frame.columns)).withColumns(flags) if flags else (
-                frame.withColumn("_row", F.struct(*frame.columns)))
-            scaled = scaler.transform(keep, impute=True)
-            return VectorAssembler(inputCols=self.cols + self.extra, outputCol="_x").transform(scaled)
-
-    fitted = Flagged(None, list(cols), scaler, clip, list(flags))
-    wanted = min(counts["_n"] // 2, max(min_es, int(es_frac * counts["_n"])))
-    place = rank_in_group(rows.withColumn("_draw", F.xxhash64(F.col(key), F.lit(seed))), [], [F.col("_draw"), F.col(key)], "_place")
-    marked = stored(fitted.design(place.withColumn("_es", F.col("_place") < wanted).drop("_draw", "_place")), "boosting")
-    held, used = marked.filter(F.col("_row._es")), marked.filter(~F.col("_row._es"))
-    trees = GBTRegressor(
-        featuresCol="_x", labelCol=label, lossType="absolute", maxDepth=depth, stepSize=step,
-        subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=10, seed=seed)
-    tried = min(rounds, 2 * patience)
-    while True:
-        model = trees.copy({trees.maxIter: tried}).fit(used)
-        best, ended = best_round(model.evaluateEachIteration(held, "absolute"), patience)
-        if ended or tried >= rounds:
-            break
-        tried = min(rounds, 2 * tried)
-    fitted.model = trees.copy({trees.maxIter: best}).fit(used) if best < tried else model
-    return fitted
 
+def fit_boosted(df: DataFrame, cols: Sequence[str], label: str, train: Column, key: str,
+                clip: tuple[float, float] | None = CLIP, **settings) -> BoostedModel:
+    """Boosted trees on absolute loss; missing values have a side of their own in every split.
 
-def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
-    """The best round (from 1) when training ends after `patience` rounds without a better one, and whether it ended."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
+    Training ends when a slice of the training rows has seen no better round for `patience` rounds, or at `rounds`.
+    """
+    return BoostedModel(fit_boosters(df.filter(train), cols, label, key, [cols], clip=clip, settings=Settings(**settings)))
 
 
 # Leave-one-group-out ridge from additive sums
@@ -224,23 +196,29 @@ def leave_group_out(df: DataFrame, group: str, cols: Sequence[str], label: str,
             error_by_class(preds, "pred", label, cls, **extra))
 
 
+def numbered_groups(rows: DataFrame, group: str, number: str) -> DataFrame:
+    """rows with the number of their group, from 0 in the order of the groups."""
+    groups = rows.select(group).distinct().withColumn(number, F.row_number().over(Window.orderBy(group)) - 1)
+    return join_null_safe(rows, stored(groups, "groups"), [group], "inner")
+
+
 def leave_group_out_boosted(df: DataFrame, group: str, cols: Sequence[str], label: str, key: str, cls: str = "type",
-                            seed: int = 42, **trees) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One boosted fit per group: the folds of a study, not of a large population."""
-    rows = df.filter(F.col(label).isNotNull())
-    preds = None
-    for (g,) in sorted(rows.select(group).distinct().collect()):
-        model = fit_boosted(rows, cols, label, F.col(group) != g, key, seed + int(g), **trees)
-        part = model.transform(rows.filter(F.col(group) == g))
-        preds = part if preds is None else preds.unionByName(part)
-    return (preds, error_by_class(preds, "pred", label, cls, [group]), error_by_class(preds, "pred", label, cls))
+                            clip: tuple[float, float] | None = CLIP, classes: Sequence[str] | None = None,
+                            **settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(predictions, per-fold errors, pooled errors), each group predicted by trees of all the others.
+
+    All folds grow together in the same passes. Groups may be of any type that can be ordered; NULL is a group.
+    """
+    rows = numbered_groups(df.filter(F.col(label).isNotNull()), group, "_fold_number")
+    folds = rows.agg(F.max("_fold_number")).first()[0]
+    fold = F.col("_fold_number")
+    fitted = fit_boosters(rows, cols, label, key, [cols], fold, range((-1 if folds is None else folds) + 1), clip, Settings(**settings))
+    preds = fitted.predict(rows, "pred", fold).drop("_fold_number").filter(F.col("pred").isNotNull())
+    extra = {} if classes is None else {"classes": classes}
+    return (preds, error_by_class(preds, "pred", label, cls, [group], **extra), error_by_class(preds, "pred", label, cls, **extra))
 
 
 def array_columns(df: DataFrame, vec: str, size: int, prefix: str = "f") -> tuple[DataFrame, list[str]]:
     """Array column to named double columns."""
     names = [f"{prefix}{i}" for i in range(size)]
     return df.selectExpr("*", *[f"CAST(`{vec}`[{i}] AS DOUBLE) AS `{n}`" for i, n in enumerate(names)]), names
-
-
-def ml_vector_columns(df: DataFrame, vec: str, size: int, prefix: str = "f") -> tuple[DataFrame, list[str]]:
-    return array_columns(df.withColumn(vec, vector_to_array(vec)), vec, size, prefix)

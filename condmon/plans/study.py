@@ -8,9 +8,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from condmon.evaluate.errors import error_by_class, mean_baseline
-from condmon.evaluate.regress import FittedModel, fit_boosted, fit_ridge
+from condmon.evaluate.boosting import Settings, fit_boosters
+from condmon.evaluate.errors import best_method, error_by_class, mean_baseline
+from condmon.evaluate.regress import CLIP, BoostedModel, FittedModel, fit_ridge, leave_group_out, numbered_groups
 from condmon.operators.sequence import top_k
+from condmon.session import stored
 
 
 @dataclass(frozen=True)
@@ -43,32 +45,89 @@ def method_matrix(v1: Sequence[str], v2: Sequence[str], cutting: Sequence[str])
     return out + [Method(f"boosted_{n}_absolute", "boosted", cols) for n, cols in combined.items()]
 
 
-def fit_method(df: DataFrame, method: Method, label: str, train: Column, key: str, **trees) -> FittedModel:
-    if method.kind == "ridge":
-        return fit_ridge(df, method.cols, label, train)
-    if method.kind == "boosted":
-        return fit_boosted(df, method.cols, label, train, key, **trees)
-    raise ValueError(f"unknown method kind {method.kind!r}")
+def fit_methods(df: DataFrame, methods: Sequence[Method], label: str, train: Column, key: str, alpha: float = 1.0,
+                **trees) -> dict[str, FittedModel | BoostedModel]:
+    """Models by method name. All tree methods grow in the same passes, each on its own columns."""
+    boosted = [m for m in methods if m.kind == "boosted"]
+    models: dict[str, FittedModel | BoostedModel] = {}
+    if boosted:
+        cols = list(dict.fromkeys(c for m in boosted for c in m.cols))
+        joint = fit_boosters(df.filter(train), cols, label, key, [m.cols for m in boosted], clip=CLIP, settings=Settings(**trees))
+        models |= {m.name: BoostedModel(joint, i) for i, m in enumerate(boosted)}
+    for m in methods:
+        if m.kind == "ridge":
+            models[m.name] = fit_ridge(df, m.cols, label, train, alpha)
+        elif m.kind not in ("boosted", "mean"):
+            raise ValueError(f"unknown method kind {m.kind!r}")
+    return models
 
 
 def evaluate_methods(df: DataFrame, methods: Sequence[Method], label: str, key: str, split: str = "split",
-                     cls: str = "type", classes: Sequence[str] | None = None, **trees) -> DataFrame:
-    """(method, position, split, errors..): each method is fitted on 'train' and scored on every split.
-
-    Models are few and each fit is a Spark job over all rows; persist `df` before calling.
-    """
+                     cls: str = "type", classes: Sequence[str] | None = None, models: dict | None = None, **trees) -> DataFrame:
+    """(method, position, split, errors..): each method is fitted on 'train' and scored on every split."""
     train = F.col(split) == "train"
+    models = fit_methods(df, methods, label, train, key, **trees) if models is None else models
     extra = {} if classes is None else {"classes": classes}
     parts = []
     for i, method in enumerate(methods):
-        scored = (mean_baseline(df, label, train) if method.kind == "mean"
-                  else fit_method(df, method, label, train, key, **trees).transform(df))
+        scored = mean_baseline(df, label, train) if method.kind == "mean" else models[method.name].transform(df)
         parts.append(error_by_class(scored, "pred", label, cls, [split], **extra).select(
             F.lit(method.name).alias("method"), F.lit(i).alias("position"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def importance_report(model: FittedModel, k: int = 20) -> DataFrame:
+def hold_out_methods(df: DataFrame, methods: Sequence[Method], group: str, label: str, key: str, cls: str = "type",
+                     classes: Sequence[str] | None = None, **trees) -> tuple[DataFrame, DataFrame]:
+    """((method, position, group, errors..), (method, position, pooled errors..)): every method on every group, trained on all other groups.
+
+    The trees of all methods and folds grow in the same passes; a ridge or mean fold is the total without its group.
+    """
+    rows = numbered_groups(df.filter(F.col(label).isNotNull()), group, "_fold_number")
+    last = rows.agg(F.max("_fold_number")).first()[0]
+    folds = 0 if last is None else last + 1
+    boosted = [m for m in methods if m.kind == "boosted"]
+    if boosted:
+        cols = list(dict.fromkeys(c for m in boosted for c in m.cols))
+        joint = fit_boosters(rows, cols, label, key, [m.cols for m in boosted], F.col("_fold_number"), range(folds), CLIP, Settings(**trees))
+    extra = {} if classes is None else {"classes": classes}
+    per_fold, pooled = [], []
+    for i, method in enumerate(methods):
+        tag = (F.lit(method.name).alias("method"), F.lit(i).alias("position"), "*")
+        if method.kind == "boosted":
+            preds = joint.predict(rows, "pred", F.col("_fold_number") + boosted.index(method) * folds)
+            own, whole = (error_by_class(preds.filter(F.col("pred").isNotNull()), "pred", label, cls, keys, **extra) for keys in ([group], []))
+        else:
+            _, own, whole = leave_group_out(df, group, method.cols, label, cls, method.kind, classes=classes)
+        per_fold.append(own.select(*tag))
+        pooled.append(whole.select(*tag))
+    return reduce(DataFrame.unionByName, per_fold), reduce(DataFrame.unionByName, pooled)
+
+
+@dataclass(frozen=True)
+class Study:
+    """Tables of a study: errors by (method, split), by (method, held-out group), pooled, and the strongest features of the best method."""
+
+    splits: DataFrame
+    folds: DataFrame
+    pooled: DataFrame
+    best: str
+    importance: DataFrame
+
+
+def run_study(df: DataFrame, methods: Sequence[Method], label: str, key: str, group: str, split: str = "split", cls: str = "type",
+              classes: Sequence[str] | None = None, k: int = 20, **trees) -> Study:
+    """The whole study in one call: official split, hold-out on the training groups, and the importance of the method with the least test error."""
+    train = F.col(split) == "train"
+    methods = [Method("predict_mean_train", "mean"), *methods]
+    models = fit_methods(df, methods, label, train, key, **trees)
+    splits = stored(evaluate_methods(df, methods, label, key, split, cls, classes, models), "study")
+    folds, pooled = hold_out_methods(df.filter(train), methods, group, label, key, cls, classes, **trees)
+    ranked = best_method(splits.filter((F.col(split) == "test") & (F.col("position") > 0))).first()
+    best = ranked["method"] if ranked is not None else None
+    return Study(splits, folds, pooled, best, importance_report(models[best], k) if best else None)
+
+
+def importance_report(model: FittedModel | BoostedModel, k: int = 20) -> DataFrame:
     """Rank, feature, importance of the k strongest features."""
     return top_k(model.importance(), "importance", k, "feature")
 

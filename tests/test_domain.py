@@ -383,9 +383,9 @@ def test_boosted_trees_beat_the_mean(tabular):
     df, _ = tabular
     methods = [study.Method("mean", "mean"), study.Method("trees", "boosted", list("abcd"))]
     split = df.withColumn("split", F.when(F.col("g") < 4, "train").otherwise("test"))
-    res = study.evaluate_methods(split, methods, "y", "id", rounds=10, depth=3, step=0.3)
+    res = study.evaluate_methods(split, methods, "y", "id", rounds=60, depth=3, step=0.3)
     test = {r["method"]: r["overall"] for r in res.filter("split = 'test'").collect()}
-    assert test["trees"] < test["mean"]
+    assert test["trees"] < 0.7 * test["mean"]
     assert one(er.best_method(res.filter("split = 'test'")))["method"] == "trees"
 
 

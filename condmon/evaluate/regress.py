@@ -2,74 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from condmon.constants import WEAR_CAP_UM
 from condmon.evaluate.boosting import Boosted, Settings, fit_boosters
 from condmon.evaluate.errors import error_by_class
-from condmon.evaluate.scaler import Scaler
+from condmon.evaluate.triangles import Ridge, left_out, solved, triangles
 from condmon.operators.skew import join_null_safe
 from condmon.session import stored
 
 CLIP = (0.0, WEAR_CAP_UM)
 
 
-def clipped(c: str, clip: tuple[float, float] | None) -> Column:
-    return F.col(c) if clip is None else F.greatest(F.lit(clip[0]), F.least(F.lit(clip[1]), F.col(c)))
+def clipped(c: str | Column, clip: tuple[float, float] | None) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return c if clip is None else F.greatest(F.lit(clip[0]), F.least(F.lit(clip[1]), c))
 
 
 @dataclass
 class FittedModel:
-    """A fitted Spark ML model with its scaler; `transform` adds a clipped prediction column."""
+    """A ridge model; `transform` adds a clipped prediction column, `importance` lists absolute coefficients per standard deviation."""
 
-    model: object
     cols: list[str]
-    scaler: Scaler | None
+    ridge: Ridge
     clip: tuple[float, float] | None = CLIP
-    extra: list[str] = field(default_factory=list)
-
-    def design(self, df: DataFrame) -> DataFrame:
-        keep = df.withColumn("_row", F.struct(*df.columns))
-        if self.scaler is not None:
-            keep = self.scaler.transform(keep, impute=True)
-        return VectorAssembler(inputCols=self.cols + self.extra, outputCol="_x").transform(keep)
 
     def transform(self, df: DataFrame, name: str = "pred") -> DataFrame:
-        scored = self.model.transform(self.design(df))
-        return scored.withColumn(name, clipped("prediction", self.clip)).select("_row.*", name)
+        terms = [repr(self.ridge.intercept) + "D", *[
+            f"{float(b)!r}D * coalesce(CASE WHEN NOT isnan(`{c}`) THEN CAST(`{c}` AS DOUBLE) END, {float(m)!r}D)"
+            for c, b, m in zip(self.cols, self.ridge.coef, self.ridge.fill)]]
+        return df.withColumn(name, clipped(F.expr(" + ".join(terms)), self.clip))
 
     def importance(self) -> DataFrame:
-        """(feature, importance): absolute coefficient or gain, one row per feature."""
-        values = (self.model.coefficients if hasattr(self.model, "coefficients")
-                  else self.model.featureImportances).toArray()
-        spark = self.scaler.stats.sparkSession
-        return spark.createDataFrame(
-            [(n, float(abs(v))) for n, v in zip(self.cols + self.extra, values)],
-            "feature string, importance double")
+        rows = [(c, float(abs(v))) for c, v in zip(self.cols, self.ridge.strength)]
+        return SparkSession.active().createDataFrame(rows, "feature string, importance double")
+
+
+def fit_ridges(df: DataFrame, subsets: Sequence[Sequence[str]], label: str, train: Column, alpha: float = 1.0,
+               clip: tuple[float, float] | None = CLIP) -> list[FittedModel]:
+    """A model for every subset of the columns from one pass: impute with the training mean, standardise, ridge with a free intercept."""
+    cols = list(dict.fromkeys(c for cs in subsets for c in cs))
+    found = triangles(df.filter(train).withColumn("_one", F.lit(1)), "_one", cols, label)
+    row = found.table.first()
+    if row is None:
+        raise ValueError("no training row has a label")
+    r, at = np.frombuffer(row["r"]).reshape(-1, found.width), {c: i for i, c in enumerate(cols)}
+    return [FittedModel(list(cs), solved(r, found.shift, alpha, [at[c] for c in cs]), clip) for cs in subsets]
 
 
 def fit_ridge(df: DataFrame, cols: Sequence[str], label: str, train: Column, alpha: float = 1.0,
               clip: tuple[float, float] | None = CLIP) -> FittedModel:
-    """Impute with the training mean, standardise, ridge with a free intercept.
-
-    Spark scales the penalty by the label's std and averages the loss, hence the conversion of alpha.
-    """
-    rows = df.filter(train & F.col(label).isNotNull())
-    scaler = Scaler.fit(rows, cols, imputed=True)
-    spread = rows.agg(F.stddev_pop(label).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    estimator = LinearRegression(
-        featuresCol="_x", labelCol=label, solver="normal", elasticNetParam=0.0, standardization=False,
-        regParam=alpha * (spread["s"] or 0.0) / max(spread["n"], 1))
-    fitted = FittedModel(None, list(cols), scaler, clip)
-    fitted.model = estimator.fit(fitted.design(rows))
-    return fitted
+    return fit_ridges(df, [cols], label, train, alpha, clip)[0]
 
 
 @dataclass
@@ -97,76 +85,11 @@ def fit_boosted(df: DataFrame, cols: Sequence[str], label: str, train: Column, k
     return BoostedModel(fit_boosters(df.filter(train), cols, label, key, [cols], clip=clip, settings=Settings(**settings)))
 
 
-# Leave-one-group-out ridge from additive sums
-
-def _sums(df: DataFrame, group: str, cols: list[str], label: str) -> DataFrame:
-    """(group, cell, v): products of [values, present flags, label, 1], summed per group.
-
-    Every task adds up its own rows first and emits one small matrix per group it saw.
-    """
-    p = len(cols)
-    width = 2 * p + 2
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
-        for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=float)
-            seen = ~np.isnan(x)
-            z = np.column_stack([np.where(seen, x, 0.0), seen, pdf[label].to_numpy(dtype=float), np.ones(len(pdf))])
-            for g, index in pdf.groupby(group, sort=False).indices.items():
-                held[g] = held.get(g, 0.0) + z[index].T @ z[index]
-            if len(held) > 256:
-                yield pd.DataFrame({"g": list(held), "m": [m.ravel() for m in held.values()]})
-                held = {}
-        if held:
-            yield pd.DataFrame({"g": list(held), "m": [m.ravel() for m in held.values()]})
-
-    kind = df.schema[group].dataType.simpleString()
-    rows = df.select(group, *[F.col(c).cast("double").alias(c) for c in cols], F.col(label).cast("double").alias(label))
-    parts = rows.mapInPandas(partial, f"g {kind}, m array<double>")
-    assert width * width < 1 << 24, "too many features for a per-group product matrix"
-    return parts.select(F.col("g").alias(group), F.posexplode("m").alias("cell", "v")).groupBy(group, "cell").agg(
-        F.sum("v").alias("v"))
-
-
-def ridge_from_sums(m: np.ndarray, p: int, alpha: float) -> tuple[float, np.ndarray]:
-    """Intercept and raw-scale coefficients of ridge on imputed, standardised columns."""
-    x, s, y, one = slice(0, p), slice(p, 2 * p), 2 * p, 2 * p + 1
-    n = m[one, one]
-    present = np.diag(m[s, s])
-    mean = np.where(present > 0, m[x, one] / np.where(present > 0, present, 1.0), 0.0)
-    cross = m[x, s]
-    cov = m[x, x] - cross * mean[None, :] - (cross * mean[None, :]).T + np.outer(mean, mean) * m[s, s]
-    std = np.sqrt(np.maximum(np.diag(cov), 0.0) / n)
-    std = np.where(std < 1e-12, 1.0, std)
-    y_mean = m[y, one] / n
-    xy = m[x, y] - mean * m[s, y] - y_mean * (m[x, one] - mean * present)
-    gram = cov / np.outer(std, std) + alpha * np.eye(p)
-    coef = np.linalg.solve(gram, xy / std) / std
-    return float(y_mean - coef @ mean), np.concatenate([coef, mean])
-
-
 def fold_coefficients(df: DataFrame, group: str, cols: Sequence[str], label: str, alpha: float = 1.0) -> DataFrame:
-    """(group, icpt, coef, fill) of the model trained on all other groups; one matrix solve per group."""
-    cols = list(cols)
-    p = len(cols)
-    width = 2 * p + 2
-    own = _sums(df, group, cols, label)
-    total = own.groupBy("cell").agg(F.sum("v").alias("t"))
-    rest = own.join(total, "cell").select(group, "cell", (F.col("t") - F.col("v")).alias("v"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros(width * width)
-        m[pdf["cell"].to_numpy()] = pdf["v"].to_numpy()
-        m = m.reshape(width, width)
-        if m[-1, -1] < 0.5:  # no rows outside this group
-            return pd.DataFrame({group: [], "icpt": [], "coef": [], "fill": []})
-        icpt, both = ridge_from_sums(m, p, alpha)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "icpt": [icpt], "coef": [both[:p]], "fill": [both[p:]]})
-
-    kind = df.schema[group].dataType.simpleString()
-    return rest.groupBy(group).applyInPandas(
-        solve, f"{group} {kind}, icpt double, coef array<double>, fill array<double>")
+    """(group, icpt, coef, fill) of the model trained on all other groups."""
+    own = triangles(df, group, cols, label)
+    own = replace(own, table=stored(own.table, "triangles"))
+    return left_out(own, max(1, math.isqrt(own.table.count())), alpha)
 
 
 def leave_group_out(df: DataFrame, group: str, cols: Sequence[str], label: str, cls: str = "type",
@@ -182,12 +105,12 @@ def leave_group_out(df: DataFrame, group: str, cols: Sequence[str], label: str,
         total = own.agg(F.sum("_s").alias("s"), F.sum("_n").alias("n"))
         folds = own.select(group, ((total.select("s").scalar() - F.col("_s"))
                                    / F.nullif(total.select("n").scalar() - F.col("_n"), F.lit(0))).alias("_p"))
-        scored = rows.join(folds, group)
+        scored = join_null_safe(rows, folds, [group], "inner")
     elif method == "ridge":
         folds = fold_coefficients(rows, group, cols, label, alpha)
         terms = [f"coef[{i}] * coalesce(CASE WHEN NOT isnan(`{c}`) THEN CAST(`{c}` AS DOUBLE) END, fill[{i}])"
                  for i, c in enumerate(cols)]
-        scored = rows.join(folds, group).withColumn("_p", F.expr(" + ".join(["icpt", *terms]))).drop("icpt", "coef", "fill")
+        scored = join_null_safe(rows, folds, [group], "inner").withColumn("_p", F.expr(" + ".join(["icpt", *terms]))).drop("icpt", "coef", "fill")
     else:
         raise ValueError(f"unknown method {method!r}")
     preds = scored.withColumn("pred", clipped("_p", clip)).drop("_p").filter(F.col("pred").isNotNull())

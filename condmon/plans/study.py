@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from condmon.evaluate.boosting import Settings, fit_boosters
 from condmon.evaluate.errors import best_method, error_by_class, mean_baseline
-from condmon.evaluate.regress import CLIP, BoostedModel, FittedModel, fit_ridge, leave_group_out, numbered_groups
+from condmon.evaluate.regress import CLIP, BoostedModel, FittedModel, fit_ridges, leave_group_out, numbered_groups
 from condmon.operators.sequence import top_k
 from condmon.session import stored
 
@@ -47,18 +47,20 @@ def method_matrix(v1: Sequence[str], v2: Sequence[str], cutting: Sequence[str])
 
 def fit_methods(df: DataFrame, methods: Sequence[Method], label: str, train: Column, key: str, alpha: float = 1.0,
                 **trees) -> dict[str, FittedModel | BoostedModel]:
-    """Models by method name. All tree methods grow in the same passes, each on its own columns."""
+    """Models by method name. All tree methods grow in the same passes, each on its own columns; all ridge methods take
+    their columns from one triangle."""
+    unknown = {m.kind for m in methods} - {"mean", "ridge", "boosted"}
+    if unknown:
+        raise ValueError(f"unknown method kinds {sorted(unknown)}")
     boosted = [m for m in methods if m.kind == "boosted"]
     models: dict[str, FittedModel | BoostedModel] = {}
     if boosted:
         cols = list(dict.fromkeys(c for m in boosted for c in m.cols))
         joint = fit_boosters(df.filter(train), cols, label, key, [m.cols for m in boosted], clip=CLIP, settings=Settings(**trees))
         models |= {m.name: BoostedModel(joint, i) for i, m in enumerate(boosted)}
-    for m in methods:
-        if m.kind == "ridge":
-            models[m.name] = fit_ridge(df, m.cols, label, train, alpha)
-        elif m.kind not in ("boosted", "mean"):
-            raise ValueError(f"unknown method kind {m.kind!r}")
+    ridges = [m for m in methods if m.kind == "ridge"]
+    if ridges:
+        models |= zip([m.name for m in ridges], fit_ridges(df, [m.cols for m in ridges], label, train, alpha))
     return models
 
 

@@ -1,6 +1,6 @@
 """Checked queries: sources and cleaning (survey A and B)."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from checks import standins as s
 from checks.registry import query
@@ -375,6 +375,20 @@ def b22n(spark, sf):
     return drawn.agg(F.count(F.lit(1)).alias("n_draws"))
 
 
+@query("B22_class_shares", """WITH c AS (SELECT o_orderpriority || '/' || o_orderstatus AS type, count(*) * CASE WHEN o_orderstatus = 'P' THEN 3.0 ELSE 1.0 END AS mass
+    FROM orders GROUP BY 1, o_orderstatus) SELECT type, mass / sum(mass) OVER () AS share, true AS near FROM c""", "share")
+def b22s(spark, sf):
+    """The share of each class among the draws lies within five deviations of its share of the weight."""
+    o = s.table(spark, sf, "orders").select(F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("type"), "o_orderkey")
+    n, weights = 4 * o.count(), {f"{p}/P": 3.0 for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")}
+    drawn = sm.weighted_resample(o, "type", weights, n, 5, [F.col("o_orderkey")])
+    mass = F.when(F.col("type").endswith("/P"), 3.0).otherwise(1.0) * F.count(F.lit(1))
+    share = o.groupBy("type").agg(mass.alias("mass")).withColumn("share", F.col("mass") / F.sum("mass").over(Window.partitionBy()))
+    found = share.join(drawn.groupBy("type").agg(F.count(F.lit(1)).alias("k")), "type", "left")
+    off = F.abs(F.coalesce("k", F.lit(0)) / F.lit(float(n)) - F.col("share"))
+    return found.select("type", "share", (off < 5 * F.sqrt(F.col("share") * (1 - F.col("share")) / n) + 1e-9).alias("near"))
+
+
 META_SQL = f"""WITH {s.RUN_SQL} SELECT experiment, split, seed, epochs,
     CASE flag WHEN 'N' THEN 'ctrl' WHEN 'A' THEN 'ceil' ELSE 'sym-T' END AS variant,
     CASE flag WHEN 'N' THEN 'ctrl' WHEN 'A' THEN 'hard_C40' ELSE 'hard_C12.5' END AS hard_variant, lam FROM runs"""

@@ -455,6 +455,22 @@ def k6(spark, sf):
     return rp.baseline_report(named)
 
 
+PIVOT = ", ".join(f"min(overall) FILTER (seed = {x}) AS s{x}" for x in range(41, 48))
+SEED_ROWS = " UNION ALL ".join(
+    f"SELECT NULL, '{name}', 'test', NULL, " + ", ".join(f"{v}, NULL" for v in values) + ", NULL" * 7
+    for name, *values in (("paper_resnet50", 30.0, 14.0, 39.0, 91.0), ("vision_664_1seed (s42)", 19.0, 16.6, 37.2, 23.2),
+                          ("vision_647_1seed (s42)", 22.4, 20.3, 35.1, 27.1), ("t3_gated_md30_1seed(s42)", 21.44, 18.94, 40.13, 25.77)))
+
+
+@query("K6_three_seed_report", f"""WITH {RUN} SELECT family AS run_group, flag || epochs AS config_name, split, count(DISTINCT seed) AS seeds, {AGG}, {PIVOT}
+    FROM runs GROUP BY ALL UNION ALL {SEED_ROWS}""", f"{AGG_DBL} {' '.join(f's{x}' for x in range(41, 48))}")
+def k6s(spark, sf):
+    meta = rp.run_meta(s.runs(spark, sf))
+    flag = F.when(F.col("variant") == "ctrl", "N").when(F.col("variant") == "ceil", "A").otherwise("R")
+    named = meta.withColumns({"run_group": F.col("family"), "config_name": F.concat(flag, "epochs")})
+    return rp.three_seed_report(named, range(41, 48))
+
+
 @query("K7_comparison", f"""WITH {RUN} SELECT experiment, split, CAST(best_epoch AS INTEGER) AS best_epoch, overall, flank, adh, fa, n_total FROM runs
     UNION ALL SELECT 'paper_baseline', 'test', NULL, 30.0, 14.0, 39.0, 91.0, NULL""", "overall flank adh fa")
 def k7(spark, sf):

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from condmon.constants import ADHESION_TYPES, SPLITS, WEAR_CAP_UM
 from condmon.functions import normalise_wear
-from condmon.operators.skew import SORT_ROWS, join_null_safe, rank_in_group
+from condmon.operators.skew import SORT_ROWS, join_null_safe, rank_in_group, running
+from condmon.session import stored
 
 MODALITY = {"both": "both", "image": "has_image", "sensor": "has_sensor", "any": None}
 
@@ -91,32 +92,33 @@ def weighted_resample(df: DataFrame, cls: str, weights: dict[str, float], n: int
 
     Drawing a class by its total weight and then a row of that class evenly is the same
     distribution as drawing a row by its weight. Each draw is then one equi-join on
-    (class, row number), so nothing is compared with everything. Draws come from hashes of
-    the draw number and stay the same when a task is run again. At most one row per class
-    is held in the small class table.
+    (class, row number), so nothing is compared with everything. The classes lie side by side on a line of their masses, which is
+    cut into as many equal parts as there are classes; a draw meets only the classes of its part. Draws come from hashes of
+    the draw number and stay the same when a task is run again. NULL is a class.
     """
     ranked = rank_in_group(df, [cls], order, "_idx", limit)
     weight = F.lit(default)
     for name, value in weights.items():
         weight = F.when(F.col(cls) == name, float(value)).otherwise(weight)
-    sizes = df.groupBy(cls).agg(F.count(F.lit(1)).alias("_n")).withColumn("_mass", F.col("_n") * weight)
-    table = sizes.agg(F.sort_array(F.collect_list(F.struct("_mass", F.col(cls).alias("c"), "_n"))).alias("t"))
+    sizes = df.groupBy(cls).agg(F.count(F.lit(1)).alias("_n")).withColumns({"_mass": F.col("_n") * weight, "_all": F.lit(0)})
+    line = stored(running(sizes.filter("_mass > 0"), ["_all"], [F.col(cls)], "_mass", "sum", "_hi", limit), "masses")
+    whole = line.agg(F.max("_hi").alias("total"), F.count(F.lit(1)).alias("k")).first()
+    total, parts = whole["total"] or 0.0, max(1, whole["k"])
 
     def uniform(salt: int) -> Column:
         return F.pmod(F.xxhash64("draw", F.lit(seed), F.lit(salt)), F.lit(1 << 52)) / float(1 << 52)
 
-    total = F.aggregate("_t", F.lit(0.0), lambda a, x: a + x["_mass"])
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("hit"), F.lit(0).alias("i"))
-    walk = F.aggregate("_t", start, lambda a, x: F.struct(
-        (a["sum"] + x["_mass"]).alias("sum"),
-        F.when((a["hit"] < 0) & (F.col("_u") < a["sum"] + x["_mass"]), a["i"]).otherwise(a["hit"]).alias("hit"),
-        (a["i"] + 1).alias("i")), lambda a: F.when(a["hit"] < 0, a["i"] - 1).otherwise(a["hit"]))
-    draws = (
-        df.sparkSession.range(n).withColumnRenamed("id", "draw")
-        .withColumn("_t", table.scalar())
-        .withColumn("_u", uniform(1) * total)
-        .withColumn("_pick", F.col("_t")[walk])
-        .select("draw", F.col("_pick.c").alias(cls),
-                F.least(F.floor(uniform(2) * F.col("_pick._n")).cast("long"), F.col("_pick._n") - 1).alias("_idx"))
-    )
+    def part(c: str) -> Column:
+        return F.least(F.floor(F.col(c) / max(total, 1e-300) * parts), F.lit(parts - 1)).cast("long")
+
+    spans = line.withColumn("_lo", F.col("_hi") - F.col("_mass"))
+    # Neighbours meet at the same number, and nothing lies behind the last class.
+    spans = spans.withColumns({"_lo": F.greatest("_lo", F.lit(0.0)), "_hi": F.when(F.col("_hi") < total, F.col("_hi")).otherwise(float("inf"))})
+    index = spans.withColumn("_part", F.explode(F.sequence(part("_lo"), F.when(F.col("_hi") < total, part("_hi")).otherwise(parts - 1))))
+    drawn = df.sparkSession.range(n if whole["k"] else 0).withColumnRenamed("id", "draw").withColumn("_u", uniform(1) * total)
+    met = drawn.withColumn("_part", part("_u")).join(index.select(F.col(cls), "_n", "_lo", "_hi", "_part"), "_part")
+    first = F.max_by(F.struct(F.col(cls).alias("c"), F.col("_n").alias("n")), "_lo")  # of two that rounding lets overlap
+    picked = met.filter((F.col("_lo") <= F.col("_u")) & (F.col("_u") < F.col("_hi"))).groupBy("draw").agg(first.alias("_pick"))
+    draws = picked.select("draw", F.col("_pick.c").alias(cls),
+                          F.least(F.floor(uniform(2) * F.col("_pick.n")).cast("long"), F.col("_pick.n") - 1).alias("_idx"))
     return join_null_safe(draws, ranked, [cls, "_idx"], "inner").drop("_idx")

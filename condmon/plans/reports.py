@@ -161,6 +161,15 @@ def baseline_report(runs: DataFrame, group: str = "run_group", config: str = "co
     return seed_summary(runs, [group, config, "split"]).orderBy(group, "split", F.asc_nulls_last("overall_m"))
 
 
+def three_seed_report(runs: DataFrame, seeds: Sequence[int], group: str = "run_group", config: str = "config_name",
+                      reference: Sequence[dict] = SEED_REFERENCES) -> DataFrame:
+    """baseline_report() with the overall error of every seed, and the fixed reference rows, which have no group, seeds or spread."""
+    keys = [group, config, "split"]
+    table = seed_summary(runs, keys).join(seed_pivot(runs, keys, seeds), keys)
+    fixed = [{config: r["config_name"], "split": r["split"], **{f"{m}_m": r[m] for m in SHORT}} for r in reference]
+    return with_reference_rows(table, fixed).orderBy(F.asc_nulls_last(group), "split", F.asc_nulls_last("overall_m"))
+
+
 def comparison(runs: DataFrame, reference: Sequence[dict] = (PAPER,)) -> DataFrame:
     """Results of this run next to fixed reference rows, best first."""
     rows = runs.select("experiment", "split", "best_epoch", *SHORT, "n_total")

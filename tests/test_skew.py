@@ -169,3 +169,16 @@ def test_a_constant_channel_is_flat_on_both_sides_of_the_limit(spark):
     for limit in (1000, 100):
         r = spectrum_wide(df, 1000.0, ["a", "b"], share=True, limit=limit).selectExpr("sum(a) AS a", "sum(b) AS b").first()
         assert r["a"] == 0 and abs(r["b"] - 1) < 1e-9
+
+
+def test_weighted_resample_over_very_many_classes(spark):
+    many = 100_000
+    df = spark.range(3 * many).selectExpr("id", "CASE WHEN id < 2 * 100000 THEN id % 100000 ELSE -1 END AS c")
+    out = weighted_resample(df, "c", {-1: 0.0, 5: 1000.0, 6: 1000.0}, 60_000, 3, [F.col("id")])
+    counts = {r["c"]: r["n"] for r in out.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(counts.values()) == 60_000 and out.select("draw").distinct().count() == 60_000 and -1 not in counts
+    # masses: 2000 each of 203996 for two classes, 2 for each of the others
+    assert all(abs(counts[c] - 60_000 * 2000 / 203_996) < 150 for c in (5, 6))
+    assert len(counts) > 40_000 and max(n for c, n in counts.items() if c not in (5, 6)) < 12
+    halves = sum(n for c, n in counts.items() if c >= many // 2) / 60_000
+    assert abs(halves - 100_000 / 203_996) < 0.02

@@ -515,3 +515,66 @@ def k9(spark, sf):
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def _cells(tab, src, item, metrics):
+    return [f"SELECT '{tab}' AS tab, {item} AS item, '{name}' AS metric, CAST({sql} AS DOUBLE) AS value FROM {src}" for name, sql in metrics.items()]
+
+
+SID, LISTED = "CAST(sid AS VARCHAR)", "octet_length(encode({c})) % 2 = 0"
+BUNDLE_CELLS = [
+    *_cells("integrity", "lab", "'all'", {
+        "both": "count(*) FILTER (both_ok)", "only_image": "count(*) FILTER (has_image AND NOT has_sensor)",
+        "only_sensor": "count(*) FILTER (has_sensor AND NOT has_image)", "neither": "count(*) FILTER (NOT has_sensor AND NOT has_image)",
+        "missing_label": "count(*) FILTER (wear IS NULL)", "label_min": "min(wear)", "label_max": "max(wear)"}),
+    *_cells("wear_describe", "lab", "'all'", {
+        "mean": "avg(wear)", "std": "stddev_samp(wear)", "min": "min(wear)", "max": "max(wear)",
+        **{f"p{q}": f"quantile_cont(wear, 0.{q})" for q in (10, 25, 50, 75, 90)}}),
+    *[f"{c} WHERE wear IS NOT NULL GROUP BY type" for c in _cells("wear_boxes", "lab", "type", {
+        "q1": "quantile_cont(wear, 0.25)", "median": "quantile_cont(wear, 0.5)", "q3": "quantile_cont(wear, 0.75)"})],
+    *[f"{c} WHERE wear IS NOT NULL GROUP BY sid" for c in _cells("set_params", "lab", SID, {"max": "max(wear)", "mean": "avg(wear)"})],
+    *[f"{c} WHERE wear IS NOT NULL GROUP BY split" for c in _cells("splits", "lab", "split", {
+        "n_sets": "count(DISTINCT sid)", "wear_mean": "avg(wear)", "wear_std": "stddev_samp(wear)",
+        "adhesion_frac": "avg(CASE WHEN type IN ('adhesion', 'flank_wear+adhesion') THEN 1.0 ELSE 0.0 END)"})],
+    *_cells("sensor_files", "lab", "'all'", {
+        "referenced": "count(sensor_file)", "found": f"count(*) FILTER ({LISTED.format(c='sensor_file')})",
+        "missing": f"count(sensor_file) - count(*) FILTER ({LISTED.format(c='sensor_file')})"}),
+    *_cells("image_files", "lab", "'all'", {"referenced": "count(image_file)", "found": f"count(*) FILTER ({LISTED.format(c='image_file')})"}),
+    *_cells("unknown_params", "params", "'all'", {"n": "count(*) FILTER (Vc IS NULL)"}),
+    *_cells("metadata", "(SELECT DISTINCT material, split FROM lab)", "'all'", {"n_distinct": "count(*)"}),
+    f"SELECT 'first_mid_last', {SID}, role, sensor_id FROM placed WHERE role IS NOT NULL",
+]
+PLACED = """ranked AS (SELECT sid, sensor_id, row_number() OVER (PARTITION BY sid ORDER BY sensor_id) - 1 AS pos, count(*) OVER (PARTITION BY sid) AS n
+    FROM lab WHERE has_sensor), placed AS (SELECT *, CASE WHEN pos = 0 THEN 'first' WHEN pos = n - 1 THEN 'last' WHEN pos = n // 2 THEN 'middle' END AS role
+    FROM ranked)"""
+
+
+@query("K9_eda_bundle_values", f"WITH {LAB}, {PARAM}, {PLACED} {' UNION ALL '.join(BUNDLE_CELLS)}", "value")
+def k9v(spark, sf):
+    """Tables of the bundle by value, the file checks, unknown parameters, metadata and first, middle and last recordings among them."""
+    labels = s.labels(spark, sf)
+    paths = labels.select(F.explode(F.array("ImageFile", "SensorFile")).alias("path")).filter(F.octet_length("path") % 2 == 0)
+    b = eda.eda_bundle(labels, s.params(spark, sf).withColumnRenamed("set_id", "Set"), files=paths,
+                       metadata=labels.select("material", "split"), sample=None)
+
+    def cells(tab, item, names):
+        pairs = F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names]))
+        return b[tab].select(F.lit(tab).alias("tab"), item.cast("string").alias("item"), pairs)
+
+    one = F.lit("all")
+    parts = [
+        cells("integrity", one, ["both", "only_image", "only_sensor", "neither", "missing_label", "label_min", "label_max"]),
+        cells("wear_describe", one, ["mean", "std", "min", "max", "p10", "p25", "p50", "p75", "p90"]),
+        cells("wear_boxes", F.col("type"), ["q1", "median", "q3"]), cells("set_params", F.col("Set"), ["max", "mean"]),
+        cells("splits", F.col("split"), ["n_sets", "wear_mean", "wear_std", "adhesion_frac"]),
+        cells("sensor_files", one, ["referenced", "found", "missing"]), cells("image_files", one, ["referenced", "found"]),
+        b["unknown_params"].agg(F.count(F.lit(1)).cast("double").alias("value")).select(
+            F.lit("unknown_params").alias("tab"), one.alias("item"), F.lit("n").alias("metric"), "value"),
+        b["metadata"].agg(F.count(F.lit(1)).cast("double").alias("value")).select(
+            F.lit("metadata").alias("tab"), one.alias("item"), F.lit("n_distinct").alias("metric"), "value"),
+        b["first_mid_last"].select(F.lit("first_mid_last").alias("tab"), F.col("Set").cast("string").alias("item"), F.col("role").alias("metric"),
+                                   F.col("SensorID").cast("double").alias("value"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -8,8 +8,9 @@ from condmon.constants import CHANNELS, CK45, RVS, WEAR_EDGES, WEAR_LABELS, WEAR
 from condmon.functions import bin_right_open
 from condmon.operators import profile as pf
 from condmon.operators.lookup import attach_params
-from condmon.operators.samples import stage_membership
+from condmon.operators.samples import stage_membership, unknown_params
 from condmon.operators.sequence import life_fraction, ordered_series
+from condmon.sources.recordings import check_files
 
 
 def wear_bins(df: DataFrame, label: str = "wear") -> DataFrame:
@@ -17,8 +18,13 @@ def wear_bins(df: DataFrame, label: str = "wear") -> DataFrame:
     return binned.groupBy("wear_bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def eda_bundle(labels: DataFrame, params: DataFrame, recordings: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables, lazily; persist `labels` first when several of them are used."""
+def eda_bundle(labels: DataFrame, params: DataFrame, recordings: DataFrame | None = None, files: DataFrame | None = None,
+               metadata: DataFrame | None = None, sample: int | None = 20) -> dict[str, DataFrame]:
+    """All tables, lazily; persist `labels` first when several of them are used.
+
+    `files` is a listing of paths to hold the references against, `metadata` has the descriptive columns of each recording,
+    of which `sample` rows are looked at (None: all).
+    """
     measured = labels.filter(F.col("wear").isNotNull())
     out = {
         "integrity": pf.integrity(labels),
@@ -39,7 +45,14 @@ def eda_bundle(labels: DataFrame, params: DataFrame, recordings: DataFrame | Non
         "splits": pf.split_stats(labels),
         "wear_bins": wear_bins(labels),
         "recordings_per_set": pf.recordings_per_set(labels),
+        "unknown_params": unknown_params(params),
+        "first_mid_last": pf.first_mid_last(labels.filter("has_sensor"), "Set", [F.col("SensorID")]),
     }
+    if files is not None:
+        out["image_files"] = check_files(labels, files, "ImageFile")
+        out["sensor_files"] = check_files(labels, files, "SensorFile")
+    if metadata is not None:
+        out["metadata"] = pf.distinct_on_sample(metadata, metadata.columns, sample)
     if recordings is not None:
         stats = pf.channel_stats(recordings, "recording_id", CHANNELS)
         out["channel_stats"] = stats

@@ -1,5 +1,6 @@
 """Fixed values of the tool-wear domain. Every operator takes them as keyword defaults."""
 
+# fixed values: channels of a recording and their sampling
 CHANNELS = ("acc", "acoustic", "Fx", "Fy", "Fz")
 STEP_SECONDS = 0.0006
 FS = 1000 / 0.6
@@ -26,6 +27,7 @@ TYPE_MAP = {
 WEAR_TYPES = ("flank_wear", "adhesion", "flank_wear+adhesion")
 ADHESION_TYPES = ("adhesion", "flank_wear+adhesion")
 
+# fixed values: materials, limits of wear, fit windows and sets, literature exponents
 LAST_CK45_SET = 11
 CK45, RVS = "CK45", "RVS 304"
 WEAR_CAP_UM = 450.0
@@ -51,6 +53,8 @@ DB4_HIGH = (
     -0.23037781330885523, 0.7148465705525415, -0.6308807679295904, -0.02798376941698385,
     0.18703481171888114, 0.030841381835986965, -0.032883011666982945, -0.010597401784997278,
 )
+# fixed values: settings of the cutting detector
 WAVELET = {"z": 10.0, "baseline": 1000, "min_active": 1000, "trim": -0.05}
 
+# fixed values: names of the cutting parameters
 CUTTING = ("Vc", "n", "fz", "Vf", "Ae", "Ap", "z")

@@ -17,6 +17,7 @@ from condmon.session import stored
 
 REC = "recording_id"
 FORCES = ("Fx", "Fy", "Fz")
+# fixed values: names of the features
 V1_PARTS = ("mean", "std", "rms", "p2p", "kurtosis", "dom_freq", "low_energy", "mid_energy")
 V1_TIME = V1_PARTS[:5]
 V2_PARTS = (

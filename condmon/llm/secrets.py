@@ -3,7 +3,10 @@
 A tokenizer's vocabulary holds what is frequent in texts, so text needs few tokens for its length and random strings need
 many. A string without spaces whose characters per token fall below a limit is reported, unless it is a known
 digest or identifier (hex digests of usual lengths, UUIDs, numbers, dates, versions, hosts of links). Pattern spans are cut out
-first; what is left is tested as a whole, else segment by segment.
+first. What is left is tested as a whole by its parts between marks; parts below four characters and known ones tell
+nothing, letters of one case have a lower limit, three or more equal characters in a row count as one, and capitals alone are read as lower case where that needs fewer tokens.
+What is not random as a whole is searched for random stretches, wherever they lie in a run of whatever length: stretches of tokens
+whose characters stay below the limit in total, and which are random by themselves.
 
 Defined results:
 * NULL or empty text has no spans. Repeated rows are handled row by row.
@@ -14,6 +17,7 @@ Defined results:
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -34,9 +38,13 @@ KNOWN = re.compile(
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9._/+=-]+|v?[0-9]+(?:\.[0-9]+)+[A-Za-z0-9.+-]*"
     r"|(?:[A-Za-z0-9_-]*[A-Za-z_-]\.)+[a-z]{2,6})")
 HOST = re.compile(r"/*(?:[A-Za-z0-9_-]*[A-Za-z_-]\.)+[a-z]{2,6}(?=/)")     # a link is known by its host alone
-SEGMENT = re.compile(r"[A-Za-z0-9+]{16,}")
+PART = re.compile(r"[A-Za-z0-9+]+")       # what lies between marks
+REPEATED = re.compile(r"(.)\1{2,}")
 CHARS_PER_TOKEN = 2.0
-LONGEST = 4096  # a longer run of such characters is embedded data and is tested in pieces of this length
+SHORTEST = 16     # characters of a random string
+PLAIN = 0.875     # share of the limit for letters of one case, as rare words of any language have few frequent parts too
+TELLING = 4       # characters of a part that counts
+DROP = 12.0       # a stretch ends where readable tokens have taken so much from its best score
 
 
 def pattern_spans(text: str) -> list[tuple[str, int, int]]:
@@ -53,20 +61,54 @@ def pattern_spans(text: str) -> list[tuple[str, int, int]]:
 ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
-def mixed(s: str) -> bool:
-    """At least two of lower case, upper case inside the string, and digits between letters."""
-    digits = sum(map(str.isdigit, s))
-    upper = sum(c.isupper() for c in s[1:])
-    lower = sum(map(str.islower, s))
-    return digits >= 2 and digits < len(s) or upper >= 3 and lower >= 3
-
-
-def random_spans(text: str, taken: list[tuple[str, int, int]], encode, limit: float) -> list[tuple[str, int, int]]:
+def lengths_in(part: str, pieces) -> list[int]:
+    """The lengths of a part's tokens; capitals alone are words as well if they are so in lower case."""
+    found = pieces(part)
+    return min(found, pieces(part.lower()), key=len) if part.isupper() else found
+
+
+def is_random(core: str, pieces, limit: float) -> bool:
+    """Too few characters per token over all telling parts, which must have SHORTEST characters together."""
+    if len(core) < SHORTEST or KNOWN.fullmatch(core):
+        return False
+    parts = [REPEATED.sub(r"\1", p) for p in PART.findall(core) if not KNOWN.fullmatch(p)]
+    parts = [p for p in parts if len(p) >= TELLING]
+    chars = sum(map(len, parts))
+    if all(p[1:].islower() and p.isalpha() or p.isalpha() and p.isupper() for p in parts):
+        limit *= PLAIN
+    return chars >= SHORTEST and chars < limit * sum(len(lengths_in(p, pieces)) for p in parts)
+
+
+def stretches(lengths: list[int], limit: float) -> list[tuple[int, int]]:
+    """Stretches (start, end in characters) of tokens that score best, at `limit` less its length a token.
+
+    Each ends at its best score, once that has dropped by DROP or to nothing; what follows its end is searched again.
+    Scores drop at every return, so a token is read a bounded number of times.
+    """
+    ends = list(accumulate(lengths, initial=0))
+    found, i, start, score, best, stop = [], 0, 0, 0.0, 0.0, 0
+    while i < len(lengths) or best > 0:
+        if i < len(lengths):
+            score += limit - lengths[i]
+            i += 1
+            if score > best:
+                best, stop = score, i
+            if score > 0 and score > best - DROP:
+                continue
+        if best > 0:
+            found.append((ends[start], ends[stop]))
+            i = stop
+        start, score, best = i, 0.0, 0.0
+    return found
+
+
+def random_spans(text: str, taken: list[tuple[str, int, int]], pieces, limit: float) -> list[tuple[str, int, int]]:
+    """pieces(text) gives the lengths of its tokens."""
     def told(start: int, end: int) -> tuple[int, int] | None:
         """The span without marks at its ends, if it is random."""
         s = text[start:end]
         core = s.strip("._=-/+")
-        if len(core) < 16 or not mixed(core) or KNOWN.fullmatch(core) or len(core) >= limit * len(encode(core)):
+        if not is_random(core, pieces, limit):
             return None
         start += s.index(core)
         return start, start + len(core)
@@ -76,14 +118,19 @@ def random_spans(text: str, taken: list[tuple[str, int, int]], encode, limit: fl
         for a, b in free_parts(*m.span(), taken):
             host = HOST.match(text, a, b)
             a = host.end() if host else a
-            for start in range(a, b, LONGEST):
-                end = min(start + LONGEST, b)
-                if whole := told(start, end):
+            if whole := told(a, b):
+                spans.append(("random", *whole))
+                continue
+            # A readable part may hide a random one from the average.
+            for p in PART.finditer(text, a, b):
+                if p.end() - p.start() < SHORTEST or KNOWN.fullmatch(p[0]):
+                    continue
+                if whole := told(*p.span()):
                     spans.append(("random", *whole))
                     continue
-                # A readable part may hide a random one from the average.
-                parts = (told(*p.span()) for p in SEGMENT.finditer(text, start, end))
-                spans += [("random", *part) for part in parts if part]
+                for first, last in stretches(lengths_in(p[0], pieces), limit):
+                    if last - first >= SHORTEST and (part := told(p.start() + first, p.start() + last)):
+                        spans.append(("random", *part))
     return spans
 
 
@@ -107,12 +154,17 @@ def scan(docs: DataFrame, ranks_path: str, chars_per_token: float = CHARS_PER_TO
     def run(batches):
         import tiktoken
         encode = tiktoken.Encoding("scan", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary
+        sizes = {rank: len(token) for token, rank in ranks.value.items()}
+
+        def pieces(part: str) -> list[int]:
+            return [sizes[i] for i in encode(part)]
+
         for batch in batches:
             found = []
             for text in batch.column(at).to_pylist():
                 text = text or ""
                 spans = pattern_spans(text)
-                spans += random_spans(text, spans, encode, chars_per_token)
+                spans += random_spans(text, spans, pieces, chars_per_token)
                 spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
                 found.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
             columns = [*list(batch.columns)[:-1], pa.array(found, batch.schema.field(len(batch.columns) - 1).type)]

@@ -431,14 +431,60 @@ def test_random_strings_are_told_from_words_and_known_identifiers(spark, odd, em
     assert secrets.scan(odd, path).filter(F.size("secrets") > 0).count() == 0 and secrets.scan(empty, path).count() == 0
 
 
-def test_random_parts_of_links_and_paths_are_found():
+def token_lengths():
     import tiktoken
-    encode = tiktoken.Encoding("t", pat_str=chat.PATTERN, mergeable_ranks=chat.load_ranks(vocabulary("byte_bpe_50k.tiktoken")),
-                               special_tokens={}).encode_ordinary
+    ranks = chat.load_ranks(vocabulary("byte_bpe_50k.tiktoken"))
+    encode = tiktoken.Encoding("t", pat_str=chat.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    sizes = {rank: len(token) for token, rank in ranks.items()}
+    return lambda part: [sizes[i] for i in encode(part)]
+
+
+def random_parts(text, pieces):
+    return [text[a:b] for _, a, b in secrets.random_spans(text, secrets.pattern_spans(text), pieces, secrets.CHARS_PER_TOKEN)]
+
+
+def test_random_parts_of_links_and_paths_are_found():
+    pieces = token_lengths()
     token = "qX7vR2pLz9Kd4WbT8mYh"
     for text in (f"hooks.example.com/services/{token}", f"0123456789abcdef/{token}", f"{token}.0123456789abcdef",
                  f"some/very/long/readable/path/with/many/ordinary/words/before/the/value={token}", f"1.2.3-{token}"):
-        found = secrets.random_spans(text, secrets.pattern_spans(text), encode, secrets.CHARS_PER_TOKEN)
-        assert any(a <= text.index(token) and text.index(token) + len(token) <= b for _, a, b in found), text
+        assert any(token in found for found in random_parts(text, pieces)), text
     for text in ("www.example.com/some/path/to/file.html", "0123456789abcdef/some/readable/words"):
-        assert secrets.random_spans(text, secrets.pattern_spans(text), encode, secrets.CHARS_PER_TOKEN) == []
+        assert random_parts(text, pieces) == []
+
+
+def test_random_strings_of_one_case_are_found_and_words_are_not():
+    pieces = token_lengths()
+    for text in ("xkqzjwvbnqpzmtrhgfdk", "mfrggzdfmztwq2lkmfrgg", "XKQZJWVBNQPZMTRHGFDK", "ABCD-1F3G-9K2L-X7Q4-ZZ8P"):
+        assert random_parts(text, pieces) == [text]
+    for text in ("INSUFFICIENT_PRIVILEGE_FOR_REQUEST", "getHTTPResponseCodeFromURLString", "a-b-c-d-e-f-g-h-i-j-k", "a" * 40,
+                 "Donaudampfschifffahrtsgesellschaft", "MD5=D41D8CD98F00B204E9800998ECF8427E", "2024-01-02T10:11:12.123456"):
+        assert random_parts(text, pieces) == []
+
+
+def test_a_random_string_is_found_wherever_it_lies_in_a_long_run():
+    pieces = token_lengths()
+    token = "qX7vR2pLz9Kd4WbT8mYh4Jf8"
+    for offset in (0, 1, 15, 3000, *range(4070, 4110), 8190, 100_003):
+        for filler in ("a", "readable/words/", "somewordsthatfollow"):
+            text = (filler * offset)[:offset] + token + "x" * 30 + "/readable/again"
+            # a token may hold a character on either side of the border
+            assert any(token[1:-1] in found for found in random_parts(text, pieces)), (offset, filler)
+
+
+def test_stretches_equal_a_search_over_all_starts_and_ends():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        lengths = rng.choice([1, 1, 2, 3, 5], rng.integers(0, 30)).tolist()
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        found = secrets.stretches(lengths, 2.0)
+        score = {(i, j): 2.0 * (j - i) - sum(lengths[i:j]) for i in range(len(lengths)) for j in range(i + 1, len(lengths) + 1)}
+        place = {int(e): i for i, e in enumerate(ends)}
+        scores = [score[place[a], place[b]] for a, b in found]
+        assert all(x > 0 for x in scores) and all(b <= c for (_, b), (c, _) in zip(found, found[1:]))
+        # nothing positive is left outside of what was found, and no stretch gets better by its own ends
+        covered = {k for a, b in found for k in range(place[a], place[b])}
+        assert all(v <= 0 for (i, j), v in score.items() if not covered & set(range(i, j)))
+        for (a, b), x in zip(found, scores):
+            i, j = place[a], place[b]
+            assert all(score[i, k] < x for k in range(i + 1, j))

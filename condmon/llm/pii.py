@@ -5,7 +5,8 @@ entity, a term, and both near one another are counted. A term whose pointwise mu
 entity's own information content reveals it: who reads the term can infer the entity. Such terms are removed wherever they stand in
 a document that holds the entity; those that reveal a good part of it are generalised to their kind of word. Nearness serves
 the estimate alone. Documents without the entity keep the term: a reader finds no entity there to tie it to, and it is
-often a common word in them. Entities near a term in fewer than SUPPORT documents get no terms.
+often a common word in them. Terms are words, numbers and their mixtures of any length; below four characters they need a
+capital or a digit. Entities near a term in fewer than SUPPORT documents get no terms.
 
 Defined results:
 * NULL or empty text has no spans. Offsets count code points, ends are exclusive.
@@ -37,7 +38,7 @@ KINDS = (*BASE_KINDS, "term")
 NEAR_CHARS = 80     # how far from an entity a term is taken to be about it
 SUPPORT = 3         # documents in which a term must stand near an entity
 REMOVE, GENERALISE = 0.9, 0.75  # parts of an entity's information from which a term is removed or generalised
-TERM = re.compile(r"[^\W\d_]{4,40}")
+TERM = re.compile(r"[^\W_]{2,}")   # words, numbers and their mixtures, of any length; see is_term
 HELD = 200_000      # terms counted in a task before they leave it
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 FOUND = ("d bigint, k bigint, base array<struct<kind:string,start:bigint,end:bigint>>, es array<bigint>, "
@@ -90,6 +91,32 @@ def same_entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(filter(str.isdigit, value))}"
 
 
+def is_term(word: str) -> bool:
+    """Short words need a capital or a digit: names and numbers, but no 'the'."""
+    return len(word) >= 4 or not word.isalpha() or word != word.lower()
+
+
+def terms_of(text: str) -> set[str]:
+    return {t.lower() for t in set(TERM.findall(text)) if is_term(t)}
+
+
+class Outside:
+    """Tells whether a stretch lies outside of all spans (start, end)."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []   # the spans without overlaps
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def __call__(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end) - 1
+        return before < 0 or self.ends[before] <= start
+
+
 def found_rows(docs: DataFrame) -> DataFrame:
     """FOUND: the entities of each document, the terms near them, and the text of a document that has any."""
     def make():
@@ -100,13 +127,14 @@ def found_rows(docs: DataFrame) -> DataFrame:
                 text = r["t"] or ""
                 spans = entities(text)
                 near, held = set(), set()
+                outside = Outside([(a, b) for _, a, b in spans])
                 for kind, a, b in spans:
                     e = xxh3_64_intdigest(same_entity(kind, text[a:b])) - (1 << 63)
                     held.add(e)
                     low, high = max(0, a - NEAR_CHARS), min(len(text), b + NEAR_CHARS)
                     for m in TERM.finditer(text, low, high):
                         cut = (m.start() == low and low > 0) or (m.end() == high and high < len(text))
-                        if not cut and not any(x < m.end() and m.start() < y for _, x, y in spans):
+                        if not cut and is_term(m[0]) and outside(*m.span()):
                             near.add((e, m[0].lower()))
                 yield (r["d"], r["k"], [{"kind": k, "start": a, "end": b} for k, a, b in spans], list(held),
                        [{"e": e, "t": t} for e, t in near], text if spans else None)
@@ -122,7 +150,7 @@ def term_documents(docs: DataFrame) -> DataFrame:
         def run(rows):
             counts: Counter = Counter()
             for r in rows:
-                counts.update(set(TERM.findall((r["t"] or "").lower())))
+                counts.update(terms_of(r["t"] or ""))
                 if len(counts) > HELD:
                     yield from counts.items()
                     counts.clear()
@@ -150,6 +178,30 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     return joined.filter(content > 0).withColumn("share", mutual / content).filter(F.col("share") >= generalise).select("e", "t", "share")
 
 
+def present_terms(found: DataFrame, telling: DataFrame) -> DataFrame:
+    """(d, k, t, share): the telling terms that stand in a document together with their entity.
+
+    Documents and terms meet by the term, not by the entity: an entity in many documents has as many rare terms, and
+    each is in few of them. Where several entities mark one term, the larger share counts.
+    """
+    at = stored(found.select("d", "k", F.explode("es").alias("e")).join(telling.select("e").distinct(), "e").distinct(), "holders")
+    with_any = at.select(F.col("d").alias("d2"), F.col("k").alias("k2")).distinct()
+    texts = found.select("d", "k", "text").join(with_any, (F.col("k") == F.col("k2")) & F.col("d").eqNullSafe(F.col("d2")), "left_semi")
+
+    def make():
+        def run(rows):
+            for r in rows:
+                for t in terms_of(r["text"]):
+                    yield r["d"], r["k"], t
+
+        return run
+
+    there = map_rows(texts, make, "d bigint, k bigint, t string", flush=16384).join(telling, "t")
+    holder = at.select(F.col("d").alias("d2"), F.col("k").alias("k2"), F.col("e").alias("e2"))
+    same = (F.col("k") == F.col("k2")) & (F.col("e") == F.col("e2")) & F.col("d").eqNullSafe(F.col("d2"))
+    return there.join(holder, same, "left_semi").groupBy("d", "k", "t").agg(F.max("share").alias("share"))
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE,
                        generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
     """(id_col, k, base, terms): per document its entities and the terms to remove or generalise, as spans.
@@ -159,9 +211,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = named(docs, d=id_col, t=text_col)
     found = stored(found_rows(source), "entities")
     telling = stored(disclosing_terms(source, found, support, generalise), "disclosing")
-    # Every document that holds an entity meets the entity's terms; where several entities mark one term, removal goes first.
-    holds = found.select("d", "k", F.explode("es").alias("e")).join(telling, "e")
-    per_term = holds.groupBy("d", "k", "t").agg(F.max("share").alias("share"))
+    per_term = present_terms(found, telling)
     wanted = per_term.groupBy(F.col("d").alias("d2"), F.col("k").alias("k2")).agg(F.collect_list(F.struct("t", "share")).alias("wanted"))
     joined = found.select("d", "k", "base", "text").join(wanted, (F.col("k") == F.col("k2")) & F.col("d").eqNullSafe(F.col("d2")), "left")
 
@@ -180,18 +230,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def term_spans(text: str, base: list[dict], wanted: list[dict], remove: float) -> list[dict]:
     """All places of the wanted terms outside the entities."""
     how = {w["t"]: "remove" if w["share"] >= remove else "generalise" for w in wanted}
-    starts, ends = [], []   # the entities' spans without overlaps
-    for s in sorted(base, key=lambda s: s["start"]):
-        if ends and s["start"] <= ends[-1]:
-            ends[-1] = max(ends[-1], s["end"])
-        else:
-            starts.append(s["start"])
-            ends.append(s["end"])
+    outside = Outside([(s["start"], s["end"]) for s in base])
     found = []
     for m in TERM.finditer(text):
-        if (what := how.get(m[0].lower())) is not None:
-            before = bisect_left(starts, m.end()) - 1
-            if before < 0 or ends[before] <= m.start():
+        if is_term(m[0]) and (what := how.get(m[0].lower())) is not None:
+            if outside(*m.span()):
                 found.append({"start": m.start(), "end": m.end(), "how": what})
     return found
 

@@ -309,6 +309,66 @@ def test_an_entity_counts_in_documents_without_terms_around_it(spark):
     assert r["t"] == "quillon" and r["share"] == pytest.approx(np.log(4 * 211 / (10 * 5)) / np.log(211 / 10))
 
 
+def test_terms_of_any_length_and_with_digits_can_tell(spark):
+    long = "x" + "abcdefghij" * 5
+    texts = [f"Lee 10115 {long} anna@ex.org"] * 4 + ["some other words"] * 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: [texts[r["doc_id"]][s["start"]:s["end"]] for s in r["terms"]] for r in pii.find_personal_data(docs).collect()}
+    assert all(found[d] == ["Lee", "10115", long] for d in range(4)) and not any(found[d] for d in range(4, 304))
+
+
+def plain_terms(texts):
+    """The term spans by definition: every entity with every term of the corpus."""
+    entities = [[(pii.same_entity(k, t[a:b]), a, b) for k, a, b in pii.entities(t)] for t in texts]
+    words = [[(m[0].lower(), *m.span()) for m in pii.TERM.finditer(t) if pii.is_term(m[0])] for t in texts]
+    free = [[w for w in ws if all(w[2] <= a or b <= w[1] for _, a, b in es)] for ws, es in zip(words, entities)]
+    out = [{} for _ in texts]
+    for e in {e for es in entities for e, *_ in es}:
+        holds = [any(x == e for x, *_ in es) for es in entities]
+        for t in {t for ws in words for t, *_ in ws}:
+            near = sum(any(x == e and y == t and (c > a - 80 or c == 0 >= a - 80) and (d < b + 80 or d == len(text) <= b + 80)
+                           for x, a, b in es for y, c, d in ws) for es, ws, text in zip(entities, free, texts))
+            if near < pii.SUPPORT:
+                continue
+            content = np.log(len(texts) / sum(holds))
+            df = sum(any(y == t for y, *_ in ws) for ws in words)
+            share = np.log(near * len(texts) / (sum(holds) * df)) / content if content > 0 else 0
+            if share >= pii.GENERALISE:
+                for i in (i for i, h in enumerate(holds) if h):
+                    for y, c, d in free[i]:
+                        if y == t:
+                            out[i][c, d] = max(share, out[i].get((c, d), 0))
+    return [sorted((c, d, "remove" if s >= pii.REMOVE else "generalise") for (c, d), s in o.items()) for o in out]
+
+
+def test_terms_equal_brute_force(spark):
+    rnd = random.Random(11)
+    names = [f"name{i}" for i in range(12)]
+    texts = []
+    for i in range(160):
+        parts = [rnd.choice(["people", "there", "would", "12", "ab"]) for _ in range(rnd.randint(0, 40))]
+        for who in rnd.sample(range(6), rnd.choice([0, 0, 1, 1, 2])):
+            at = rnd.randint(0, len(parts))
+            parts[at:at] = [names[who], f"p{who}@ex.org", names[6 + rnd.randrange(6)]]
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: sorted((s["start"], s["end"], s["how"]) for s in r["terms"]) for r in pii.find_personal_data(docs).collect()}
+    want = dict(enumerate(plain_terms(texts)))
+    assert got == want and sum(map(bool, want.values())) > 20
+
+
+def test_a_hot_entity_with_as_many_rare_terms_stays_linear(spark):
+    def rows(n):
+        texts = [f"term{i // 3}x anna@ex.org" for i in range(n)] + ["some other words"] * n
+        docs = spark.createDataFrame(list(enumerate(texts)), "d bigint, t string")
+        found = pii.found_rows(docs)
+        telling = pii.disclosing_terms(docs, found).cache()
+        assert telling.count() == n // 3
+        return pii.present_terms(found, telling).count()
+
+    assert rows(300) == 300 and rows(1200) == 1200
+
+
 # quality rules
 
 def test_quality_edges(odd, empty):

@@ -1,8 +1,9 @@
 """N-gram Jaccard join by a grouped prefix filter, down to the components of linked documents.
 
 1. A document is its set of word n-gram hashes. Equal sets are one class from here on; members find it by a digest.
-2. The elements of a set have one global order, that of their hashes. Two sets that link share an element of their prefixes.
-   Classes with the same prefix and size are one group, known by a hash (a chance meeting of two groups adds
+2. The elements of a set have one global order: rare before frequent, then by hash. Frequencies are counted over all documents
+   by the upper 32 bits of the hashes; any order is exact, so a table of at most COMMON of the most frequent is enough. Two sets
+   that link share an element of their prefixes. Classes with the same prefix and size are one group, known by a hash (a chance meeting of two groups adds
    candidates and loses none).
 3. Groups that share a prefix element held by few groups are paired directly, or by few groups in a range of sizes that
    linked sets share. An element held by more would pair all of them, so these must also agree on a part signature of
@@ -10,14 +11,16 @@
    least one part of theirs is equal.
 4. Pairs pass a parity sketch (differing bits never exceed differing elements), and then the sets themselves are compared.
 5. Only components are wanted, so within groups and big buckets classes are first compared with a few leaders.
-   Where that leaves several components in one group or bucket, its remaining pairs are all tested on their sketches, in blocks,
-   and verified. No link between different texts is lost, and no group is expanded into all its pairs.
+   Where that leaves several components in one group or bucket, its remaining pairs are all tested in blocks: first on their
+   sketches, which gives the classes that may link at all, then those on their sets. A block gives a spanning forest of
+   its links. No link between different texts is lost, and no group is expanded into all its pairs.
 
 Defined results:
 * NULL or empty text has an empty set: size 0, linked with nothing. Fewer words than n make one element.
 * Repeated rows are in one class; rows of one id with different texts are separate documents.
 * A NULL id takes part; a component's id is the smallest id that is not NULL, if there is one.
 * Other columns are left out. An empty table gives an empty result.
+* A very long text is held as one array of hashes by the task that reads or compares it.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from condmon.llm.common import free_name, map_rows, named
@@ -33,6 +37,10 @@ from condmon.session import stored
 
 FEW = 32       # groups that share an element or part and are paired directly
 BLOCK = 2048   # classes compared with one another in one block of a big bucket
+BLOCK_ELEMENTS = 1 << 21    # elements that the sets of a block have together, unless one set alone has more
+COMMON = 1 << 21            # entries of the table of frequent elements, 5 bytes each, that is sent to all tasks
+COUNTED = 1 << 22           # elements a task holds before it hands them on or adds them up
+PART_BITS = 10              # the elements are counted in so many parts (as a power of two), each of at most 2^22 counters
 LEADERS = 3    # classes of a big bucket that the others are first compared with
 MIX, SPREAD = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9  # odd multipliers for mixing hashes
 SETS = ("d bigint, k bigint, c binary, n int, g bigint, prefix array<bigint>, sketch binary, label int, own array<int>, "
@@ -89,6 +97,89 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)))
 
 
+def frequent_elements(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted upper halves of the hashes, logarithms of their counts) of the most frequent elements, at most COMMON.
+
+    All elements of all documents are counted. They travel as arrays of 4 bytes each, dealt by the top bits of their
+    hashes; the rest of the upper half leaves at most 2^22 counters a part, however large the corpus. Counts below 4 do not matter.
+    """
+    low = 32 - PART_BITS
+
+    def deal(batches):
+        def parts(held):
+            found = np.sort(np.concatenate(held))
+            ends = np.searchsorted(found, np.arange((1 << PART_BITS) + 1, dtype=np.uint64) << np.uint64(low))
+            keys = (found & np.uint64((1 << low) - 1)).astype(np.uint32)
+            filled = np.flatnonzero(np.diff(ends))
+            for some in np.array_split(filled, len(filled) // 64 + 1):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype(np.int32)), pa.array([keys[ends[i]:ends[i + 1]].tobytes() for i in some], pa.binary())],
+                    names=["part", "keys"])
+
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append(shingles(text, words) >> np.uint64(32))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield from parts(held)
+                    held, size = [], 0
+        if held:
+            yield from parts(held)
+
+    def add_up(batches):
+        def summed(keys, counts, held):
+            if held:
+                more, n = np.unique(np.concatenate(held), return_counts=True)
+                both, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+                keys, counts = both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
+            return keys, counts
+
+        def batch_of_part(part, keys, counts):
+            kept = counts >= 4
+            key = (np.uint32(part) << np.uint32(low)) | keys[kept]
+            return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(np.log2(counts[kept]).astype(np.int8))],
+                                              names=["e", "size"])
+
+        part, held, size = None, [], 0
+        keys, counts = none = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        for batch in batches:
+            for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p != part:
+                    if part is not None:
+                        yield batch_of_part(part, *summed(keys, counts, held))
+                    part, held, size, (keys, counts) = p, [], 0, none
+                held.append(np.frombuffer(raw, np.uint32))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    keys, counts = summed(keys, counts, held)
+                    held, size = [], 0
+        if part is not None:
+            yield batch_of_part(part, *summed(keys, counts, held))
+
+    dealt = docs.select("t").mapInArrow(deal, "part int, keys binary").repartition("part").sortWithinPartitions("part")
+    counted = stored(dealt.mapInArrow(add_up, "e bigint, size tinyint"), "frequent")
+    least, total = 127, 0
+    for r in sorted(counted.groupBy("size").count().collect(), reverse=True):  # at most 64 rows
+        total += r["count"]
+        if total > COMMON:
+            break
+        least = r["size"]
+    table = counted.filter(F.col("size") >= least).toArrow()
+    keys, sizes = table["e"].to_numpy().astype(np.uint32), table["size"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], sizes[order].astype(np.int8)
+
+
+def rare_first(elements: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A set's elements in the global order."""
+    if not len(keys):
+        return elements
+    upper = (elements >> np.uint64(32)).astype(np.uint32)
+    at = np.minimum(np.searchsorted(keys, upper), len(keys) - 1)
+    return elements[np.argsort(np.where(keys[at] == upper, sizes[at], 0), kind="stable")]
+
+
 def sketch_of(elements: np.ndarray) -> bytes:
     """Parity of the elements in each of about n / 2 or more bits; the number of bits is a power of two."""
     bits = max(64, 1 << int(len(elements) // 2).bit_length())
@@ -125,6 +216,8 @@ def part_signatures(elements: np.ndarray, rule: Rule) -> tuple[int, list[int], l
 
 def set_rows(docs: DataFrame, rule: Rule) -> DataFrame:
     """SETS: one row per document (d, t); `k` is the key that leads back to its text."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_elements(docs, rule.words))
+
     def make():
         from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
@@ -134,7 +227,7 @@ def set_rows(docs: DataFrame, rule: Rule) -> DataFrame:
                 if not len(s):
                     yield r["d"], r["k"], None, 0, None, None, None, None, None, None
                     continue
-                prefix = s[:rule.prefix(len(s))]
+                prefix = rare_first(s, *frequent.value)[:rule.prefix(len(s))]
                 group = xxh3_64_intdigest(prefix.tobytes(), seed=len(s)) - (1 << 63)
                 yield (r["d"], r["k"], xxh3_128_digest(s.tobytes()), len(s), group, prefix.view(np.int64).tolist(),
                        sketch_of(s), *part_signatures(s, rule))
@@ -197,8 +290,30 @@ def sketched(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that link: both sets are formed again from one document of each class, and compared."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    """The pairs (a, b) that link."""
+    full = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), docs, sets, rule)
+    joined = (pairs.join(full.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
+              .join(full.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b"))
+
+    def make():
+        def run(rows):
+            for r in rows:
+                if linked(np.frombuffer(r["sa"], np.uint64), np.frombuffer(r["sb"], np.uint64), rule):
+                    yield r["a"], r["b"]
+
+        return run
+
+    return map_rows(joined, make, "a binary, b binary")
+
+
+def linked(a: np.ndarray, b: np.ndarray, rule: Rule) -> bool:
+    both = len(a) + len(b)
+    common = both - len(np.union1d(a, b))
+    return 100 * common >= rule.percent * (both - common)
+
+
+def full_sets(wanted: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(c, s): the sets of some classes, formed again from one document of each."""
     holders = stored(sets.join(wanted, "c").groupBy("c").agg(F.min(F.struct("d", "k")).alias("at"))
                      .select("c", F.col("at.d").alias("d"), F.col("at.k").alias("k")), "holders")
     keyed = docs.withColumn("k", F.xxhash64("d", "t"))
@@ -215,32 +330,18 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule) ->
 
         return run
 
-    full = stored(map_rows(texts.select("t"), make_sets, "c binary, s binary").dropDuplicates(["c"]), "sets")
-    joined = (pairs.join(full.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
-              .join(full.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b"))
-
-    def make():
-        def run(rows):
-            for r in rows:
-                a, b = np.frombuffer(r["sa"], np.uint64), np.frombuffer(r["sb"], np.uint64)
-                both = len(a) + len(b)
-                common = both - len(np.union1d(a, b))
-                if 100 * common >= rule.percent * (both - common):
-                    yield r["a"], r["b"]
-
-        return run
-
-    return map_rows(joined, make, "a binary, b binary")
+    return stored(map_rows(texts.select("t"), make_sets, "c binary, s binary").dropDuplicates(["c"]), "sets")
 
 
-def block_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
-    """rows (key, guest, c, n, comp, sketch) -> pairs (a, b) of one key and different components that sketches allow.
+def block_members(rows: DataFrame, rule: Rule) -> DataFrame:
+    """rows (key, guest, c, n, comp, sketch) -> (unit, itself, first, c, comp): what has a partner in its unit that sketches allow.
 
-    Hosts of a key are compared with one another and with its guests. Both are dealt to blocks of at most about BLOCK, and two
-    blocks are one unit of work, however many rows a key has.
+    Hosts of a key are compared with one another and with its guests, where components differ. Both are dealt to blocks of at
+    most about BLOCK classes and BLOCK_ELEMENTS elements, and two blocks are one unit of work, however many rows a key has.
     """
     def blocks(guest: bool) -> Column:
-        return F.ceil(F.count_if(F.col("guest") == guest) / BLOCK).cast("int")
+        mine = F.col("guest") == guest
+        return F.ceil(F.greatest(F.count_if(mine) / BLOCK, F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)) / BLOCK_ELEMENTS)).cast("int")
 
     sizes = rows.groupBy("key").agg(blocks(False).alias("hosts"), blocks(True).alias("guests"))
     dealt = rows.join(sizes, "key").withColumn(
@@ -264,15 +365,54 @@ def block_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
             for r in found:
                 unit = (r["key"], r["unit"])
                 if unit != at:
-                    yield from compared(first, second, at, rule)
+                    yield from allowed(first, second, at, rule)
                     at, first, second = unit, [], []
                 mine = not r["guest"] if r["unit"]["side"] else r["own"] == r["unit"]["x"]
                 (first if mine else second).append((r["c"], r["n"], r["comp"], r["sketch"]))
-            yield from compared(first, second, at, rule)
+            yield from allowed(first, second, at, rule)
 
         return run
 
-    return map_rows(ordered_, make, "a binary, b binary", flush=16384)
+    return map_rows(ordered_, make, "unit binary, itself boolean, first boolean, c binary, comp binary", flush=16384)
+
+
+def block_links(members: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): of the members of each unit, a spanning forest of the links between their components; `full` has their sets."""
+    dealt = members.join(full, "c").repartition("unit").sortWithinPartitions("unit")
+
+    def make():
+        def run(found) -> Iterator[tuple]:
+            at, held = None, []
+            for r in found:
+                if r["unit"] != at:
+                    yield from forest(held, rule)
+                    at, held = r["unit"], []
+                held.append((r["itself"], r["first"], r["c"], r["comp"], np.frombuffer(r["s"], np.uint64)))
+            yield from forest(held, rule)
+
+        return run
+
+    return map_rows(dealt, make, "a binary, b binary", flush=16384)
+
+
+def forest(rows: list, rule: Rule) -> Iterator[tuple]:
+    """Links of one unit that join two components each."""
+    if not rows:
+        return
+    itself = rows[0][0]
+    first, second = ([(c, len(s), comp, sketch_of(s), s) for _, one, c, comp, s in rows if itself or one == side] for side in (True, False))
+    above = {}
+
+    def top(x):
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
+    for x, y in fitting(first, second, itself, rule):
+        a, b = top(first[x][2]), top(second[y][2])
+        if a != b and linked(first[x][4], second[y][4], rule):
+            above[b] = a
+            yield first[x][0], second[y][0]
 
 
 def folded(sketches: list[bytes], width: int) -> np.ndarray:
@@ -280,10 +420,24 @@ def folded(sketches: list[bytes], width: int) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, width // 8), axis=0) for s in sketches])
 
 
-def compared(first: list, second: list, unit: tuple | None, rule: Rule) -> Iterator[tuple]:
-    """Pairs of different components that can link; of one list when the unit is a block with itself."""
-    itself = unit is not None and not unit[1]["side"] and unit[1]["x"] == unit[1]["y"]
-    second = first if itself else second
+def allowed(first: list, second: list, unit: tuple | None, rule: Rule) -> Iterator[tuple]:
+    """The members of a unit with a partner in another component that can link; the unit may be a block with itself."""
+    if not first:
+        return
+    from xxhash import xxh3_128_digest
+    itself = not unit[1]["side"] and unit[1]["x"] == unit[1]["y"]
+    xs, ys = set(), set()
+    for x, y in fitting(first, first if itself else second, itself, rule):
+        xs.add(x)
+        (xs if itself else ys).add(y)
+    name = xxh3_128_digest(repr((sorted(unit[0].items()), sorted(unit[1].items()))))
+    for side, rows, found in ((True, first, xs), (False, second, ys)):
+        for i in sorted(found):
+            yield name, itself, side, rows[i][0], rows[i][2]
+
+
+def fitting(first: list, second: list, itself: bool, rule: Rule) -> Iterator[tuple[int, int]]:
+    """Places of pairs of different components that sizes and sketches allow; rows are (c, n, comp, sketch, ...)."""
     if not first or not second:
         return
     codes = {comp: i for i, comp in enumerate({r[2] for r in first} | {r[2] for r in second})}
@@ -300,9 +454,9 @@ def compared(first: list, second: list, unit: tuple | None, rule: Rule) -> Itera
         differ = np.bitwise_count(xs[part, None, :] ^ ys[None, :, :]).sum(axis=2, dtype=np.int64)
         fit = (cx[part, None] != cy[None, :]) & (differ <= both - 2 * -(-rule.percent * both // (100 + rule.percent)))
         fit &= 100 * np.minimum(nx[part, None], ny[None, :]) >= rule.percent * np.maximum(nx[part, None], ny[None, :])
-        for x, y in zip(*np.nonzero(fit)):
+        for x, y in zip(*(places.tolist() for places in np.nonzero(fit))):
             if not itself or y > x + i:
-                yield first[x + i][0], second[y][0]
+                yield x + i, y
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -377,10 +531,10 @@ def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     roots = components(links)
     so_far = stored(classes.join(roots.withColumnRenamed("node", "c"), "c", "left")
                     .withColumn("comp", F.coalesce("root", "c")).drop("root"), "so-far")
-    rest = stored(block_pairs(_unsettled(so_far, pairs, big, keys), rule).distinct(), "rest")
+    rest = stored(block_members(_unsettled(so_far, pairs, big, keys), rule), "rest")
     if rest.isEmpty():
         return sets, roots
-    more = stored(verified(rest, source, sets, rule), "more-links")
+    more = stored(block_links(rest, full_sets(rest.select("c").distinct(), source, sets, rule), rule), "more-links")
     return sets, components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
@@ -393,7 +547,7 @@ def _parts(rows: DataFrame) -> DataFrame:
 
 
 def _unsettled(so_far: DataFrame, pairs: DataFrame, big: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows for `block_pairs`: the members of groups and big buckets that hold several components, and as guests of a group
+    """Rows for `block_members`: the members of groups and big buckets that hold several components, and as guests of a group
     the members of smaller groups paired with it. What is one component already is told by group, before members are joined."""
     groups = stored(so_far.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")), "states")
     shown = so_far.select("g", "c", "n", "comp", "sketch")

@@ -145,6 +145,42 @@ def test_jaccard_against_brute_force(spark, monkeypatch, seed, few, block, words
     assert {r[0]: (r[1], r[2]) for r in out.collect()} == linked_by_force(texts, words, percent)
 
 
+def test_blocks_of_few_elements_and_a_short_table_of_frequent_ones(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FEW", 1)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 1)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ELEMENTS", 300)
+    monkeypatch.setattr(jaccard_join, "COMMON", 40)
+    texts = noisy_copies(4)
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    out = jaccard_join.jaccard_components(docs, words=3, percent=80)
+    assert {r[0]: (r[1], r[2]) for r in out.collect()} == linked_by_force(texts, 3, 80)
+
+
+@pytest.mark.parametrize("partitions,most", [(1, 1 << 20), (7, 1 << 20), (3, 200)])
+def test_frequent_elements_are_counted_over_all_documents(spark, monkeypatch, partitions, most):
+    monkeypatch.setattr(jaccard_join, "COMMON", most)
+    texts = noisy_copies(5)
+    counts = Counter(int(e) >> 32 for _, t in texts for e in jaccard_join.shingles(t, 3))
+    docs = spark.createDataFrame([(t,) for _, t in texts], "t string").repartition(partitions)
+    keys, sizes = jaccard_join.frequent_elements(docs, 3)
+    expected = {e: n.bit_length() - 1 for e, n in counts.items() if n >= 4}
+    while len(expected) > most:
+        expected = {e: n for e, n in expected.items() if n > min(expected.values())}
+    assert dict(zip(keys.tolist(), sizes.tolist())) == expected and (np.diff(keys.astype(np.int64)) > 0).all()
+    s = jaccard_join.shingles(texts[0][1], 3)
+    ordered = jaccard_join.rare_first(s, keys, sizes)
+    assert ordered.tolist() == sorted(s.tolist(), key=lambda e: (expected.get(e >> 32, 0), e))
+
+
+def test_forest_joins_each_component_once():
+    base = np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sets = [np.unique(np.concatenate([base[:-1], base[-1:] + np.uint64(i)])) for i in range(60)]
+    rows = [(True, True, b"%d" % i, b"%d" % i, s) for i, s in enumerate(sets)]
+    assert len(list(jaccard_join.forest(rows, jaccard_join.Rule(3, 90)))) == 59
+    sides = [(False, i % 2 == 0, *r[2:]) for i, r in enumerate(rows)]
+    assert len(list(jaccard_join.forest(sides, jaccard_join.Rule(3, 90)))) == 59
+
+
 def test_jaccard_edges(odd, empty):
     out = rows_of(jaccard_join.jaccard_components(odd, words=3, percent=90))
     assert out == sorted([(1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3), (None, 2, None), (4, 4, 4), (None, 0, None)], key=repr)

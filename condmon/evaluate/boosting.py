@@ -7,8 +7,8 @@ the best split by (model, feature), and only the best splits reach the driver. A
 the same passes; a fold leaves its group out when it fills the tables. Margins are stored every KEPT rounds, so training goes
 on where it is instead of starting again.
 
-When all rows fit one block there is nothing to add up between tasks; then each model's steps run one after another in
-a task of its own, by the same functions and with the same result.
+Up to ALONE_BLOCKS times BLOCK_ROWS rows (262,144) are bytes that any task can hold, and a job for each of up to 18,000 steps costs far more than the
+step. Then they lie in one block, and each model's steps run one after another in a task of its own, by the same functions and with the same result.
 
 Leaves take the median residual, to 1/MEDIAN_BINS of the residuals' range; counts are whole numbers, so results do not depend on partitions.
 """
@@ -29,11 +29,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from condmon.session import stored
 
 BLOCK_ROWS = 1 << 16
+ALONE_BLOCKS = 4    # so many blocks of rows are made one, and each model grows in a task
 BINS = 256          # the first is for missing values
 BIN_ROWS = 3        # rows that a bin has on the average, at least
 MEDIAN_BINS = 2048
 KEPT = 40           # rounds between two writings of the margins
-TOGETHER = 32       # features counted at once
+TOGETHER = 8        # features searched at once
 RANGE, LEAF = -1, -2  # tables that are not of a feature
 
 _INT, _BYTES = T.IntegerType(), T.BinaryType()
@@ -77,13 +78,24 @@ class Tree:
         """Number of each row's node inside level `levels`."""
         node = np.zeros(len(x), int)
         for level in range(levels):
-            at = node + 2 ** level - 1
-            f = self.feature[at]
-            b = x[np.arange(len(x)), np.maximum(f, 0)]
-            right = np.where(b == 0, self.left[at] == 0, b > self.cut[at]) & (f >= 0)
-            node = 2 * node + right
+            node = self.down(x, node, level)
         return node
 
+    def down(self, x: np.ndarray, node: np.ndarray, level: int) -> np.ndarray:
+        """Node inside level `level` + 1 of rows that are in `node` of `level`."""
+        nodes = slice(2 ** level - 1, 2 ** (level + 1) - 1)
+        f = self.feature[nodes]
+        if not (f >= 0).any():
+            return 2 * node
+        right = np.arange(BINS) > self.cut[nodes, None]
+        right[:, 0] = self.left[nodes] == 0
+        right &= (f >= 0)[:, None]
+        cells = np.arange(0, x.size, max(x.shape[1], 1))
+        cells += np.maximum(f, 0).take(node)
+        at = node * BINS
+        at += x.ravel().take(cells)
+        return 2 * node + right.ravel().take(at)
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return self.value[self.leaf(x, int(math.log2(len(self.value))))]
 
@@ -172,43 +184,82 @@ class Block:
         self.x = np.frombuffer(row["x"], np.uint8).reshape(n, -1)
         self.y, self.u = np.frombuffer(row["y"]), np.frombuffer(row["u"], np.uint64)
         self.fold = np.frombuffer(row["fold"], np.int32)
-        self.margin = np.frombuffer(row["margin"]).reshape(models, n).copy() if row["margin"] else np.zeros((models, n))
+        self.stored = np.frombuffer(row["margin"]).reshape(models, n) if row["margin"] else None
+        self.margins: dict[int, np.ndarray] = {}
         self.has: dict[int, int] = {}
+        self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.place: tuple | None = None     # (model, tree, level, node of each row)
+        self.drawn: tuple | None = None     # (model, tree, rows, sign, bins by feature)
+
+    def margin(self, number: int) -> np.ndarray:
+        if number not in self.margins:
+            self.margins[number] = np.zeros(len(self.y)) if self.stored is None else self.stored[number].copy()
+        return self.margins[number]
 
     def catch_up(self, model: Growing) -> np.ndarray:
-        margin = self.margin[model.number]
-        for tree in model.trees[self.has.get(model.number, model.kept):]:
-            margin += tree(self.x)
+        margin, first = self.margin(model.number), self.has.get(model.number, model.kept)
+        for number, tree in enumerate(model.trees[first:], first):
+            depth = int(math.log2(len(tree.value)))
+            margin += tree.value[self.nodes(model, number, tree, depth)]
         self.has[model.number] = len(model.trees)
         return margin
 
+    def nodes(self, model: Growing, number: int, tree: Tree, level: int) -> np.ndarray:
+        """Node of each row inside a level of the model's tree of that number, from the level it was last asked for."""
+        at, node = 0, np.zeros(len(self.y), int)
+        if self.place is not None and self.place[:2] == (model.number, number) and self.place[2] <= level:
+            at, node = self.place[2:]
+        for step in range(at, level):
+            node = tree.down(self.x, node, step)
+        self.place = model.number, number, level, node
+        return node
+
+    def halves(self, model: Growing) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that fit the model, and rows that choose its last round."""
+        if model.number not in self.parts:
+            mine = self.fold != model.hold
+            held = mine & (share(self.u, model.settings.seed) < model.es_share)
+            self.parts[model.number] = np.flatnonzero(mine & ~held), np.flatnonzero(held)
+        return self.parts[model.number]
+
+    def sample(self, model: Growing, resid: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows drawn for the tree that grows, the signs of their residuals, and their bins by tried feature."""
+        s, number = model.settings, len(model.trees)
+        if self.drawn is None or self.drawn[:2] != (model.number, number):
+            rows = fit[share(self.u[fit], s.seed + 7919 * number) < s.row_share]
+            # single rows are copied whole, so the memory is read once
+            bins = np.ascontiguousarray(self.x[rows].T[model.tried()]) if model.features else np.zeros((0, len(rows)), np.uint8)
+            self.drawn = model.number, number, rows, np.sign(resid[rows]), bins
+        return self.drawn[2:]
+
     def tables(self, model: Growing) -> Iterator[tuple[int, np.ndarray]]:
         """(table, values) of the model's next step. Tables of one name are added up over the blocks, but for the ends of the range."""
         s, resid = model.settings, self.y - self.catch_up(model)
-        mine = self.fold != model.hold
-        held = mine & (share(self.u, s.seed) < model.es_share)
-        fit = mine & ~held
+        fit, held = self.halves(model)
         if model.level <= 0:
             r = resid[fit]
-            yield RANGE, np.array([r.min(initial=np.inf), r.max(initial=-np.inf), np.abs(resid[held]).sum(), len(r), held.sum()])
+            yield RANGE, np.array([r.min(initial=np.inf), r.max(initial=-np.inf), np.abs(resid[held]).sum(), len(r), len(held)])
             if not model.trees:
                 return
+        number = len(model.trees)
         if model.level == s.depth:
-            leaf = model.tree.leaf(self.x[fit], s.depth)
+            leaf = self.nodes(model, number, model.tree, s.depth)[fit]
             wide = max(model.high - model.low, 1e-300)
             place = np.minimum(((resid[fit] - model.low) / wide * MEDIAN_BINS).astype(int), MEDIAN_BINS - 1)
             yield LEAF, np.bincount(leaf * MEDIAN_BINS + place, minlength=2 ** s.depth * MEDIAN_BINS).reshape(-1, MEDIAN_BINS)
             return
-        rows = np.flatnonzero(fit & (share(self.u, s.seed + 7919 * len(model.trees)) < s.row_share))
-        tree = model.tree or Tree.bare(s.depth)
-        x, level = self.x[rows], max(model.level, 0)
-        node, sign, tried = tree.leaf(x, level), np.sign(resid[rows]), model.tried()
-        for i in range(0, len(tried), TOGETHER):
-            part = tried[i:i + TOGETHER]
-            at = ((np.arange(len(part)) * 2 ** level + node[:, None]) * model.bins + x[:, part]).ravel()
-            cells = len(part) * 2 ** level * model.bins
-            both = np.stack([np.bincount(at, np.repeat(sign, len(part)), cells), np.bincount(at, minlength=cells)])
-            yield from zip(part, both.reshape(2, len(part), -1, model.bins).swapaxes(0, 1))
+        rows, sign, bins = self.sample(model, resid, fit)
+        level = max(model.level, 0)
+        node = self.nodes(model, number, model.tree or Tree.bare(s.depth), level)[rows]
+        first, flat = (2 * node + (sign > 0)) * model.bins, np.flatnonzero(sign == 0)
+        cell = np.empty_like(first)
+        for f, b in zip(model.tried() if len(bins) else (), bins):
+            np.add(first, b, out=cell)
+            low, high = np.bincount(cell, minlength=2 ** (level + 1) * model.bins).reshape(-1, 2, model.bins).swapaxes(0, 1)
+            both = np.array([high - low, high + low], float)
+            if len(flat):
+                both[0] += np.bincount(node[flat] * model.bins + b[flat], minlength=both[0].size).reshape(both[0].shape)
+            yield f, both
 
 
 def share(u: np.ndarray, salt: int) -> np.ndarray:
@@ -246,16 +297,24 @@ def splits(tables: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.
     g, h = tables[:, 0], tables[:, 1]
     g_all, h_all = g.sum(2, keepdims=True), h.sum(2, keepdims=True)
     below_g, below_h = np.cumsum(g[:, :, 1:], 2), np.cumsum(h[:, :, 1:], 2)
-    gains = []
+    whole, gains = g_all ** 2 / (h_all + s.l2), []
     for left in (0, 1) if h[:, :, 0].any() else (0,):
-        gl, hl = below_g + left * g[:, :, :1], below_h + left * h[:, :, :1]
+        gl, hl = (below_g + g[:, :, :1], below_h + h[:, :, :1]) if left else (below_g, below_h)
         gr, hr = g_all - gl, h_all - hl
-        gain = gl ** 2 / (hl + s.l2) + gr ** 2 / (hr + s.l2) - g_all ** 2 / (h_all + s.l2)
-        gains.append(np.where((hl >= s.min_leaf) & (hr >= s.min_leaf), gain, 0.0))
-    both = np.concatenate(gains, 2)
+        small = np.minimum(hl, hr) < s.min_leaf
+        gain = gl ** 2
+        gain /= hl + s.l2
+        gr **= 2
+        hr += s.l2
+        gr /= hr
+        gain += gr
+        gain -= whole
+        gain[small] = 0.0
+        gains.append(gain)
+    both = np.concatenate(gains, 2) if len(gains) > 1 else gains[0]
     at = both.argmax(2)
     one = g.shape[2] - 1
-    return both.max(2), at % one + 1, at // one
+    return np.take_along_axis(both, at[:, :, None], 2)[:, :, 0], at % one + 1, at // one
 
 
 def step_alone(block: Block, model: Growing) -> None:
@@ -263,8 +322,10 @@ def step_alone(block: Block, model: Growing) -> None:
     tables = dict(block.tables(model))
     found = {f: searched(f, added(f, [v]), model) for f, v in tables.items() if f < 0}
     tried = [f for f in tables if f >= 0]
-    if tried and model.level >= 0:
-        found |= zip(tried, zip(*splits(np.stack([tables[f] for f in tried]), model.settings)))
+    if model.level >= 0:
+        for i in range(0, len(tried), TOGETHER):
+            part = tried[i:i + TOGETHER]
+            found |= zip(part, zip(*splits(np.stack([tables[f] for f in part]), model.settings)))
     model.advance(found)
 
 
@@ -317,8 +378,8 @@ def quantile_edges(rows: DataFrame, cols: Sequence[str], n: int, accuracy: int =
     return [np.unique(np.array(q if q is not None else [], dtype=float)) for q in wide]
 
 
-def row_blocks(rows: DataFrame, cols: Sequence[str], edges: list[np.ndarray]) -> DataFrame:
-    """Rows (_y, _u, _fold, columns) as blocks of at most BLOCK_ROWS."""
+def row_blocks(rows: DataFrame, cols: Sequence[str], edges: list[np.ndarray], most: int) -> DataFrame:
+    """Rows (_y, _u, _fold, columns) as blocks of at most `most`."""
     arrow = to_arrow_schema(BLOCKS)
 
     def run(batches):
@@ -326,11 +387,11 @@ def row_blocks(rows: DataFrame, cols: Sequence[str], edges: list[np.ndarray]) ->
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            while size >= BLOCK_ROWS:
+            while size >= most:
                 table = pa.Table.from_batches(held).combine_chunks()
-                yield made(table.slice(0, BLOCK_ROWS))
-                held = table.slice(BLOCK_ROWS).to_batches()
-                size -= BLOCK_ROWS
+                yield made(table.slice(0, most))
+                held = table.slice(most).to_batches()
+                size -= most
         if size:
             yield made(pa.Table.from_batches(held))
 
@@ -384,7 +445,7 @@ def grown_together(blocks: DataFrame, models: list[Growing]) -> list[Growing]:
                         for m in models:
                             if not m.done:
                                 block.catch_up(m)
-                        row["margin"] = block.margin.tobytes()
+                        row["margin"] = np.concatenate([block.margin(m.number) for m in models]).tobytes()
                         yield pa.RecordBatch.from_pylist([row], schema=to_arrow_schema(BLOCKS))
             blocks = stored(blocks.mapInArrow(written, BLOCKS), "margins")
             for m in models:
@@ -405,7 +466,7 @@ def grown_apart(block: DataFrame, models: list[Growing]) -> list[Growing]:
                     step_alone(at, model)
                 yield pa.RecordBatch.from_arrays([pa.array([row["m"]], pa.int32()), pa.array([model.result()])], schema=to_arrow_schema(MODELS))
 
-    placed = block.select("*", numbers).repartition(many, "m")
+    placed = block.select("*", numbers).repartitionById(many, "m")  # a hash would put several models into one task
     for r in placed.mapInArrow(run, MODELS).collect():
         models[r["m"]].take(r["model"])
     return models
@@ -430,7 +491,8 @@ def fit_boosters(rows: DataFrame, cols: Sequence[str], label: str, key: str, sub
             left = n - per_fold.get(hold, 0)
             wanted = min(left // 2, max(settings.min_es, int(settings.es_frac * left)))
             models.append(Growing(len(models), [where[c] for c in subset], hold, wanted / max(left, 1), settings, bins))
-    small = n <= BLOCK_ROWS
-    blocks = stored(row_blocks(used.coalesce(1) if small else used, cols, edges), "blocks")
+    most = ALONE_BLOCKS * BLOCK_ROWS
+    small = n <= most
+    blocks = stored(row_blocks(used.coalesce(1) if small else used, cols, edges, most if small else BLOCK_ROWS), "blocks")
     grown = (grown_apart if small else grown_together)(blocks, models) if n else models
     return Boosted(cols, edges, grown, clip)

@@ -159,3 +159,36 @@ def test_study_in_one_call(noisy):
     assert made.best in ("ridge_all", "trees_all") and made.importance.first()["feature"] == "c"
     pooled = {r["method"]: r["overall"] for r in made.pooled.collect()}
     assert pooled["trees_all"] < pooled["trees_d"] and pooled["ridge_all"] < pooled["predict_mean_train"]
+
+
+def test_rows_of_a_few_blocks_take_no_job_per_step(noisy, monkeypatch):
+    df, _ = noisy
+    want = fit(df, rounds=4, depth=3, step=0.3)
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(bo, "grown_together", None)
+    assert same(want.models[0], fit(df, rounds=4, depth=3, step=0.3).models[0])
+
+
+def test_tables_of_a_block_by_counting(noisy):
+    """Signs of all three kinds, missing values, a held-out fold: the tables of every level against rows counted one by one."""
+    rng = np.random.default_rng(1)
+    n, s = 300, bo.Settings(rounds=2, depth=3, min_leaf=2)
+    x, y = rng.integers(0, 6, (n, 3)).astype(np.uint8), rng.integers(0, 4, n).astype(float)
+    row = {"n": n, "x": x.tobytes(), "y": y.tobytes(), "u": rng.integers(0, 1 << 62, n).astype(np.uint64).tobytes(),
+           "fold": (np.arange(n) % 3).astype(np.int32).tobytes(), "margin": None}
+    block, model, seen, zeros = bo.Block(row, 1), bo.Growing(0, [0, 1, 2], 1, 0.2, s, 6), 0, 0
+    while not model.done:
+        tables, resid = dict(block.tables(model)), y - sum((t(x) for t in model.trees), np.zeros(n))
+        level = max(model.level, 0)
+        rows = np.flatnonzero((np.arange(n) % 3 != 1) & (bo.share(block.u, s.seed) >= 0.2)
+                              & (bo.share(block.u, s.seed + 7919 * len(model.trees)) < s.row_share))
+        for f in [f for f in tables if f >= 0]:
+            want = np.zeros((2, 2 ** level, 6))
+            for i, node in zip(rows, (model.tree or bo.Tree.bare(3)).leaf(x[rows], level)):
+                want[:, node, x[i, f]] += np.sign(resid[i]), 1
+            assert (tables[f] == want).all()
+            seen, zeros = seen + 1, zeros + (resid[rows] == 0).sum()
+        bo.step_alone(block, model)
+        if len(model.trees) == 1:
+            model.trees[0].value[:] = 2.0
+    assert seen >= 9 and zeros

@@ -496,7 +496,7 @@ def k7(spark, sf):
     UNION ALL SELECT 'integrity', 'total', count(*) FROM lab
     UNION ALL SELECT 'wear_describe', 'count', count(wear) FROM lab""")
 def k9(spark, sf):
-    b = eda.eda_bundle(s.labels(spark, sf), s.params(spark, sf).withColumnRenamed("set_id", "Set"))
+    b = eda.eda_bundle(stored(s.labels(spark, sf), "labels"), s.params(spark, sf).withColumnRenamed("set_id", "Set"))
     def rows(tab, item, n):
         return b[tab].select(F.lit(tab).alias("tab"), F.col(item).cast("string").alias("item"), F.col(n).alias("n"))
 
@@ -552,7 +552,7 @@ PLACED = """ranked AS (SELECT sid, sensor_id, row_number() OVER (PARTITION BY si
 @query("K9_eda_bundle_values", f"WITH {LAB}, {PARAM}, {PLACED} {' UNION ALL '.join(BUNDLE_CELLS)}", "value")
 def k9v(spark, sf):
     """Tables of the bundle by value, the file checks, unknown parameters, metadata and first, middle and last recordings among them."""
-    labels = s.labels(spark, sf)
+    labels = stored(s.labels(spark, sf), "labels")  # cleaned once, for some twenty tables
     paths = labels.select(F.explode(F.array("ImageFile", "SensorFile")).alias("path")).filter(F.octet_length("path") % 2 == 0)
     b = eda.eda_bundle(labels, s.params(spark, sf).withColumnRenamed("set_id", "Set"), files=paths,
                        metadata=labels.select("material", "split"), sample=None)

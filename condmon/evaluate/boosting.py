@@ -9,6 +9,7 @@ on where it is instead of starting again.
 
 Up to ALONE_BLOCKS times BLOCK_ROWS rows (262,144) are bytes that any task can hold, and a job for each of up to 18,000 steps costs far more than the
 step. Then they lie in one block, and each model's steps run one after another in a task of its own, by the same functions and with the same result.
+There only the smaller child of every node is counted; its sibling is what the node's own table has left. Counts are whole, so that is exact.
 
 Leaves take the median residual, to 1/MEDIAN_BINS of the residuals' range; counts are whole numbers, so results do not depend on partitions.
 """
@@ -90,10 +91,10 @@ class Tree:
         right = np.arange(BINS) > self.cut[nodes, None]
         right[:, 0] = self.left[nodes] == 0
         right &= (f >= 0)[:, None]
-        cells = np.arange(0, x.size, max(x.shape[1], 1))
-        cells += np.maximum(f, 0).take(node)
+        cells = np.arange(len(x)) * x.strides[0]    # by rows or by columns, as x lies
+        cells += (np.maximum(f, 0) * x.strides[1]).take(node)
         at = node * BINS
-        at += x.ravel().take(cells)
+        at += x.ravel(order="K").take(cells)
         return 2 * node + right.ravel().take(at)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
@@ -189,7 +190,8 @@ class Block:
         self.has: dict[int, int] = {}
         self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.place: tuple | None = None     # (model, tree, level, node of each row)
-        self.drawn: tuple | None = None     # (model, tree, rows, sign, bins by feature)
+        self.drawn: tuple | None = None     # (model, tree, rows, sign, tried features)
+        self.upto: tuple | None = None      # (model, tree, level, its tables summed up over the bins, in parts)
 
     def margin(self, number: int) -> np.ndarray:
         if number not in self.margins:
@@ -222,44 +224,91 @@ class Block:
             self.parts[model.number] = np.flatnonzero(mine & ~held), np.flatnonzero(held)
         return self.parts[model.number]
 
-    def sample(self, model: Growing, resid: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows drawn for the tree that grows, the signs of their residuals, and their bins by tried feature."""
+    def sample(self, model: Growing, resid: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Rows drawn for the tree that grows, the signs of their residuals, and the tried features."""
         s, number = model.settings, len(model.trees)
         if self.drawn is None or self.drawn[:2] != (model.number, number):
+            fit = self.halves(model)[0]
             rows = fit[share(self.u[fit], s.seed + 7919 * number) < s.row_share]
-            # single rows are copied whole, so the memory is read once
-            bins = np.ascontiguousarray(self.x[rows].T[model.tried()]) if model.features else np.zeros((0, len(rows)), np.uint8)
-            self.drawn = model.number, number, rows, np.sign(resid[rows]), bins
+            self.drawn = model.number, number, rows, np.sign(resid[rows]), model.tried() if model.features else []
         return self.drawn[2:]
 
-    def tables(self, model: Growing) -> Iterator[tuple[int, np.ndarray]]:
-        """(table, values) of the model's next step. Tables of one name are added up over the blocks, but for the ends of the range."""
-        s, resid = model.settings, self.y - self.catch_up(model)
+    def splitting(self, model: Growing) -> bool:
+        """Whether the model's next step looks for splits."""
+        return model.level < model.settings.depth and bool(model.trees)
+
+    def whole(self, model: Growing, resid: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(table, values) of the model's next step that are not of a feature."""
+        s = model.settings
         fit, held = self.halves(model)
         if model.level <= 0:
             r = resid[fit]
             yield RANGE, np.array([r.min(initial=np.inf), r.max(initial=-np.inf), np.abs(resid[held]).sum(), len(r), len(held)])
             if not model.trees:
                 return
-        number = len(model.trees)
         if model.level == s.depth:
-            leaf = self.nodes(model, number, model.tree, s.depth)[fit]
+            leaf = self.nodes(model, len(model.trees), model.tree, s.depth)[fit]
             wide = max(model.high - model.low, 1e-300)
             place = np.minimum(((resid[fit] - model.low) / wide * MEDIAN_BINS).astype(int), MEDIAN_BINS - 1)
             yield LEAF, np.bincount(leaf * MEDIAN_BINS + place, minlength=2 ** s.depth * MEDIAN_BINS).reshape(-1, MEDIAN_BINS)
-            return
-        rows, sign, bins = self.sample(model, resid, fit)
-        level = max(model.level, 0)
-        node = self.nodes(model, number, model.tree or Tree.bare(s.depth), level)[rows]
-        first, flat = (2 * node + (sign > 0)) * model.bins, np.flatnonzero(sign == 0)
-        cell = np.empty_like(first)
-        for f, b in zip(model.tried() if len(bins) else (), bins):
-            np.add(first, b, out=cell)
-            low, high = np.bincount(cell, minlength=2 ** (level + 1) * model.bins).reshape(-1, 2, model.bins).swapaxes(0, 1)
-            both = np.array([high - low, high + low], float)
-            if len(flat):
-                both[0] += np.bincount(node[flat] * model.bins + b[flat], minlength=both[0].size).reshape(both[0].shape)
-            yield f, both
+
+    def tables(self, model: Growing) -> Iterator[tuple[int, np.ndarray]]:
+        """(table, values) of the model's next step. Tables of one name are added up over the blocks, but for the ends of the range."""
+        resid = self.y - self.catch_up(model)
+        yield from self.whole(model, resid)
+        if self.splitting(model):
+            rows, sign, tried = self.sample(model, resid)
+            node = self.nodes(model, len(model.trees), model.tree or Tree.bare(model.settings.depth), model.level)[rows]
+            # single rows are copied whole, so the memory is read once
+            bins = np.ascontiguousarray(self.x[rows].T[tried]) if tried else []
+            yield from zip(tried, counted(bins, node, sign, 2 ** model.level, model.bins))
+
+    def summed(self, model: Growing, resid: np.ndarray) -> Iterator[tuple[list[int], np.ndarray]]:
+        """(features, tables summed up over the bins) of a block that holds all rows of the model.
+
+        Below the root only the smaller child of every node is counted; its sibling has what the node's table has left.
+        """
+        level, number = model.level, len(model.trees)
+        rows, sign, tried = self.sample(model, resid)
+        node = self.nodes(model, number, model.tree or Tree.bare(model.settings.depth), level)[rows]
+        if not self.x.flags.f_contiguous:
+            self.x = np.asfortranarray(self.x)
+        known = self.upto[3] if level and self.upto is not None and self.upto[:3] == (model.number, number, level - 1) else None
+        many = 2 ** level
+        if known is not None:
+            size = np.bincount(node, minlength=many)
+            right = (size[1::2] < size[::2]).astype(int)
+            at = np.flatnonzero(right.take(node >> 1) == (node & 1))
+            rows, sign, node, many = rows[at], sign[at], node[at] >> 1, many // 2
+            small = 2 * np.arange(many) + right
+        made = []
+        for i in range(0, len(tried), TOGETHER):
+            part = tried[i:i + TOGETHER]
+            bins = (self.x[:, f].take(rows) for f in part)
+            upto = summed_up(np.stack(list(counted(bins, node, sign, many, model.bins))))
+            if known is not None:
+                both = np.empty((len(part), 2, 2 * many, model.bins))
+                both[:, :, small], both[:, :, small ^ 1] = upto, known[len(made)] - upto
+                upto = both
+            made.append(upto)
+            yield part, upto
+        self.upto = model.number, number, level, made
+
+
+def counted(bins: Iterable[np.ndarray], node: np.ndarray, sign: np.ndarray, nodes: int, many: int) -> Iterator[np.ndarray]:
+    """(sum of the signs or number of rows, node, bin) of each feature, from the bins of the rows."""
+    first, flat = (2 * node + (sign > 0)) * many, np.flatnonzero(sign == 0)
+    first = first.astype(np.min_scalar_type(2 * nodes * many))
+    cell = np.empty_like(first)
+    for b in bins:
+        np.add(first, b, out=cell)
+        low, high = np.bincount(cell, minlength=2 * nodes * many).reshape(-1, 2, many).swapaxes(0, 1)
+        both = np.empty((2, nodes, many))
+        np.subtract(high, low, out=both[0])
+        np.add(high, low, out=both[1])
+        if len(flat):
+            both[0] += np.bincount(node[flat] * many + b[flat], minlength=both[0].size).reshape(both[0].shape)
+        yield both
 
 
 def share(u: np.ndarray, salt: int) -> np.ndarray:
@@ -289,14 +338,19 @@ def searched(f: int, total: np.ndarray, model: Growing) -> tuple[list, list, lis
         inside = (count / 2 - (upto[rows, at] - total[rows, at])) / np.maximum(total[rows, at], 1)
         value = model.low + (at + inside) * (model.high - model.low) / MEDIAN_BINS
         return np.where(count > 0, value, 0.0).tolist(), [], []
-    return tuple(v[0].tolist() for v in splits(total[None], model.settings))
+    return tuple(v[0].tolist() for v in splits(summed_up(total[None]), model.settings))
+
 
+def summed_up(tables: np.ndarray) -> np.ndarray:
+    """Tables with running sums over the bins, but for that of missing values."""
+    return np.concatenate([tables[..., :1], np.cumsum(tables[..., 1:], -1)], -1)
 
-def splits(tables: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gain, last bin on the left, whether missing values go left) by feature and node, from (feature, sign or count, node, bin)."""
-    g, h = tables[:, 0], tables[:, 1]
-    g_all, h_all = g.sum(2, keepdims=True), h.sum(2, keepdims=True)
-    below_g, below_h = np.cumsum(g[:, :, 1:], 2), np.cumsum(h[:, :, 1:], 2)
+
+def splits(upto: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gain, last bin on the left, whether missing values go left) by feature and node, from (feature, sign or count, node, bin) as summed up."""
+    g, h = upto[:, 0], upto[:, 1]
+    below_g, below_h = g[:, :, 1:], h[:, :, 1:]
+    g_all, h_all = g[:, :, :1] + below_g[:, :, -1:], h[:, :, :1] + below_h[:, :, -1:]
     whole, gains = g_all ** 2 / (h_all + s.l2), []
     for left in (0, 1) if h[:, :, 0].any() else (0,):
         gl, hl = (below_g + g[:, :, :1], below_h + h[:, :, :1]) if left else (below_g, below_h)
@@ -309,7 +363,7 @@ def splits(tables: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.
         gr /= hr
         gain += gr
         gain -= whole
-        gain[small] = 0.0
+        np.copyto(gain, 0.0, where=small)
         gains.append(gain)
     both = np.concatenate(gains, 2) if len(gains) > 1 else gains[0]
     at = both.argmax(2)
@@ -319,13 +373,11 @@ def splits(tables: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.
 
 def step_alone(block: Block, model: Growing) -> None:
     """A step of a model whose rows all lie in one block."""
-    tables = dict(block.tables(model))
-    found = {f: searched(f, added(f, [v]), model) for f, v in tables.items() if f < 0}
-    tried = [f for f in tables if f >= 0]
-    if model.level >= 0:
-        for i in range(0, len(tried), TOGETHER):
-            part = tried[i:i + TOGETHER]
-            found |= zip(part, zip(*splits(np.stack([tables[f] for f in part]), model.settings)))
+    resid = block.y - block.catch_up(model)
+    found = {f: searched(f, added(f, [v]), model) for f, v in block.whole(model, resid)}
+    if block.splitting(model):
+        for part, upto in block.summed(model, resid):
+            found |= zip(part, zip(*splits(upto, model.settings)))
     model.advance(found)
 
 
@@ -350,7 +402,8 @@ class Boosted:
                 for m in np.unique(number[~pd.isna(number)]).astype(int):
                     rows = np.flatnonzero(number == m)
                     if trees[m]:
-                        out[rows] = sum(t(x[rows]) for t in trees[m])
+                        mine = x[rows]
+                        out[rows] = sum(t(mine) for t in trees[m])
             return pd.Series(out if clip is None else np.clip(out, *clip)).replace({np.nan: None}).astype(float)
 
         values = F.array(*[F.expr(f"coalesce(CAST(`{c}` AS DOUBLE), CAST('NaN' AS DOUBLE))") for c in self.cols])

@@ -192,3 +192,26 @@ def test_tables_of_a_block_by_counting(noisy):
         if len(model.trees) == 1:
             model.trees[0].value[:] = 2.0
     assert seen >= 9 and zeros
+
+
+def test_alone_only_the_smaller_children_are_counted(monkeypatch):
+    """Tables of a model in one block equal those counted in full, and below the root no more than half of the rows are counted."""
+    rng = np.random.default_rng(2)
+    n, s = 400, bo.Settings(rounds=3, depth=4, min_leaf=2)
+    x, y = rng.integers(0, 9, (n, 5)).astype(np.uint8), rng.integers(0, 30, n).astype(float)
+    row = {"n": n, "x": x.tobytes(), "y": y.tobytes(), "u": rng.integers(0, 1 << 62, n).astype(np.uint64).tobytes(),
+           "fold": (np.arange(n) % 4).astype(np.int32).tobytes(), "margin": None}
+    block, model, counted, asked, levels = bo.Block(row, 1), bo.Growing(0, [0, 1, 2, 3, 4], 1, 0.2, s, 9), bo.counted, [], 0
+    monkeypatch.setattr(bo, "TOGETHER", 2)
+    monkeypatch.setattr(bo, "counted", lambda bins, node, *rest: asked.append(len(node)) or counted(bins, node, *rest))
+    while not model.done:
+        if block.splitting(model):
+            want = {f: bo.summed_up(v) for f, v in block.tables(model) if f >= 0}
+            drawn = len(block.sample(model, None)[0])
+            asked.clear()
+            got = {f: v for part, upto in block.summed(model, block.y - block.catch_up(model)) for f, v in zip(part, upto)}
+            assert got.keys() == want.keys() and all((got[f] == want[f]).all() for f in want)
+            assert all(a <= drawn / (2 if model.level else 1) for a in asked) and asked
+            levels += 1
+        bo.step_alone(block, model)
+    assert levels >= 12

@@ -18,9 +18,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Sequence
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import filterfalse
 from os.path import commonprefix
 
 import numpy as np
@@ -36,6 +37,7 @@ LEAST_TOXIC = 3         # toxic documents that must hold a feature
 SURENESS = 1.64         # standard errors taken off a log odds ratio
 LEAST_WEIGHT = 0.5
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
+HEAD = min(BEGINNINGS)
 CACHED_TOKENS = 200_000
 LONGEST_TOKEN = 32      # longer words do not count in the language model; they are decoded all the same
 
@@ -56,6 +58,8 @@ GAP = re.compile(r"\s+")
 REPEATED = re.compile(r"(.)\1\1")
 LONG_RUN = re.compile(r"(.)\1{3,}", re.S)
 EDGES = ".,;:!?\"'()[]{}<>%#&*$|-_=~`^/\\"
+BARE_EDGES = "".join(c for c in EDGES if c not in LEET)
+SYMBOLS = ALPHABET + OTHER + EDGE
 
 
 def plain(word: str) -> str:
@@ -66,44 +70,57 @@ def plain(word: str) -> str:
     return "".join(c if c in ALPHABET else OTHER for c in bare)
 
 
-def corpus_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all texts; tasks add up before anything is shuffled."""
+def cleaned(tokens: Counter) -> Iterator[tuple[str, int]]:
+    """(word, n) of the tokens that count in the language model."""
+    for token, n in tokens.items():
+        word = token.strip(EDGES)
+        if word.isalpha() and len(word) <= LONGEST_TOKEN:
+            yield word, n
+
+
+def trigram_counts(words: Sequence[tuple[str, int]]) -> np.ndarray:
+    """How often each trigram comes in words found n times, by the places of its characters in SYMBOLS."""
+    many = len(SYMBOLS)
+    place = np.zeros(128, np.int64)
+    place[np.frombuffer(SYMBOLS.encode(), np.uint8)] = np.arange(many)
+    parts = [f"{EDGE}{EDGE}{plain(w)}{EDGE}" for w, _ in words]
+    size = np.array([len(p) for p in parts], np.int64)
+    code = place[np.frombuffer("".join(parts).encode(), np.uint8)]
+    begins = np.ones(len(code), bool)   # the last two characters of a word begin no trigram
+    ends = np.cumsum(size)
+    begins[ends - 1] = begins[ends - 2] = False
+    at = np.flatnonzero(begins)
+    grams = (code[at] * many + code[at + 1]) * many + code[at + 2]
+    n = np.repeat(np.array([n for _, n in words], np.int64), size - 2)
+    out = np.zeros(many ** 3, np.int64)
+    np.add.at(out, grams, n)
+    return out
+
+
+def trigram_table(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
+    """Counts of character trigrams over the words of all texts; the alphabet of 28 characters bounds them at 28 cubed, about 22,000.
+
+    Tasks count their tokens, and add up trigrams before anything is shuffled."""
     def make():
         def run(rows):
-            counts: Counter = Counter()
+            tokens: Counter = Counter()
+            counts = np.zeros(len(SYMBOLS) ** 3, np.int64)
             for r in rows:
-                counts.update([t for t in (r["t"] or "").lower().split() if len(t) <= 2 * LONGEST_TOKEN])
-                if len(counts) > CACHED_TOKENS:
-                    yield from cleaned(counts)
-                    counts.clear()
-            yield from cleaned(counts)
-
-        def cleaned(counts):
-            for token, n in counts.items():
-                word = token.strip(EDGES)
-                if word.isalpha() and len(word) <= LONGEST_TOKEN:
-                    yield word, n
-
-        return run
-
-    counted = map_rows(named(docs, t=text_col), make, "word string, n bigint", flush=16384)
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def trigram_table(words: DataFrame) -> dict[str, int]:
-    """Counts of character trigrams; the alphabet of 28 characters bounds them at 28 cubed, about 22,000."""
-    def make():
-        def run(rows):
-            counts: Counter = Counter()
-            for r in rows:
-                s, n = f"{EDGE}{EDGE}{plain(r['word'])}{EDGE}", r["n"]
-                for i in range(len(s) - 2):
-                    counts[s[i:i + 3]] += n
-            yield from counts.items()
+                found = (r["t"] or "").lower().split()
+                if max(map(len, found), default=0) > 2 * LONGEST_TOKEN:
+                    found = [t for t in found if len(t) <= 2 * LONGEST_TOKEN]
+                tokens.update(found)
+                if len(tokens) > CACHED_TOKENS:
+                    counts += trigram_counts(list(cleaned(tokens)))
+                    tokens.clear()
+            counts += trigram_counts(list(cleaned(tokens)))
+            many = len(SYMBOLS)
+            for i in np.flatnonzero(counts).tolist():
+                yield SYMBOLS[i // many ** 2] + SYMBOLS[i // many % many] + SYMBOLS[i % many], int(counts[i])
 
         return run
 
-    grams = map_rows(words, make, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    grams = map_rows(named(docs, t=text_col), make, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     return {r["gram"]: r["n"] for r in grams.collect()}
 
 
@@ -114,7 +131,7 @@ class Decoder:
         pairs: Counter = Counter()
         for gram, n in trigrams.items():
             pairs[gram[:2]] += n
-        self.trigrams, self.pairs, self.known = trigrams, pairs, {}
+        self.trigrams, self.pairs, self.known, self.heard = trigrams, pairs, {}, {}
 
     def cost(self, state: str, letter: str) -> float:
         key = state + letter
@@ -124,6 +141,16 @@ class Decoder:
             self.known[key] = found
         return found
 
+    def readings(self, symbol: str) -> list[tuple[str, float, str]]:
+        """(reading, its cost, the letter that the language model hears) of a character."""
+        found = self.heard.get(symbol)
+        if found is None:
+            ways = [(x, COST_LEET) for x in LEET.get(symbol, "")]
+            ways.append((symbol, 0.0 if plain(symbol) in ALPHABET else COST_LITERAL))
+            found = [(x, extra, c) for x, extra in ways for c in (plain(x) if x.isalpha() else OTHER)[:1]]
+            self.heard[symbol] = found
+        return found
+
     def decode(self, token: Sequence[str], breaks: bool = False, head: int = 0, tail: int = 0, exact: bool = False) -> str:
         """The likeliest word behind a lower-case token.
 
@@ -151,20 +178,18 @@ class Decoder:
                 if symbol == " ":
                     best = {state: (spent + (state != start) * COST_JOIN, text) for state, (spent, text) in best.items()}
                     continue
-            readings = [(x, COST_LEET) for x in LEET.get(symbol, "")]
-            letter = plain(symbol)
-            readings.append((symbol, 0.0 if letter in ALPHABET else COST_LITERAL))
+            readings = self.readings(symbol)
+            dropped = symbol in MARKS or at < head or at >= len(token) - tail
+            again = symbol == before and not exact and not (breaks and twice(token, at))
             for state, (spent, text) in best.items():
-                if symbol in MARKS or at < head or at >= len(token) - tail:
+                if dropped:
                     offer(state, spent + COST_DROP_MARK, text)
-                repeat = symbol == before and bool(text) and not (breaks and twice(token, at))
-                if repeat and not exact:
+                repeat = again and bool(text)
+                if repeat:
                     offer(state, spent + COST_DROP_REPEAT, text)
-                for reading, extra in readings:
-                    heard = plain(reading) if reading.isalpha() else OTHER
-                    for c in heard[:1]:
-                        extra_now = extra + (COST_KEEP_REPEAT if repeat and not exact and text.endswith(reading) else 0.0)
-                        offer(state[1] + c, spent + extra_now + self.cost(state, c), text + reading)
+                for reading, extra, c in readings:
+                    extra_now = extra + (COST_KEEP_REPEAT if repeat and text.endswith(reading) else 0.0)
+                    offer(state[1] + c, spent + extra_now + self.cost(state, c), text + reading)
             best, before = after, symbol
             if at % SETTLED == SETTLED - 1:
                 shared = len(commonprefix([text for _, text in best.values()])) - 1
@@ -248,10 +273,10 @@ def restored(token: str, decoder: Decoder) -> set[str]:
     Leet characters at an edge may be letters or punctuation, and leet characters alone a number: each reading is
     a word of its own.
     """
-    core, head, tail = edges(token)
-    if core.isalpha() and not head and not tail and not REPEATED.search(core):
+    core = token.strip(BARE_EDGES)
+    if core.isalpha() and not REPEATED.search(core):
         return {core}
-    core, head, tail = (LONG_RUN.sub(r"\1\1\1", part) for part in (core, head, tail))
+    core, head, tail = (LONG_RUN.sub(r"\1\1\1", part) for part in edges(token))
     words = {decoder.decode(core) if disguised(core) else core}
     # Marks that also end or open sentences may stand outside those that are letters.
     for before in {"", head, head.lstrip(OPEN_OR_END)}:
@@ -266,7 +291,7 @@ def restored(token: str, decoder: Decoder) -> set[str]:
 
 def spelled_words(low: str, tokens: set[str], decoder: Decoder) -> set[str]:
     """Words written letter by letter with white space between; gaps wider than the narrowest are likely to part words."""
-    if not any(len(t) == 1 for t in tokens):
+    if 1 not in map(len, tokens):
         return set()
     words = set()
     for m in SPELLED.finditer(low):
@@ -324,19 +349,27 @@ class Model:
 
 
 class Describer:
-    """What a model finds in texts; remembers what it found behind a bounded number of tokens."""
+    """What a model finds in texts; remembers what it found, or that it found nothing, behind a bounded number of tokens."""
 
     def __init__(self, model: Model, decoder: Decoder):
-        self.model, self.decoder, self.known = model, decoder, {}
+        self.model, self.decoder, self.known, self.nothing = model, decoder, {}, set()
+        # no feature that a word has begins otherwise than the word and its end
+        self.heads = {f[:HEAD] for f in model.weights}
+
+    def weight(self, word: str) -> float:
+        return self.model.word_weight(word) if f"{word}$"[:HEAD] in self.heads else 0.0
 
     def look_up(self, token: str) -> tuple:
         """(word, weight) of each word behind a token that has a weight."""
-        weighed = ((word, self.model.word_weight(word)) for word in restored(token, self.decoder))
-        if len(self.known) >= CACHED_TOKENS:
+        found = tuple((word, weight) for word in restored(token, self.decoder) if (weight := self.weight(word)) > 0)
+        if len(self.known) + len(self.nothing) >= CACHED_TOKENS:
             self.known.clear()
-        found = tuple((word, weight) for word, weight in weighed if weight > 0)
+            self.nothing.clear()
         if len(token) <= 2 * LONGEST_TOKEN:
-            self.known[token] = found
+            if found:
+                self.known[token] = found
+            else:
+                self.nothing.add(token)
         return found
 
     def __call__(self, text: str | None) -> list[float]:
@@ -344,14 +377,12 @@ class Describer:
         low = (text or "").lower()
         tokens, get = set(low.split()), self.known.get
         found = {}
-        for token in tokens:
-            hit = get(token)
-            if hit is None:
-                hit = self.look_up(token)
+        for token in filterfalse(self.nothing.__contains__, tokens):
+            hit = get(token) or self.look_up(token)
             if hit:
                 found.update(hit)
         for word in spelled_words(low, tokens, self.decoder):
-            if (weight := self.model.word_weight(word)) > 0:
+            if (weight := self.weight(word)) > 0:
                 found[word] = weight
         return [math.log1p(sum(found.values())), max(found.values(), default=0.0),
                 math.sqrt(len(found) / (len(tokens) + 10)), math.log1p(len(found))]
@@ -375,7 +406,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The calibration sees each half of the sample through weights that only the other half gave.
     """
-    model = Model(trigram_table(corpus_words(docs, text_col)))
+    model = Model(trigram_table(docs, text_col))
     chosen = stored(training_rows(labels, id_col, label_col, most_rows), "labelled")
     # At most most_rows ids and labels are sent to the tasks.
     sample = named(docs, d=id_col, t=text_col).join(F.broadcast(chosen), "d")
@@ -387,19 +418,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         decoder = Decoder(shipped.value.trigrams)
 
         def run(rows):
+            counts: defaultdict[tuple, Counter] = defaultdict(Counter)
             for r in rows:
                 words = restored_words(r["t"], decoder)
-                for f in {f for w in words for f in features_of(w)}:
-                    yield f, r["y"], r["half"]
+                counts[r["y"], r["half"]].update({f for w in words for f in features_of(w)})
+                if sum(map(len, counts.values())) > CACHED_TOKENS:
+                    yield from added(counts)
+                    counts.clear()
+            yield from added(counts)
+
+        def added(counts):
+            for (y, half), found in counts.items():
+                for f, k in found.items():
+                    yield f, y, half, k
 
         return run
 
     n = {(r["half"], r["y"]): r["n"] for r in sample.groupBy("half", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if any(not n.get((half, y)) for half in (0, 1) for y in (0, 1)):
         return model
-    seen = map_rows(sample, make_features, "f string, y int, half int", flush=16384)
+    seen = map_rows(sample, make_features, "f string, y int, half int, k bigint", flush=16384)
     counts = stored(seen.groupBy("f").agg(*[
-        F.count(F.when((F.col("half") == h) & (F.col("y") == y), 1)).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)])
+        F.sum(F.when((F.col("half") == h) & (F.col("y") == y), F.col("k")).otherwise(0)).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)])
         .filter(F.col("n01") + F.col("n11") >= LEAST_TOXIC), "feature-counts")
     halves = [sure_weights(counts, [h], n) for h in (0, 1)]
     model.weights = sure_weights(counts, [0, 1], n)

@@ -506,6 +506,37 @@ def test_a_number_stays_a_word_too():
     assert "1488" in toxicity.restored("1488", small_decoder()) and toxicity.restored("...", small_decoder()) == set()
 
 
+def test_toxicity_trigrams_are_added_up_in_tasks(spark):
+    """Trigrams counted by place equal those counted one by one, and no word leaves a task, only trigrams."""
+    words = [("scum", 3), ("été", 2), ("a", 5), ("straße", 1), ("́", 2), ("ª", 1)]
+    want = Counter()
+    for word, n in words:
+        s = f"^^{toxicity.plain(word)}^"
+        for i in range(len(s) - 2):
+            want[s[i:i + 3]] += n
+    counts, many = toxicity.trigram_counts(words), len(toxicity.SYMBOLS)
+    got = {toxicity.SYMBOLS[i // many ** 2] + toxicity.SYMBOLS[i // many % many] + toxicity.SYMBOLS[i % many]: int(counts[i])
+           for i in counts.nonzero()[0]}
+    assert got == want and not toxicity.trigram_counts([]).any()
+    docs = spark.createDataFrame([("Scum, scum été",), (None,), ("SCUM a1 " + "x" * 33 + " " + "y" * 99,), ("été!",)], "text string")
+    plain = Counter()
+    for word, n in (("scum", 3), ("été", 2)):
+        s = f"^^{toxicity.plain(word)}^"
+        for i in range(len(s) - 2):
+            plain[s[i:i + 3]] += n
+    assert toxicity.trigram_table(docs) == plain
+
+
+def test_toxicity_tokens_without_weight_are_looked_up_once():
+    decoder = small_decoder()
+    describe = toxicity.Describer(toxicity.Model({}, {"idiot$": 2.0, "scu": 1.5, "ab$": 1.0}), decoder)
+    asked, weigh = [], describe.model.word_weight
+    describe.model.word_weight = lambda word: asked.append(word) or weigh(word)
+    first = describe("you idiot scummy ab house")
+    assert first == describe("you idiot scummy ab house") and first[1] == 2.0 and set(asked) == {"idiot", "scummy", "ab"}
+    assert len(asked) == 3 and describe.nothing == {"you", "house"}
+
+
 def test_toxicity_edges(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (None, 1), (2, None)], "doc_id bigint, toxic int")
     model = toxicity.train(odd, labels)

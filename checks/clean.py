@@ -89,13 +89,12 @@ PASS_ROWS = 10000
 
 
 def _write_recordings(spark, sf):
-    """Events as headerless CSV, one folder per pass of at most PASS_ROWS rows, rows in time order."""
+    """Events as headerless CSV, one file per pass of at most PASS_ROWS rows, rows in time order."""
     path = scratch_path(spark, "recordings")
     rows = s.recordings(spark, sf).withColumn(
         "rid", F.concat_ws("_", "recording_id", F.floor(F.col("pos") / PASS_ROWS)))
-    (rows.repartition("rid").sortWithinPartitions("rid", "pos")
-     .select("acc", "acoustic", "Fx", "Fy", "Fz", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "rid")
-     .write.partitionBy("rid").csv(path))
+    cells = [*(F.col(c).cast("string") for c in ("acc", "acoustic", "Fx", "Fy", "Fz")), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")]
+    s.write_files(rows.select("rid", "pos", F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in cells]).alias("value")), path, ("pos",))
     return path
 
 
@@ -103,7 +102,7 @@ def _write_recordings(spark, sf):
     SELECT recording_id || '_' || (pos // {PASS_ROWS}) AS recording_id, pos % {PASS_ROWS} AS pos, CAST(CAST(acc AS FLOAT) AS DOUBLE) AS acc,
         CAST(CAST(Fz AS FLOAT) AS DOUBLE) AS fz FROM recs""", "acc fz", 4)
 def a3(spark, sf):
-    rows = src.read_recordings(spark, _write_recordings(spark, sf) + "/*/*.csv", id_pattern=r"rid=(\w+)/")
+    rows = src.read_recordings(spark, _write_recordings(spark, sf) + "/*", id_pattern=r"rid=(\w+)[./]")
     return rows.select("recording_id", "pos", "acc", F.col("Fz").alias("fz"))
 
 
@@ -120,8 +119,8 @@ def a4(spark, sf):
     lines = rows.select(F.col("recording_id").alias("rid"), F.concat_ws(
         ",", *cells, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("value"))
     broken = rows.filter("recording_id % 3 = 0").select(F.col("recording_id").alias("rid"), F.lit("sensor stopped,").alias("value")).distinct()
-    lines.unionByName(broken).repartition("rid").write.partitionBy("rid").text(path)
-    found = src.read_recordings(spark, path + "/*/*.txt", id_pattern=r"rid=(\w+)/")
+    s.write_files(lines.unionByName(broken), path)
+    found = src.read_recordings(spark, path + "/*", id_pattern=r"rid=(\w+)[./]")
     readable = ft.time_features(found.withColumn("recording_id", F.col("recording_id").cast("long")), ["acc"])
     wanted = s.table(spark, sf, "events").select(F.col("user_id").alias("recording_id")).distinct()
     return lk.zero_fill_features(wanted, readable, ["acc_mean", "acc_std"])

@@ -10,6 +10,10 @@ runs:       line items aggregated to experiment results per (family, variant, se
 
 from __future__ import annotations
 
+import os
+from urllib.parse import urlparse
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from condmon.operators.skew import rank_in_group
@@ -49,6 +53,45 @@ def stored_recordings(spark: SparkSession, sf: str) -> DataFrame:
     return stored(recordings(spark, sf), "recordings")
 
 
+def write_files(rows: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
+    """(rid, value): the values of a rid as the lines of a text file of its own, sorted by `order`.
+
+    In a folder of the local file system, tasks stream the files path/<task>/rid=<rid>.txt. Spark's writer takes a folder, several
+    renames and a change of rights for each, many milliseconds a file; it serves all other stores, as path/rid=<rid>/part-*.txt.
+    """
+    spark = rows.sparkSession
+    dealt = rows.repartition("rid")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        dealt.sortWithinPartitions("rid", *order).select("rid", "value").write.partitionBy("rid").text(path)
+        return
+    local = urlparse(folder.toUri().toString()).path
+
+    def write(batches):
+        from pyspark import TaskContext
+        task = TaskContext.get()
+        into = os.path.join(local, f"{task.partitionId():05d}")
+        os.makedirs(into, exist_ok=True)
+        # Hidden until complete, and one per attempt, so that a repeated task leaves no half of a file.
+        draft = os.path.join(into, f".{task.taskAttemptId()}")
+        name, out, n = None, None, 0
+        for batch in batches:
+            for rid, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if out is None or rid != name:
+                    if out is not None:
+                        out.close()
+                        os.replace(draft, os.path.join(into, f"rid={name}.txt"))
+                    name, out, n = rid, open(draft, "w", encoding="utf-8", newline=""), n + 1
+                out.write(value + "\n")
+        if out is not None:
+            out.close()
+            os.replace(draft, os.path.join(into, f"rid={name}.txt"))
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    text = F.coalesce(F.col("rid").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))  # as Spark's writer names it
+    dealt.sortWithinPartitions("rid", *order).select(text.alias("rid"), "value").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 LONG_SQL = REC_SQL + """,
 long AS (SELECT recording_id, pos, 'acc' AS channel, acc AS v FROM recs
     UNION ALL SELECT recording_id, pos, 'acoustic', acoustic FROM recs

@@ -30,6 +30,9 @@ def read_recordings(spark: SparkSession, glob: str, channels: Sequence[str] = CH
     the path. A file with a line that is no recording row (text, too few or too many cells), and one that cannot be read, is
     left out as a whole, so that `zero_fill_features` marks it as missing.
 
+    With very many files, name their folders (`runs/*`) rather than the files: Spark lists folders in tasks, but looks up
+    every file that a glob names one after another.
+
     A file may span many scan splits. Rows keep their place inside a split, and each split
     adds the number of rows in the earlier splits of its file, so no file is ever sorted or
     gathered in one task. The scan is stored once, in columns, because split numbering must not

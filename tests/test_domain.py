@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from checks import standins
 from condmon import functions as fn, sources as src
 from condmon.constants import CHANNELS, DB4_HIGH
 from condmon.evaluate import errors as er, regress as rg
@@ -86,6 +87,19 @@ def test_equal_file_names_stay_apart_and_broken_files_are_left_out(spark, tmp_pa
     assert {r[0]: r[1] for r in df.collect()} == {"Set1/001.csv": 3, "Set2/001.csv": 2}
 
 
+def test_recordings_are_written_as_a_file_each_in_few_folders(spark, tmp_path):
+    rows = [(r, p, f"{p},{r},0,0,1,2023-01-01 00:00:00") for r in range(40) for p in reversed(range(3))]
+    rows += [(None, p, f"{p},99,0,0,1,2023-01-01 00:00:00") for p in (1, 0)]
+    df = spark.createDataFrame(rows, "rid long, pos int, value string").repartition(5)
+    standins.write_files(df, str(tmp_path / "out"), ("pos",))
+    files = list((tmp_path / "out").glob("*/rid=*.txt"))
+    assert len(files) == 41 and len(list((tmp_path / "out").iterdir())) <= 8 and not list((tmp_path / "out").glob("*/.*"))
+    found = src.read_recordings(spark, str(tmp_path / "out" / "*"), id_pattern=r"rid=(\w+)[./]").collect()
+    assert sorted((r["recording_id"], r["pos"], r["acc"], r["acoustic"]) for r in found) == sorted(
+        ("__HIVE_DEFAULT_PARTITION__" if r is None else str(r), p, float(p), 99.0 if r is None else float(r)) for r, p, _ in rows)
+    standins.write_files(df.limit(0), str(tmp_path / "none"))
+
+
 def test_ranks_of_known_designs(spark):
     rows = [("constant", 120.5, float(i % 50 + 1), float(i % 7 + 1)) for i in range(30_000)]
     rows += [("near", 120.5 * (1 + 1e-9 * (i % 13)), float(i % 50 + 1), float(i % 7 + 1)) for i in range(30_000)]

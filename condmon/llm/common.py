@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -80,10 +81,19 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[tuple]]
                 held, weight = [], 0
         if held:
             yield batch_of(held, arrow)
+        held = row = None
+        give_back()
 
     return df.mapInArrow(run, out)
 
 
+def give_back() -> None:
+    """What a task has freed goes back to the system, because its Python worker stays and the next task may run in another."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def batch_of(rows: Sequence[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

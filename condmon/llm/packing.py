@@ -24,7 +24,8 @@ from condmon.llm.common import map_rows, named
 
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, "
           "`offset` bigint, sequence_length bigint")
-CACHED_WORDS = 300_000   # words whose ids a task remembers, in each of two generations
+CACHED_WORDS = 250_000   # words whose ids a task remembers, in each of two generations
+SEEN_PLACES = 1 << 21    # places that tell whether a word came before; words that come once are not remembered
 SYMBOLS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # neither letters nor digits: one unit where they stand together
 LONGEST_KEPT = 64        # bytes of a word that is remembered
 ID_BYTES = array("I").itemsize  # 4; the ids are written in the order of the machine, which is little-endian
@@ -42,7 +43,8 @@ class WordEncoder:
     """Ids of a text as little-endian 32-bit bytes, put together from the ids of its white-space separated words.
 
     The tokenizer drops white space and never joins across it, nor letters with the symbols after them, so this equals
-    encoding the text as a whole. Words of letters go to the tokenizer's model directly; others take the whole way. Two generations of words are remembered, so that frequent words survive when the younger one is full.
+    encoding the text as a whole. Words of letters go to the tokenizer's model directly; others take the whole way. Words are remembered
+    when they come again, in two generations, so that frequent words survive when the younger one is full.
     """
 
     def __init__(self, tokenizer_json: bytes):
@@ -51,6 +53,7 @@ class WordEncoder:
         self.tokenize, self.letter_of = self.tokenizer.model.tokenize, dict(enumerate(byte_letters()))
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.seen, self.met = bytearray(SEEN_PLACES), 0
 
     def __call__(self, text: str) -> bytes:
         raw = text.encode()
@@ -66,13 +69,24 @@ class WordEncoder:
         ids = self.young.get(word) or self.old.get(word)
         if ids is None:
             ids = self.encode(word)
-        if len(word) > LONGEST_KEPT:
-            return ids
+            if len(word) > LONGEST_KEPT or not self.again(word):
+                return ids
         if len(self.young) >= CACHED_WORDS:
             self.old, self.young = self.young, {}
         self.young[word] = ids
         return ids
 
+    def again(self, word: bytes) -> bool:
+        """Whether a word came before, or one that shares its place; half full, the places are cleared."""
+        place = hash(word) % SEEN_PLACES
+        if self.seen[place]:
+            return True
+        if self.met >= SEEN_PLACES // 2:
+            self.seen, self.met = bytearray(SEEN_PLACES), 0
+        self.seen[place] = 1
+        self.met += 1
+        return False
+
     def encode(self, word: bytes) -> bytes:
         letters = word.rstrip(SYMBOLS)
         if letters:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from condmon.llm.common import map_rows, named
+from condmon.llm.common import give_back, map_rows, named
 from condmon.session import stored
 
 TRAIN_ROWS = 20_000     # labelled documents learned from, the first under a hash of their ids
@@ -502,5 +502,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
             columns = [*batch.columns, pa.array(scores, pa.float64()),
                        pa.array([int(s >= threshold) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, score_col, predicted_col])
+        describe = batch = columns = None
+        give_back()
 
     return source.mapInArrow(run, out.schema)

@@ -138,6 +138,15 @@ def test_word_encoder_equals_the_tokenizer():
         assert encode(text) == np.array(want, "<u4").tobytes(), text
 
 
+def test_word_encoder_remembers_words_that_come_again():
+    with open(vocabulary("word_bpe_49k.json"), "rb") as f:
+        encode = packing.WordEncoder(f.read())
+    once = " ".join(f"w{i:x}" for i in range(5000))
+    first = encode(once)
+    assert len(encode.young) + len(encode.old) < 500  # but for some that share a place, and their parts
+    assert encode(once) == first == encode(once) and len(encode.young) >= 5000
+
+
 def test_whitening(spark):
     rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").collect()
     x = np.floor(64 * np.array([r["embedding"] for r in rows], dtype=float)).astype(int) + 1_000_000

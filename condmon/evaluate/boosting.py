@@ -9,7 +9,8 @@ on where it is instead of starting again.
 
 Up to ALONE_BLOCKS times BLOCK_ROWS rows (262,144) are bytes that any task can hold, and a job for each of up to 18,000 steps costs far more than the
 step. Then they lie in one block, and each model's steps run one after another in a task of its own, by the same functions and with the same result.
-There only the smaller child of every node is counted; its sibling is what the node's own table has left. Counts are whole, so that is exact.
+There only the smaller child of every node is counted; its sibling is what the node's own table has left. At the root the rows not drawn
+are counted and taken from the tables of all rows, which change from round to round only where a sign has changed. Counts are whole, so all of that is exact.
 
 Leaves take the median residual, to 1/MEDIAN_BINS of the residuals' range; counts are whole numbers, so results do not depend on partitions.
 """
@@ -35,7 +36,7 @@ BINS = 256          # the first is for missing values
 BIN_ROWS = 3        # rows that a bin has on the average, at least
 MEDIAN_BINS = 2048
 KEPT = 40           # rounds between two writings of the margins
-TOGETHER = 8        # features searched at once
+TOGETHER = 64       # features times nodes searched at once, whose tables stay in a core's cache
 RANGE, LEAF = -1, -2  # tables that are not of a feature
 
 _INT, _BYTES = T.IntegerType(), T.BinaryType()
@@ -91,11 +92,12 @@ class Tree:
         right = np.arange(BINS) > self.cut[nodes, None]
         right[:, 0] = self.left[nodes] == 0
         right &= (f >= 0)[:, None]
-        cells = np.arange(len(x)) * x.strides[0]    # by rows or by columns, as x lies
-        cells += (np.maximum(f, 0) * x.strides[1]).take(node)
+        child = 2 * np.arange(len(f))[:, None] + right
+        cells = (np.maximum(f, 0) * x.strides[1]).take(node)     # by rows or by columns, as x lies
+        cells += np.arange(0, len(x) * x.strides[0], x.strides[0])
         at = node * BINS
         at += x.ravel(order="K").take(cells)
-        return 2 * node + right.ravel().take(at)
+        return child.ravel().take(at)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return self.value[self.leaf(x, int(math.log2(len(self.value))))]
@@ -191,7 +193,11 @@ class Block:
         self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.place: tuple | None = None     # (model, tree, level, node of each row)
         self.drawn: tuple | None = None     # (model, tree, rows, sign, tried features)
-        self.upto: tuple | None = None      # (model, tree, level, its tables summed up over the bins, in parts)
+        self.undrawn = np.zeros(0, int)     # rows that fit the model and were not drawn
+        self.base: tuple | None = None      # (model, signs of the rows that fit it, their tables by feature)
+        self.rest: tuple | None = None      # (model, tree, residuals before it)
+        self.room: dict[int, np.ndarray] = {}   # memory for the tables of a level
+        self.upto: tuple | None = None      # (model, tree, level, its tables summed up over the bins)
 
     def margin(self, number: int) -> np.ndarray:
         if number not in self.margins:
@@ -206,6 +212,11 @@ class Block:
         self.has[model.number] = len(model.trees)
         return margin
 
+    def residuals(self, model: Growing) -> np.ndarray:
+        if self.rest is None or self.rest[:2] != (model.number, len(model.trees)):
+            self.rest = model.number, len(model.trees), self.y - self.catch_up(model)
+        return self.rest[2]
+
     def nodes(self, model: Growing, number: int, tree: Tree, level: int) -> np.ndarray:
         """Node of each row inside a level of the model's tree of that number, from the level it was last asked for."""
         at, node = 0, np.zeros(len(self.y), int)
@@ -229,7 +240,8 @@ class Block:
         s, number = model.settings, len(model.trees)
         if self.drawn is None or self.drawn[:2] != (model.number, number):
             fit = self.halves(model)[0]
-            rows = fit[share(self.u[fit], s.seed + 7919 * number) < s.row_share]
+            drawn = share(self.u[fit], s.seed + 7919 * number) < s.row_share
+            rows, self.undrawn = fit[drawn], fit[~drawn]
             self.drawn = model.number, number, rows, np.sign(resid[rows]), model.tried() if model.features else []
         return self.drawn[2:]
 
@@ -261,12 +273,30 @@ class Block:
             node = self.nodes(model, len(model.trees), model.tree or Tree.bare(model.settings.depth), model.level)[rows]
             # single rows are copied whole, so the memory is read once
             bins = np.ascontiguousarray(self.x[rows].T[tried]) if tried else []
-            yield from zip(tried, counted(bins, node, sign, 2 ** model.level, model.bins))
+            yield from zip(tried, counted(bins, node, sign, 2 ** model.level, model.bins, len(tried)))
+
+    def everything(self, model: Growing, resid: np.ndarray) -> dict[int, np.ndarray]:
+        """Tables of all rows that fit the model, by feature: as they were, but for the rows whose sign has changed."""
+        fit = self.halves(model)[0]
+        sign = np.sign(resid.take(fit))
+        if self.base is None or self.base[0] != model.number:
+            tables = {f: np.zeros((2, 1, model.bins), np.int32) for f in model.features}
+            for f, table in tables.items():
+                table[1, 0] = np.bincount(self.x[:, f].take(fit), minlength=model.bins)
+            self.base = model.number, np.zeros(len(fit)), tables
+        _, before, tables = self.base
+        turned = np.flatnonzero(sign != before)
+        rows, change = fit[turned], sign[turned] - before[turned]
+        for f, table in tables.items():
+            table[0, 0] += np.bincount(self.x[:, f].take(rows), change, model.bins).astype(np.int32)
+        before[turned] = sign[turned]
+        return tables
 
     def summed(self, model: Growing, resid: np.ndarray) -> Iterator[tuple[list[int], np.ndarray]]:
         """(features, tables summed up over the bins) of a block that holds all rows of the model.
 
-        Below the root only the smaller child of every node is counted; its sibling has what the node's table has left.
+        Below the root only the smaller child of every node is counted; its sibling has what the node's table has left. At the root
+        the rows that are not drawn are counted, if they are fewer, and the drawn ones are what the table of all rows has left.
         """
         level, number = model.level, len(model.trees)
         rows, sign, tried = self.sample(model, resid)
@@ -274,41 +304,57 @@ class Block:
         if not self.x.flags.f_contiguous:
             self.x = np.asfortranarray(self.x)
         known = self.upto[3] if level and self.upto is not None and self.upto[:3] == (model.number, number, level - 1) else None
-        many = 2 ** level
+        many, every = 2 ** level, None
+        if level == 0 and len(self.undrawn) < len(rows):
+            every = self.everything(model, resid)
+            rows = self.undrawn
+            sign, node = np.sign(resid[rows]), np.zeros(len(rows), int)
         if known is not None:
             size = np.bincount(node, minlength=many)
             right = (size[1::2] < size[::2]).astype(int)
             at = np.flatnonzero(right.take(node >> 1) == (node & 1))
             rows, sign, node, many = rows[at], sign[at], node[at] >> 1, many // 2
             small = 2 * np.arange(many) + right
-        made = []
-        for i in range(0, len(tried), TOGETHER):
-            part = tried[i:i + TOGETHER]
+        made = self.room.get(level)
+        if made is None or made.shape != (len(tried), 2, 2 ** level, model.bins):
+            made = self.room[level] = np.empty((len(tried), 2, 2 ** level, model.bins), np.int32)
+        size = max(1, TOGETHER >> level)
+        for i in range(0, len(tried), size):
+            part, upto = tried[i:i + size], made[i:i + size]
             bins = (self.x[:, f].take(rows) for f in part)
-            upto = summed_up(np.stack(list(counted(bins, node, sign, many, model.bins))))
-            if known is not None:
-                both = np.empty((len(part), 2, 2 * many, model.bins))
-                both[:, :, small], both[:, :, small ^ 1] = upto, known[len(made)] - upto
-                upto = both
-            made.append(upto)
+            tables = counted(bins, node, sign, many, model.bins, len(part))
+            if every is not None:
+                np.subtract([every[f] for f in part], tables, out=tables)
+            tables = summed_up(tables)
+            if known is None:
+                upto[:] = tables
+            else:
+                for parent, child in enumerate(small):
+                    upto[:, :, child] = tables[:, :, parent]
+                    np.subtract(known[i:i + size, :, parent], tables[:, :, parent], out=upto[:, :, child ^ 1])
             yield part, upto
         self.upto = model.number, number, level, made
 
 
-def counted(bins: Iterable[np.ndarray], node: np.ndarray, sign: np.ndarray, nodes: int, many: int) -> Iterator[np.ndarray]:
-    """(sum of the signs or number of rows, node, bin) of each feature, from the bins of the rows."""
-    first, flat = (2 * node + (sign > 0)) * many, np.flatnonzero(sign == 0)
+def counted(bins: Iterable[np.ndarray], node: np.ndarray, sign: np.ndarray, nodes: int, many: int, features: int) -> np.ndarray:
+    """(feature, sum of the signs or number of rows, node, bin), from the bins of the rows by feature."""
+    first, flat = ((sign > 0) * nodes + node) * many, np.flatnonzero(sign == 0)
     first = first.astype(np.min_scalar_type(2 * nodes * many))
     cell = np.empty_like(first)
-    for b in bins:
+    both, zeros = np.empty((features, 2, nodes, many), np.int32), None
+    if len(flat):
+        zeros, nought = np.empty((features, nodes, many), np.int32), node[flat] * many
+    for i, b in enumerate(bins):
         np.add(first, b, out=cell)
-        low, high = np.bincount(cell, minlength=2 * nodes * many).reshape(-1, 2, many).swapaxes(0, 1)
-        both = np.empty((2, nodes, many))
-        np.subtract(high, low, out=both[0])
-        np.add(high, low, out=both[1])
-        if len(flat):
-            both[0] += np.bincount(node[flat] * many + b[flat], minlength=both[0].size).reshape(both[0].shape)
-        yield both
+        both[i] = np.bincount(cell, minlength=2 * nodes * many).reshape(2, nodes, many)
+        if zeros is not None:
+            zeros[i] = np.bincount(nought + b[flat], minlength=nodes * many).reshape(nodes, many)
+    low, high = both[:, 0].copy(), both[:, 1]
+    np.subtract(high, low, out=both[:, 0])
+    high += low
+    if zeros is not None:  # counted with the negative ones
+        both[:, 0] += zeros
+    return both
 
 
 def share(u: np.ndarray, salt: int) -> np.ndarray:
@@ -343,29 +389,32 @@ def searched(f: int, total: np.ndarray, model: Growing) -> tuple[list, list, lis
 
 def summed_up(tables: np.ndarray) -> np.ndarray:
     """Tables with running sums over the bins, but for that of missing values."""
-    return np.concatenate([tables[..., :1], np.cumsum(tables[..., 1:], -1)], -1)
+    out = tables.copy()
+    np.cumsum(tables[..., 1:], -1, out=out[..., 1:])
+    return out
 
 
 def splits(upto: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gain, last bin on the left, whether missing values go left) by feature and node, from (feature, sign or count, node, bin) as summed up."""
     g, h = upto[:, 0], upto[:, 1]
-    below_g, below_h = g[:, :, 1:], h[:, :, 1:]
-    g_all, h_all = g[:, :, :1] + below_g[:, :, -1:], h[:, :, :1] + below_h[:, :, -1:]
+    below_g, below_h, lost_g, lost_h = (v.astype(float) for v in (g[:, :, 1:], h[:, :, 1:], g[:, :, :1], h[:, :, :1]))
+    g_all, h_all = lost_g + below_g[:, :, -1:], lost_h + below_h[:, :, -1:]
     whole, gains = g_all ** 2 / (h_all + s.l2), []
-    for left in (0, 1) if h[:, :, 0].any() else (0,):
-        gl, hl = (below_g + g[:, :, :1], below_h + h[:, :, :1]) if left else (below_g, below_h)
+    for left in (1, 0) if lost_h.any() else (0,):  # the last may change the sums in place
+        gl, hl = (below_g + lost_g, below_h + lost_h) if left else (below_g, below_h)
         gr, hr = g_all - gl, h_all - hl
         small = np.minimum(hl, hr) < s.min_leaf
-        gain = gl ** 2
-        gain /= hl + s.l2
-        gr **= 2
+        gain = np.multiply(gl, gl, out=gl)
+        hl += s.l2
+        gain /= hl
+        gr *= gr
         hr += s.l2
         gr /= hr
         gain += gr
         gain -= whole
-        np.copyto(gain, 0.0, where=small)
+        gain[small] = 0.0
         gains.append(gain)
-    both = np.concatenate(gains, 2) if len(gains) > 1 else gains[0]
+    both = np.concatenate(gains[::-1], 2) if len(gains) > 1 else gains[0]
     at = both.argmax(2)
     one = g.shape[2] - 1
     return np.take_along_axis(both, at[:, :, None], 2)[:, :, 0], at % one + 1, at // one
@@ -373,7 +422,7 @@ def splits(upto: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def step_alone(block: Block, model: Growing) -> None:
     """A step of a model whose rows all lie in one block."""
-    resid = block.y - block.catch_up(model)
+    resid = block.residuals(model)
     found = {f: searched(f, added(f, [v]), model) for f, v in block.whole(model, resid)}
     if block.splitting(model):
         for part, upto in block.summed(model, resid):

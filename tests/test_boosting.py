@@ -215,3 +215,27 @@ def test_alone_only_the_smaller_children_are_counted(monkeypatch):
             levels += 1
         bo.step_alone(block, model)
     assert levels >= 12
+
+
+def test_alone_the_root_counts_only_rows_that_are_not_drawn(monkeypatch):
+    """The tables of all rows are kept from round to round: counting starts at the rows that were left out, with signs of all three kinds."""
+    rng = np.random.default_rng(3)
+    n, s = 400, bo.Settings(rounds=6, depth=2, min_leaf=2, step=0.5)
+    x, y = rng.integers(0, 7, (n, 4)).astype(np.uint8), rng.integers(0, 5, n).astype(float)
+    row = {"n": n, "x": x.tobytes(), "y": y.tobytes(), "u": rng.integers(0, 1 << 62, n).astype(np.uint64).tobytes(),
+           "fold": (np.arange(n) % 4).astype(np.int32).tobytes(), "margin": None}
+    block, model, counted, asked, roots = bo.Block(row, 1), bo.Growing(0, [3, 0, 2, 1], 1, 0.2, s, 7), bo.counted, [], 0
+    monkeypatch.setattr(bo, "counted", lambda bins, node, *rest: asked.append(len(node)) or counted(bins, node, *rest))
+    while not model.done:
+        if block.splitting(model) and model.level == 0:
+            want = {f: bo.summed_up(v) for f, v in block.tables(model) if f >= 0}
+            fit, drawn = len(block.halves(model)[0]), len(block.sample(model, None)[0])
+            asked.clear()
+            got = {f: v for part, upto in block.summed(model, block.y - block.catch_up(model)) for f, v in zip(part, upto)}
+            assert all((got[f] == want[f]).all() for f in want) and len(got) == len(want)
+            assert asked and max(asked) == fit - drawn < drawn / 2
+            roots += 1
+        bo.step_alone(block, model)
+        if len(model.trees) == 1:
+            model.trees[0].value[:] = 2.0   # some residuals are zero
+    assert roots >= 3

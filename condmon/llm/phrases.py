@@ -1,17 +1,22 @@
 """Phrase collocation mining by Rabin-Karp fingerprints.
 
 Words and runs of words get 64-bit fingerprints from prefix polynomials in numpy: one over the bytes gives all words, one
-over the words gives all runs of a length. Texts are read three times and never shuffled:
+over the words gives all runs of a length. Texts are read four times and never shuffled:
 
 1. Pairs of words: every task counts its distinct fingerprints, the shuffle adds them up. Nothing longer can be frequent
    unless its pairs are.
-2. Frequent pairs, their words, and runs of up to `longest` words all of whose pairs may be frequent: fingerprints with counts and a pointer
+2. Triples both of whose pairs may be frequent, in the same way. Nothing longer can be frequent unless its triples are, and most runs
+   of frequent pairs are not.
+3. Frequent pairs, their words, and runs of up to `longest` words all of whose triples may be frequent: fingerprints with counts and a pointer
    (document, byte) to an occurrence. Inside a chunk, occurrences that share a fingerprint are compared with the text at its pointer, and counted
    apart where they differ; between chunks a second fingerprint from other polynomials tells them apart (together 128 bits). This
    leaves out nearly all long runs, which are nearly all rare.
-3. Where a pointer of a frequent run leads, its text is read, its fingerprints are checked, and it leaves as a phrase: one row each. Words
+4. Where a pointer of a frequent run leads, its text is read, its fingerprints are checked, and it leaves as a phrase: one row each. Words
    of frequent pairs are counted by their text.
 
+Steps 2 and 3 run in at most TASKS_PER_CORE tasks for each core: runs that come again in a task leave it once, so fewer and larger tasks send fewer
+rows. What a task holds is bounded by HELD, whatever it reads.
+
 Which fingerprints may be frequent reaches the tasks as a bit filter of at most FILTER_BITS (32 MB). A filter that fills up lets more
 through and changes no result.
 
@@ -31,7 +36,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -46,6 +51,7 @@ from condmon.session import stored
 CHUNK = 1 << 20
 HELD = 1 << 21                # distinct fingerprints a task holds before it lets them go
 HELD_PHRASES = 1 << 17
+TASKS_PER_CORE = 2
 FILTER_BITS = 1 << 28
 NO_LANG = "und"
 
@@ -231,15 +237,26 @@ def combined(fps: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return fp[new], np.add.reduceat(count[order], new)
 
 
-def pair_counts(rows: DataFrame, longest: int, bits: int) -> DataFrame:
-    """(fp, c): counts of pairs per task; few fingerprints come twice from one task."""
+def in_large_tasks(rows: DataFrame) -> DataFrame:
+    """rows in at most TASKS_PER_CORE tasks for each core, unless the number of cores may change."""
+    spark = rows.sparkSession
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return rows
+    return rows.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
+def run_totals(rows: DataFrame, k: int, longest: int, bits: int, pairs=None) -> DataFrame:
+    """(fp, c): counts of runs of k words per task, of all or of those whose pairs may be frequent; few fingerprints come twice from one task."""
     out = T._parse_datatype_string("fp long, c long")
     arrow = to_arrow_schema(out)
 
     def run(batches):
         fps, counts, held = [], [], 0
         for chunk in chunks(batches, longest, bits):
-            fp, n = np.unique(chunk.runs(2)[1], return_counts=True)
+            at, fp = chunk.runs(k)
+            if pairs is not None:
+                fp = fp[all_pass(chunk, 2, pairs.value)(at, k)]
+            fp, n = np.unique(fp, return_counts=True)
             fps.append(fp)
             counts.append(n)
             held += len(fp)
@@ -260,21 +277,33 @@ def pair_counts(rows: DataFrame, longest: int, bits: int) -> DataFrame:
     return rows.mapInArrow(run, out)
 
 
-def frequent_runs(chunk: Chunk, pairs: BitFilter, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(k, first word, fingerprint) of pairs that pass, of the words in them, and of longer runs whose pairs all pass."""
-    at, fp = chunk.runs(2, beyond=True)
-    passed = pairs.has(fp)
+def all_pass(chunk: Chunk, size: int, known: BitFilter) -> Callable[[np.ndarray, int], np.ndarray]:
+    """Which runs of k words from the given first words hold only runs of `size` words that pass."""
+    at, fp = chunk.runs(size, beyond=True)
     good = np.zeros(len(chunk.start) + 1, bool)
-    good[at[passed]] = True
-    part = good.copy()
-    part[1:] |= good[:-1]
+    good[at[known.has(fp)]] = True
+
+    def keep(at: np.ndarray, k: int) -> np.ndarray:
+        out = np.ones(len(at), bool)
+        for j in range(k - size + 1):
+            out &= good[at + j]
+        return out
+    return keep
+
+
+def frequent_runs(chunk: Chunk, pairs: BitFilter, triples: BitFilter, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, first word, fingerprint) of pairs that pass, of the words in them, and of longer runs whose pairs and triples all pass."""
+    by_pairs = all_pass(chunk, 2, pairs)
+    good = by_pairs(np.arange(len(chunk.start)), 2)
+    good[1:] |= good[:-1].copy()
     at, fp = chunk.runs(1)
-    yield 1, at[part[at]], fp[part[at]]
+    yield 1, at[good[at]], fp[good[at]]
+    by_triples = all_pass(chunk, 3, triples)
     for k in range(2, longest + 1):
         at, fp = chunk.runs(k)
-        keep = np.ones(len(at), bool)
-        for j in range(k - 1):
-            keep &= good[at + j]
+        keep = by_pairs(at, k)
+        if k > 2:
+            keep &= by_triples(at, k)
         yield k, at[keep], fp[keep]
 
 
@@ -297,7 +326,7 @@ def exact_groups(chunk: Chunk, ids: np.ndarray, k: int, at: np.ndarray, fp: np.n
         yield places[0], len(places)
 
 
-def run_counts(rows: DataFrame, pairs, longest: int, bits: int, id_type: str) -> DataFrame:
+def run_counts(rows: DataFrame, pairs, triples, longest: int, bits: int, id_type: str) -> DataFrame:
     """(fp, chk, c, doc, at, mark): counts of frequent pairs, of their words and of longer runs made of them.
 
     Occurrences that share a fingerprint in a chunk are compared word by word with the first, to which doc and at point; those that
@@ -310,7 +339,7 @@ def run_counts(rows: DataFrame, pairs, longest: int, bits: int, id_type: str) ->
         held, size = [], 0
         for chunk in chunks(batches, longest, bits):
             docs, ids = pa.array(chunk.docs, arrow.field("doc").type), chunk.ids()
-            for k, at, fp in frequent_runs(chunk, pairs.value, longest):
+            for k, at, fp in frequent_runs(chunk, pairs.value, triples.value, longest):
                 if len(fp):
                     first, n = (np.array(x) for x in zip(*exact_groups(chunk, ids, k, at, fp)))
                     fp = fp[np.searchsorted(at, first)]
@@ -337,7 +366,7 @@ def run_counts(rows: DataFrame, pairs, longest: int, bits: int, id_type: str) ->
     return rows.mapInArrow(run, out)
 
 
-def phrase_texts(rows: DataFrame, pairs, wanted, pointers, longest: int, bits: int) -> DataFrame:
+def phrase_texts(rows: DataFrame, pairs, triples, wanted, pointers, longest: int, bits: int) -> DataFrame:
     """(lang, phrase, size, c, fp, chk): the texts that pointers lead to, with both fingerprints as read there; counts of the
     words that frequent pairs may hold; and a row without phrase for the words in all."""
     out = T._parse_datatype_string("lang string, phrase string, size int, c long, fp long, chk long")
@@ -356,7 +385,7 @@ def phrase_texts(rows: DataFrame, pairs, wanted, pointers, longest: int, bits: i
             for i, n in exact_groups(chunk, chunk.ids(), 1, at[keep], fp[keep]):
                 key = (chunk.langs[chunk.doc[i]], chunk.text(i, 1), 1)
                 held[key] = held.get(key, 0) + n
-            for k, at, fp in frequent_runs(chunk, pairs.value, longest):
+            for k, at, fp in frequent_runs(chunk, pairs.value, triples.value, longest):
                 if k > 1:
                     keep = pointers.value.has(chunk.marks(at, fp))
                     at, fp = at[keep], fp[keep].view(np.int64).tolist()
@@ -385,13 +414,18 @@ def count_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = named(docs, d=id_col, t=text_col, g=lang_col)
     rows = rows.select("d", F.xxhash64("d").alias("h"), F.col("t").cast("string").alias("t"), F.col("g").cast("string").alias("g"))
     often, share = F.col("c") >= min_count, spark.sparkContext.broadcast
-    found = stored(pair_counts(rows, longest, bits).groupBy("fp").agg(F.sum("c").alias("c")).filter(often), "pairs")
-    pairs = share(BitFilter.of(found))
-    runs = run_counts(rows, pairs, longest, bits, rows.schema["d"].dataType).groupBy("fp", "chk").agg(
+
+    def frequent(counts: DataFrame, name: str):
+        return share(BitFilter.of(stored(counts.groupBy("fp").agg(F.sum("c").alias("c")).filter(often), name)))
+
+    pairs = frequent(run_totals(rows, 2, longest, bits), "pairs")
+    large = in_large_tasks(rows)
+    triples = frequent(run_totals(large, 3, max(longest, 3), bits, pairs), "triples")
+    runs = run_counts(large, pairs, triples, longest, bits, rows.schema["d"].dataType).groupBy("fp", "chk").agg(
         F.sum("c").alias("c"), F.min(F.struct("doc", "at", "mark")).alias("pointer"))
     runs = stored(runs.filter(often), "runs")
     wanted, pointers = share(BitFilter.of(runs)), share(BitFilter.of(runs.select(F.col("pointer.mark").alias("fp"))))
-    texts = stored(phrase_texts(rows, pairs, wanted, pointers, longest, bits), "texts")
+    texts = stored(phrase_texts(rows, pairs, triples, wanted, pointers, longest, bits), "texts")
     words = texts.filter("size < 2").groupBy("lang", "phrase", "size").agg(F.sum("c").alias("a"))
     # Repeated rows lead to one text several times.
     read = texts.filter("size >= 2").groupBy("fp", "chk").agg(*[F.min(c).alias(c) for c in ("lang", "phrase", "size")])

@@ -253,3 +253,20 @@ def test_filter_lets_all_of_its_own_through(spark):
         bits = phrases.BitFilter.of(found, most)
         assert bits.has(fps.view(np.uint64)).all() and 64 * len(bits.words) <= most
     assert phrases.BitFilter.of(found).has(rng.integers(0, 2 ** 63, 10000).astype(np.uint64)).mean() < 0.02
+
+
+def test_runs_of_frequent_pairs_with_rare_triples_stay_in_their_tasks(spark, monkeypatch):
+    """Only runs whose triples may be frequent are sent, from few tasks, however many parts the texts have."""
+    rows = [(f"a{i} b{j} c{k}" + " d e" * (i == j == 0), "en") for i in range(6) for j in range(6) for k in range(6)]
+    rows += [("x y z x", "en")] * 6
+    made, real = [], phrases.run_counts
+    monkeypatch.setattr(phrases, "run_counts", lambda *a: made.append(real(*a)) or made[-1])
+    docs = spark.createDataFrame([(i, t, g, "x", 1) for i, (t, g) in enumerate(rows)], TEXTS)
+    got = phrases.mine_phrases(docs.coalesce(1), min_count=6).collect()
+    assert {tuple(r)[:8] for r in got} == plain_phrases(rows, 6)
+    # 23 words (a, b, c, d, e, x, y, z), 36 + 36 + 1 + 3 pairs, x y z, y z x and the four words; no a b c
+    assert made[0].count() == 23 + 76 + 3
+    monkeypatch.setattr(phrases, "TASKS_PER_CORE", 1)
+    got = phrases.mine_phrases(docs.repartition(40), min_count=6).collect()
+    assert {tuple(r)[:8] for r in got} == plain_phrases(rows, 6)
+    assert made[1].rdd.getNumPartitions() <= max(2, spark.sparkContext.defaultParallelism)

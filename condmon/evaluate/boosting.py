@@ -7,8 +7,8 @@ the best split by (model, feature), and only the best splits reach the driver. A
 the same passes; a fold leaves its group out when it fills the tables. Margins are stored every KEPT rounds, so training goes
 on where it is instead of starting again.
 
-Up to ALONE_BLOCKS times BLOCK_ROWS rows (262,144) are bytes that any task can hold, and a job for each of up to 18,000 steps costs far more than the
-step. Then they lie in one block, and each model's steps run one after another in a task of its own, by the same functions and with the same result.
+Up to ALONE_BLOCKS times BLOCK_ROWS rows (1,048,576) are bytes that any task can hold, and a job for each of up to 18,000 steps costs far more than the
+step. Then each model's steps run one after another in a task of its own, which joins the blocks, by the same functions and with the same result.
 There only the smaller child of every node is counted; its sibling is what the node's own table has left. At the root the rows not drawn
 are counted and taken from the tables of all rows, which change from round to round only where a sign has changed. Counts are whole, so all of that is exact.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,12 +30,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from condmon.session import stored
 
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 18
 ALONE_BLOCKS = 4    # so many blocks of rows are made one, and each model grows in a task
+ALONE_BYTES = 1 << 28   # unless their bins are more than that
 BINS = 256          # the first is for missing values
 BIN_ROWS = 3        # rows that a bin has on the average, at least
 MEDIAN_BINS = 2048
 KEPT = 40           # rounds between two writings of the margins
+PIECE = 1 << 14     # rows walked at once, whose places stay in a core's cache
 TOGETHER = 64       # features times nodes searched at once, whose tables stay in a core's cache
 RANGE, LEAF = -1, -2  # tables that are not of a feature
 
@@ -89,20 +91,57 @@ class Tree:
         f = self.feature[nodes]
         if not (f >= 0).any():
             return 2 * node
-        right = np.arange(BINS) > self.cut[nodes, None]
-        right[:, 0] = self.left[nodes] == 0
-        right &= (f >= 0)[:, None]
-        child = 2 * np.arange(len(f))[:, None] + right
-        cells = (np.maximum(f, 0) * x.strides[1]).take(node)     # by rows or by columns, as x lies
-        cells += np.arange(0, len(x) * x.strides[0], x.strides[0])
-        at = node * BINS
-        at += x.ravel(order="K").take(cells)
-        return child.ravel().take(at)
+        child, f = ways(f, self.cut[nodes], self.left[nodes]), np.maximum(f, 0)
+        if x.ndim == 3:     # pairs of features, as pack() lays them
+            first, step = (f >> 1) * x.strides[0] + (f & 1), x.strides[1]
+        else:               # by rows or by columns, as x lies
+            first, step = f * x.strides[1], x.strides[0]
+        flat, below = x.ravel(order="K"), np.empty(len(node), int)
+        away = np.arange(min(len(node), PIECE)) * step
+        cells, bins = np.empty(len(away), int), np.empty(len(away), np.uint8)
+        for i in range(0, len(node), PIECE):
+            mine = node[i:i + PIECE]
+            at, found = cells[:len(mine)], bins[:len(mine)]
+            first.take(mine, out=at, mode="clip")   # no place is outside; other modes copy what they write
+            at += away[:len(mine)]
+            flat[i * step:].take(at, out=found, mode="clip")
+            np.multiply(mine, BINS, out=at)
+            at += found
+            child.take(at, out=below[i:i + PIECE], mode="clip")
+        return below
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return self.value[self.leaf(x, int(math.log2(len(self.value))))]
 
 
+def ways(feature: np.ndarray, cut: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The node of the next level for every node and bin."""
+    right = np.arange(BINS) > cut[:, None]
+    right[:, 0] = left == 0
+    right &= (feature >= 0)[:, None]
+    return (2 * np.arange(len(feature))[:, None] + right).ravel()
+
+
+def added_up(trees: Sequence[Tree], x: np.ndarray) -> np.ndarray:
+    """Sum of the trees' values by row. A few rows go down many trees at once."""
+    out, rows, flat = np.zeros(len(x)), np.arange(len(x)) * x.shape[1], x.ravel()
+    size = max(1, PIECE // max(1, len(x)))
+    for some in (trees[i:i + size] for i in range(0, len(trees), size)):
+        feature, cut, left, value = (np.stack([getattr(t, c) for t in some]) for c in ("feature", "cut", "left", "value"))
+        node = np.arange(len(some))[:, None] + np.zeros(len(x), int)    # of all these trees' nodes in the level
+        for level in range(int(math.log2(value.shape[1]))):
+            nodes = slice(2 ** level - 1, 2 ** (level + 1) - 1)
+            f, c, m = (v[:, nodes].ravel() for v in (feature, cut, left))
+            if (f >= 0).any():
+                cells = np.maximum(f, 0).take(node) + rows
+                node = ways(f, c, m).take(node * BINS + flat.take(cells))
+            else:
+                node = 2 * node
+        for v in value.ravel().take(node):
+            out += v
+    return out
+
+
 @dataclass
 class Growing:
     """One model on its way. `trees` begins with the median of the labels."""
@@ -184,7 +223,7 @@ class Block:
 
     def __init__(self, row: dict, models: int):
         n = row["n"]
-        self.x = np.frombuffer(row["x"], np.uint8).reshape(n, -1)
+        self.x = np.frombuffer(row["x"], np.uint8).reshape(n, -1)   # pairs of features, once a model grows alone
         self.y, self.u = np.frombuffer(row["y"]), np.frombuffer(row["u"], np.uint64)
         self.fold = np.frombuffer(row["fold"], np.int32)
         self.stored = np.frombuffer(row["margin"]).reshape(models, n) if row["margin"] else None
@@ -192,6 +231,7 @@ class Block:
         self.has: dict[int, int] = {}
         self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.place: tuple | None = None     # (model, tree, level, node of each row)
+        self.hashes: tuple | None = None    # (model, those of the rows that fit it)
         self.drawn: tuple | None = None     # (model, tree, rows, sign, tried features)
         self.undrawn = np.zeros(0, int)     # rows that fit the model and were not drawn
         self.base: tuple | None = None      # (model, signs of the rows that fit it, their tables by feature)
@@ -199,6 +239,35 @@ class Block:
         self.room: dict[int, np.ndarray] = {}   # memory for the tables of a level
         self.upto: tuple | None = None      # (model, tree, level, its tables summed up over the bins)
 
+    @classmethod
+    def joined(cls, rows: list[dict], hold: int) -> Block:
+        """The rows of many blocks without those of a fold, in the order of their hashes, so that no sum depends on the blocks."""
+        parts = [cls(r, 0) for r in rows]
+        fold, y, u = (np.concatenate([getattr(p, c) for p in parts]) for c in ("fold", "y", "u"))
+        mine = np.flatnonzero(fold != hold)
+        mine = mine[np.lexsort((y[mine], u[mine]))]
+        whole, x = parts[0], np.concatenate([p.x for p in parts])
+        whole.x, whole.y, whole.u, whole.fold = x[mine], y[mine], u[mine], fold[mine]
+        return whole
+
+    def pack(self) -> None:
+        """From now on two features of a row lie together and are fetched at once: (pair, row, feature of the pair)."""
+        if self.x.ndim == 2:
+            n, many = self.x.shape
+            pairs = np.zeros(((many + 1) // 2, n, 2), np.uint8)
+            for f in range(many):
+                pairs[f >> 1, :, f & 1] = self.x[:, f]
+            self.x = pairs
+
+    def bins(self, features: Iterable[int], rows: np.ndarray) -> Iterator[np.ndarray]:
+        """The bins of some rows by feature, fetched in pairs."""
+        pair = None
+        for f in features:
+            if pair != f >> 1:
+                pair = f >> 1
+                both = self.x[pair].view("<u2")[:, 0].take(rows)
+            yield both >> 8 if f & 1 else both & 255
+
     def margin(self, number: int) -> np.ndarray:
         if number not in self.margins:
             self.margins[number] = np.zeros(len(self.y)) if self.stored is None else self.stored[number].copy()
@@ -240,9 +309,11 @@ class Block:
         s, number = model.settings, len(model.trees)
         if self.drawn is None or self.drawn[:2] != (model.number, number):
             fit = self.halves(model)[0]
-            drawn = share(self.u[fit], s.seed + 7919 * number) < s.row_share
+            if self.hashes is None or self.hashes[0] != model.number:
+                self.hashes = model.number, self.u[fit]
+            drawn = share(self.hashes[1], s.seed + 7919 * number) < s.row_share
             rows, self.undrawn = fit[drawn], fit[~drawn]
-            self.drawn = model.number, number, rows, np.sign(resid[rows]), model.tried() if model.features else []
+            self.drawn = model.number, number, rows, signs(resid.take(rows)), model.tried() if model.features else []
         return self.drawn[2:]
 
     def splitting(self, model: Growing) -> bool:
@@ -259,10 +330,13 @@ class Block:
             if not model.trees:
                 return
         if model.level == s.depth:
-            leaf = self.nodes(model, len(model.trees), model.tree, s.depth)[fit]
+            leaf, cells = self.nodes(model, len(model.trees), model.tree, s.depth), np.empty(len(fit), int)
             wide = max(model.high - model.low, 1e-300)
-            place = np.minimum(((resid[fit] - model.low) / wide * MEDIAN_BINS).astype(int), MEDIAN_BINS - 1)
-            yield LEAF, np.bincount(leaf * MEDIAN_BINS + place, minlength=2 ** s.depth * MEDIAN_BINS).reshape(-1, MEDIAN_BINS)
+            for i in range(0, len(fit), PIECE):
+                mine = fit[i:i + PIECE]
+                place = np.minimum(((resid.take(mine) - model.low) / wide * MEDIAN_BINS).astype(int), MEDIAN_BINS - 1)
+                np.add(leaf.take(mine) * MEDIAN_BINS, place, out=cells[i:i + PIECE])
+            yield LEAF, np.bincount(cells, minlength=2 ** s.depth * MEDIAN_BINS).reshape(-1, MEDIAN_BINS)
 
     def tables(self, model: Growing) -> Iterator[tuple[int, np.ndarray]]:
         """(table, values) of the model's next step. Tables of one name are added up over the blocks, but for the ends of the range."""
@@ -272,23 +346,24 @@ class Block:
             rows, sign, tried = self.sample(model, resid)
             node = self.nodes(model, len(model.trees), model.tree or Tree.bare(model.settings.depth), model.level)[rows]
             # single rows are copied whole, so the memory is read once
-            bins = np.ascontiguousarray(self.x[rows].T[tried]) if tried else []
-            yield from zip(tried, counted(bins, node, sign, 2 ** model.level, model.bins, len(tried)))
+            bins = self.bins(tried, rows) if self.x.ndim == 3 else np.ascontiguousarray(self.x[rows].T[tried]) if tried else []
+            many = 2 ** model.level
+            yield from zip(tried, counted(bins, node, *begun(node, sign, many, model.bins), many, model.bins, len(tried)))
 
     def everything(self, model: Growing, resid: np.ndarray) -> dict[int, np.ndarray]:
         """Tables of all rows that fit the model, by feature: as they were, but for the rows whose sign has changed."""
         fit = self.halves(model)[0]
-        sign = np.sign(resid.take(fit))
+        sign = signs(resid.take(fit))
         if self.base is None or self.base[0] != model.number:
-            tables = {f: np.zeros((2, 1, model.bins), np.int32) for f in model.features}
-            for f, table in tables.items():
-                table[1, 0] = np.bincount(self.x[:, f].take(fit), minlength=model.bins)
-            self.base = model.number, np.zeros(len(fit)), tables
+            tables = {f: np.zeros((2, 1, model.bins), np.int32) for f in sorted(model.features)}
+            for table, b in zip(tables.values(), self.bins(tables, fit)):
+                table[1, 0] = np.bincount(b, minlength=model.bins)
+            self.base = model.number, np.zeros(len(fit), np.int8), tables
         _, before, tables = self.base
         turned = np.flatnonzero(sign != before)
-        rows, change = fit[turned], sign[turned] - before[turned]
-        for f, table in tables.items():
-            table[0, 0] += np.bincount(self.x[:, f].take(rows), change, model.bins).astype(np.int32)
+        rows, change = fit[turned], (sign[turned] - before[turned]).astype(float)
+        for table, b in zip(tables.values(), self.bins(tables, rows)):
+            table[0, 0] += np.bincount(b, change, model.bins).astype(np.int32)
         before[turned] = sign[turned]
         return tables
 
@@ -299,47 +374,52 @@ class Block:
         the rows that are not drawn are counted, if they are fewer, and the drawn ones are what the table of all rows has left.
         """
         level, number = model.level, len(model.trees)
+        self.pack()
         rows, sign, tried = self.sample(model, resid)
         node = self.nodes(model, number, model.tree or Tree.bare(model.settings.depth), level)[rows]
-        if not self.x.flags.f_contiguous:
-            self.x = np.asfortranarray(self.x)
         known = self.upto[3] if level and self.upto is not None and self.upto[:3] == (model.number, number, level - 1) else None
         many, every = 2 ** level, None
         if level == 0 and len(self.undrawn) < len(rows):
             every = self.everything(model, resid)
             rows = self.undrawn
-            sign, node = np.sign(resid[rows]), np.zeros(len(rows), int)
+            sign, node = signs(resid.take(rows)), np.zeros(len(rows), int)
         if known is not None:
             size = np.bincount(node, minlength=many)
-            right = (size[1::2] < size[::2]).astype(int)
-            at = np.flatnonzero(right.take(node >> 1) == (node & 1))
-            rows, sign, node, many = rows[at], sign[at], node[at] >> 1, many // 2
-            small = 2 * np.arange(many) + right
+            many //= 2
+            small = 2 * np.arange(many) + (size[1::2] < size[::2])
+            at = np.flatnonzero(np.isin(np.arange(2 * many), small).take(node))
+            rows, sign, node = rows.take(at), sign.take(at), node.take(at) >> 1
         made = self.room.get(level)
         if made is None or made.shape != (len(tried), 2, 2 ** level, model.bins):
             made = self.room[level] = np.empty((len(tried), 2, 2 ** level, model.bins), np.int32)
-        size = max(1, TOGETHER >> level)
+        size, cells = max(1, TOGETHER >> level), begun(node, sign, many, model.bins)
         for i in range(0, len(tried), size):
             part, upto = tried[i:i + size], made[i:i + size]
-            bins = (self.x[:, f].take(rows) for f in part)
-            tables = counted(bins, node, sign, many, model.bins, len(part))
+            tables = counted(self.bins(part, rows), node, *cells, many, model.bins, len(part))
             if every is not None:
                 np.subtract([every[f] for f in part], tables, out=tables)
             tables = summed_up(tables)
             if known is None:
                 upto[:] = tables
             else:
-                for parent, child in enumerate(small):
-                    upto[:, :, child] = tables[:, :, parent]
-                    np.subtract(known[i:i + size, :, parent], tables[:, :, parent], out=upto[:, :, child ^ 1])
+                upto[:, :, small] = tables
+                upto[:, :, small ^ 1] = known[i:i + size] - tables
             yield part, upto
         self.upto = model.number, number, level, made
 
 
-def counted(bins: Iterable[np.ndarray], node: np.ndarray, sign: np.ndarray, nodes: int, many: int, features: int) -> np.ndarray:
+def signs(values: np.ndarray) -> np.ndarray:
+    return (values > 0).view(np.int8) - (~(values >= 0)).view(np.int8)
+
+
+def begun(node: np.ndarray, sign: np.ndarray, nodes: int, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell of each row that its bin is added to, rows of no sign), the same for all features."""
+    first = np.where(sign > 0, (node + nodes) * many, node * many)
+    return first.astype(np.promote_types(np.uint16, np.min_scalar_type(2 * nodes * many))), np.flatnonzero(sign == 0)
+
+
+def counted(bins: Iterable[np.ndarray], node: np.ndarray, first: np.ndarray, flat: np.ndarray, nodes: int, many: int, features: int) -> np.ndarray:
     """(feature, sum of the signs or number of rows, node, bin), from the bins of the rows by feature."""
-    first, flat = ((sign > 0) * nodes + node) * many, np.flatnonzero(sign == 0)
-    first = first.astype(np.min_scalar_type(2 * nodes * many))
     cell = np.empty_like(first)
     both, zeros = np.empty((features, 2, nodes, many), np.int32), None
     if len(flat):
@@ -359,10 +439,16 @@ def counted(bins: Iterable[np.ndarray], node: np.ndarray, sign: np.ndarray, node
 
 def share(u: np.ndarray, salt: int) -> np.ndarray:
     """A number from 0 to 1 for each row and salt."""
+    if len(u) > PIECE:
+        return np.concatenate([share(u[i:i + PIECE], salt) for i in range(0, len(u), PIECE)])
     z = u ^ np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    z ^= z >> np.uint64(30)
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    z >>= np.uint64(11)
+    return z / float(1 << 53)
 
 
 def added(f: int, tables: Sequence[np.ndarray]) -> np.ndarray:
@@ -451,8 +537,7 @@ class Boosted:
                 for m in np.unique(number[~pd.isna(number)]).astype(int):
                     rows = np.flatnonzero(number == m)
                     if trees[m]:
-                        mine = x[rows]
-                        out[rows] = sum(t(mine) for t in trees[m])
+                        out[rows] = added_up(trees[m], x[rows])
             return pd.Series(out if clip is None else np.clip(out, *clip)).replace({np.nan: None}).astype(float)
 
         values = F.array(*[F.expr(f"coalesce(CAST(`{c}` AS DOUBLE), CAST('NaN' AS DOUBLE))") for c in self.cols])
@@ -485,23 +570,26 @@ def row_blocks(rows: DataFrame, cols: Sequence[str], edges: list[np.ndarray], mo
     arrow = to_arrow_schema(BLOCKS)
 
     def run(batches):
-        held, size = [], 0
+        held, size = [], 0  # rows wait as bins, which take an eighth of the columns' memory
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            while size >= most:
-                table = pa.Table.from_batches(held).combine_chunks()
-                yield made(table.slice(0, most))
-                held = table.slice(most).to_batches()
-                size -= most
+            for i in range(0, batch.num_rows, most):
+                held.append(parts(batch.slice(i, most)))
+                size += len(held[-1][0])
+                while size >= most:
+                    whole = [np.concatenate(p) for p in zip(*held)]
+                    yield made([p[:most] for p in whole])
+                    held, size = [[p[most:] for p in whole]], size - most
         if size:
-            yield made(pa.Table.from_batches(held))
+            yield made([np.concatenate(p) for p in zip(*held)])
+
+    def parts(t):
+        x = np.column_stack([t[f"_{i}"].to_numpy(zero_copy_only=False) for i in range(len(edges))]) if edges else np.zeros((t.num_rows, 0))
+        y, u, fold = (t[c].to_numpy(zero_copy_only=False) for c in ("_y", "_u", "_fold"))
+        return binned(x, edges), y, u.view(np.uint64), fold.astype(np.int32)
 
-    def made(t):
-        x = np.column_stack([t[f"_{i}"].to_numpy() for i in range(len(edges))]) if edges else np.zeros((t.num_rows, 0))
-        parts = [binned(x, edges), t["_y"].to_numpy(), t["_u"].to_numpy().view(np.uint64), t["_fold"].to_numpy().astype(np.int32)]
-        cells = [np.ascontiguousarray(p).tobytes() for p in parts]
-        return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells] + [pa.array([None], pa.binary()), pa.array([t.num_rows], pa.int32())], schema=arrow)
+    def made(whole):
+        cells = [np.ascontiguousarray(p).tobytes() for p in whole]
+        return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells] + [pa.array([None], pa.binary()), pa.array([len(whole[0])], pa.int32())], schema=arrow)
 
     values = [F.expr(f"coalesce(CAST(`{c}` AS DOUBLE), CAST('NaN' AS DOUBLE))").alias(f"_{i}") for i, c in enumerate(cols)]
     return rows.select("_y", "_u", "_fold", *values).mapInArrow(run, BLOCKS)
@@ -555,20 +643,26 @@ def grown_together(blocks: DataFrame, models: list[Growing]) -> list[Growing]:
     return models
 
 
-def grown_apart(block: DataFrame, models: list[Growing]) -> list[Growing]:
-    """All steps of a model in one task, each model in its own: for rows that fit one block."""
+def grown_apart(blocks: DataFrame, models: list[Growing]) -> list[Growing]:
+    """All steps of a model in one task, each model in its own: for rows that a task can hold."""
     many = len(models)
     numbers = F.explode(F.array(*[F.lit(m.number) for m in models])).alias("m")
 
     def run(batches):
+        held: dict[int, list[dict]] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                model, at = models[row["m"]], Block(row, many)
-                while not model.done:
-                    step_alone(at, model)
-                yield pa.RecordBatch.from_arrays([pa.array([row["m"]], pa.int32()), pa.array([model.result()])], schema=to_arrow_schema(MODELS))
-
-    placed = block.select("*", numbers).repartitionById(many, "m")  # a hash would put several models into one task
+                held.setdefault(row["m"], []).append(row)
+        batch = row = None
+        while held:
+            number, rows = held.popitem()
+            model, block = models[number], Block.joined(rows, models[number].hold)
+            del rows
+            while not model.done:
+                step_alone(block, model)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([model.result()])], schema=to_arrow_schema(MODELS))
+
+    placed = blocks.select("*", numbers).repartitionById(many, "m")  # a hash would put several models into one task
     for r in placed.mapInArrow(run, MODELS).collect():
         models[r["m"]].take(r["model"])
     return models
@@ -593,8 +687,7 @@ def fit_boosters(rows: DataFrame, cols: Sequence[str], label: str, key: str, sub
             left = n - per_fold.get(hold, 0)
             wanted = min(left // 2, max(settings.min_es, int(settings.es_frac * left)))
             models.append(Growing(len(models), [where[c] for c in subset], hold, wanted / max(left, 1), settings, bins))
-    most = ALONE_BLOCKS * BLOCK_ROWS
-    small = n <= most
-    blocks = stored(row_blocks(used.coalesce(1) if small else used, cols, edges, most if small else BLOCK_ROWS), "blocks")
+    small = n <= ALONE_BLOCKS * BLOCK_ROWS and n * len(cols) <= ALONE_BYTES
+    blocks = stored(row_blocks(used, cols, edges, BLOCK_ROWS), "blocks")
     grown = (grown_apart if small else grown_together)(blocks, models) if n else models
     return Boosted(cols, edges, grown, clip)

@@ -239,3 +239,72 @@ def test_alone_the_root_counts_only_rows_that_are_not_drawn(monkeypatch):
         if len(model.trees) == 1:
             model.trees[0].value[:] = 2.0   # some residuals are zero
     assert roots >= 3
+
+
+def test_more_rows_than_a_block_take_no_job_per_step(spark, monkeypatch):
+    """300,000 rows, in many blocks: every fold still grows in a task of its own."""
+    monkeypatch.setattr(bo, "grown_together", None)
+    df = spark.range(300_000, numPartitions=5).select("id", (F.col("id") % 11).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"),
+                                                      (F.col("id") % 2).alias("g"))
+    df = df.withColumn("y", 10 * F.col("a") - F.col("b"))
+    _, folds, _ = rg.leave_group_out_boosted(df.withColumn("type", F.lit("adhesion")), "g", ["a", "b"], "y", "id", rounds=12, step=0.5)
+    assert [(r["g"], r["n"], r["overall"] < 8) for r in folds.orderBy("g").collect()] == [(0, 150_000, True), (1, 150_000, True)]
+
+
+def test_joined_blocks_hold_the_rows_of_a_fold_once_and_in_one_order():
+    rng = np.random.default_rng(6)
+    n = 90
+    x, y, u = rng.integers(0, 9, (n, 5)).astype(np.uint8), rng.normal(0, 1, n), rng.integers(0, 1 << 62, n).astype(np.uint64)
+    fold = (np.arange(n) % 3).astype(np.int32)
+
+    def rows(*cuts):
+        for a, b in zip((0, *cuts), (*cuts, n)):
+            yield {"n": b - a, "margin": None, "m": 1} | {c: v[a:b].tobytes() for c, v in zip(("x", "y", "u", "fold"), (x, y, u, fold))}
+
+    one, many = bo.Block.joined(list(rows()), 1), bo.Block.joined(list(rows(40, 41, 70))[::-1], 1)
+    assert all((getattr(one, c) == getattr(many, c)).all() for c in ("x", "y", "u", "fold"))
+    mine = np.flatnonzero(fold != 1)
+    assert (one.u == np.sort(u[mine])).all() and (one.x == x[mine][np.argsort(u[mine])]).all() and not (one.fold == 1).any()
+
+
+def test_blocks_of_rows_are_full_whatever_the_batches(spark):
+    """Blocks of at most `most` rows hold every row once, with its own bins; a batch may be longer than a block."""
+    df = spark.range(100, numPartitions=2).selectExpr("CAST(id AS DOUBLE) AS _y", "id AS _u", "0 AS _fold", "CAST(id % 5 AS DOUBLE) AS a")
+    edges = [np.array([0.0, 1.0, 2.0, 3.0])]
+    rows = bo.row_blocks(df, ["a"], edges, 7).collect()
+    assert sorted(r["n"] for r in rows) == [1, 1] + [7] * 14
+    blocks = [bo.Block(r.asDict(), 1) for r in rows]
+    assert sorted(np.concatenate([b.y for b in blocks])) == list(range(100))
+    assert all((b.x[:, 0] == b.y % 5 + 1).all() and (b.u == b.y).all() for b in blocks)
+
+
+def test_pairs_of_features_give_bins_and_nodes_of_the_rows():
+    """An odd number of features, in any order; trees walk pairs as they walk rows, in more than one piece."""
+    rng = np.random.default_rng(7)
+    n = bo.PIECE + 300
+    x = rng.integers(0, bo.BINS, (n, 5)).astype(np.uint8)
+    block = bo.Block({"n": n, "x": x.tobytes(), "y": np.zeros(n).tobytes(), "u": np.zeros(n, np.uint64).tobytes(),
+                      "fold": np.zeros(n, np.int32).tobytes(), "margin": None}, 1)
+    tree = bo.Tree(rng.integers(-1, 5, 31), rng.integers(0, 255, 31), rng.integers(0, 2, 31), rng.normal(0, 1, 32))
+    plain = tree.leaf(x, 5)
+    block.pack()
+    rows = np.sort(rng.choice(n, 200, replace=False))
+    assert all((b == x[rows, f]).all() for f, b in zip([4, 0, 1, 3], block.bins([4, 0, 1, 3], rows)))
+    assert (tree.leaf(np.asfortranarray(x), 5) == plain).all()
+    node, packed = np.zeros(n, int), np.zeros(n, int)   # row by row, without tables
+    for level in range(5):
+        packed = tree.down(block.x, packed, level)
+        at = 2 ** level - 1 + node
+        b = x[np.arange(n), tree.feature[at]]
+        node = 2 * node + ((tree.feature[at] >= 0) & np.where(b == 0, tree.left[at] == 0, b > tree.cut[at]))
+    assert (node == plain).all() and (packed == plain).all()
+
+
+def test_a_few_rows_go_down_many_trees_at_once():
+    rng = np.random.default_rng(8)
+    trees = [bo.Tree.bare(3)] + [bo.Tree(rng.integers(-1, 4, 7), rng.integers(0, 255, 7), rng.integers(0, 2, 7), rng.normal(0, 1, 8)) for _ in range(40)]
+    trees[0].value[:] = 5.0
+    for n in (0, 1, bo.PIECE // 15, bo.PIECE + 1):
+        x = rng.integers(0, bo.BINS, (n, 4)).astype(np.uint8)
+        assert (bo.added_up(trees, x) == sum(t(x) for t in trees)).all()
+    assert (bo.added_up(trees[:1], np.zeros((3, 0), np.uint8)) == 5.0).all()

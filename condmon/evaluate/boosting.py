@@ -91,7 +91,10 @@ class Tree:
         f = self.feature[nodes]
         if not (f >= 0).any():
             return 2 * node
-        child, f = ways(f, self.cut[nodes], self.left[nodes]), np.maximum(f, 0)
+        right = np.arange(BINS) > self.cut[nodes, None]
+        right[:, 0] = self.left[nodes] == 0
+        right &= (f >= 0)[:, None]
+        child, f = (2 * np.arange(len(f))[:, None] + right).ravel(), np.maximum(f, 0)
         if x.ndim == 3:     # pairs of features, as pack() lays them
             first, step = (f >> 1) * x.strides[0] + (f & 1), x.strides[1]
         else:               # by rows or by columns, as x lies
@@ -114,27 +117,26 @@ class Tree:
         return self.value[self.leaf(x, int(math.log2(len(self.value))))]
 
 
-def ways(feature: np.ndarray, cut: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """The node of the next level for every node and bin."""
-    right = np.arange(BINS) > cut[:, None]
-    right[:, 0] = left == 0
-    right &= (feature >= 0)[:, None]
-    return (2 * np.arange(len(feature))[:, None] + right).ravel()
+def stacked(trees: Sequence[Tree]) -> list[np.ndarray]:
+    """Features, cuts, sides and values of many trees, a row for each."""
+    return [np.stack([getattr(t, c) for t in trees]) for c in ("feature", "cut", "left", "value")]
 
 
-def added_up(trees: Sequence[Tree], x: np.ndarray) -> np.ndarray:
-    """Sum of the trees' values by row. A few rows go down many trees at once."""
+def added_up(trees: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Sum of the values of stacked trees by row. A few rows go down many trees at once."""
     out, rows, flat = np.zeros(len(x)), np.arange(len(x)) * x.shape[1], x.ravel()
     size = max(1, PIECE // max(1, len(x)))
-    for some in (trees[i:i + size] for i in range(0, len(trees), size)):
-        feature, cut, left, value = (np.stack([getattr(t, c) for t in some]) for c in ("feature", "cut", "left", "value"))
-        node = np.arange(len(some))[:, None] + np.zeros(len(x), int)    # of all these trees' nodes in the level
+    for i in range(0, len(trees[0]), size):
+        feature, cut, left, value = (v[i:i + size] for v in trees)
+        node = np.arange(len(value))[:, None] + np.zeros(len(x), int)    # of all these trees' nodes in the level
         for level in range(int(math.log2(value.shape[1]))):
             nodes = slice(2 ** level - 1, 2 ** (level + 1) - 1)
             f, c, m = (v[:, nodes].ravel() for v in (feature, cut, left))
             if (f >= 0).any():
-                cells = np.maximum(f, 0).take(node) + rows
-                node = ways(f, c, m).take(node * BINS + flat.take(cells))
+                late = (m == 0).astype(np.uint8)    # where missing values go right: one bin less makes them the last
+                c = np.where(f >= 0, c - late, BINS).astype(np.int16)
+                bins = flat.take(np.maximum(f, 0).take(node) + rows) - late.take(node)
+                node = 2 * node + (bins > c.take(node))
             else:
                 node = 2 * node
         for v in value.ravel().take(node):
@@ -527,7 +529,7 @@ class Boosted:
 
     def predict(self, df: DataFrame, name: str, model: Column) -> DataFrame:
         """df with the prediction of the model whose number `model` gives; NULL where that model has no trees."""
-        edges, trees, clip = self.edges, [m.trees for m in self.models], self.clip
+        edges, trees, clip = self.edges, [stacked(m.trees) if m.trees else None for m in self.models], self.clip
 
         @F.pandas_udf("double")
         def score(values: pd.Series, number: pd.Series) -> pd.Series:

@@ -306,5 +306,5 @@ def test_a_few_rows_go_down_many_trees_at_once():
     trees[0].value[:] = 5.0
     for n in (0, 1, bo.PIECE // 15, bo.PIECE + 1):
         x = rng.integers(0, bo.BINS, (n, 4)).astype(np.uint8)
-        assert (bo.added_up(trees, x) == sum(t(x) for t in trees)).all()
-    assert (bo.added_up(trees[:1], np.zeros((3, 0), np.uint8)) == 5.0).all()
+        assert (bo.added_up(bo.stacked(trees), x) == sum(t(x) for t in trees)).all()
+    assert (bo.added_up(bo.stacked(trees[:1]), np.zeros((3, 0), np.uint8)) == 5.0).all()
